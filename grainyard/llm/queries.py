@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, media, mixing, simhash, token_counts, token_files, toxicity
+from . import chat, decontaminate, language, lm_score, media, mixing, simhash, token_counts, token_files, toxicity
 from .common import crc_mod
 
 
@@ -32,6 +32,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted_digests(turns.union(spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -67,5 +71,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op3_chat_format, op5_simhash, op6_decontaminate, op7_language, op8_media, op9_toxicity, op10_token_files, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op3_chat_format, op4_lm_score, op5_simhash, op6_decontaminate, op7_language, op8_media, op9_toxicity, op10_token_files, pipeline)}
 ORACLES = {"op1_mix_sources": mixing.MIX_SQL, "op3_chat_format": chat.CHAT_SQL}
