@@ -36,7 +36,7 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return [lead + n for n in names]
 
 
-def mixed_sources(docs: DataFrame, weights: dict[str, float] | None = None, block: int = 32, resolution: int = 1000, max_sources: int = 4096, bucket_rows: int = 1 << 16, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mixed_sources(docs: DataFrame, weights: dict[str, float] | None = None, block: int = 32, resolution: int = 1000, max_sources: int = 4096, bucket_rows: int = 1 << 13, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """docs with mix_slot, mix_rank (place in its block) and mix_position (0, 1, ... in the mixed order) as last columns.
 
     weights: target weights by source; a source that it doesn't name gets the smallest one named. Without it, weights are the square
