@@ -1,42 +1,105 @@
 """Cutting texts where the byte-level pattern always cuts, so that work on a piece can be kept and used again.
 
-A single space between two non-space characters starts a pre-token, whatever stands around it. `Pieces` holds one value a
-piece (with its space, but for the first) and asks `make` for missing ones in bulk. Texts with other white space beside a
-space take a slower path that never cuts there.
+A single space between two non-space characters starts a pre-token, and a single line feed between two is one, whatever stands
+around them. Nothing is cut elsewhere. A `PieceTable` knows pieces by 64-bit hash and asks for the tokens of new ones in bulk.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from typing import Any
 
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
+import numpy as np
 
+from .common import span_hashes
 
-class Pieces:
-    def __init__(self, make: Callable[[list[str]], list[Any]], most: int = 400_000):
-        """make: values of new strings. most: so many values are kept; beyond, the cache starts anew."""
+_SPACE = np.zeros(256, bool)
+_SPACE[[*range(9, 14), *range(28, 33)]] = True
+#: White space of more than one byte, by first byte: the bytes that follow.
+_WIDE = {0xC2: [b"\x85", b"\xa0"], 0xE1: [b"\x9a\x80"], 0xE2: [*(bytes([0x80, b]) for b in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), b"\x81\x9f"], 0xE3: [b"\x80\x80"]}
+
+
+class Known(dict):
+    """Values of strings; `fill` asks for the missing ones in bulk. Beyond `most` it starts anew."""
+
+    def __init__(self, make: Callable[[list[str]], list[Any]], most: int):
         self.make, self.most = make, most
-        self.first: dict[str, Any] = {}
-        self.after: dict[str, Any] = {}
-
-    def _fill(self, kept: dict[str, Any], keys: set[str], lead: str) -> None:
-        if new := [k for k in keys if k not in kept]:
-            kept.update(zip(new, self.make([lead + k for k in new])))
-
-    def of(self, texts: list[str], put: Callable[[list[Any]], Any]) -> list[Any]:
-        """put(values of a text's pieces, in order), for each text."""
-        if len(self.first) + len(self.after) > self.most:
-            self.first, self.after = {}, {}
-        cut = [t.split(" ") for t in texts]
-        for i, p in enumerate(cut):
-            if any(not x or x[0].isspace() or x[-1].isspace() for x in p):
-                cut[i] = _SAFE.split(texts[i])
-        self._fill(self.first, {p[0] for p in cut}, "")
-        seen: set[str] = set()
-        for p in cut:
-            seen.update(p[1:])
-        self._fill(self.after, seen, " ")
-        first, after = self.first, self.after
-        return [put([first[p[0]], *map(after.__getitem__, p[1:])]) for p in cut]
+
+    def fill(self, keys: set[str]) -> None:
+        new = [k for k in keys if k not in self]
+        if len(self) + len(new) > self.most and self:
+            self.clear()
+            new = list(keys)
+        if new:
+            self.update(zip(new, self.make(new)))
+
+
+def white(data: np.ndarray) -> np.ndarray:
+    """Which bytes are part of white space."""
+    out = _SPACE[data]
+    for lead, rest in _WIDE.items():
+        for at in np.flatnonzero(data == lead).tolist():
+            for tail in rest:
+                if data[at + 1 : at + 1 + len(tail)].tobytes() == tail:
+                    out[at : at + 1 + len(tail)] = True
+    return out
+
+
+def cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of all pieces, and for each row (and one more) the index of its first piece. Empty rows have none."""
+    start = np.zeros(len(data) + 1, bool)
+    if len(data) > 2:
+        solid = ~white(data)
+        alone = np.flatnonzero(((data[1:-1] == 32) | (data[1:-1] == 10)) & solid[:-2] & solid[2:]) + 1
+        edge = np.zeros(len(data) + 1, bool)
+        edge[offsets] = True
+        alone = alone[~edge[alone] & ~edge[alone + 1]]
+        start[alone] = True
+        start[alone[data[alone] == 10] + 1] = True
+    start[offsets] = True
+    start = np.flatnonzero(start[:-1])
+    return start, np.searchsorted(start, offsets)
+
+
+class PieceTable:
+    def __init__(self, make: Callable[[list[str]], list[np.ndarray]], most: int = 1 << 20):
+        """make: the tokens of new strings. most: so many pieces are kept; beyond, the table starts anew."""
+        self.make, self.most = make, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.size, self.at = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def _place(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, self.keys[at] == keys
+
+    def of(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Each piece's row in size (its number of tokens) and at (their place in flat)."""
+        ends = np.r_[starts[1:], len(data)][: len(starts)]
+        keys, first, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        at, known = self._place(keys)
+        if len(self.keys) + int((~known).sum()) > self.most and len(self.keys):
+            self.clear()
+            at, known = self._place(keys)
+        if not known.all():
+            new = np.flatnonzero(~known)
+            raw = data.tobytes()
+            made = self.make([raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+            size = np.fromiter(map(len, made), np.int64, len(made))
+            where = np.searchsorted(self.keys, keys[new])
+            self.rows = np.insert(self.rows, where, len(self.size) + np.arange(len(new)))
+            self.keys = np.insert(self.keys, where, keys[new])
+            self.size, self.at = np.r_[self.size, size], np.r_[self.at, len(self.flat) + np.cumsum(size) - size]
+            self.flat = np.concatenate([self.flat, *made])
+            at, _ = self._place(keys)
+        return self.rows[at][back]
+
+    def tokens(self, rows: np.ndarray) -> np.ndarray:
+        """The tokens of these rows, one after the other."""
+        size = self.size[rows]
+        return self.flat[np.repeat(self.at[rows] - np.cumsum(size) + size, size) + np.arange(size.sum())]

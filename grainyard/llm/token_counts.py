@@ -15,8 +15,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, slices
-from .pieces import Pieces
+from .common import arrow_map, slices, text_bytes
+from .pieces import Known, PieceTable, cuts
 
 #: The pattern of byte-level BPE files that ask for their library's own split ("use_regex").
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -49,6 +49,7 @@ class Merger:
         keys = np.array([ids[a] * self.base + ids[b] for a, b in pairs], np.int64)
         self.order = np.argsort(keys, kind="stable")
         self.keys = keys[self.order]
+        self.known = Known(self.counts, 300_000)
         self.makes = np.array([ids[a + b] for a, b in pairs], np.int64)
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -82,24 +83,24 @@ class Merger:
             symbols, owner = symbols[keep], owner[keep]
         return left
 
-    def make(self, texts: list[str]) -> list[int]:
-        """Token counts of texts, each from its own pre-tokens; a special string is one token."""
-        found: dict[str, int] = {}
+    def make(self, texts: list[str]) -> list[np.ndarray]:
+        """For each text one number, how many tokens it has, from its own pre-tokens; a special string is one token."""
         parts: list[list[str]] = []
         extra: list[int] = []
         for t in texts:
             plain = [t] if self.specials is None or not any(s in t for s in self.special) else self.specials.split(t)
             extra.append(len(plain) - 1)
             parts.append([x for p in plain for x in self.pattern.findall(p)])
-            for x in parts[-1]:
-                found.setdefault(x, 0)
-        words = list(found)
-        for i in range(0, len(words), 100_000):
-            found.update(zip(words[i : i + 100_000], self.count([w.encode() for w in words[i : i + 100_000]]).tolist()))
-        return [n + sum(map(found.__getitem__, p)) for n, p in zip(extra, parts)]
+        self.known.fill({x for p in parts for x in p})
+        totals = np.array([n + sum(map(self.known.__getitem__, p)) for n, p in zip(extra, parts)], np.uint32)
+        return list(totals[:, None])
 
+    def counts(self, words: list[str]) -> list[int]:
+        runs = range(0, len(words), 50_000)
+        return [n for i in runs for n in self.count([w.encode() for w in words[i : i + 50_000]]).tolist()]
 
-_counters: dict[str, Pieces] = {}
+
+_counters: dict[str, PieceTable] = {}
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,13 +115,14 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _counters:
-            _counters[tokenizer] = Pieces(Merger(tokenizer).make)
-        pieces = _counters[tokenizer]
+            _counters[tokenizer] = PieceTable(Merger(tokenizer).make)
+        table = _counters[tokenizer]
         for batch in batches:
-            for part in slices(batch, 1):
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                tokens = np.array(pieces.of(texts, sum), np.int64)
-                sizes = pa.array([len(t.encode()) for t in texts], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), sizes, pa.array(tokens), pa.array(tokens > limit)], [id_col, "n_bytes", "n_tokens", "over_limit"])
+            for part in slices(batch, 1, 1 << 22):
+                data, offsets = text_bytes(part.column(1))
+                starts, first = cuts(data, offsets)
+                total = np.r_[0, np.cumsum(table.tokens(table.of(data, starts)).astype(np.int64))]
+                tokens = np.diff(total[first])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets)), pa.array(tokens), pa.array(tokens > limit)], [id_col, "n_bytes", "n_tokens", "over_limit"])
 
     return arrow_map(docs.select(id_col, text_col), run, schema)

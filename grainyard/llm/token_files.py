@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, record_batch, scratch_path, slices, written
-from .pieces import Pieces
+from .common import arrow_map, record_batch, scratch_path, slices, text_bytes, written
+from .pieces import Known, PieceTable, cuts
 
 MAX_BITS, CHECKPOINT = 16, 512
 BLOCK_TOKENS, RANGE_TOKENS = 1 << 20, 1 << 22
@@ -112,19 +113,19 @@ class Encoder:
         self.tokenizer, self.pattern = Tokenizer.from_file(path), regex.compile(PATTERN)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
+        self.known = Known(self.ids, 300_000)
+
     def ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        runs = range(0, len(texts), 20_000)
+        return [array("I", e.ids).tobytes() for i in runs for e in self.tokenizer.encode_batch(texts[i : i + 20_000], add_special_tokens=False)]
 
-    def make(self, texts: list[str]) -> list[bytes]:
+    def make(self, texts: list[str]) -> list[np.ndarray]:
         parts = [[t] if any(s in t for s in self.special) else self.pattern.findall(t) for t in texts]
-        found: dict[str, bytes] = dict.fromkeys(x for p in parts for x in p)  # type: ignore[arg-type]
-        words = list(found)
-        for i in range(0, len(words), 20_000):
-            found.update(zip(words[i : i + 20_000], self.ids(words[i : i + 20_000])))
-        return [b"".join(map(found.__getitem__, p)) for p in parts]
+        self.known.fill({x for p in parts for x in p})
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, p)), np.uint32) for p in parts]
 
 
-_encoders: dict[str, Pieces] = {}
+_encoders: dict[str, PieceTable] = {}
 _IDS = pa.schema([("id", pa.int64()), ("ids", pa.binary())])
 _CODED = pa.schema([("bucket", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("crc", pa.int64()), ("marks", pa.binary()), ("bits", pa.binary())])
 _BLOCK = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("places", pa.list_(pa.int64())), ("marks", pa.binary()), ("bits", pa.binary())])
@@ -141,13 +142,19 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _encoders:
-            _encoders[tokenizer] = Pieces(Encoder(tokenizer).make)
-        pieces, last = _encoders[tokenizer], np.array([end_id], "<u4").tobytes()
+            _encoders[tokenizer] = PieceTable(Encoder(tokenizer).make)
+        table = _encoders[tokenizer]
         for batch in batches:
-            for part in slices(batch, 1):
-                ids = pieces.of([t or "" for t in part.column(1).to_pylist()], b"".join)
-                packed = [np.frombuffer(x + last, "<u4") for x in ids]
-                yield record_batch(_IDS, part.column(0).cast(pa.int64()), [(x.astype("<u2").tobytes() if x.max() < 1 << 16 else b"\0" + x.tobytes()) for x in packed])
+            for part in slices(batch, 1, 1 << 22):
+                data, offsets = text_bytes(part.column(1))
+                starts, first = cuts(data, offsets)
+                rows = table.of(data, starts)
+                ids, edge = table.tokens(rows), np.r_[0, np.cumsum(table.size[rows])][first]
+                small = ids.max(initial=end_id) < 1 << 16
+                kind, last, mark = ("<u2", np.array([end_id], "<u2").tobytes(), b"") if small else ("<u4", np.array([end_id], "<u4").tobytes(), b"\0")
+                ids, width = ids.astype(kind).tobytes(), 2 if small else 4
+                packed = [mark + ids[a:b] + last for a, b in zip((edge[:-1] * width).tolist(), (edge[1:] * width).tolist())]
+                yield record_batch(_IDS, part.column(0).cast(pa.int64()), packed)
 
     return arrow_map(docs.select(F.col(id_col).cast("bigint").alias("id"), text_col), run, ddl(_IDS))
 
