@@ -27,7 +27,7 @@ from .common import SPACES, WORD_SPLIT, arrow_map, ascii_lower, crc_mod, record_
 #: Stands for the hash of a text's end.
 END = 0x1D8E4E27C47D124F
 HEAD, PAIRS, DOCS, PARTIAL = 0, 1, 2, 3
-BUCKET_PAIRS = 1 << 22
+BUCKET_PAIRS = 1 << 21
 _OUT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 _OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 _BLOB = "kind int, dest int, block bigint, blob binary"
@@ -62,7 +62,8 @@ class Vocabulary:
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, fold: np.ndarray, docs: int, fold_docs: int):
         order = np.lexsort((keys, -counts))
-        self.counts, self.fold = np.r_[counts[order], 0, docs], np.r_[fold[order], 0, fold_docs]
+        kind = np.int32 if counts.max(initial=0) < 1 << 31 else np.int64
+        self.counts, self.fold = np.r_[counts[order], 0, docs].astype(kind), np.r_[fold[order], 0, fold_docs].astype(kind)
         keys = keys[order]
         self.at = np.argsort(keys, kind="stable").astype(np.int32)
         self.keys = keys[self.at]
@@ -146,7 +147,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
                 key, back = np.unique(h, return_inverse=True)
                 held.append([key, np.bincount(back, minlength=len(key)), np.bincount(back, fold, len(key)).astype(np.int64)])
                 size += len(key)
-                if size > 1 << 22:
+                if size > 1 << 20:
                     held = [merged()]
                     size = len(held[0][0])
         if held:
