@@ -1,7 +1,7 @@
 """Cutting texts where the byte-level pattern always cuts, so that work on a piece can be kept and used again.
 
 A single space between two non-space characters starts a pre-token, and a single line feed between two is one, whatever stands
-around them. Nothing is cut elsewhere. A `PieceTable` knows pieces by 64-bit hash and asks for the tokens of new ones in bulk.
+around them; a pre-token also starts at each of , . ; : ! ? behind an ASCII letter or digit. Nothing is cut elsewhere. A `PieceTable` knows pieces by 64-bit hash and asks for the tokens of new ones in bulk.
 """
 
 from __future__ import annotations
@@ -15,6 +15,11 @@ from .common import span_hashes
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[*range(9, 14), *range(28, 33)]] = True
+#: Marks that end a run of letters or digits. No special string may hold one of them, or white space.
+MARKS = ",.;:!?"
+_MARK, _PLAIN = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(MARKS.encode())] = True
+_PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 #: White space of more than one byte, by first byte: the bytes that follow.
 _WIDE = {0xC2: [b"\x85", b"\xa0"], 0xE1: [b"\x9a\x80"], 0xE2: [*(bytes([0x80, b]) for b in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), b"\x81\x9f"], 0xE3: [b"\x80\x80"]}
 
@@ -34,6 +39,12 @@ class Known(dict):
             self.update(zip(new, self.make(new)))
 
 
+def check_special(strings: list[str]) -> list[str]:
+    if any(c in MARKS or c.isspace() for s in strings for c in s):
+        raise ValueError(f"special strings with white space or one of {MARKS} are cut")
+    return strings
+
+
 def white(data: np.ndarray) -> np.ndarray:
     """Which bytes are part of white space."""
     out = _SPACE[data]
@@ -56,6 +67,7 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         alone = alone[~edge[alone] & ~edge[alone + 1]]
         start[alone] = True
         start[alone[data[alone] == 10] + 1] = True
+        start[1:-1] |= _MARK[data[1:]] & _PLAIN[data[:-1]]
     start[offsets] = True
     start = np.flatnonzero(start[:-1])
     return start, np.searchsorted(start, offsets)

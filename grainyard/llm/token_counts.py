@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import arrow_map, slices, text_bytes
-from .pieces import Known, PieceTable, cuts
+from .pieces import Known, PieceTable, check_special, cuts
 
 #: The pattern of byte-level BPE files that ask for their library's own split ("use_regex").
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -40,7 +40,7 @@ class Merger:
         if model["type"] != "BPE" or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or spec["normalizer"]:
             raise ValueError(f"{path}: not a plain byte-level BPE vocabulary")
         ids = model["vocab"]
-        self.special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
+        self.special = sorted(check_special([t["content"] for t in spec["added_tokens"]]), key=len, reverse=True)
         self.pattern = regex.compile(PATTERN)
         self.specials = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.of_byte = np.array([ids[c] for c in byte_symbols()], np.int64)

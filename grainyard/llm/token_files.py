@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, record_batch, scratch_path, slices, text_bytes, written
-from .pieces import Known, PieceTable, cuts
+from .pieces import PieceTable, check_special, cuts
 
 MAX_BITS, CHECKPOINT = 16, 512
 BLOCK_TOKENS, RANGE_TOKENS = 1 << 20, 1 << 22
@@ -101,28 +100,18 @@ def decode(bits: np.ndarray, starts: np.ndarray, counts: np.ndarray, table: tupl
 
 
 class Encoder:
-    """Ids of strings by the tokenizers library, as little-endian bytes; pre-tokens that recur are encoded once."""
+    """Ids of strings by the tokenizers library, for the pieces that a table asks for."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
-        from .token_counts import PATTERN
-
-        self.tokenizer, self.pattern = Tokenizer.from_file(path), regex.compile(PATTERN)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-        self.known = Known(self.ids, 300_000)
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        runs = range(0, len(texts), 20_000)
-        return [array("I", e.ids).tobytes() for i in runs for e in self.tokenizer.encode_batch(texts[i : i + 20_000], add_special_tokens=False)]
+        self.tokenizer = Tokenizer.from_file(path)
+        check_special([t.content for t in self.tokenizer.get_added_tokens_decoder().values()])
 
     def make(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [[t] if any(s in t for s in self.special) else self.pattern.findall(t) for t in texts]
-        self.known.fill({x for p in parts for x in p})
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, p)), np.uint32) for p in parts]
+        runs = range(0, len(texts), 20_000)
+        return [np.array(e.ids, np.uint32) for i in runs for e in self.tokenizer.encode_batch(texts[i : i + 20_000], add_special_tokens=False)]
 
 
 _encoders: dict[str, PieceTable] = {}
