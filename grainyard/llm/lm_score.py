@@ -67,7 +67,7 @@ class Vocabulary:
         keys = keys[order]
         self.at = np.argsort(keys, kind="stable").astype(np.int32)
         self.keys = keys[self.at]
-        self.n, self.total, self.fold_total = len(keys), int(counts.sum()), int(fold.sum())
+        self.n, self.total, self.fold_total = len(keys), int(counts.sum(dtype=np.int64)), int(fold.sum(dtype=np.int64))
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         seen, back = np.unique(hashes, return_inverse=True)
@@ -158,6 +158,19 @@ def _word_counts(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.where("part <> 2"), run, "h bigint, c bigint, d bigint").groupBy("h").agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
 
 
+def _vocabulary(counted: DataFrame) -> Vocabulary:
+    """The word counts on the driver, whose size was checked before."""
+    most = counted.agg(F.max("c")).first()[0] or 0
+    kind = "int" if most < 1 << 31 else "bigint"
+    got = counted.select("h", F.col("c").cast(kind), F.col("d").cast(kind)).toArrow()
+    keys, counts, fold = (got[c].to_numpy() for c in ("h", "c", "d"))
+    del got
+    pa.default_memory_pool().release_unused()
+    keys = keys.view(np.uint64)
+    end = keys == np.uint64(END)
+    return Vocabulary(keys, counts, fold, int(counts[end].sum()), int(fold[end].sum()))
+
+
 def lm_scores(docs: DataFrame, max_words: int = 8_000_000, head: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -172,14 +185,11 @@ def lm_scores(docs: DataFrame, max_words: int = 8_000_000, head: int = 1024, id_
     n_words, total = counted.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     if n_words > max_words:
         return _joined(rows)
-    got = counted.toArrow()
-    keys = got["h"].to_numpy().view(np.uint64)
-    counts, fold = got["c"].to_numpy(), got["d"].to_numpy()
-    ends = np.flatnonzero(keys == np.uint64(END))
-    vocabulary = Vocabulary(keys, counts, fold, int(counts[ends].sum()), int(fold[ends].sum()))
-    del got, keys, counts, fold
     sc = docs.sparkSession.sparkContext
+    vocabulary = _vocabulary(counted)
+    size, total = vocabulary.n, vocabulary.total
     shared = sc.broadcast(vocabulary)
+    del vocabulary
     whole = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(whole // (5 * BUCKET_PAIRS)) + 1
 
@@ -188,10 +198,10 @@ def lm_scores(docs: DataFrame, max_words: int = 8_000_000, head: int = 1024, id_
     dense = np.zeros((2, (head + 1) * head), np.int64)
     dense[:, heads["pair"].to_numpy()] = heads["c"].to_numpy(), heads["d"].to_numpy()
     pairs = sc.broadcast(dense)
-    weights = weights_of(arrow_map(entries.where(F.col("kind") <= PAIRS), _held_out_cells(shared, pairs, head), _CELL), vocabulary.n)
+    weights = weights_of(arrow_map(entries.where(F.col("kind") <= PAIRS), _held_out_cells(shared, pairs, head), _CELL), size)
     partial = arrow_map(entries.where(F.col("kind") <= PAIRS), _partial_scores(shared, pairs, weights, head, parts), _BLOB)
     together = partial.union(entries.where(F.col("kind") == DOCS)).repartitionById(parts, F.col("dest"))
-    return arrow_map(together, _totals(vocabulary.total), _OUT)
+    return arrow_map(together, _totals(total), _OUT)
 
 
 def _entries(rows: DataFrame, shared, head: int, parts: int) -> DataFrame:
