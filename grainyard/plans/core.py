@@ -354,11 +354,11 @@ def manifest_counts(spark, sf_dir):
 
 @query(WIDE_SQL + """
 SELECT id, status, CASE WHEN ok THEN used END AS prompt_kept, CASE WHEN ok THEN length(target_text) - (used = 0)::int END AS loss_targets,
-  CASE WHEN ok THEN sha1(substr(prompt_text, length(prompt_text) - used + 1) || target_text) END AS window FROM (
+  CASE WHEN ok THEN sha1(substr(prompt_text, length(prompt_text) - used + 1) || target_text) END AS window_sha1 FROM (
 SELECT *, status IN ('kept', 'truncated') AS ok, least(length(prompt_text), 513 - length(target_text)) AS used FROM (
 SELECT *, CASE WHEN length(target_text) = 0 THEN 'empty' WHEN length(target_text) >= 513 THEN 'too_long' WHEN length(prompt_text) > 513 - length(target_text) THEN 'truncated' ELSE 'kept' END AS status FROM examples))""")
 def sft_windows(spark, sf_dir):
-    return packing.sft_windows(wide_examples(spark, sf_dir), 512).withColumn("window", text.sha1_hex(F.col("window")))
+    return packing.sft_windows(wide_examples(spark, sf_dir), 512).withColumn("window_sha1", text.sha1_hex(F.col("window"))).drop("window")
 
 
 @query(WIDE_SQL + """, n AS (SELECT (SELECT count(*) FROM examples) AS e, (SELECT count(*) FROM documents) AS d)
