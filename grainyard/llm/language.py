@@ -168,9 +168,10 @@ class ByteGRU:
 
 def train_language(docs: DataFrame, most: int = 150, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteGRU:
     """Fit on at most `most` documents of each language (those with the smallest hashes of their ids), on their whole texts. Rows
-    with null text or lang teach nothing; without any row the model has no language."""
-    texts, langs = labelled_sample(docs.where(F.col(text_col).isNotNull()), F.col(lang_col), most, id_col, text_col)
-    return ByteGRU(sorted(set(langs.tolist()))).fit(texts, langs)
+    with null id, text or lang teach nothing; without any row the model has no language."""
+    docs = docs.where(F.col(text_col).isNotNull())
+    texts, langs = labelled_sample(docs.select(id_col, lang_col), docs, most, id_col, text_col)
+    return ByteGRU(sorted(set(langs))).fit(texts, np.array(langs))
 
 
 def languages(docs: DataFrame, model: ByteGRU, text_col: str = "text") -> DataFrame:
