@@ -46,25 +46,27 @@ def tree_paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
 
     messages: (id, parent, score), ids distinct and not null. In each tree the `per_tree` leaves of highest total score from the
     root are chosen, ties by id; a null score counts 0. A parent that isn't a message makes a root. Messages on or below a cycle
-    reach no root and belong to no path.
+    reach no root and belong to no path. Only messages that haven't reached their root take part in the next join.
     """
     base = messages.select("id", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     known = base.select(F.col("id").alias("known"))
-    state = base.join(known, base.parent == known.known, "left").select(F.col("id").alias("node"), F.col("id").alias("top"), F.col("known").alias("up"), F.col("score").alias("total"))
-    state = written(state, "reach")
-    steps = [state]
+    first = base.join(known, base.parent == known.known, "left").select(F.col("id").alias("node"), F.col("id").alias("top"), F.col("known").alias("up"), F.col("score").alias("total"))
+    state = written(first, "reach")
+    done, steps = state.where("up IS NULL"), [state.where("up IS NOT NULL")]
     rounds = max(1, state.count()).bit_length() + 1  # a pointer that is left then is on a cycle
-    while len(steps) <= rounds and state.where("up IS NOT NULL").limit(1).count():
-        other = state.select(F.col("node").alias("at"), F.col("top").alias("top2"), F.col("up").alias("up2"), F.col("total").alias("total2"))
-        state = state.join(other, state.up == other["at"], "left").select("node", F.coalesce("top2", "top").alias("top"), F.when(F.col("at").isNotNull(), F.col("up2")).alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"))
-        state = written(state, "reach")
-        steps.append(state)
-    leaves = state.where("up IS NULL").join(steps[0].select(F.col("up").alias("node")).where("node IS NOT NULL"), "node", "left_anti")
+    while len(steps) <= rounds and steps[-1].limit(1).count():
+        reached = done.union(steps[-1])
+        other = reached.select(F.col("node").alias("at"), F.col("top").alias("top2"), F.col("up").alias("up2"), F.col("total").alias("total2"))
+        further = steps[-1].join(other, F.col("up") == F.col("at")).select("node", F.col("top2").alias("top"), F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"))
+        state = written(further, "reach")
+        done = done.union(state.where("up IS NULL"))
+        steps.append(state.where("up IS NOT NULL"))
+    leaves = done.join(steps[0].select(F.col("up").alias("node")), "node", "left_anti")
     order = Window.partitionBy("top").orderBy(F.desc("total"), "node")
     chosen = leaves.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_tree)
     paths = written(chosen.select(F.col("node").alias("leaf"), "node", F.lit(0).cast("bigint").alias("up")), "paths")
     for k in reversed(range(len(steps) - 1)):
-        jump = steps[k].where("up IS NOT NULL").select(F.col("node").alias("at"), F.col("up").alias("to"))
+        jump = steps[k].select(F.col("node").alias("at"), F.col("up").alias("to"))
         more = paths.join(jump, paths.node == jump["at"]).select("leaf", F.col("to").alias("node"), (F.col("up") + (1 << k)).alias("up"))
         paths = written(paths.union(more), "paths")
     return paths
