@@ -57,3 +57,13 @@ def mixture(df_counts: dict[str, int], parts: list[tuple[str, int]], slots: Data
         index = F.when(here, nth) if index is None else index.when(here, nth)
         at += n
     return slots.select("i", out.alias("source"), index.alias("index"))
+
+
+def frequency_vocab(df: DataFrame, text: str, size: int, specials: list[str], least: int = 2, pattern: str = "[A-Za-z0-9']+") -> DataFrame:
+    """(token, frequency, token_id): the special tokens first, with no frequency, then the most frequent pre-tokens, ties in code-point
+    order, `size` entries in all; rarer ones than `least` stay out. Counts are summed before the shuffle."""
+    counts = df.select(F.explode(F.regexp_extract_all(text, F.lit(pattern), 0)).alias("token")).groupBy("token").agg(F.count("*").alias("frequency"))
+    top = counts.where((F.col("frequency") >= least) & ~F.col("token").isin(specials)).orderBy(F.desc("frequency"), "token").limit(max(size - len(specials), 0))
+    numbered = top.withColumn("token_id", F.row_number().over(Window.orderBy(F.desc("frequency"), "token")) + len(specials))  # `size` rows at most
+    fixed = df.sparkSession.createDataFrame([(t, None, i + 1) for i, t in enumerate(specials)], "token string, frequency bigint, token_id int")
+    return fixed.unionByName(numbered)

@@ -35,3 +35,30 @@ def stop_reason(df: DataFrame, run: list[str], step: str, min_step: int, pretrai
     told = df.withColumn("_r", reason)
     first = F.min(F.when(F.col("_r").isNotNull(), F.col(step)))
     return told.groupBy(*run).agg(F.coalesce(F.min_by("_r", F.when(F.col("_r").isNotNull(), F.col(step))), F.lit("max_behavior_updates_reached")).alias("stop_reason"), first.alias("stop_step"))
+
+
+def stage_metrics(df: DataFrame, run: list[str], stage: str, epoch: Column, step: str, loss: str) -> DataFrame:
+    """Of each epoch of a stage: microbatches, mean loss and last step."""
+    return df.groupBy(*run, stage, epoch.alias("epoch")).agg(F.count("*").alias("microbatches"), F.avg(loss).alias("mean_loss"), F.max(step).alias("last_step"))
+
+
+def final_epoch(epochs: DataFrame, run: list[str], epoch: str = "epoch") -> DataFrame:
+    """Of each run the row of its last epoch."""
+    return epochs.groupBy(*run).agg(F.max_by(F.struct("*"), epoch).alias("r")).select("r.*")
+
+
+def sweep_table(finals: DataFrame, swept: str, fixed: list[str], loss: str) -> DataFrame:
+    """By value of the swept setting: runs, best and mean loss, and whether each of the other settings is held fixed."""
+    held = [(F.count_distinct(c) <= 1).alias(f"{c}_held") for c in fixed]
+    return finals.groupBy(swept).agg(F.count("*").alias("runs"), F.min(loss).alias("best_loss"), F.avg(loss).alias("mean_loss"), *held)
+
+
+def progress(df: DataFrame, run: list[str], step: str, loss: str, target: int) -> DataFrame:
+    """Of each run its latest step and loss, and whether the target step is reached."""
+    last = df.groupBy(*run).agg(F.max(step).alias("latest_step"), F.max_by(loss, step).alias("latest_loss"), F.count("*").alias("records"))
+    return last.withColumn("status", F.when(F.col("latest_step") >= target, "completed").otherwise("running"))
+
+
+def source_totals(df: DataFrame, source: str, targets: str) -> DataFrame:
+    """Microbatches and loss targets of each source."""
+    return df.groupBy(source).agg(F.count("*").alias("microbatches"), F.sum(targets).alias("loss_targets"))

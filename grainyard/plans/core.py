@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import filters, text
-from ..operators import gate, messages, ordering, packing, runs, splits
-from ..sources import generators
+from ..operators import extract, gate, messages, ordering, packing, runs, splits
+from ..sources import files, generators
+from ..streaming import ingest
 
 QUERIES, SQL = {}, {}
 
@@ -469,3 +470,116 @@ def best_record(spark, sf_dir):
   SELECT *, CASE WHEN step >= 100 AND pretrain_loss > 100 * 1.25 THEN 'pretrain_validation_regression' WHEN step >= 100 AND pass_rate >= 0.9 AND sft_loss <= 1.2 THEN 'behavior_gate_passed' END AS r FROM ({HISTORY})) GROUP BY user_id""")
 def early_stop(spark, sf_dir):
     return runs.stop_reason(history(spark, sf_dir), ["user_id"], "step", 100, "pretrain_loss", F.lit(100.0), "pass_rate", 0.9, "sft_loss")
+
+
+EPOCHS = "SELECT user_id, event_type, event_id // 500 AS epoch, count(*) AS microbatches, avg(value) AS mean_loss, max(event_id) AS last_step FROM events GROUP BY ALL"
+
+
+def epochs(spark, sf_dir) -> DataFrame:
+    return runs.stage_metrics(table(spark, sf_dir, "events"), ["user_id"], "event_type", F.floor(F.col("event_id") / 500), "event_id", "value")
+
+
+@query(f"SELECT * REPLACE (round(mean_loss, 6) AS mean_loss) FROM ({EPOCHS})")
+def stage_metrics(spark, sf_dir):
+    return epochs(spark, sf_dir).withColumn("mean_loss", F.round("mean_loss", 6))
+
+
+FINALS = f"SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY epoch DESC) AS k FROM ({EPOCHS})) WHERE k = 1"
+
+
+@query(f"SELECT * REPLACE (round(mean_loss, 6) AS mean_loss) FROM ({FINALS})")
+def final_epoch(spark, sf_dir):
+    return runs.final_epoch(epochs(spark, sf_dir), ["user_id", "event_type"]).withColumn("mean_loss", F.round("mean_loss", 6))
+
+
+@query(f"""SELECT width, count(*) AS runs, round(min(mean_loss), 6) AS best_loss, round(avg(mean_loss), 6) AS mean_loss, count(DISTINCT event_type) <= 1 AS event_type_held, count(DISTINCT seed) <= 1 AS seed_held
+  FROM (SELECT *, user_id % 4 AS width, user_id % 4 // 2 AS seed FROM ({FINALS})) GROUP BY width""")
+def sweep_table(spark, sf_dir):
+    finals = runs.final_epoch(epochs(spark, sf_dir), ["user_id", "event_type"])
+    settings = finals.withColumns({"width": F.col("user_id") % 4, "seed": F.floor(F.col("user_id") % 4 / 2)})
+    return runs.sweep_table(settings, "width", ["event_type", "seed"], "mean_loss").withColumns({"best_loss": F.round("best_loss", 6), "mean_loss": F.round("mean_loss", 6)})
+
+
+@query("""SELECT user_id, max(event_id) AS latest_step, arg_max(value, event_id) AS latest_loss, count(*) AS records,
+  CASE WHEN max(event_id) >= 900 THEN 'completed' ELSE 'running' END AS status FROM events GROUP BY user_id""")
+def run_progress(spark, sf_dir):
+    return runs.progress(table(spark, sf_dir, "events"), ["user_id"], "event_id", "value", 900)
+
+
+@query("SELECT l_returnflag, count(*) AS microbatches, sum(l_quantity) AS loss_targets FROM lineitem GROUP BY l_returnflag")
+def source_totals(spark, sf_dir):
+    return runs.source_totals(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity")
+
+
+SPECIALS = ["<PAD>", "<UNK>", "<BOS>", "<EOS>"]
+
+
+@query(f"""WITH c AS (SELECT token, count(*) AS frequency FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9'']+')) AS token FROM documents) GROUP BY token HAVING count(*) >= 2),
+k AS (SELECT *, row_number() OVER (ORDER BY frequency DESC, token) + {len(SPECIALS)} AS token_id FROM c)
+SELECT * FROM k WHERE token_id <= 1000 UNION ALL SELECT * FROM (VALUES {', '.join(f"('{t}', NULL, {i + 1})" for i, t in enumerate(SPECIALS))}) AS v(token, frequency, token_id)""")
+def frequency_vocab(spark, sf_dir):
+    return packing.frequency_vocab(table(spark, sf_dir, "documents"), "text", 1000, SPECIALS)
+
+
+# --- shapes of raw rows, files and streams -------------------------------------------------------------------------------
+
+
+def raw_rows(spark, sf_dir) -> DataFrame:
+    """Conversations as JSON of three shapes: a list, a list of strings inside a string under other keys, and a pair."""
+    whole = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    plain = F.transform("t", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
+    inside = F.to_json(F.transform("t", lambda m: F.to_json(F.struct(m["role"].alias("from"), m["text"].alias("value")))))
+    ask, answer = F.element_at("t", 1)["text"], F.element_at("t", -1)["text"]
+    k = F.col("conv_id") % 3
+    row = F.when(k == 0, F.to_json(F.struct(plain.alias("messages")))).when(k == 1, F.to_json(F.struct(inside.alias("conversations")))).otherwise(F.to_json(F.struct(ask.alias("prompt"), answer.alias("response"))))
+    return whole.select("conv_id", row.alias("row"))
+
+
+@query("""SELECT conv_id AS row_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, role, sha1(text) AS content FROM conversations WHERE conv_id % 3 < 2
+UNION ALL SELECT conv_id, 0, 'user', sha1(arg_min(text, turn)) FROM conversations WHERE conv_id % 3 = 2 GROUP BY conv_id
+UNION ALL SELECT conv_id, 1, 'assistant', sha1(arg_max(text, turn)) FROM conversations WHERE conv_id % 3 = 2 GROUP BY conv_id""")
+def extract_messages(spark, sf_dir):
+    return extract.extract_messages(raw_rows(spark, sf_dir), "conv_id", "row").withColumn("content", text.sha1_hex(F.col("content")))
+
+
+@query(f"SELECT doc_id, sha1(n) AS text FROM (SELECT doc_id, {s_norm('text')} AS n FROM documents)")
+def jsonl_round_trip(spark, sf_dir):
+    path = files.work_path(spark, "jsonl")
+    table(spark, sf_dir, "documents").select("doc_id", "text").write.option("compression", "gzip").json(path)
+    back = spark.read.schema("doc_id bigint, text string").option("mode", "FAILFAST").json(path)
+    return back.select("doc_id", text.sha1_hex(text.normalize_text(F.col("text"))).alias("text"))
+
+
+@query(f"""SELECT split, count(*) AS documents, sum(strlen(text))::bigint AS bytes, sum(length(text))::bigint AS characters
+FROM (SELECT text, {s_split('text', 5, 10)} AS split FROM (SELECT {s_squash('text')} AS text FROM documents) WHERE {s_document_reason('text')} IS NULL) GROUP BY split""")
+def pretrain_files(spark, sf_dir):
+    path = files.work_path(spark, "pretrain")
+    docs = table(spark, sf_dir, "documents").select(text.squash(F.col("text")).alias("text")).where(filters.document_reason(F.col("text")).isNull())
+    files.write_pretrain(docs.withColumn("split", splits.hash_split(F.col("text"))), path)
+    return files.split_sizes(spark, path)
+
+
+def arriving(spark, sf_dir, name: str) -> DataFrame:
+    """The table as a stream of its files. A stream's path must be a folder or a pattern, and a table may be one file: so a pattern."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
+@query(f"SELECT doc_id, {s_split('text', 5, 10)} AS split FROM (SELECT doc_id, {s_squash('text')} AS text FROM documents) WHERE {s_document_reason('text')} IS NULL")
+def stream_pretrain(spark, sf_dir):
+    path = files.work_path(spark, "stream")
+    ingest.append_all(ingest.pretrain_documents(arriving(spark, sf_dir, "documents")).select("doc_id", "text", "split"), path, ["split"])
+    return spark.read.parquet(f"{path}/rows").select("doc_id", "split")
+
+
+@query(f"SELECT DISTINCT sha1(lower({s_squash('text')})) AS key FROM documents")
+def stream_dedup(spark, sf_dir):
+    path = files.work_path(spark, "stream")
+    ingest.append_all(ingest.first_seen(arriving(spark, sf_dir, "documents").select("text")).select("key"), path)
+    return spark.read.parquet(f"{path}/rows")
+
+
+@query(f"SELECT source, split, count(*) AS n FROM (SELECT source, {s_split('text', 5, 10)} AS split FROM (SELECT source, {s_squash('text')} AS text FROM documents) WHERE {s_document_reason('text')} IS NULL) GROUP BY ALL")
+def stream_split_counts(spark, sf_dir):
+    path = files.work_path(spark, "stream")
+    ingest.running_counts(ingest.pretrain_documents(arriving(spark, sf_dir, "documents")), ["source", "split"], path)
+    return ingest.latest_counts(spark.read.parquet(f"{path}/counts"), ["source", "split"])

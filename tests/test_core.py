@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from grainyard.functions import filters, text
-from grainyard.operators import gate, messages, ordering, packing, runs, splits
+from grainyard.operators import extract, gate, messages, ordering, packing, runs, splits
 from grainyard.plans import core
+from grainyard.sources import files
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -97,3 +98,31 @@ def test_masked_loss_without_weight(spark):
     df = spark.createDataFrame([("a", 1.0, 0.0), ("b", 2.0, 1.0)], "g string, l double, w double")
     got = {r.g: r.mean_loss for r in runs.masked_loss(df, ["g"], F.col("l"), F.col("w")).collect()}
     assert got == {"a": None, "b": 2.0}
+
+
+def test_extract_shapes(spark):
+    rows = ['{"turns": [{"speaker": "a", "utterance": "x"}, "{\\"role\\": \\"b\\", \\"text\\": \\"y\\"}"]}', '{"instruction": "do", "input": "this", "output": "done"}', '{"question": "q", "answer": ""}', "no json", None]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, row string")
+    got = [(r.row_id, r.pos, r.role, r.content) for r in extract.extract_messages(df, "i", "row").orderBy("row_id", "pos").collect()]
+    assert got == [(0, 0, "a", "x"), (0, 1, "b", "y"), (1, 0, "user", "do\n\nthis"), (1, 1, "assistant", "done")]
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one\n\n\n two \n \nthree\n")
+    assert sorted(r.text for r in files.read_paragraphs(spark, str(tmp_path / "a.txt")).collect()) == ["one", "three", "two"]
+    (tmp_path / "b.jsonl").write_text('{"text": "x"}\n{"other": 1}\n')
+    with pytest.raises(Exception, match="no text"):
+        files.read_jsonl_texts(spark, str(tmp_path / "b.jsonl")).collect()
+    (tmp_path / "c.jsonl").write_text('{"id": "i", "prompt_text": "p", "assistant_text": "a"}\n')
+    assert files.read_sft(spark, str(tmp_path / "c.jsonl")).first().chat_text == "p a\n<END_ASSISTANT>\n<CHAT_END>"
+    assert one(spark, files.source_label, "/x/My File.jsonl.gz") == "my_file_jsonl"
+    examples = spark.createDataFrame([("i", "c1", "training"), ("j", "c2", "testing")], "id string, chat_text string, split string")
+    files.write_sft(examples, str(tmp_path / "sft"))
+    assert {r.split: r.documents for r in files.split_sizes(spark, str(tmp_path / "sft" / "chats")).collect()} == {"training": 1, "testing": 1}
+    spark.createDataFrame([(1, " x ", "y"), (2, None, "z")], "n int, a string, b string").write.parquet(str(tmp_path / "d"))
+    assert [r.text for r in files.read_texts(spark, str(tmp_path / "d")).collect()] == ["x"]
+
+
+def test_frequency_vocab_of_nothing(spark):
+    got = packing.frequency_vocab(spark.createDataFrame([(None,), ("once",)], "t string"), "t", 10, ["<PAD>"]).collect()
+    assert [(r.token, r.token_id) for r in got] == [("<PAD>", 1)]
