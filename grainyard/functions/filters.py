@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import any_of, line_count, word_count
+from .text import any_of, line_count, once, word_count
 
 # Patterns, markers and phrase lists of the filters.
 NON_ENGLISH = "[Ѐ-ӿ؀-ۿ一-鿿぀-ヿ가-힯]"
@@ -61,14 +61,18 @@ def non_english(c: Column) -> Column:
 
 def document_reason(c: Column) -> Column:
     """Why a paragraph is no pretraining document: short, long, phrase, url, non_english, code or few_words."""
-    return (
-        F.when(F.length(c) < 40, "short").when(F.length(c) > 4000, "long").when(any_of(F.lower(c), PRETRAIN_PHRASES), "phrase")
-        .when(c.rlike(URL), "url").when(non_english(c), "non_english").when(code_heavy(c), "code").when(word_count(c) < 8, "few_words")
-    )
+    return once(c, lambda t: (
+        F.when(F.length(t) < 40, "short").when(F.length(t) > 4000, "long").when(once(F.lower(t), lambda x: any_of(x, PRETRAIN_PHRASES)), "phrase")
+        .when(t.rlike(URL), "url").when(non_english(t), "non_english").when(code_heavy(t), "code").when(word_count(t) < 8, "few_words")
+    ))
 
 
 def text_reason(c: Column, limits: TextLimits, is_prompt: bool) -> Column:
     """Why a turn is not usable."""
+    return once(c, lambda t: _text_reason(t, limits, is_prompt))
+
+
+def _text_reason(c: Column, limits: TextLimits, is_prompt: bool) -> Column:
     lowered, words = F.lower(c), word_count(c)
     reason = (
         F.when(F.coalesce(c, F.lit("")) == "", "empty").when(F.length(c) > limits.max_chars, "chars").when(~words.between(limits.min_words, limits.max_words), "words")

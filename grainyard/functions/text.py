@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,12 @@ CATEGORIES = [
 ]
 
 
+def once(c: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn(c) with c computed once a row. Written plainly, Spark puts c's expression wherever fn names it when it moves a filter below
+    a projection or joins two projections."""
+    return F.element_at(F.transform(F.array(c), fn), 1)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
