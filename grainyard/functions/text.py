@@ -101,9 +101,13 @@ def trim_stops(c: Column, stops: list[str] = STOPS) -> Column:
     return F.substring(c, F.lit(1), at - 1)
 
 
-def has_stop(c: Column, stops: list[str] = STOPS) -> Column:
-    return any_of(c, stops)
+def has_stop(c: Column, stops: list[str] = STOPS, ids: Column | None = None, eos: int | None = None) -> Column:
+    """Whether a stop string is in the text or, with ids, the last of them is the end of the sequence."""
+    found = any_of(c, stops)
+    return found if ids is None else found | F.coalesce(F.try_element_at(ids, F.lit(-1)) == eos, F.lit(False))
 
 
-def pretty_completion(c: Column) -> Column:
-    return F.regexp_replace(squash(c), r" ([.,!?:;])", "$1")
+def pretty_completion(c: Column, brackets: bool = False) -> Column:
+    """White space squashed, none before punctuation; with brackets none inside them either."""
+    c = F.regexp_replace(squash(c), r" ([.,!?:;])", "$1")
+    return F.replace(F.replace(c, F.lit("( "), F.lit("(")), F.lit(" )"), F.lit(")")) if brackets else c

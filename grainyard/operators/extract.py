@@ -1,10 +1,14 @@
-"""Messages from rows of JSON in many shapes."""
+"""Messages from rows of JSON in many shapes, and from trees of messages."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize_role, normalize_turn
+from ..sources.files import saved
+from .messages import merge_runs
+
 # Keys that hold lists of messages, pairs of prompt and response, and what names roles and contents.
 LIST_KEYS = ["messages", "conversation", "conversations", "turns", "dialog", "chat"]
 PAIR_KEYS = [("prompt", "response"), ("prompt", "completion"), ("question", "answer"), ("instruction", "output"), ("input", "output")]
@@ -12,26 +16,77 @@ ROLE_KEYS = ["role", "from", "speaker", "author"]
 CONTENT_KEYS = ["content", "value", "text", "message", "utterance"]
 
 
-def _fields(c: Column, keys: list[str]) -> list[Column]:
-    return [F.get_json_object(c, f"$.{k}") for k in keys]
+def _field(c: Column, key: str) -> Column:
+    return F.get_json_object(c, f"$.{key}")
+
+
+def _role(m: Column) -> Column:
+    """Under the first role key that is there, even if it is null."""
+    return F.coalesce(*[F.when(F.array_contains(F.json_object_keys(m), k), F.struct(_field(m, k).alias("r"))) for k in ROLE_KEYS])["r"]
 
 
-def message_list(row: Column) -> Column:
-    """array<struct<role, content>> of a JSON object: the first list found, else the first pair with both sides, else null. A list,
-    or an element of it, may be JSON inside a string. Elements without a role have a null one."""
-    lists = [F.when(x.rlike(r"^\s*\["), F.from_json(x, "array<string>")) for x in _fields(row, LIST_KEYS)]
-    told = F.transform(F.coalesce(*lists), lambda m: F.struct(F.coalesce(*_fields(m, ROLE_KEYS)).alias("role"), F.coalesce(*_fields(m, CONTENT_KEYS)).alias("content")))
-    pairs = []
+def message_shapes(row: Column, include_input: bool = False) -> Column:
+    """array<array<struct<role, content>>> of a JSON object: what each list key gives, then each pair with both sides, in the order in
+    which they are tried; null for those that the row doesn't have. A list, or an element of it, may be JSON inside a string.
+    include_input: the input is added below an instruction."""
+    out = []
+    for key in LIST_KEYS:
+        inside = _field(row, key)
+        listed = F.when(inside.rlike(r"^\s*\["), F.from_json(inside, "array<string>"))
+        out.append(F.transform(listed, lambda m: F.struct(_role(m).alias("role"), F.coalesce(*[_field(m, k) for k in CONTENT_KEYS]).alias("content"))))
     for ask, answer in PAIR_KEYS:
-        a, b = _fields(row, [ask, answer])
-        if ask == "instruction":
-            more = F.get_json_object(row, "$.input")
-            a = F.when(more != "", F.concat(a, F.lit("\n\n"), more)).otherwise(a)
+        a, b = _field(row, ask), _field(row, answer)
+        if include_input and ask == "instruction":
+            more = _field(row, "input")
+            a = F.when(normalize_turn(more) != "", F.concat(a, F.lit("\n\n"), more)).otherwise(a)
         both = F.array(F.struct(F.lit("user").alias("role"), a.alias("content")), F.struct(F.lit("assistant").alias("role"), b.alias("content")))
-        pairs.append(F.when((a != "") & (b != ""), both))
-    return F.coalesce(told, *pairs)
+        out.append(F.when((normalize_turn(a) != "") & (normalize_turn(b) != ""), both))
+    return F.array(*out)
+
+
+def extract_messages(rows: DataFrame, id_col: str, json_col: str, include_input: bool = False) -> DataFrame:
+    """(row_id, shape, pos, role, content), a row a message of each shape that the row has; a row of JSON without messages gives none."""
+    shapes = rows.select(F.col(id_col).alias("row_id"), F.posexplode(message_shapes(F.col(json_col), include_input)).alias("shape", "list"))
+    return shapes.select("row_id", "shape", F.posexplode("list").alias("pos", "m")).select("row_id", "shape", "pos", "m.role", "m.content")
+
+
+def row_messages(rows: DataFrame, id_col: str, json_col: str, include_input: bool = False) -> DataFrame:
+    """(row_id, i, role, content): of each row the merged messages of the first shape that gives a conversation."""
+    found = extract_messages(rows, id_col, json_col, include_input)
+    merged = merge_runs(found.select(F.struct("row_id", "shape").alias("row_id"), "pos", "role", "content"))
+    told = merged.select("row_id.*", "i", "role", "content").withColumn("_first", F.min("shape").over(Window.partitionBy("row_id")))
+    return told.where("shape = _first").select("row_id", "i", "role", "content")
+
+
+TREE_COLUMNS = {"message_id", "parent_id", "role", "text"}
+
+
+def is_tree(rows: DataFrame) -> bool:
+    """Whether the columns are those of messages that point to their parents."""
+    return TREE_COLUMNS <= set(rows.columns)
+
 
+def tree_chains(messages: DataFrame, order: str) -> DataFrame:
+    """(row_id, pos, role, content): for each assistant message the chain from its root down to it, row_id its id.
 
-def extract_messages(rows: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """(row_id, pos, role, content), a row a message; a row of JSON without messages gives none."""
-    return rows.select(F.col(id_col).alias("row_id"), F.posexplode(message_list(F.col(json_col))).alias("pos", "m")).select("row_id", "pos", "m.role", "m.content")
+    messages: (message_id, parent_id, role, text) and the column `order`; of equal ids the last in order counts, rows without an id
+    don't. A chain ends at a parent that isn't there, and before a message that it already holds. Jumps over 1, 2, 4, ... parents
+    are joined to the chains found so far, so that the number of joins is the logarithm of the deepest chain; the rows held are the
+    rows returned. Rounds are written to the shared folder.
+    """
+    last = messages.where("message_id IS NOT NULL").groupBy("message_id").agg(F.max_by(F.struct("parent_id", "role", "text"), order).alias("m"))
+    known = saved(last.select("message_id", "m.*"), "tree")
+    jump = saved(known.select("message_id", "parent_id").join(known.select(F.col("message_id").alias("parent_id")), "parent_id", "left_semi").select(F.col("message_id").alias("at"), F.col("parent_id").alias("to")), "jump")
+    chains = saved(known.where(normalize_role(F.col("role")) == "assistant").select(F.col("message_id").alias("leaf"), F.col("message_id").alias("node"), F.lit(0).cast("bigint").alias("up")), "chains")
+    size, step = chains.count(), 1
+    while True:
+        further = chains.join(jump, F.col("node") == F.col("at")).select("leaf", F.col("to").alias("node"), (F.col("up") + step).alias("up"))
+        chains = saved(chains.union(further).groupBy("leaf", "node").agg(F.min("up").alias("up")), "chains")
+        grown = chains.count()
+        if grown == size:
+            break
+        size, step = grown, step * 2
+        ahead = jump.select(F.col("at").alias("mid"), F.col("to").alias("end"))
+        jump = saved(jump.join(ahead, F.col("to") == F.col("mid")).select("at", F.col("end").alias("to")), "jump")
+    texts = known.select(F.col("message_id").alias("node"), "role", F.col("text").alias("content"))
+    return chains.join(texts, "node").select(F.col("leaf").alias("row_id"), (-F.col("up")).alias("pos"), "role", "content")

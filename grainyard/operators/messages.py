@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.filters import ASSISTANT, USER, TextLimits, text_reason
-from ..functions.text import CHAT_END, END_ASSISTANT, normalize_role, normalize_turn, prompt_category, sha1_hex, word_count
+from ..functions.text import CHAT_END, END_ASSISTANT, is_english, normalize_role, normalize_turn, prompt_category, sha1_hex, word_count
 
 
 def merge_runs(turns: DataFrame) -> DataFrame:
@@ -47,3 +47,35 @@ def build_examples(messages: DataFrame, source_group: str, source_ref: str, max_
         prompt_category(F.col("_user"), F.col("content")).alias("category"), "prompt_text", F.col("content").alias("assistant_text"), "target_text", "chat_text",
         word_count(F.col("prompt_text")).alias("prompt_words"), word_count(F.col("content")).alias("assistant_words"),
     )
+
+
+def plain_prompts(messages: DataFrame, system: str = "") -> DataFrame:
+    """(row_id, prompt): an optional system line, a line a message with its role, and the assistant's turn to come."""
+    label = F.when(F.col("role") == "user", "User").when(F.col("role") == "assistant", "Assistant").otherwise(F.raise_error(F.lit("unsupported chat role")).cast("string"))
+    line = F.concat(label, F.lit(": "), "content", F.lit("\n"))
+    said = messages.groupBy("row_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", line.alias("line")))), lambda x: x["line"]), "").alias("lines"))
+    return said.select("row_id", F.concat(F.lit(f"System: {system}\n" if system else ""), "lines", F.lit("Assistant: ")).alias("prompt"))
+
+
+def row_id(*ids: Column, index: Column) -> Column:
+    """The first id that is neither null, empty nor zero, as text; else the row's index."""
+    told = [F.when(~c.cast("string").isin("", "0", "0.0"), c.cast("string")) for c in ids]
+    return F.coalesce(*told, index.cast("string"))
+
+
+def import_funnel(rows: DataFrame, messages: DataFrame, examples: DataFrame, source: str, languages: list[str]) -> DataFrame:
+    """Of each source: rows_seen, non_english_rows, rows_without_messages, rows_filtered, rows_kept, examples_kept.
+
+    rows: (row_id, source, languages); messages: (row_id, ...), merged, of any of the rows; examples: (row_id), a row an example. Each
+    row counts once, at the first step that it fails. Messages and examples are counted by row before they are joined.
+    """
+    english = is_english(*[F.col(c) for c in languages])
+    talks = messages.select("row_id").distinct().withColumn("_talk", F.lit(True))
+    kept = examples.groupBy("row_id").agg(F.count("*").alias("_n"))
+    told = rows.select("row_id", source, english.alias("_en")).join(talks, "row_id", "left").join(kept, "row_id", "left")
+    talk = F.col("_talk").isNotNull()
+    return told.groupBy(source).agg(
+        F.count("*").alias("rows_seen"), F.count_if(~F.col("_en")).alias("non_english_rows"), F.count_if(F.col("_en") & ~talk).alias("rows_without_messages"),
+        F.count_if(F.col("_en") & talk & F.col("_n").isNull()).alias("rows_filtered"), F.count_if(F.col("_en") & talk & F.col("_n").isNotNull()).alias("rows_kept"),
+        F.coalesce(F.sum(F.when(F.col("_en") & talk, F.col("_n"))), F.lit(0)).alias("examples_kept"),
+    )

@@ -67,3 +67,62 @@ def frequency_vocab(df: DataFrame, text: str, size: int, specials: list[str], le
     numbered = top.withColumn("token_id", F.row_number().over(Window.orderBy(F.desc("frequency"), "token")) + len(specials))  # `size` rows at most
     fixed = df.sparkSession.createDataFrame([(t, None, i + 1) for i, t in enumerate(specials)], "token string, frequency bigint, token_id int")
     return fixed.unionByName(numbered)
+
+
+def assistant_mask(tokens: DataFrame, doc: str, pos: str, token: str, assistant: Column, user: Column, end: Column) -> DataFrame:
+    """tokens (a row a token) with `loss` 0 or 1: 1 inside assistant turns, without the markers that open and close turns; the end
+    marker of a turn counts. The state is the last marker before, so that long texts are sorted and never held whole."""
+    c = F.col(token)
+    marker = F.when(c.eqNullSafe(assistant), "a").when(c.eqNullSafe(user), "u").when(c.eqNullSafe(end), "e")
+    before = Window.partitionBy(doc).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
+    seen = tokens.withColumn("_m", marker).withColumn("_last", F.last("_m", ignorenulls=True).over(before))
+    inside = (F.col("_last") == "a") & ~F.coalesce(F.col("_m").isin("a", "u"), F.lit(False))
+    return seen.withColumn("loss", F.coalesce(inside, F.lit(False)).cast("int")).drop("_m", "_last")
+
+
+def encode(df: DataFrame, text: str, vocab: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """df with `ids`, the numbers of the text's characters by vocab (token, token_id); unknown ones are 1. The vocabulary is put into one
+    map, so one of more than `most` entries is an error."""
+    size = vocab.limit(most + 1).count()
+    if size > most:
+        raise ValueError(f"a vocabulary of more than {most} entries")
+    table = vocab.agg(F.map_from_entries(F.collect_list(F.struct("token", F.col("token_id").cast("int").alias("id")))).alias("_vocab"))
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    return df.crossJoin(F.broadcast(table)).withColumn("ids", F.transform(chars, lambda c: F.coalesce(F.try_element_at("_vocab", c), F.lit(1)))).drop("_vocab")
+
+
+def decode(df: DataFrame, ids: str, vocab: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """df with `decoded`, the text of the ids; unknown ones are a question mark."""
+    if vocab.limit(most + 1).count() > most:
+        raise ValueError(f"a vocabulary of more than {most} entries")
+    table = vocab.agg(F.map_from_entries(F.collect_list(F.struct(F.col("token_id").cast("int").alias("id"), "token"))).alias("_vocab"))
+    return df.crossJoin(F.broadcast(table)).withColumn("decoded", F.array_join(F.transform(ids, lambda i: F.coalesce(F.try_element_at("_vocab", i), F.lit("?"))), "")).drop("_vocab")
+
+
+def batches(windows: DataFrame, window_id: str, size: int) -> DataFrame:
+    """windows with batch_id: `size` in a row, by number; the last batch may be short. Numbers must be dense from 0."""
+    return windows.withColumn("batch_id", F.floor(F.col(window_id) / size))
+
+
+def stream_stats(df: DataFrame, by: list[str], chars: Column, context: int) -> DataFrame:
+    """Of the texts put together with separators of one token: lines, characters, length of the stream, windows and mean characters."""
+    told = df.groupBy(*by).agg(F.count("*").alias("lines"), F.sum(chars).alias("characters"), F.avg(chars).alias("mean_characters"))
+    told = told.withColumn("stream_length", F.col("characters") + F.col("lines") - 1)
+    return told.withColumn("windows", F.greatest(F.floor((F.col("stream_length") - 1) / context), F.lit(0)))
+
+
+def audit_sample(examples: DataFrame, id_col: str, n: int, seed: str) -> DataFrame:
+    """n examples in the order of a seeded hash of their ids: a sampling operator."""
+    return examples.orderBy(F.sha1(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string")).cast("binary")), id_col).limit(n)
+
+
+def vocabulary_sample(documents: DataFrame, order: str, text: str, chats: DataFrame, chat_order: str, chat_text: str, most: int) -> DataFrame:
+    """(source, text): texts to learn a vocabulary from, three quarters of them documents and the rest chats, each first by its
+    order; 0: all. A sampling operator."""
+    first = max(1, round(most * 0.75)) if most else 0
+    parts = []
+    for name, df, by, column, n in (("pretrain", documents, order, text, first), ("sft", chats, chat_order, chat_text, max(1, most - first))):
+        kept = df.orderBy(by).limit(n) if most else df
+        parts.append(kept.select(F.lit(name).alias("source"), F.col(column).alias("text")))
+    both = parts[0].unionByName(parts[1])
+    return both if not most else both.orderBy("source").limit(most)

@@ -62,3 +62,19 @@ def progress(df: DataFrame, run: list[str], step: str, loss: str, target: int) -
 def source_totals(df: DataFrame, source: str, targets: str) -> DataFrame:
     """Microbatches and loss targets of each source."""
     return df.groupBy(source).agg(F.count("*").alias("microbatches"), F.sum(targets).alias("loss_targets"))
+
+
+def run_summary(metrics: DataFrame, split_stats: DataFrame, run: str = "experiment") -> DataFrame:
+    """A row a run: its settings, the losses of its last epoch, its test loss and perplexity, and the sizes of its splits.
+
+    metrics: nested run records (experiment, settings, training<test_loss, final_step>, epoch_metrics array<struct<epoch, ...>>);
+    split_stats: (run, split, lines, stream_length). A run without epochs has null losses.
+    """
+    last = F.element_at(F.sort_array(F.transform("epoch_metrics", lambda e: F.struct(e["epoch"].alias("epoch"), e.alias("e")))), -1)["e"]
+    final = metrics.withColumn("_last", F.when(F.size("epoch_metrics") > 0, last))
+    rows = final.select(
+        run, "settings.*", F.col("_last.epoch").alias("epochs"), F.col("_last.train_loss").alias("train_loss"), F.exp("_last.train_loss").alias("train_perplexity"),
+        F.col("training.test_loss").alias("test_loss"), F.exp("training.test_loss").alias("test_perplexity"), F.col("training.final_step").alias("final_step"),
+    )
+    sizes = split_stats.groupBy(run).agg(*[F.sum(F.when(F.col("split") == s, F.col(c))).alias(f"{s}_{c}") for s in ("training", "validation", "testing") for c in ("lines", "stream_length")])
+    return rows.join(sizes, run, "left")

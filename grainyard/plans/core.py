@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import filters, text
-from ..operators import extract, gate, messages, ordering, packing, runs, splits
+from ..operators import extract, gate, messages, ordering, packing, runs, splits, templates
 from ..sources import files, generators
 from ..streaming import ingest
 
@@ -264,9 +264,9 @@ def role_alias(spark, sf_dir):
 FLIPPED = "CASE WHEN (conv_id + turn) % 5 = 0 AND role = 'user' THEN 'assistant' WHEN (conv_id + turn) % 5 = 0 AND role = 'assistant' THEN 'user' ELSE role END"
 
 
-def s_merged(role: str) -> str:
+def s_merged(role: str, source: str = "conversations") -> str:
     return f"""
-raw AS (SELECT conv_id AS row_id, turn AS pos, {role} AS role, text AS content, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+raw AS (SELECT conv_id AS row_id, turn AS pos, {role} AS role, text AS content, count(*) OVER (PARTITION BY conv_id) AS n FROM {source}),
 kept AS (SELECT * FROM (SELECT row_id, pos, {s_role('role')} AS role, {s_turn('content')} AS content FROM raw WHERE n >= 2) WHERE role IN ('user', 'assistant') AND content <> ''),
 news AS (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY row_id ORDER BY pos) IS NOT DISTINCT FROM role THEN 0 ELSE 1 END AS new FROM kept),
 runs AS (SELECT *, sum(new) OVER (PARTITION BY row_id ORDER BY pos) AS i FROM news),
@@ -295,9 +295,9 @@ WIDE = filters.TextLimits(1, 1000, 10_000, 50)
 END = "chr(10) || '<END_ASSISTANT>' || chr(10) || '<CHAT_END>'"
 
 
-def s_examples(max_index: int, user: filters.TextLimits, assistant: filters.TextLimits, most: int) -> str:
+def s_examples(max_index: int, user: filters.TextLimits, assistant: filters.TextLimits, most: int, source: str = "conversations") -> str:
     index = f"AND turn_no <= {max_index}" if max_index else ""
-    return f"""WITH {s_merged('role')},
+    return f"""WITH {s_merged('role', source)},
 seen AS (SELECT *, CASE WHEN role = 'user' THEN {s_text_reason('content', user, True)} ELSE {s_text_reason('content', assistant, False)} END IS NULL AS ok,
   CASE WHEN role = 'user' THEN 'User: ' || content ELSE 'Assistant: ' || content || {END} END AS seg FROM merged),
 told AS (SELECT *, bool_and(ok) OVER w AS fine, sum((role = 'assistant')::int) OVER w AS turn_no, lag(content) OVER w AS asked,
@@ -539,7 +539,8 @@ def raw_rows(spark, sf_dir) -> DataFrame:
 UNION ALL SELECT conv_id, 0, 'user', sha1(arg_min(text, turn)) FROM conversations WHERE conv_id % 3 = 2 GROUP BY conv_id
 UNION ALL SELECT conv_id, 1, 'assistant', sha1(arg_max(text, turn)) FROM conversations WHERE conv_id % 3 = 2 GROUP BY conv_id""")
 def extract_messages(spark, sf_dir):
-    return extract.extract_messages(raw_rows(spark, sf_dir), "conv_id", "row").withColumn("content", text.sha1_hex(F.col("content")))
+    found = extract.extract_messages(raw_rows(spark, sf_dir), "conv_id", "row")
+    return found.select("row_id", "pos", "role", text.sha1_hex(F.col("content")).alias("content"))
 
 
 @query(f"SELECT doc_id, sha1(n) AS text FROM (SELECT doc_id, {s_norm('text')} AS n FROM documents)")
@@ -583,3 +584,194 @@ def stream_split_counts(spark, sf_dir):
     path = files.work_path(spark, "stream")
     ingest.running_counts(ingest.pretrain_documents(arriving(spark, sf_dir, "documents")), ["source", "split"], path)
     return ingest.latest_counts(spark.read.parquet(f"{path}/counts"), ["source", "split"])
+
+
+RAW_TURNS = """(SELECT conv_id, turn, role, text FROM conversations WHERE conv_id % 3 < 2
+  UNION ALL SELECT conv_id, 0, 'user', arg_min(text, turn) FROM conversations WHERE conv_id % 3 = 2 GROUP BY conv_id
+  UNION ALL SELECT conv_id, 1, 'assistant', arg_max(text, turn) FROM conversations WHERE conv_id % 3 = 2 GROUP BY conv_id)"""
+
+
+@query(f"WITH {s_merged('role', RAW_TURNS)} SELECT * FROM merged")
+def import_messages(spark, sf_dir):
+    return extract.row_messages(raw_rows(spark, sf_dir), "conv_id", "row")
+
+
+@query(f"""{s_examples(1, WIDE, WIDE, 20_000, RAW_TURNS)},
+r AS (SELECT DISTINCT conv_id, 'shape_' || conv_id % 3 AS source, conv_id % 10 > 0 AS en FROM conversations),
+t AS (SELECT r.*, conv_id IN (SELECT row_id FROM merged) AS talk, (SELECT count(*) FROM examples WHERE dialogue_group = 'conversations_' || conv_id) AS n FROM r)
+SELECT source, count(*) AS rows_seen, count(*) FILTER (WHERE NOT en) AS non_english_rows, count(*) FILTER (WHERE en AND NOT talk) AS rows_without_messages,
+  count(*) FILTER (WHERE en AND talk AND n = 0) AS rows_filtered, count(*) FILTER (WHERE en AND talk AND n > 0) AS rows_kept,
+  coalesce(sum(n) FILTER (WHERE en AND talk), 0)::bigint AS examples_kept FROM t GROUP BY source""")
+def import_funnel(spark, sf_dir):
+    rows = raw_rows(spark, sf_dir).withColumns({"source": F.concat(F.lit("shape_"), F.col("conv_id") % 3), "lang": F.when(F.col("conv_id") % 10 == 0, "fr")})
+    talks = files.saved(extract.row_messages(rows, "conv_id", "row"), "messages")
+    found = messages.build_examples(talks, "c", "conversations.parquet", 1, WIDE, WIDE, 20_000)
+    told = found.select(F.substring("dialogue_group", 3, 40).cast("bigint").alias("row_id"))
+    return messages.import_funnel(rows.select(F.col("conv_id").alias("row_id"), "source", "lang"), talks, told, "source", ["lang"])
+
+
+@query("SELECT conv_id AS row_id, turn AS pos, role, sha1(text) AS content FROM conversations")
+def rows_of_files(spark, sf_dir):
+    path = files.work_path(spark, "rows")
+    turns = table(spark, sf_dir, "conversations").withColumn("part", F.pmod("conv_id", F.lit(3)))
+    turns.where("part = 0").drop("part").write.parquet(f"{path}/a.parquet")
+    turns.where("part = 1").drop("part").write.option("compression", "gzip").json(f"{path}/b.jsonl")
+    listed = turns.where("part = 2").groupBy("conv_id").agg(F.to_json(F.struct(F.collect_list(F.struct("conv_id", "turn", "role", "text")).alias("rows"))).alias("value"))
+    listed.select("value").repartitionById(64, F.pmod(F.hash("value"), F.lit(64))).write.option("maxRecordsPerFile", 1).option("lineSep", "\n").text(f"{path}/c.json")
+    row = F.from_json("row", "conv_id bigint, turn bigint, role string, text string")
+    found = files.read_rows(spark, f"{path}/a.parquet", f"{path}/b.jsonl", f"{path}/c.json").select(row.alias("r"))
+    return found.select(F.col("r.conv_id").alias("row_id"), F.col("r.turn").alias("pos"), "r.role", text.sha1_hex(F.col("r.text")).alias("content"))
+
+
+TREE = "SELECT conv_id || '_' || turn AS message_id, CASE WHEN turn = 0 THEN NULL WHEN (conv_id + turn) % 7 = 0 THEN 'nowhere' ELSE conv_id || '_' || (turn - 1) END AS parent_id, role, text FROM conversations"
+
+
+def tree_messages(spark, sf_dir) -> DataFrame:
+    conv, turn = F.col("conv_id").cast("string"), F.col("turn").cast("bigint")
+    parent = F.when(turn > 0, F.when((F.col("conv_id") + turn) % 7 == 0, "nowhere").otherwise(F.concat(conv, F.lit("_"), (turn - 1).cast("string"))))
+    return table(spark, sf_dir, "conversations").select(F.concat(conv, F.lit("_"), turn.cast("string")).alias("message_id"), parent.alias("parent_id"), "role", "text", turn.alias("n"))
+
+
+@query(f"""WITH RECURSIVE m AS ({TREE}), c AS (
+  SELECT message_id AS row_id, 0 AS pos, role, text, parent_id FROM m WHERE role = 'assistant'
+  UNION ALL SELECT c.row_id, c.pos - 1, m.role, m.text, m.parent_id FROM c JOIN m ON m.message_id = c.parent_id)
+SELECT row_id, pos, role, sha1(text) AS content FROM c""")
+def tree_chains(spark, sf_dir):
+    return extract.tree_chains(tree_messages(spark, sf_dir), "n").withColumn("content", text.sha1_hex(F.col("content")))
+
+
+TREE_TURNS = f"""(WITH RECURSIVE m AS ({TREE}), c AS (
+  SELECT message_id AS conv_id, 0 AS turn, role, text, parent_id FROM m WHERE role = 'assistant'
+  UNION ALL SELECT c.conv_id, c.turn - 1, m.role, m.text, m.parent_id FROM c JOIN m ON m.message_id = c.parent_id)
+  SELECT conv_id, turn, role, text FROM c)"""
+
+
+@query(s_examples(0, WIDE, WIDE, 20_000, TREE_TURNS) + " SELECT * FROM examples")
+def tree_examples(spark, sf_dir):
+    return messages.build_examples(messages.merge_runs(extract.tree_chains(tree_messages(spark, sf_dir), "n")), "conversations", "conversations.parquet", 0, WIDE, WIDE, 20_000)
+
+
+@query(f"""WITH {s_merged('role')} SELECT row_id, sha1('System: be kind' || chr(10) || string_agg(CASE role WHEN 'user' THEN 'User' ELSE 'Assistant' END || ': ' || content || chr(10), '' ORDER BY i) || 'Assistant: ') AS prompt
+FROM merged GROUP BY row_id""")
+def plain_prompts(spark, sf_dir):
+    found = messages.plain_prompts(messages.merge_runs(turns_of(spark, sf_dir)), "be kind")
+    return found.select("row_id", text.sha1_hex(F.col("prompt")).alias("prompt"))
+
+
+MASKED = "CASE role WHEN 'user' THEN '<U> ' WHEN 'assistant' THEN '<A> ' ELSE '' END || text || CASE role WHEN 'assistant' THEN ' <E> tail' ELSE '' END"
+
+
+@query(fr"""WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(x, '\S+')) AS w, generate_subscripts(regexp_extract_all(x, '\S+'), 1) AS k FROM (SELECT conv_id, turn, {MASKED} AS x FROM conversations)),
+m AS (SELECT *, last_value(CASE WHEN w IN ('<U>', '<A>', '<E>') THEN w END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l FROM w)
+SELECT conv_id, count(*) AS tokens, sum(CASE WHEN l = '<A>' AND w NOT IN ('<U>', '<A>') THEN 1 ELSE 0 END)::bigint AS loss_targets,
+  sha1(string_agg(CASE WHEN l = '<A>' AND w NOT IN ('<U>', '<A>') THEN '1' ELSE '0' END, '' ORDER BY turn, k)) AS mask FROM m GROUP BY conv_id""")
+def assistant_mask(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(MASKED).alias("x"))
+    words = turns.select("conv_id", "turn", F.posexplode(F.regexp_extract_all("x", F.lit(r"\S+"), 0)).alias("k", "w")).select("conv_id", F.struct("turn", "k").alias("pos"), "w")
+    found = packing.assistant_mask(words, "conv_id", "pos", "w", F.lit("<A>"), F.lit("<U>"), F.lit("<E>"))
+    mask = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "loss"))), lambda x: x["loss"].cast("string")), "")
+    return found.groupBy("conv_id").agg(F.count("*").alias("tokens"), F.sum("loss").alias("loss_targets"), text.sha1_hex(mask).alias("mask"))
+
+
+@query("""WITH v AS (SELECT token, row_number() OVER (ORDER BY token) AS id FROM (SELECT DISTINCT unnest(string_split(text, '')) AS token FROM documents WHERE lang = 'en' UNION SELECT chr(10)) WHERE token <> ''),
+c AS (SELECT doc_id, c, i FROM (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM documents) WHERE c <> '')
+SELECT doc_id, count(*) AS n, sum(coalesce(id, 1))::bigint AS id_sum, sha1(string_agg(coalesce(token, (SELECT token FROM v WHERE id = 1)), '' ORDER BY i)) AS decoded FROM c LEFT JOIN v ON token = c GROUP BY doc_id""")
+def char_codes(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    vocab = files.saved(packing.char_vocab(docs.where("lang = 'en'"), "text"), "vocab")
+    found = packing.decode(packing.encode(docs, "text", vocab), "ids", vocab).where(F.size("ids") > 0)
+    return found.select("doc_id", F.size("ids").alias("n"), F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"), text.sha1_hex(F.col("decoded")).alias("decoded"))
+
+
+@query("""SELECT (w // 8)::bigint AS batch_id, count(*) AS windows, min(w)::bigint AS first_window FROM (SELECT unnest(range((greatest(sum(length(text)) + count(*) - 2, 0) // 128)::bigint)) AS w FROM documents) GROUP BY 1""")
+def lm_batches(spark, sf_dir):
+    found = packing.batches(packing.lm_windows(table(spark, sf_dir, "documents"), "doc_id", "text", 128, "\x1e"), "window_id", 8)
+    return found.groupBy("batch_id").agg(F.count("*").alias("windows"), F.min("window_id").alias("first_window"))
+
+
+@query("""SELECT source, count(*) AS lines, sum(length(text))::bigint AS characters, round(avg(length(text)), 6) AS mean_characters, (sum(length(text)) + count(*) - 1)::bigint AS stream_length,
+  greatest((sum(length(text)) + count(*) - 2) // 48, 0)::bigint AS windows FROM documents GROUP BY source""")
+def token_stream_stats(spark, sf_dir):
+    return packing.stream_stats(table(spark, sf_dir, "documents"), ["source"], F.length("text"), 48).withColumn("mean_characters", F.round("mean_characters", 6))
+
+
+@query(WIDE_SQL + " SELECT id, category FROM examples ORDER BY sha1('7|' || id), id LIMIT 25")
+def audit_sample(spark, sf_dir):
+    return packing.audit_sample(wide_examples(spark, sf_dir), "id", 25, "7").select("id", "category")
+
+
+@query(WIDE_SQL + """ (SELECT 'pretrain' AS source, sha1(text) AS text FROM documents ORDER BY doc_id LIMIT 75) UNION ALL (SELECT 'sft', sha1(chat_text) FROM examples ORDER BY sha1(id) LIMIT 25)""")
+def vocabulary_sample(spark, sf_dir):
+    chats = wide_examples(spark, sf_dir).withColumn("h", text.sha1_hex(F.col("id")))
+    found = packing.vocabulary_sample(table(spark, sf_dir, "documents"), "doc_id", "text", chats, "h", "chat_text", 100)
+    return found.select("source", text.sha1_hex(F.col("text")).alias("text"))
+
+
+@query(WIDE_SQL + f""", d AS (SELECT * FROM (SELECT {s_squash('text')} AS text FROM documents) WHERE {s_document_reason('text')} IS NULL)
+SELECT 'pretrain' AS kind, {s_split('text', 5, 10)} AS key, count(*) AS n FROM d GROUP BY 2
+UNION ALL SELECT 'sft', {s_split('dialogue_group', 20, 40)}, count(*) FROM examples GROUP BY 2 UNION ALL SELECT 'category', category, count(*) FROM examples GROUP BY 2""")
+def manifest_file(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(text.squash(F.col("text")).alias("text")).where(filters.document_reason(F.col("text")).isNull())
+    found = wide_examples(spark, sf_dir).select("category", splits.group_split(F.col("dialogue_group")).alias("split"))
+    each = found.select(F.explode(F.create_map(F.lit("sft"), "split", F.lit("category"), "category")).alias("kind", "key"))
+    rows = docs.select(F.lit("pretrain").alias("kind"), splits.hash_split(F.col("text")).alias("key")).unionByName(each)
+    path = files.work_path(spark, "manifest")
+    files.write_manifest(rows.groupBy("kind", "key").agg(F.count("*").alias("n")), path, {"table": "documents"})
+    return files.read_manifest(spark, path)
+
+
+METRICS = "experiment bigint, settings struct<width: bigint>, training struct<test_loss: double, final_step: bigint>, epoch_metrics array<struct<epoch: bigint, train_loss: double>>"
+
+
+@query("""WITH e AS (SELECT user_id, event_id // 500 AS epoch, avg(value) / 100 AS train_loss FROM events GROUP BY ALL),
+f AS (SELECT user_id, max(epoch) AS epochs, arg_max(train_loss, epoch) AS train_loss FROM e GROUP BY user_id),
+t AS (SELECT user_id, avg(value) / 100 AS test_loss, max(event_id) AS final_step FROM events GROUP BY user_id),
+s AS (SELECT user_id, CASE event_id % 10 WHEN 8 THEN 'validation' WHEN 9 THEN 'testing' ELSE 'training' END AS split, count(*) AS lines, (sum(length(props)) + count(*) - 1)::bigint AS stream_length FROM events GROUP BY ALL)
+SELECT user_id AS experiment, user_id % 4 AS width, epochs, round(train_loss, 6) AS train_loss, round(exp(train_loss), 5) AS train_perplexity, round(test_loss, 6) AS test_loss, round(exp(test_loss), 5) AS test_perplexity, final_step,
+  """ + ", ".join(f"(SELECT {c} FROM s WHERE s.user_id = f.user_id AND split = '{p}') AS {p}_{c}" for p in ("training", "validation", "testing") for c in ("lines", "stream_length")) + """
+FROM f JOIN t USING (user_id)""")
+def run_summary(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    by_epoch = events.groupBy("user_id", F.floor(F.col("event_id") / 500).alias("epoch")).agg((F.avg("value") / 100).alias("train_loss"))
+    listed = by_epoch.groupBy("user_id").agg(F.collect_list(F.struct("epoch", "train_loss")).alias("epoch_metrics"))
+    last = events.groupBy("user_id").agg(F.struct((F.avg("value") / 100).alias("test_loss"), F.max("event_id").alias("final_step")).alias("training"))
+    path = files.work_path(spark, "metrics")
+    records = listed.join(last, "user_id").select(F.col("user_id").alias("experiment"), F.struct((F.col("user_id") % 4).alias("width")).alias("settings"), "training", "epoch_metrics")
+    records.write.json(path)
+    stats = packing.stream_stats(events.withColumn("split", splits.modulo_split(F.col("event_id"))), ["user_id", "split"], F.length("props"), 48).withColumnRenamed("user_id", "experiment")
+    found = runs.run_summary(files.read_metrics(spark, path, METRICS, multi_line=False), stats)
+    return found.withColumns({c: F.round(c, 5 if c.endswith("perplexity") else 6) for c in ("train_loss", "train_perplexity", "test_loss", "test_perplexity")})
+
+
+FORMS = [("region", 0, "Where is {nation}?", "{nation} is in {region}."), ("region", 1, "Is {nation} in {region}? Keep it simple.", "Yes."), ("supplier", 0, "Who is {name}?", "{name} is a supplier.")]
+
+
+@query(f"""WITH n AS (SELECT (event_id // 3)::bigint AS c, event_id % 3 AS p, event_id AS i FROM events),
+g AS (SELECT i, CASE WHEN p < 2 THEN 'region' ELSE 'supplier' END AS category, CASE WHEN p < 2 THEN c * 2 + p ELSE c END AS v FROM n),
+r AS (SELECT n_name, r_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS slot, count(*) OVER () AS m FROM nation JOIN region ON n_regionkey = r_regionkey),
+s AS (SELECT s_name, row_number() OVER (ORDER BY s_suppkey) - 1 AS slot, count(*) OVER () AS m FROM supplier),
+x AS (SELECT i, category, CASE WHEN (v // m) % 2 = 0 THEN 'Where is ' || n_name || '?' ELSE 'Is ' || n_name || ' in ' || r_name || '? Keep it simple.' END AS q, CASE WHEN (v // m) % 2 = 0 THEN n_name || ' is in ' || r_name || '.' ELSE 'Yes.' END AS assistant_text
+    FROM g JOIN r ON v % m = slot WHERE category = 'region' UNION ALL SELECT i, category, 'Who is ' || s_name || '?', s_name || ' is a supplier.' FROM g JOIN s ON v % m = slot WHERE category = 'supplier'),
+y AS (SELECT i, category, 'User: ' || q || chr(10) || 'Assistant:' AS prompt_text, assistant_text FROM x),
+z AS (SELECT *, prompt_text || ' ' || assistant_text || {END} AS chat_text FROM y WHERE {s_direct('prompt_text', 'assistant_text')} IS NULL)
+SELECT 'anchor_' || category || '_' || substr(sha1(arg_min(chat_text, i)), 1, 24) || '_' || min(i) AS id, category, arg_min(chat_text, i) AS chat_text FROM z GROUP BY lower({s_squash('chat_text')}), category""")
+def template_examples(spark, sf_dir):
+    from pyspark.sql import Window
+
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    lands = nations.select(F.lit("region").alias("category"), (F.row_number().over(Window.orderBy("n_nationkey")) - 1).cast("bigint").alias("slot"), F.create_map(F.lit("nation"), "n_name", F.lit("region"), "r_name").alias("values"))  # 25 rows
+    numbered = ordering.prefix_sum(table(spark, sf_dir, "supplier"), F.floor(F.col("s_suppkey") / 4096), ["s_suppkey"], F.lit(1))
+    names = numbered.select(F.lit("supplier").alias("category"), (F.col("running") - 1).alias("slot"), F.create_map(F.lit("name"), "s_name").alias("values"))
+    forms = spark.createDataFrame(FORMS, "category string, form bigint, prompt string, answer string")
+    found = templates.template_examples(table(spark, sf_dir, "events"), "event_id", {"region": 2, "supplier": 1}, forms, lands.unionByName(names), "anchor", "events.parquet")
+    return found.select("id", "category", "chat_text")
+
+
+@query(WIDE_SQL + """ SELECT id, status, used AS prompt_kept, length(target_text) - (used = 0)::int AS loss_targets, sha1(substr(prompt_text, length(prompt_text) - used + 1) || target_text) AS window_sha1 FROM (
+SELECT *, CASE WHEN length(prompt_text) > 513 - length(target_text) THEN 'truncated' ELSE 'kept' END AS status, least(length(prompt_text), 513 - length(target_text)) AS used FROM examples WHERE length(target_text) BETWEEN 1 AND 512)""")
+def stream_sft_windows(spark, sf_dir):
+    path = files.work_path(spark, "stream")
+    wide_examples(spark, sf_dir).write.json(f"{path}/in")
+    found = ingest.supervised_windows(spark.readStream.schema(files.SFT_SCHEMA).json(f"{path}/in"), 512)
+    ingest.append_all(found.withColumn("window_sha1", text.sha1_hex(F.col("window"))).drop("window"), path)
+    return spark.read.parquet(f"{path}/rows")

@@ -27,6 +27,66 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/grainyard-{label}-{uuid.uuid4().hex}"
 
 
+def saved(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder and read from there: a cut in its lineage."""
+    path = work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def read_rows(spark: SparkSession, *paths: str) -> DataFrame:
+    """(source_file, row): rows of .parquet, .jsonl, .jsonl.gz and .json files as JSON objects. Values that are no objects and blank lines
+    are left out, a line that isn't JSON is an error. A .json file is one document: a list, an object with a list under one of
+    DOCUMENT_KEYS, or a row. Lines are read by many tasks a file; a document, and a file under gzip, by one."""
+    file, out = F.col("_metadata.file_name").alias("source_file"), None
+    for path in paths:
+        name = path.lower().rstrip("/")
+        if name.endswith(".parquet"):
+            df = spark.read.parquet(path)
+            rows = df.select(file, F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("row"))
+        elif name.endswith((".jsonl", ".jsonl.gz")):
+            rows = spark.read.text(path).where(F.trim("value") != "").select(file, F.col("value").alias("row"))
+        elif name.endswith(".json"):
+            rows = spark.read.text(path, wholetext=True).select(file, F.explode(document_rows(F.col("value"))).alias("row"))
+        else:
+            raise ValueError(f"no known format of rows: {path}")
+        out = rows if out is None else out.union(rows)
+    return out.where(F.schema_of_variant(F.parse_json("row")).startswith("OBJECT"))
+
+
+# Keys under which a JSON document may hold its rows.
+DOCUMENT_KEYS = ["data", "rows", "examples"]
+
+
+def document_rows(c: Column) -> Column:
+    """array<string> of the rows of a JSON document; an error if it isn't JSON."""
+    told = F.when(F.try_parse_json(c).isNull(), F.raise_error(F.lit("a document isn't JSON")).cast("string")).otherwise(c)
+    as_list = lambda x: F.when(x.rlike(r"^\s*\["), F.from_json(x, "array<string>"))
+    kind = lambda key: F.schema_of_variant(F.try_variant_get(F.try_parse_json(c), f"$.{key}", "variant"))
+    under = [F.when(kind(key).startswith("ARRAY"), as_list(F.get_json_object(told, f"$.{key}"))) for key in DOCUMENT_KEYS]
+    return F.coalesce(as_list(told), *under, F.array(told))
+
+
+def read_metrics(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
+    """Run records, one JSON object a file (or a line), with the given nested schema; a record that isn't JSON is an error."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", multi_line).json(path)
+
+
+def write_manifest(counts: DataFrame, path: str, arguments: dict[str, str]) -> None:
+    """One JSON row: `counts`, a map of maps from rows (kind, key, n; a null key is empty), and the arguments. Counts are aggregates, a row a key."""
+    key = F.coalesce(F.col("key").cast("string"), F.lit(""))
+    maps = counts.groupBy("kind").agg(F.map_from_entries(F.collect_list(F.struct(key, "n"))).alias("of"))
+    whole = maps.agg(F.map_from_entries(F.collect_list(F.struct("kind", "of"))).alias("counts"))
+    told = F.create_map(*[F.lit(x) for pair in arguments.items() for x in pair]) if arguments else F.lit(None).cast("map<string,string>")
+    whole.select("counts", told.alias("arguments")).coalesce(1).write.json(path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(kind, key, n) of a manifest."""
+    rows = spark.read.schema("counts map<string,map<string,bigint>>").json(path)
+    return rows.select(F.explode("counts").alias("kind", "of")).select("kind", F.explode("of").alias("key", "n"))
+
+
 def read_texts(spark: SparkSession, *paths: str) -> DataFrame:
     """(text): the first string column of Parquet files, normalised, without nulls. Only that column is read."""
     df = spark.read.parquet(*paths)

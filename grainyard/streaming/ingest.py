@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.filters import document_reason
 from ..functions.text import sha1_hex, squash
+from ..operators.packing import sft_windows
 from ..operators.splits import hash_split
 
 
@@ -21,6 +22,11 @@ def first_seen(stream: DataFrame, text: str = "text") -> DataFrame:
     return stream.withColumn("key", sha1_hex(F.lower(squash(F.col(text))))).dropDuplicates(["key"])
 
 
+def supervised_windows(examples: DataFrame, context: int) -> DataFrame:
+    """Windows of arriving examples that fit: a row an example, no state."""
+    return sft_windows(examples, context).where("status IN ('kept', 'truncated')")
+
+
 def append_all(stream: DataFrame, path: str, by: list[str] | None = None) -> None:
     """Appends all that has arrived to Parquet files below path, exactly once a row, and returns."""
     writer = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)

@@ -103,8 +103,64 @@ def test_masked_loss_without_weight(spark):
 def test_extract_shapes(spark):
     rows = ['{"turns": [{"speaker": "a", "utterance": "x"}, "{\\"role\\": \\"b\\", \\"text\\": \\"y\\"}"]}', '{"instruction": "do", "input": "this", "output": "done"}', '{"question": "q", "answer": ""}', "no json", None]
     df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, row string")
-    got = [(r.row_id, r.pos, r.role, r.content) for r in extract.extract_messages(df, "i", "row").orderBy("row_id", "pos").collect()]
-    assert got == [(0, 0, "a", "x"), (0, 1, "b", "y"), (1, 0, "user", "do\n\nthis"), (1, 1, "assistant", "done")]
+    read = lambda **more: [(r.row_id, r.pos, r.role, r.content) for r in extract.extract_messages(df, "i", "row", **more).where("shape < 9 OR row_id <> 1").orderBy("row_id", "shape", "pos").collect()]
+    assert read() == [(0, 0, "a", "x"), (0, 1, "b", "y")]
+    pair = extract.row_messages(df, "i", "row").where("row_id = 1").orderBy("i").collect()
+    assert [(r.role, r.content) for r in pair] == [("user", "do"), ("assistant", "done")]
+    more = extract.row_messages(df, "i", "row", include_input=True).where("row_id = 1").orderBy("i").collect()
+    assert [(r.role, r.content) for r in more] == [("user", "do\nthis"), ("assistant", "done")]
+
+
+def test_first_shape_that_gives_a_conversation(spark):
+    rows = ['{"messages": [{"role": "user", "content": "alone"}], "turns": "[{\\"from\\": \\"human\\", \\"value\\": \\"a\\"}, {\\"from\\": \\"gpt\\", \\"value\\": \\"b\\"}]", "prompt": "c", "response": "d"}', '{"messages": [{"role": null, "from": "user", "text": "x"}, {"role": "bot", "text": "y"}], "prompt": "p", "completion": "q"}', '{"messages": []}']
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, row string")
+    got = [(r.row_id, r.role, r.content) for r in extract.row_messages(df, "i", "row").orderBy("row_id", "i").collect()]
+    assert got == [(0, "user", "a"), (0, "assistant", "b"), (1, "user", "p"), (1, "assistant", "q")]
+
+
+def test_tree_edges(spark):
+    rows = [("a", None, "user", "old", 0), ("a", None, "user", "new", 1), ("b", "a", "bot", "t", 2), ("c", "d", "gpt", "u", 3), ("d", "c", "user", "v", 4), ("e", "gone", "assistant", None, 5), (None, "a", "assistant", "w", 6)]
+    df = spark.createDataFrame(rows, "message_id string, parent_id string, role string, text string, n int")
+    assert extract.is_tree(df) and not extract.is_tree(df.drop("text"))
+    got = [(r.row_id, r.pos, r.content) for r in extract.tree_chains(df, "n").orderBy("row_id", "pos").collect()]
+    assert got == [("b", -1, "new"), ("b", 0, "t"), ("c", -1, "v"), ("c", 0, "u"), ("e", 0, None)]
+    assert extract.tree_chains(df.limit(0), "n").count() == 0
+
+
+def test_read_rows(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"a": 1}\n\n[2]\n  {"a": 3}\n')
+    (tmp_path / "b.json").write_text('{"data": "none", "rows": [{"a": 4}, 5]}')
+    (tmp_path / "c.json").write_text('[{"a": 6}]')
+    (tmp_path / "d.json").write_text('{"a": 7}')
+    (tmp_path / "bad.jsonl").write_text('{"a": 1}\nno json\n')
+    found = files.read_rows(spark, *[str(tmp_path / n) for n in ("a.jsonl", "b.json", "c.json", "d.json")])
+    assert sorted((r.source_file, r.a) for r in found.select("source_file", F.get_json_object("row", "$.a").alias("a")).collect()) == [("a.jsonl", "1"), ("a.jsonl", "3"), ("b.json", "4"), ("c.json", "6"), ("d.json", "7")]
+    with pytest.raises(Exception, match="MALFORMED"):
+        files.read_rows(spark, str(tmp_path / "bad.jsonl")).collect()
+    with pytest.raises(ValueError, match="format"):
+        files.read_rows(spark, "x.csv")
+
+
+def test_row_ids_masks_and_codes(spark):
+    df = spark.createDataFrame([(0, "", 5), (3, "x", 6), (None, "y", 7)], "a int, b string, n int")
+    assert [r[0] for r in df.orderBy("n").select(messages.row_id(F.col("a"), F.col("b"), index=F.col("n"))).collect()] == ["5", "3", "y"]
+    tokens = spark.createDataFrame([(1, i, t) for i, t in enumerate("x A b U c A d E e E A".split())] + [(2, 0, None)], "doc int, pos int, t string")
+    masked = packing.assistant_mask(tokens, "doc", "pos", "t", F.lit("A"), F.lit("U"), F.lit("E")).orderBy("doc", "pos").collect()
+    assert "".join(str(r.loss) for r in masked) == "00100011000" + "0"
+    vocab = spark.createDataFrame([("\n", 1), ("a", 2)], "token string, token_id int")
+    coded = packing.decode(packing.encode(spark.createDataFrame([("aba",), ("",), (None,)], "t string"), "t", vocab), "ids", vocab)
+    assert sorted((str(r.ids), str(r.decoded)) for r in coded.collect()) == [("None", "None"), ("[2, 1, 2]", "a\na"), ("[]", "")]
+    with pytest.raises(ValueError, match="more than 1 entries"):
+        packing.encode(vocab, "token", vocab, most=1)
+    assert one(spark, lambda c: text.has_stop(c, ["#"], F.array(F.lit(1), F.lit(9)), 9), "none") is True
+    assert one(spark, lambda c: text.pretty_completion(c, brackets=True), "so ( it ) !") == "so (it)!"
+
+
+def test_plain_prompt_rejects_other_roles(spark):
+    df = spark.createDataFrame([(1, 1, "user", "hi"), (1, 2, "assistant", "yo")], "row_id int, i int, role string, content string")
+    assert messages.plain_prompts(df).first().prompt == "User: hi\nAssistant: yo\nAssistant: "
+    with pytest.raises(Exception, match="unsupported"):
+        messages.plain_prompts(df.withColumn("role", F.lit("tool"))).collect()
 
 
 def test_files(spark, tmp_path):
