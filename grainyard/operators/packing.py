@@ -80,23 +80,30 @@ def assistant_mask(tokens: DataFrame, doc: str, pos: str, token: str, assistant:
     return seen.withColumn("loss", F.coalesce(inside, F.lit(False)).cast("int")).drop("_m", "_last")
 
 
-def encode(df: DataFrame, text: str, vocab: DataFrame, most: int = 1 << 20) -> DataFrame:
-    """df with `ids`, the numbers of the text's characters by vocab (token, token_id); unknown ones are 1. The vocabulary is put into one
-    map, so one of more than `most` entries is an error."""
-    size = vocab.limit(most + 1).count()
-    if size > most:
-        raise ValueError(f"a vocabulary of more than {most} entries")
-    table = vocab.agg(F.map_from_entries(F.collect_list(F.struct("token", F.col("token_id").cast("int").alias("id")))).alias("_vocab"))
+def checked_vocab(vocab: DataFrame) -> DataFrame:
+    """A vocabulary (token, token_id) of single characters, numbered from 1 without gaps; anything else is an error. Its size is
+    bounded by the number of code points."""
+    told = vocab.agg(F.count("*").alias("n"), F.max("token_id").alias("most"), F.count_distinct("token_id").alias("ids"), F.count_if(F.coalesce(F.length("token"), F.lit(0)) != 1).alias("bad")).first()
+    if told.bad or told.n and not told.n == told.ids == told.most:
+        raise ValueError("a vocabulary must have single characters, numbered from 1 without gaps")
+    return vocab
+
+
+def encode(df: DataFrame, text: str, vocab: DataFrame) -> DataFrame:
+    """df with `ids`, the numbers of the text's characters by vocab (token, token_id); unknown ones are 1. The numbers are put into one
+    array by code point, so that a character costs one look."""
+    codes = checked_vocab(vocab).select(F.ascii("token").alias("code"), F.col("token_id").cast("int").alias("id"))
+    last = codes.agg(F.max("code")).first()[0] or 0  # a code point
+    dense = df.sparkSession.range(last + 1).toDF("at").join(codes, F.col("at") == F.col("code"), "left")
+    table = dense.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "id"))), lambda x: x["id"]).alias("_vocab"))
     chars = F.filter(F.split(text, ""), lambda c: c != "")
-    return df.crossJoin(F.broadcast(table)).withColumn("ids", F.transform(chars, lambda c: F.coalesce(F.try_element_at("_vocab", c), F.lit(1)))).drop("_vocab")
+    return df.crossJoin(F.broadcast(table)).withColumn("ids", F.transform(chars, lambda c: F.coalesce(F.get("_vocab", F.ascii(c)), F.lit(1)))).drop("_vocab")
 
 
-def decode(df: DataFrame, ids: str, vocab: DataFrame, most: int = 1 << 20) -> DataFrame:
+def decode(df: DataFrame, ids: str, vocab: DataFrame) -> DataFrame:
     """df with `decoded`, the text of the ids; unknown ones are a question mark."""
-    if vocab.limit(most + 1).count() > most:
-        raise ValueError(f"a vocabulary of more than {most} entries")
-    table = vocab.agg(F.map_from_entries(F.collect_list(F.struct(F.col("token_id").cast("int").alias("id"), "token"))).alias("_vocab"))
-    return df.crossJoin(F.broadcast(table)).withColumn("decoded", F.array_join(F.transform(ids, lambda i: F.coalesce(F.try_element_at("_vocab", i), F.lit("?"))), "")).drop("_vocab")
+    table = checked_vocab(vocab).agg(F.transform(F.sort_array(F.collect_list(F.struct("token_id", "token"))), lambda x: x["token"]).alias("_vocab"))
+    return df.crossJoin(F.broadcast(table)).withColumn("decoded", F.array_join(F.transform(ids, lambda i: F.coalesce(F.get("_vocab", i - 1), F.lit("?"))), "")).drop("_vocab")
 
 
 def batches(windows: DataFrame, window_id: str, size: int) -> DataFrame:

@@ -679,7 +679,8 @@ SELECT doc_id, count(*) AS n, sum(coalesce(id, 1))::bigint AS id_sum, sha1(strin
 def char_codes(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     vocab = files.saved(packing.char_vocab(docs.where("lang = 'en'"), "text"), "vocab")
-    found = packing.decode(packing.encode(docs, "text", vocab), "ids", vocab).where(F.size("ids") > 0)
+    coded = files.saved(packing.encode(docs, "text", vocab).select("doc_id", "ids"), "ids")
+    found = packing.decode(coded.where(F.size("ids") > 0), "ids", vocab)
     return found.select("doc_id", F.size("ids").alias("n"), F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"), text.sha1_hex(F.col("decoded")).alias("decoded"))
 
 

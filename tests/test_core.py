@@ -150,8 +150,10 @@ def test_row_ids_masks_and_codes(spark):
     vocab = spark.createDataFrame([("\n", 1), ("a", 2)], "token string, token_id int")
     coded = packing.decode(packing.encode(spark.createDataFrame([("aba",), ("",), (None,)], "t string"), "t", vocab), "ids", vocab)
     assert sorted((str(r.ids), str(r.decoded)) for r in coded.collect()) == [("None", "None"), ("[2, 1, 2]", "a\na"), ("[]", "")]
-    with pytest.raises(ValueError, match="more than 1 entries"):
-        packing.encode(vocab, "token", vocab, most=1)
+    odd = packing.decode(spark.createDataFrame([([2, 9, 0],)], "ids array<int>"), "ids", vocab)
+    assert odd.first().decoded == "a??"
+    with pytest.raises(ValueError, match="single characters"):
+        packing.encode(vocab, "token", vocab.withColumn("token", F.repeat("token", F.lit(2))))
     assert one(spark, lambda c: text.has_stop(c, ["#"], F.array(F.lit(1), F.lit(9)), 9), "none") is True
     assert one(spark, lambda c: text.pretty_completion(c, brackets=True), "so ( it ) !") == "so (it)!"
 
