@@ -77,8 +77,10 @@ def scored(completions: DataFrame) -> DataFrame:
     return out.withColumn("passed", F.size("failures") == 0)
 
 
-def suite(completions: DataFrame, case_table: DataFrame, by: list[str]) -> DataFrame:
-    """All cases for each run (by) with its completions (by, case_id, completion), scored; a missing completion is empty."""
+def suite(completions: DataFrame, case_table: DataFrame, by: list[str], first: int = 0) -> DataFrame:
+    """All cases for each run (by) with its completions (by, case_id, completion), scored; a missing completion is empty. first: only so
+    many cases (0: all)."""
+    case_table = case_table.where(F.col("case_index") < first) if first else case_table
     runs = completions.select(*by).distinct()
     return scored(runs.crossJoin(F.broadcast(case_table)).join(completions, [*by, "case_id"], "left"))  # so many cases a run
 

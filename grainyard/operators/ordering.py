@@ -22,8 +22,8 @@ def char_budget(df: DataFrame, bucket: Column, order: list[str], chars: Column,
 
 
 def rank_split(df: DataFrame, key: str) -> DataFrame:
-    """Exactly 80/10/10 by rank of a hexadecimal key; floors, the rest is testing."""
-    ranked = prefix_sum(df, F.substring(key, 1, 3), [key], F.lit(1), "rank")
+    """Exactly 80/10/10 by rank of a hexadecimal key; floors, the rest is testing. A bucket is a millionth of the keys."""
+    ranked = prefix_sum(df, F.substring(key, 1, 5), [key], F.lit(1), "rank")
     n = F.broadcast(df.agg(F.count("*").alias("_n")))
     split = F.when(F.col("rank") <= F.floor(F.col("_n") * 0.8), "training").when(F.col("rank") <= F.floor(F.col("_n") * 0.8) + F.floor(F.col("_n") * 0.1), "validation").otherwise("testing")
     return ranked.crossJoin(n).withColumn("split", split).drop("_n")

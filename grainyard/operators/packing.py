@@ -15,9 +15,10 @@ def char_vocab(df: DataFrame, text: str) -> DataFrame:
     return chars.withColumn("token_id", F.row_number().over(Window.orderBy("token")))  # a row a character
 
 
-def lm_windows(df: DataFrame, order: str, text: str, context: int, separator: str, bucket_width: int = 1024, trailing: bool = False) -> DataFrame:
+def lm_windows(df: DataFrame, order: str, text: str, context: int, separator: str, bucket_width: int = 1024, trailing: bool = False, most: int | None = None) -> DataFrame:
     """Windows of `context` characters over the texts put together in order with a separator: window_id, window (one character more
-    than the context, for targets shifted by one). A rest that fills no window is dropped."""
+    than the context, for targets shifted by one). A rest that fills no window is dropped, and so is a window whose targets are all characters
+    of the separator. `most`: the stream ends after so many characters; a shorter one is an error."""
     rows = df.select(F.col(order).alias("_o"), F.coalesce(text, F.lit("")).alias("_t"))
     if not trailing:
         last = F.broadcast(rows.agg(F.max("_o").alias("_last")))
@@ -26,12 +27,18 @@ def lm_windows(df: DataFrame, order: str, text: str, context: int, separator: st
         rows = rows.select("_o", F.concat("_t", F.lit(separator)).alias("_t"))
     placed = prefix_sum(rows, F.floor(F.col("_o") / bucket_width), ["_o"], F.length("_t"), "_end").where(F.length("_t") > 0)
     placed = placed.withColumn("_at", F.col("_end") - F.length("_t"))
+    if most is not None:
+        if (placed.agg(F.max("_end")).first()[0] or 0) < most:
+            raise ValueError(f"the stream is shorter than {most}")
+        placed = placed.where(F.col("_at") < most).withColumn("_t", F.substring("_t", F.lit(1), F.least(F.length("_t"), most - F.col("_at")).cast("int")))
+        placed = placed.withColumn("_end", F.col("_at") + F.length("_t"))
     first, final = F.greatest(F.floor((F.col("_at") - 1) / context), F.lit(0)), F.floor((F.col("_end") - 1) / context)
     parts = placed.select("_o", "_t", "_at", F.explode(F.sequence(first, final)).alias("window_id"))
     start = F.col("window_id") * context
     piece = F.substring("_t", (F.greatest(start - F.col("_at"), F.lit(0)) + 1).cast("int"), (F.least(F.col("_at") + F.length("_t"), start + context + 1) - F.greatest(F.col("_at"), start)).cast("int"))
     whole = parts.select("window_id", "_o", piece.alias("_p")).groupBy("window_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_o", "_p"))), lambda x: x["_p"]), "").alias("window"))
-    return whole.where(F.length("window") == context + 1)
+    full = whole.where(F.length("window") == context + 1)
+    return full.where(F.ltrim(F.substring("window", 2, context), F.lit(separator)) != "") if separator else full
 
 
 def sft_windows(examples: DataFrame, context: int) -> DataFrame:
@@ -107,8 +114,32 @@ def decode(df: DataFrame, ids: str, vocab: DataFrame) -> DataFrame:
 
 
 def batches(windows: DataFrame, window_id: str, size: int) -> DataFrame:
-    """windows with batch_id: `size` in a row, by number; the last batch may be short. Numbers must be dense from 0."""
-    return windows.withColumn("batch_id", F.floor(F.col(window_id) / size))
+    """windows with batch_id: `size` in a row, by number, whether or not numbers are missing; the last batch may be short."""
+    ranked = prefix_sum(windows, F.floor(F.col(window_id) / 4096), [window_id], F.lit(1), "_rank")
+    return ranked.withColumn("batch_id", F.floor((F.col("_rank") - 1) / size)).drop("_rank")
+
+
+def lm_stats(windows: DataFrame, separator: str) -> DataFrame:
+    """kept windows and loss targets (all but separators) of windows, one row; zeros for none."""
+    target = F.expr("substring(window, 2)")
+    live = F.length(F.replace(target, F.lit(separator), F.lit("")))
+    return windows.agg(F.count("*").alias("windows"), F.coalesce(F.sum(live), F.lit(0)).alias("loss_targets"))
+
+
+def sft_stats(windows: DataFrame, target_tokens: Column, batch: int) -> DataFrame:
+    """One row over sft_windows: kept, batches, too_long, empty, truncated, loss_targets, mean_prompt and mean_target of the kept."""
+    on = F.col("status").isin("kept", "truncated")
+    kept = F.count_if(on)
+    return windows.agg(
+        kept.alias("kept"), F.ceil(kept / batch).alias("batches"), F.count_if(F.col("status") == "too_long").alias("too_long"), F.count_if(F.col("status") == "empty").alias("empty"),
+        F.count_if(F.col("status") == "truncated").alias("truncated"), F.coalesce(F.sum("loss_targets"), F.lit(0)).alias("loss_targets"),
+        F.coalesce(F.avg("prompt_kept"), F.lit(0.0)).alias("mean_prompt"), F.coalesce(F.avg(F.when(on, target_tokens)), F.lit(0.0)).alias("mean_target"),
+    )
+
+
+def prompt_prefixes(df: DataFrame, order: str, text: str, k: int, chars: int) -> DataFrame:
+    """(order, prefix): the first `chars` characters of the first k texts that aren't blank: a sampling operator."""
+    return df.where(F.col(text).rlike(r"(?U)\S")).orderBy(order).limit(k).select(order, F.substring(text, 1, chars).alias("prefix"))
 
 
 def stream_stats(df: DataFrame, by: list[str], chars: Column, context: int) -> DataFrame:

@@ -46,9 +46,11 @@ def first_by(df: DataFrame, key: Column, order: str) -> DataFrame:
     return df.groupBy(F.sha2(key.cast("binary"), 256).alias("_key")).agg(F.min_by(F.struct("*"), order).alias("_row"), F.count("*").alias("copies")).select("_row.*", "copies")
 
 
-def cap(df: DataFrame, category: str, id_col: str, per_category: int, total: int) -> DataFrame:
-    """At most per_category rows of each category and then at most total, in the order of the ids' hashes; 0: no cap."""
-    df = df.withColumn("_h", sha1_hex(F.col(id_col)))
+def cap(df: DataFrame, category: str, id_col: str, per_category: int, total: int, first: Column | None = None) -> DataFrame:
+    """At most per_category rows of each category and then at most total, in the order of the ids' hashes, rows
+    where `first` is true before all others; 0: no cap."""
+    late = F.lit(1) if first is None else F.when(first, 0).otherwise(1)
+    df = df.withColumn("_h", F.struct(late.alias("late"), sha1_hex(F.col(id_col).cast("string")).alias("hash")))
     if per_category:
         df = df.withColumn("_k", F.row_number().over(Window.partitionBy(category).orderBy("_h"))).where(F.col("_k") <= per_category).drop("_k")
     if total:

@@ -15,8 +15,9 @@ def filled(template: Column, values: Column) -> Column:
     return F.aggregate(F.map_entries(values), template, lambda t, e: F.replace(t, F.concat(F.lit("{"), e["key"], F.lit("}")), e["value"]))
 
 
-def template_examples(index: DataFrame, i: str, weights: dict[str, int], forms: DataFrame, slots: DataFrame, source_group: str, source_ref: str) -> DataFrame:
-    """Examples for the numbers in column i, filtered and without repeated chats (the first by number stays).
+def candidates(index: DataFrame, i: str, weights: dict[str, int], forms: DataFrame, slots: DataFrame) -> DataFrame:
+    """(_i, category, prompt_text, assistant_text, target_text, chat_text, reason) for the numbers in column i; reason: why it is no
+    direct answer, null if it is one.
 
     weights: places of each category in a cycle; a number's place tells its category, and how often that came before is its variation.
     forms: (category, form, prompt, answer), numbered from 0; slots: (category, slot, values), values a map of what fills a form.
@@ -31,15 +32,30 @@ def template_examples(index: DataFrame, i: str, weights: dict[str, int], forms:
         category = F.when(here, name) if category is None else category.when(here, name)
         nth = F.when(here, v) if nth is None else nth.when(here, v)
         at += n
-    counts = slots.groupBy("category").agg(F.count("*").alias("_slots")).join(forms.groupBy("category").agg(F.count("*").alias("_forms")), "category")
-    numbered = index.select(F.col(i).alias("_i"), category.alias("category"), nth.alias("_v")).join(F.broadcast(counts), "category")  # a row a category
+    sizes = slots.groupBy("category").agg(F.count("*").alias("_slots")).join(forms.groupBy("category").agg(F.count("*").alias("_forms")), "category")
+    numbered = index.select(F.col(i).alias("_i"), category.alias("category"), nth.alias("_v")).join(F.broadcast(sizes), "category")  # a row a category
     placed = numbered.withColumns({"slot": F.pmod("_v", "_slots"), "form": F.pmod(F.floor(F.col("_v") / F.col("_slots")), F.col("_forms"))})
     full = placed.join(slots, ["category", "slot"]).join(forms, ["category", "form"])
     prompt = F.concat(F.lit("User: "), filled(F.col("prompt"), F.col("values")), F.lit("\nAssistant:"))
     told = full.select("_i", "category", prompt.alias("prompt_text"), filled(F.col("answer"), F.col("values")).alias("assistant_text"))
     told = told.withColumn("target_text", F.concat(F.lit(" "), "assistant_text", F.lit(f"\n{END_ASSISTANT}\n{CHAT_END}"))).withColumn("chat_text", F.concat("prompt_text", "target_text"))
-    good = told.where(direct_reason(F.col("prompt_text"), F.col("assistant_text")).isNull())
-    once = first_by(good, F.lower(squash(F.col("chat_text"))), "_i").drop("copies")
+    return told.withColumn("reason", direct_reason(F.col("prompt_text"), F.col("assistant_text")))
+
+
+def counts(found: DataFrame) -> DataFrame:
+    """(category, kept, rejected, repeated) of candidates; category null: of all."""
+    good = F.col("reason").isNull()
+    chat = F.when(good, F.sha2(F.lower(squash(F.col("chat_text"))).cast("binary"), 256))
+    each = found.groupBy("category", chat.alias("_chat")).agg(F.count("*").alias("_n"))
+    once = F.col("_chat").isNotNull()
+    return each.groupingSets([[F.col("category")], []], F.col("category")).agg(
+        F.count_if(once).alias("kept"), F.coalesce(F.sum(F.when(~once, F.col("_n"))), F.lit(0)).alias("rejected"), F.coalesce(F.sum(F.when(once, F.col("_n") - 1)), F.lit(0)).alias("repeated")
+    )
+
+
+def template_examples(found: DataFrame, source_group: str, source_ref: str) -> DataFrame:
+    """Examples of candidates: those without a reason, of repeated chats the first by number."""
+    once = first_by(found.where("reason IS NULL").drop("reason"), F.lower(squash(F.col("chat_text"))), "_i").drop("copies")
     ident = F.concat(F.lit(f"{source_group}_"), "category", F.lit("_"), F.substring(sha1_hex(F.col("chat_text")), 1, 24), F.lit("_"), F.col("_i").cast("string"))
     return once.select(
         ident.alias("id"), ident.alias("dialogue_group"), F.lit(source_group).alias("source_group"), F.lit(source_ref).alias("source_ref"), "category", "prompt_text", "assistant_text",

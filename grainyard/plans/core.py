@@ -747,16 +747,18 @@ def run_summary(spark, sf_dir):
 FORMS = [("region", 0, "Where is {nation}?", "{nation} is in {region}."), ("region", 1, "Is {nation} in {region}? Keep it simple.", "Yes."), ("supplier", 0, "Who is {name}?", "{name} is a supplier.")]
 
 
-@query(f"""WITH n AS (SELECT (event_id // 3)::bigint AS c, event_id % 3 AS p, event_id AS i FROM events),
+TEMPLATE_SQL = f"""WITH n AS (SELECT (event_id // 3)::bigint AS c, event_id % 3 AS p, event_id AS i FROM events),
 g AS (SELECT i, CASE WHEN p < 2 THEN 'region' ELSE 'supplier' END AS category, CASE WHEN p < 2 THEN c * 2 + p ELSE c END AS v FROM n),
 r AS (SELECT n_name, r_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS slot, count(*) OVER () AS m FROM nation JOIN region ON n_regionkey = r_regionkey),
 s AS (SELECT s_name, row_number() OVER (ORDER BY s_suppkey) - 1 AS slot, count(*) OVER () AS m FROM supplier),
 x AS (SELECT i, category, CASE WHEN (v // m) % 2 = 0 THEN 'Where is ' || n_name || '?' ELSE 'Is ' || n_name || ' in ' || r_name || '? Keep it simple.' END AS q, CASE WHEN (v // m) % 2 = 0 THEN n_name || ' is in ' || r_name || '.' ELSE 'Yes.' END AS assistant_text
     FROM g JOIN r ON v % m = slot WHERE category = 'region' UNION ALL SELECT i, category, 'Who is ' || s_name || '?', s_name || ' is a supplier.' FROM g JOIN s ON v % m = slot WHERE category = 'supplier'),
 y AS (SELECT i, category, 'User: ' || q || chr(10) || 'Assistant:' AS prompt_text, assistant_text FROM x),
-z AS (SELECT *, prompt_text || ' ' || assistant_text || {END} AS chat_text FROM y WHERE {s_direct('prompt_text', 'assistant_text')} IS NULL)
-SELECT 'anchor_' || category || '_' || substr(sha1(arg_min(chat_text, i)), 1, 24) || '_' || min(i) AS id, category, arg_min(chat_text, i) AS chat_text FROM z GROUP BY lower({s_squash('chat_text')}), category""")
-def template_examples(spark, sf_dir):
+y2 AS (SELECT *, prompt_text || ' ' || assistant_text || {END} AS chat_text, {s_direct('prompt_text', 'assistant_text')} AS reason FROM y)
+"""
+
+
+def candidates(spark, sf_dir) -> DataFrame:
     from pyspark.sql import Window
 
     nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -764,8 +766,18 @@ def template_examples(spark, sf_dir):
     numbered = ordering.prefix_sum(table(spark, sf_dir, "supplier"), F.floor(F.col("s_suppkey") / 4096), ["s_suppkey"], F.lit(1))
     names = numbered.select(F.lit("supplier").alias("category"), (F.col("running") - 1).alias("slot"), F.create_map(F.lit("name"), "s_name").alias("values"))
     forms = spark.createDataFrame(FORMS, "category string, form bigint, prompt string, answer string")
-    found = templates.template_examples(table(spark, sf_dir, "events"), "event_id", {"region": 2, "supplier": 1}, forms, lands.unionByName(names), "anchor", "events.parquet")
-    return found.select("id", "category", "chat_text")
+    return templates.candidates(table(spark, sf_dir, "events"), "event_id", {"region": 2, "supplier": 1}, forms, lands.unionByName(names))
+
+
+@query(TEMPLATE_SQL + f"""SELECT 'anchor_' || category || '_' || substr(sha1(arg_min(chat_text, i)), 1, 24) || '_' || min(i) AS id, category, arg_min(chat_text, i) AS chat_text FROM y2 WHERE reason IS NULL GROUP BY lower({s_squash('chat_text')}), category""")
+def template_examples(spark, sf_dir):
+    return templates.template_examples(candidates(spark, sf_dir), "anchor", "events.parquet").select("id", "category", "chat_text")
+
+
+@query(TEMPLATE_SQL + f"""SELECT category, count(DISTINCT k) AS kept, count(*) FILTER (WHERE k IS NULL) AS rejected, count(k) - count(DISTINCT k) AS repeated
+FROM (SELECT category, CASE WHEN reason IS NULL THEN lower({s_squash('chat_text')}) END AS k FROM y2) GROUP BY GROUPING SETS ((category), ())""")
+def template_counts(spark, sf_dir):
+    return templates.counts(candidates(spark, sf_dir))
 
 
 @query(WIDE_SQL + """ SELECT id, status, used AS prompt_kept, length(target_text) - (used = 0)::int AS loss_targets, sha1(substr(prompt_text, length(prompt_text) - used + 1) || target_text) AS window_sha1 FROM (
@@ -776,3 +788,32 @@ def stream_sft_windows(spark, sf_dir):
     found = ingest.supervised_windows(spark.readStream.schema(files.SFT_SCHEMA).json(f"{path}/in"), 512)
     ingest.append_all(found.withColumn("window_sha1", text.sha1_hex(F.col("window"))).drop("window"), path)
     return spark.read.parquet(f"{path}/rows")
+
+
+@query("SELECT doc_id, substr(text, 1, 60) AS prefix FROM documents WHERE regexp_matches(text, '\\S') ORDER BY doc_id LIMIT 20")
+def prompt_prefixes(spark, sf_dir):
+    return packing.prompt_prefixes(table(spark, sf_dir, "documents"), "doc_id", "text", 20, 60)
+
+
+@query(SQL["lm_windows"].rsplit("SELECT window_id", 1)[0] + "SELECT count(*) AS windows, sum(128 - (length(substr(x, 2)) - length(replace(substr(x, 2), chr(30), ''))))::bigint AS loss_targets FROM w WHERE n = 129")
+def lm_window_stats(spark, sf_dir):
+    return packing.lm_stats(packing.lm_windows(table(spark, sf_dir, "documents"), "doc_id", "text", 128, "\x1e"), "\x1e")
+
+
+@query(WIDE_SQL + """, w AS (SELECT *, CASE WHEN length(target_text) = 0 THEN 'empty' WHEN length(target_text) >= 513 THEN 'too_long' WHEN length(prompt_text) > 513 - length(target_text) THEN 'truncated' ELSE 'kept' END AS status,
+  least(length(prompt_text), 513 - length(target_text)) AS used FROM examples), o AS (SELECT *, status IN ('kept', 'truncated') AS ok FROM w)
+SELECT count(*) FILTER (WHERE ok) AS kept, ceil(count(*) FILTER (WHERE ok) / 8)::bigint AS batches, count(*) FILTER (WHERE status = 'too_long') AS too_long, count(*) FILTER (WHERE status = 'empty') AS empty,
+  count(*) FILTER (WHERE status = 'truncated') AS truncated, (sum(length(target_text) - (used = 0)::int) FILTER (WHERE ok))::bigint AS loss_targets, round(avg(used) FILTER (WHERE ok), 6) AS mean_prompt, round(avg(length(target_text)) FILTER (WHERE ok), 6) AS mean_target FROM o""")
+def sft_window_stats(spark, sf_dir):
+    found = packing.sft_windows(wide_examples(spark, sf_dir), 512)
+    told = packing.sft_stats(found, F.length("window") - F.col("prompt_kept"), 8)
+    return told.withColumns({"mean_prompt": F.round("mean_prompt", 6), "mean_target": F.round("mean_target", 6)})
+
+
+@query(SQL["docstring_paragraphs"].split("SELECT doc_id, n AS block")[0] + ", c AS (SELECT doc_id, " + s_squash("replace(block, '`', '')") + """ AS p FROM b WHERE NOT starts_with(block, '#') AND len(regexp_extract_all(block, '\\S+')) >= 5)
+SELECT d.doc_id, length(d.text) AS raw_characters, coalesce(k.n, 0) AS paragraphs, coalesce(k.m, 0)::bigint AS characters FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n, sum(length(p)) AS m FROM c GROUP BY doc_id) k USING (doc_id)""")
+def file_stats(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    clean = docstring_paragraphs(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("paragraph")).alias("m"))
+    told = docs.select("doc_id", F.length("text").alias("raw_characters")).join(clean, "doc_id", "left")
+    return told.select("doc_id", "raw_characters", F.coalesce("n", F.lit(0)).alias("paragraphs"), F.coalesce("m", F.lit(0)).alias("characters"))

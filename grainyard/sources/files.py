@@ -112,14 +112,17 @@ def read_jsonl_texts(spark: SparkSession, path: str) -> DataFrame:
 def read_sft(spark: SparkSession, path: str) -> DataFrame:
     """Supervised examples from JSON lines; a missing target is made from the answer, a missing chat text from prompt and target."""
     rows = spark.read.schema(SFT_SCHEMA).json(path)
+    # numbers follow the order of files, then of rows, with gaps between the parts that are read
+    rows = rows.withColumn("id", F.coalesce("id", F.concat(F.lit("example_"), (F.monotonically_increasing_id() + 1).cast("string"))))
     rows = rows.withColumn("target_text", F.coalesce("target_text", F.concat(F.lit(" "), "assistant_text", F.lit(f"\n{END_ASSISTANT}\n{CHAT_END}"))))
     return rows.withColumn("chat_text", F.coalesce("chat_text", F.concat("prompt_text", "target_text")))
 
 
 def source_label(path: Column, prefix: str = "") -> Column:
     """A file's stem as a label: lower case, other characters than letters and digits as underscores, 80 characters at most."""
-    stem = F.regexp_replace(F.regexp_replace(path, "^.*/", ""), r"\.[^.]*$", "")
-    return F.substring(F.lower(F.concat(F.lit(prefix), F.regexp_replace(stem, "[^A-Za-z0-9]+", "_"))), 1, 80)
+    stem = F.regexp_replace(F.regexp_replace(path, "^.*/", ""), r"(?<=.)\.[^.]*$", "")
+    label = F.lower(F.regexp_replace(F.regexp_replace(stem, "[^A-Za-z0-9]+", "_"), "^_+|_+$", ""))
+    return F.substring(F.concat(F.lit(f"{prefix}_" if prefix else ""), label), 1, 80)
 
 
 def write_pretrain(docs: DataFrame, path: str, text: str = "text", split: str = "split") -> None:

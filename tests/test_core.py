@@ -86,6 +86,19 @@ def test_prefix_sum_and_windows(spark):
     stream = "|".join("ab" * (i % 7) for i in range(50))
     windows = [r.window for r in packing.lm_windows(df, "id", "t", 16, "|", 8).orderBy("window_id").collect()]
     assert windows == [stream[i : i + 17] for i in range(0, len(stream) - 16, 16)]
+    short = [r.window for r in packing.lm_windows(df, "id", "t", 16, "|", 8, most=100).orderBy("window_id").collect()]
+    assert short == [stream[i : i + 17] for i in range(0, 100 - 16, 16)]
+    with pytest.raises(ValueError, match="shorter"):
+        packing.lm_windows(df, "id", "t", 16, "|", 8, most=10_000)
+    blank = packing.lm_windows(spark.range(60).withColumn("t", F.when(F.col("id") == 50, "x")), "id", "t", 8, "|", 8).collect()
+    assert [(r.window_id, r.window) for r in blank] == [(6, "||x||||||")]
+    assert [(r.window_id, r.batch_id) for r in packing.batches(spark.createDataFrame([(3,), (5,), (9000,)], "window_id bigint"), "window_id", 2).orderBy("window_id").collect()] == [(3, 0), (5, 0), (9000, 1)]
+
+
+def test_cap_with_some_rows_first(spark):
+    df = spark.range(30).withColumns({"c": F.lit("a"), "made": F.col("id") >= 28})
+    kept = {r.id for r in splits.cap(df, "c", "id", 0, 5, F.col("made")).collect()}
+    assert {28, 29} <= kept and len(kept) == 5
 
 
 def test_merge_runs(spark):
@@ -174,6 +187,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "c.jsonl").write_text('{"id": "i", "prompt_text": "p", "assistant_text": "a"}\n')
     assert files.read_sft(spark, str(tmp_path / "c.jsonl")).first().chat_text == "p a\n<END_ASSISTANT>\n<CHAT_END>"
     assert one(spark, files.source_label, "/x/My File.jsonl.gz") == "my_file_jsonl"
+    assert one(spark, lambda c: files.source_label(c, "Own"), "/x/(a) b!.json") == "Own_a_b"
     examples = spark.createDataFrame([("i", "c1", "training"), ("j", "c2", "testing")], "id string, chat_text string, split string")
     files.write_sft(examples, str(tmp_path / "sft"))
     assert {r.split: r.documents for r in files.split_sizes(spark, str(tmp_path / "sft" / "chats")).collect()} == {"training": 1, "testing": 1}
