@@ -46,7 +46,8 @@ def normalize_turn(c: Column) -> Column:
 
 
 def squash(c: Column) -> Column:
-    return strip(F.regexp_replace(c, r"(?U)\s+", " "))
+    """White space runs to one space, none at the ends. Single spaces, most of a text's white space, are no match."""
+    return F.trim(F.regexp_replace(c, r"(?U)[^\S ]\s*| \s+", " "))
 
 
 def word_count(c: Column) -> Column:

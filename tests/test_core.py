@@ -42,6 +42,8 @@ def test_normalize(spark):
     assert one(spark, text.normalize_turn, " a \n\n  b\r") == "a\nb"
     assert one(spark, text.squash, " a\n\t b ") == "a b"
     assert one(spark, text.squash, None) is None
+    assert one(spark, text.squash, "\u2003 a \n b\u00a0\x0bc  d\t e f\n ") == "a b c d e f"
+    assert one(spark, text.squash, " \n\t ") == ""
     assert one(spark, text.normalize_role, " Human ") == "user"
     assert one(spark, text.normalize_role, "narrator") is None
 
