@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainyard.llm import decontaminate, mixing, simhash, token_files, toxicity
+from grainyard.llm import decontaminate, mixing, overlap, token_files, toxicity
 from grainyard.llm.common import scratch_path, written
 from grainyard.llm.queries import table, tokenizer
 
@@ -23,8 +23,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of smallest id. Groups without an id are kept."""
-    kept = simhash.near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
+    """Of each group of near-duplicates (Jaccard similarity of 5-word shingles 0.8 or more) the document of smallest id. Groups
+    without an id are kept."""
+    kept = overlap.similar(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
     once = docs.join(kept, docs.doc_id == F.col("_kept"), "left_semi")
     return once.dropDuplicates(["doc_id"]).select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))
 
