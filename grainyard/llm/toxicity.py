@@ -115,6 +115,12 @@ class SubwordBag:
         self.logit = self.table @ (self.head[:, 1] - self.head[:, 0])
         return self
 
+    def set_odds(self, sample: np.ndarray, whole: np.ndarray) -> SubwordBag:
+        """Correct the bias for a sample drawn by label: from its counts of labels 0 and 1 to those of all rows."""
+        if sample.all() and whole.all():
+            self.bias = (self.bias + np.log(whole / whole.sum()) - np.log(sample / sample.sum())).astype(np.float32)
+        return self
+
     def word_values(self, words: list[bytes]) -> np.ndarray:
         """For each word, the sum over its features of the logit that they add, and their number."""
         feature, first = word_features(words, self.buckets, self.shortest, self.longest)
@@ -144,12 +150,14 @@ def labelled_sample(marks: DataFrame, docs: DataFrame, most: int, id_col: str, t
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, most: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> SubwordBag:
-    """Fit on at most `most` documents of each label. Rows of labels with null id or label are left out; of several labels of one
+    """Fit on at most `most` documents of each label, then set to the labels' odds among all rows. Rows of labels with null id or label are left out; of several labels of one
     document the largest holds. Without labelled rows every score is the least chance (0.01)."""
     marks = labels.where(F.col("toxic").isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").cast("int").alias("_toxic"))
     known = docs.select(F.col(id_col).alias("_own")).distinct()
-    texts, y = labelled_sample(marks.join(known, F.col("_id") == F.col("_own")).select("_id", "_toxic"), docs, most, id_col, text_col)
-    return SubwordBag().fit(texts, np.array(y, np.int64))
+    marks = marks.join(known, F.col("_id") == F.col("_own")).select("_id", "_toxic")
+    texts, y = labelled_sample(marks, docs, most, id_col, text_col)
+    count = dict(marks.groupBy("_toxic").count().collect())
+    return SubwordBag().fit(texts, np.array(y, np.int64)).set_odds(np.bincount(np.array(y, np.int64), minlength=2), np.array([count.get(0, 0), count.get(1, 0)]))
 
 
 def toxicity_scores(docs: DataFrame, model: SubwordBag, threshold: float = 0.3, text_col: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
+from grainyard.llm import toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,3 +32,20 @@ def test_pipeline_drops_near_copies_from_jaccard_08(spark):
     got = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect())
     assert got == sorted(i for i in first if first[i] == i)
     assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), SF).count() == 0
+
+
+def test_toxicity_keeps_clean_texts_when_caps_bind(spark):
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("aeinrst"), 5)) for _ in range(300)]
+    toxic = np.arange(1500) % 9 == 0
+    texts = [" ".join([*rng.choice(words, 30), *(["moronic", "stupid"] if rng.random() < (0.8 if k else 0.1) else [])]) for k in toxic]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(k)) for i, k in enumerate(toxic[:1000])], "doc_id bigint, toxic int")
+    asked = docs.where("doc_id >= 1000").union(spark.createDataFrame([(-1, ""), (-2, None)], docs.schema))
+    share, empty = [], []
+    for most in (5000, 100):
+        got = {r.doc_id: r for r in toxicity.toxicity_scores(asked, toxicity.train_toxicity(docs, labels, most)).collect()}
+        share.append(np.mean([got[i].predicted == 0 for i in range(1000, 1500) if not toxic[i]]))
+        empty += [got[-1].score, got[-2].score]
+    assert abs(share[0] - share[1]) < 0.05
+    assert max(empty) < 0.3
