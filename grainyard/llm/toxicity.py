@@ -23,14 +23,21 @@ from .wordbags import bag_sums, worker_table
 _STOPS = bytes(b + 32 if 65 <= b < 91 else 32 if chr(b) in ",.;:\"()|" else b for b in range(256))
 
 
+#: A longer word is cut into pieces of PIECE bytes that overlap by OVERLAP, so that each n-gram of OVERLAP + 1 lies in one.
+PIECE, OVERLAP = 64, 3
+
+
 def split_words(text: bytes) -> list[bytes]:
-    """Lower-case words (A-Z only), apart at white space and at common punctuation."""
-    return text.translate(_STOPS).split()
+    """Lower-case words (A-Z only), apart at white space and at common punctuation; long ones in overlapping pieces."""
+    words = text.translate(_STOPS).split()
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    return [w[i : i + PIECE] for w in words for i in range(0, max(1, len(w) - OVERLAP), PIECE - OVERLAP)]
 
 
 def word_features(words: list[bytes], buckets: int, shortest: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of all words' features, word by word, and where each word's begin. Words stand in < and >."""
-    marked = [b"<" + w[:64] + b">" for w in words]  # a longer word counts as its first 64 bytes; all words of a text count
+    marked = [b"<" + w + b">" for w in words]
     data = np.frombuffer(b"".join(marked), np.uint8)
     first = np.r_[0, np.cumsum([len(w) for w in marked])].astype(np.int64)
     letters = SPACES[0][data].astype(np.uint64) + np.uint64(1)
@@ -50,7 +57,7 @@ class SubwordBag:
 
     buckets: int = 1 << 16
     shortest: int = 3
-    longest: int = 4
+    longest: int = OVERLAP + 1
     width: int = 4
     epochs: int = 10
     rate: float = 0.05

@@ -49,3 +49,17 @@ def test_toxicity_keeps_clean_texts_when_caps_bind(spark):
         empty += [got[-1].score, got[-2].score]
     assert abs(share[0] - share[1]) < 0.05
     assert max(empty) < 0.3
+
+
+def test_toxic_tail_of_an_unbroken_word_counts():
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("aeinrst"), 5)) for _ in range(300)]
+    texts = [" ".join([*rng.choice(words, 30), *(["moronic", "stupid"] if k % 2 else [])]) for k in range(300)]
+    model = toxicity.SubwordBag(epochs=20).fit(texts, np.arange(300) % 2)
+    value = lambda t: model.scores(model.word_values(toxicity.split_words(t.encode())).sum(0)[None])[0]
+    for lead in ("_".join(words[:17])[:100], "日本語" * 12):
+        assert value(lead + "_moronic_stupid") > value(lead + "_" + words[20] + "_" + words[21])
+    for n in range(60, 200):
+        w = rng.integers(97, 123, n).astype(np.uint8).tobytes()
+        parts = toxicity.split_words(w)
+        assert max(map(len, parts)) <= 64 and {w[i : i + 4] for i in range(n - 3)} == {p[i : i + 4] for p in parts for i in range(len(p) - 3)}
