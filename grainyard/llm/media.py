@@ -8,6 +8,7 @@ further in are carved as embedded media.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,22 +29,29 @@ def riff(data: bytes, at: int) -> int:
     if data[at + 8 : at + 12] != b"WAVE" or len(data) < at + 44:
         return 0
     end = at + 8 + struct.unpack_from("<I", data, at + 4)[0]
-    return end - at if end <= len(data) and wave_data(data, at, end) else 0
+    return end - at if end <= len(data) and wave_chunks(data, at, end) else 0
 
 
 def wave_data(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
-    """(sample rate, first byte, number of bytes) of 8-bit mono samples; None if chunks don't fit."""
-    place, rate = at + 12, 0
+    """(sample rate, first byte, number of bytes) of 8-bit mono samples; None for other samples, or if chunks don't fit."""
+    found = wave_chunks(data, at, end)
+    return found[1:] if found and found[0] == (1, 1, 8) else None
+
+
+def wave_chunks(data: bytes, at: int, end: int) -> tuple[tuple[int, int, int], int, int, int] | None:
+    """((format, channels, bits), sample rate, first byte, number of bytes) of samples of any kind; None if chunks don't fit."""
+    place, rate, kept = at + 12, 0, (0, 0, 0)
     while place + 8 <= end:
         kind, size = data[place : place + 4], struct.unpack_from("<I", data, place + 4)[0]
         if place + 8 + size > end:
             return None
         if kind == b"fmt " and size >= 16:
             form, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", data, place + 8)
-            if (form, channels, bits) != (1, 1, 8):
+            if not channels:
                 return None
+            kept = form, channels, bits
         if kind == b"data":
-            return (rate, place + 8, size) if rate else None
+            return (kept, rate, place + 8, size) if rate else None
         place += 8 + size + size % 2
     return None
 
@@ -109,10 +117,27 @@ def gzip_member(data: bytes, at: int) -> int:
     return len(data) - at - len(reader.unused_data) if reader.eof else 0
 
 
+_PDF = re.compile(rb"%PDF-\d")
+_PDF_END = re.compile(rb"startxref\s+(\d+)\s*$")
+_XREF = re.compile(rb"xref|\d+\s+\d+\s+obj")
+
+
 def pdf(data: bytes, at: int) -> int:
-    """A version, a cross-reference pointer and the last end mark."""
-    end = data.rfind(b"%%EOF", at)
-    return end + 5 - at if end > at and data[at + 5 : at + 6].isdigit() and data.rfind(b"startxref", at, end) > at else 0
+    """A version, and a cross-reference pointer before the last end mark that precedes the next PDF's header. A PDF may hold others:
+    an end mark behind a further header counts if its pointer, from this start on, leads to cross-references behind that header."""
+    if not _PDF.match(data, at):
+        return 0
+    heads = [m.start() for m in _PDF.finditer(data, at)]
+    last = 0
+    for head, bound in zip(heads, [*heads[1:], len(data)]):
+        end = data.rfind(b"%%EOF", head, bound)
+        mark = data.rfind(b"startxref", head, end) if end > head else -1
+        if mark < 0:
+            continue
+        told = _PDF_END.match(data[mark : min(end, mark + 64)])
+        if head == at or told and head < at + int(told[1]) < mark and _XREF.match(data, at + int(told[1])):
+            last = end + 5
+    return last - at if last else 0
 
 
 #: Magic bytes, type and validator of each format. Fixed values of the formats.

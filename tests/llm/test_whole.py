@@ -1,9 +1,12 @@
 """The whole job where a narrower one would pass on the given tables."""
 
+import struct
+import zlib
+
 import numpy as np
 
 import corpus_pipeline
-from grainyard.llm import toxicity
+from grainyard.llm import media, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -63,3 +66,30 @@ def test_toxic_tail_of_an_unbroken_word_counts():
         w = rng.integers(97, 123, n).astype(np.uint8).tobytes()
         parts = toxicity.split_words(w)
         assert max(map(len, parts)) <= 64 and {w[i : i + 4] for i in range(n - 3)} == {p[i : i + 4] for p in parts for i in range(len(p) - 3)}
+
+
+def pdf_file(body=b""):
+    lead = b"%PDF-1.4\n1 0 obj\n" + body + b"\nendobj\n"
+    return lead + b"xref\n0 1\ntrailer\nstartxref\n%d\n%%%%EOF" % len(lead)
+
+
+def test_sniffing_of_other_waves_and_several_pdfs():
+    machine = media.automaton()
+    for form, channels, bits in ((1, 2, 16), (3, 1, 32), (1, 1, 24), (1, 1, 8)):
+        wide = channels * bits // 8
+        wav = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + 96, b"WAVE", b"fmt ", 16, form, channels, 44100, 44100 * wide, wide, bits, b"data", 96) + bytes(96)
+        assert media.sniff(wav, machine) == ("audio/wav", len(wav), [])
+        assert media.sniff(b"junk" + wav + b"tail", machine)[2] == [("audio/wav", 4, len(wav))]
+        assert (media.wave_data(wav, 0, len(wav)) is None) == ((form, channels, bits) != (1, 1, 8))
+        assert media.sniff(wav[:-1], machine)[0] == media.UNKNOWN
+    chunk = lambda kind, body: struct.pack(">I4s", len(body), kind) + body + struct.pack(">I", zlib.crc32(kind + body))
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", bytes(13)) + chunk(b"IEND", b"")
+    one, two = pdf_file(), pdf_file(b"two" * 50)
+    for first, second in ((one, two), (two, one), (one, one)):
+        blob = b"junk" + first + png + second + b"\n"
+        at = 4 + len(first)
+        assert media.sniff(blob, machine)[2] == [("application/pdf", 4, len(first)), ("image/png", at, len(png)), ("application/pdf", at + len(png), len(second))]
+        assert media.sniff(blob[4:], machine)[:2] == ("application/pdf", len(first))
+    nest = pdf_file(one + two)
+    assert media.sniff(b"junk" + nest + png, machine)[2] == [("application/pdf", 4, len(nest)), ("image/png", 4 + len(nest), len(png))]
+    assert media.sniff(two[:-5], machine)[0] == media.UNKNOWN
