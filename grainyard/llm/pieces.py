@@ -1,7 +1,8 @@
 """Cutting texts where the byte-level pattern always cuts, so that work on a piece can be kept and used again.
 
 A single space between two non-space characters starts a pre-token, and a single line feed between two is one, whatever stands
-around them; a pre-token also starts at each of , . ; : ! ? behind an ASCII letter or digit. Nothing is cut elsewhere. A `PieceTable` knows pieces by 64-bit hash and asks for the tokens of new ones in bulk.
+around them; a pre-token also starts at each of , . ; : ! ? behind an ASCII letter or digit. Nothing is cut elsewhere. A `PieceTable` knows
+pieces by their bytes and asks for the tokens of new ones in bulk.
 """
 
 from __future__ import annotations
@@ -10,8 +11,7 @@ from collections.abc import Callable
 from typing import Any
 
 import numpy as np
-
-from .common import span_hashes
+import pyarrow as pa
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[*range(9, 14), *range(28, 33)]] = True
@@ -74,44 +74,55 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class PieceTable:
-    def __init__(self, make: Callable[[list[str]], list[np.ndarray]], most: int = 1 << 20):
-        """make: the tokens of new strings. most: so many pieces are kept; beyond, the table starts anew."""
-        self.make, self.most = make, most
+    """Tokens of pieces, found by the pieces' own bytes."""
+
+    def __init__(self, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 1 << 20, most_bytes: int = 1 << 26):
+        """make: how many tokens each new string has, and all their tokens one after the other. So many pieces, or bytes of them, are kept; beyond, the table starts anew."""
+        self.make, self.most, self.most_bytes = make, most, most_bytes
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.size, self.at = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
-
-    def _place(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return at, self.keys[at] == keys
+        self.place: dict[bytes, int] = {}
+        self.bytes, self.used = 0, 0
+        self.size, self.at = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.flat = np.zeros(1 << 14, np.uint32)
 
     def of(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Each piece's row in size (its number of tokens) and at (their place in flat)."""
-        ends = np.r_[starts[1:], len(data)][: len(starts)]
-        keys, first, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        at, known = self._place(keys)
-        if len(self.keys) + int((~known).sum()) > self.most and len(self.keys):
+        if not len(starts):
+            return starts
+        offsets = np.r_[starts, len(data)].astype(np.int32)  # a slice, or one string, which Spark keeps under 2 GB
+        found = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        pieces = found.dictionary.to_pylist()
+        new = [p for p in pieces if p not in self.place]
+        more = sum(map(len, new))
+        if self.place and (len(self.place) + len(new) > self.most or self.bytes + more > self.most_bytes):
             self.clear()
-            at, known = self._place(keys)
-        if not known.all():
-            new = np.flatnonzero(~known)
-            raw = data.tobytes()
-            made = self.make([raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
-            size = np.fromiter(map(len, made), np.int64, len(made))
-            where = np.searchsorted(self.keys, keys[new])
-            self.rows = np.insert(self.rows, where, len(self.size) + np.arange(len(new)))
-            self.keys = np.insert(self.keys, where, keys[new])
-            self.size, self.at = np.r_[self.size, size], np.r_[self.at, len(self.flat) + np.cumsum(size) - size]
-            self.flat = np.concatenate([self.flat, *made])
-            at, _ = self._place(keys)
-        return self.rows[at][back]
+            new, more = pieces, sum(map(len, pieces))
+        for i in range(0, len(new), 1 << 16):
+            self._add(new[i : i + (1 << 16)])
+        self.bytes += more
+        return np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))[found.indices.to_numpy()]
+
+    def _add(self, pieces: list[bytes]) -> None:
+        size, flat = self.make([p.decode() for p in pieces])
+        n, used = len(self.place), self.used + len(flat)
+        to = n + len(pieces)
+        self.size, self.at, self.flat = grown(self.size, to), grown(self.at, to), grown(self.flat, used)
+        self.size[n:to] = size
+        self.at[n:to] = self.used + np.cumsum(size) - size
+        self.flat[self.used : used] = flat
+        self.place.update(zip(pieces, range(n, to)))
+        self.used = used
 
     def tokens(self, rows: np.ndarray) -> np.ndarray:
         """The tokens of these rows, one after the other."""
         size = self.size[rows]
         return self.flat[np.repeat(self.at[rows] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+
+
+def grown(x: np.ndarray, n: int) -> np.ndarray:
+    """x with room for n entries: doubled until it has."""
+    while len(x) < n:
+        x = np.r_[x, np.zeros_like(x)]
+    return x

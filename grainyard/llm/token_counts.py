@@ -8,18 +8,17 @@ this gives what merging one pair at a time gives.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
+from tokenizers import pre_tokenizers
 
 from .common import arrow_map, slices, text_bytes
 from .pieces import Known, PieceTable, check_special, cuts
 
-#: The pattern of byte-level BPE files that ask for their library's own split ("use_regex").
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NONE = np.iinfo(np.int64).max
 
 
@@ -41,9 +40,10 @@ class Merger:
             raise ValueError(f"{path}: not a plain byte-level BPE vocabulary")
         ids = model["vocab"]
         self.special = sorted(check_special([t["content"] for t in spec["added_tokens"]]), key=len, reverse=True)
-        self.pattern = regex.compile(PATTERN)
-        self.specials = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.of_byte = np.array([ids[c] for c in byte_symbols()], np.int64)
+        self.split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+        self.specials = re.compile("|".join(map(re.escape, self.special))) if self.special else None
+        self.of_char = np.zeros(512, np.int64)
+        self.of_char[[ord(c) for c in byte_symbols()]] = [ids[c] for c in byte_symbols()]
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.base = max(ids.values()) + 1
         keys = np.array([ids[a] * self.base + ids[b] for a, b in pairs], np.int64)
@@ -57,11 +57,11 @@ class Merger:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.order[at], NONE)
 
-    def count(self, words: list[bytes]) -> np.ndarray:
-        """How many symbols each word ends with."""
+    def count(self, words: list[str]) -> np.ndarray:
+        """How many symbols each word, a character a byte, ends with."""
         size = np.array([len(w) for w in words], np.int64)
         left = size.copy()
-        symbols, owner = self.of_byte[np.frombuffer(b"".join(words), np.uint8)], np.repeat(np.arange(len(words)), size)
+        symbols, owner = self.of_char[np.frombuffer("".join(words).encode("utf-16-le"), "<u2")], np.repeat(np.arange(len(words)), size)
         while len(symbols) > 1:
             rank = self.ranks(symbols[:-1], symbols[1:])
             rank[owner[:-1] != owner[1:]] = NONE
@@ -83,21 +83,21 @@ class Merger:
             symbols, owner = symbols[keep], owner[keep]
         return left
 
-    def make(self, texts: list[str]) -> list[np.ndarray]:
-        """For each text one number, how many tokens it has, from its own pre-tokens; a special string is one token."""
+    def make(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For each text one number, how many tokens it has, from the pre-tokens that the library cuts; a special string is one token."""
         parts: list[list[str]] = []
         extra: list[int] = []
         for t in texts:
             plain = [t] if self.specials is None or not any(s in t for s in self.special) else self.specials.split(t)
             extra.append(len(plain) - 1)
-            parts.append([x for p in plain for x in self.pattern.findall(p)])
+            parts.append([x for p in plain for x, _ in self.split(p)])
         self.known.fill({x for p in parts for x in p})
         totals = np.array([n + sum(map(self.known.__getitem__, p)) for n, p in zip(extra, parts)], np.uint32)
-        return list(totals[:, None])
+        return np.ones(len(texts), np.int64), totals
 
     def counts(self, words: list[str]) -> list[int]:
         runs = range(0, len(words), 50_000)
-        return [n for i in runs for n in self.count([w.encode() for w in words[i : i + 50_000]]).tolist()]
+        return [n for i in runs for n in self.count(words[i : i + 50_000]).tolist()]
 
 
 _counters: dict[str, PieceTable] = {}

@@ -10,9 +10,11 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ from .common import arrow_map, record_batch, scratch_path, slices, text_bytes, w
 from .pieces import PieceTable, check_special, cuts
 
 MAX_BITS, CHECKPOINT = 16, 512
+#: A block ends before it would hold more ids; a range of document ids is to have about RANGE_TOKENS.
 BLOCK_TOKENS, RANGE_TOKENS = 1 << 20, 1 << 22
 
 
@@ -109,14 +112,15 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         check_special([t.content for t in self.tokenizer.get_added_tokens_decoder().values()])
 
-    def make(self, texts: list[str]) -> list[np.ndarray]:
+    def make(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         runs = range(0, len(texts), 20_000)
-        return [np.array(e.ids, np.uint32) for i in runs for e in self.tokenizer.encode_batch(texts[i : i + 20_000], add_special_tokens=False)]
+        ids = [e.ids for i in runs for e in self.tokenizer.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        return size, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
 
 
 _encoders: dict[str, PieceTable] = {}
-_IDS = pa.schema([("id", pa.int64()), ("ids", pa.binary())])
-_CODED = pa.schema([("bucket", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("crc", pa.int64()), ("marks", pa.binary()), ("bits", pa.binary())])
+_IDS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("crc", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
 _BLOCK = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("places", pa.list_(pa.int64())), ("marks", pa.binary()), ("bits", pa.binary())])
 _READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 _DDL = {pa.int64(): "bigint", pa.int32(): "int", pa.binary(): "binary", pa.list_(pa.int64()): "array<bigint>"}
@@ -127,101 +131,99 @@ def ddl(schema: pa.Schema) -> str:
 
 
 def token_ids(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, ids): each text's ids and the end id, as little-endian 16- or 32-bit integers by what the vocabulary needs."""
+    """(id, n, crc, ids, counts): each text's ids and the end id, as little-endian 16- or 32-bit integers by what they need, their
+    number and checksum; and one row a task, with nothing but how often it met each id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _encoders:
             _encoders[tokenizer] = PieceTable(Encoder(tokenizer).make)
-        table = _encoders[tokenizer]
+        table, counts = _encoders[tokenizer], np.zeros(0, np.int64)
         for batch in batches:
             for part in slices(batch, 1, 1 << 22):
                 data, offsets = text_bytes(part.column(1))
                 starts, first = cuts(data, offsets)
                 rows = table.of(data, starts)
-                ids, edge = table.tokens(rows), np.r_[0, np.cumsum(table.size[rows])][first]
-                small = ids.max(initial=end_id) < 1 << 16
-                kind, last, mark = ("<u2", np.array([end_id], "<u2").tobytes(), b"") if small else ("<u4", np.array([end_id], "<u4").tobytes(), b"\0")
-                ids, width = ids.astype(kind).tobytes(), 2 if small else 4
-                packed = [mark + ids[a:b] + last for a, b in zip((edge[:-1] * width).tolist(), (edge[1:] * width).tolist())]
-                yield record_batch(_IDS, part.column(0).cast(pa.int64()), packed)
+                edge = np.r_[0, np.cumsum(table.size[rows])][first]
+                ids = np.insert(table.tokens(rows), edge[1:], end_id)
+                edge += np.arange(len(edge))
+                counts = summed(counts, np.bincount(ids))
+                wide = ids.max(initial=0) >= 1 << 16
+                mark, width, raw = (b"\0", 4, ids.astype("<u4").tobytes()) if wide else (b"", 2, ids.astype("<u2").tobytes())
+                packed = [mark + raw[a:b] for a, b in zip((edge[:-1] * width).tolist(), (edge[1:] * width).tolist())]
+                raw = memoryview(ids.astype("<u4").tobytes())
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip((edge[:-1] * 4).tolist(), (edge[1:] * 4).tolist())]
+                yield record_batch(_IDS, part.column(0).cast(pa.int64()), np.diff(edge), crc, packed, pa.nulls(len(part), pa.binary()))
+        if len(counts):
+            yield record_batch(_IDS, [None], [None], [None], [None], [counts.astype("<i8").tobytes()])
 
     return arrow_map(docs.select(F.col(id_col).cast("bigint").alias("id"), text_col), run, ddl(_IDS))
 
 
+def summed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sum of two arrays of counts, the shorter one filled up with zeros."""
+    out = np.zeros(max(len(a), len(b)), np.int64)
+    out[: len(a)] = a
+    out[: len(b)] += b
+    return out
+
+
 def unpacked(x: bytes) -> np.ndarray:
     """16-bit ids have an even number of bytes; 32-bit ones follow a zero byte."""
     return np.frombuffer(x, "<u4", offset=1) if len(x) % 2 else np.frombuffer(x, "<u2").astype(np.uint32)
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", range_tokens: int = RANGE_TOKENS) -> None:
     """Encode every text and write the ids under `path`, documents in ascending id order.
 
     A null text is empty (its only id is the end id); a null document id comes first; documents with equal ids stand side by
     side, shorter ones first, then by checksum, so that the files don't depend on the input's order. An empty table gives an
     empty codebook and no blocks. Other columns are not carried. Texts of any length are encoded whole: a long one makes a
-    block of its own. The driver receives one count for each id of the vocabulary and the bounds of id ranges.
+    block of its own. Ranges of document ids, about range_tokens ids each, are what tasks write; repeated ids may fill several. The
+    driver receives one count for each id of the vocabulary. More than 65,536 distinct ids don't fit codes of 16 bits: an error.
     """
     spark = docs.sparkSession
-    ids = written(token_ids(docs, tokenizer, end_id, id_col, text_col), "ids")
+    found = written(token_ids(docs, tokenizer, end_id, id_col, text_col), "ids")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for x in batch.column(0).to_pylist():
-                n = np.bincount(unpacked(x))
-                if len(n) > len(total):
-                    total = np.r_[total, np.zeros(len(n) - len(total), np.int64)]
-                total[: len(n)] += n
+                total = summed(total, np.frombuffer(x, "<i8"))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["token", "n"])
 
-    found = arrow_map(ids.select("ids"), tally, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
-    token, n = found["token"].to_numpy(), found["n"].to_numpy()
+    told = arrow_map(found.where("counts IS NOT NULL").select("counts"), tally, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
+    token, n = told["token"].to_numpy(), told["n"].to_numpy()
     counts = np.zeros(int(token.max()) + 1 if len(token) else 0, np.int64)
     counts[token] = n
     lengths = code_lengths(counts)
     codes, _ = canonical(lengths)
     spark.createDataFrame([(bytearray(lengths.tobytes()), MAX_BITS, CHECKPOINT)], "lengths binary, max_bits int, checkpoint int").write.parquet(f"{path}/codebook")
-
-    parts = max(1, int(counts.sum()) // RANGE_TOKENS)
-    cuts = [(i + 1) / parts for i in range(parts - 1)]
-    found = ids.select(F.percentile_approx("id", cuts, 100 * parts)).first()[0] if cuts else []
-    bounds = np.unique(np.array(found or [], np.int64))
-    shared = spark.sparkContext.broadcast((codes, lengths, bounds))
-
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, lengths, bounds = shared.value
-        for batch in batches:
-            for part in slices(batch, 1, 1 << 23):
-                rows = []
-                for x in part.column(1).to_pylist():
-                    x = unpacked(x)
-                    bits, marks = encode(x, codes, lengths)
-                    rows.append((len(x), zlib.crc32(x.astype("<u4")), marks.astype("<i8").tobytes(), bits))
-                key = part.column(0)
-                bucket = np.where(key.is_null(), 0, np.searchsorted(bounds, key.fill_null(0).to_numpy(), "left")) if len(key) else []
-                yield record_batch(_CODED, pa.array(bucket, pa.int32()), key, *zip(*rows))
+    shared = spark.sparkContext.broadcast((codes, lengths))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, number, rows, total = None, 0, [], 0
+        codes, lengths = shared.value
+        bucket, number, rows, total = TaskContext.get().partitionId(), 0, [], 0
 
         def block() -> pa.RecordBatch:
-            size = np.array([len(r[5]) for r in rows], np.int64)
-            return record_batch(_BLOCK, [now], [number], [total], [[r[1] for r in rows]], [[r[2] for r in rows]], [(np.cumsum(size) - size).tolist()], [b"".join(r[4] for r in rows)], [b"".join(r[5] for r in rows)])
+            size = np.array([len(bits) for *_, bits in rows], np.int64)
+            return record_batch(_BLOCK, [bucket], [number], [total], [[r[0] for r in rows]], [[r[1] for r in rows]], [(np.cumsum(size) - size).tolist()], [b"".join(r[2] for r in rows)], [b"".join(r[3] for r in rows)])
 
         for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns)):
-                if rows and (r[0] != now or total + r[2] > BLOCK_TOKENS):
+            for key, n, x in zip(*(c.to_pylist() for c in batch.columns)):
+                if rows and total + n > BLOCK_TOKENS:
                     yield block()
-                    number = number + 1 if r[0] == now else 0
-                    rows, total = [], 0
-                now = r[0]
-                rows.append(r)
-                total += r[2]
+                    number, rows, total = number + 1, [], 0
+                bits, marks = encode(unpacked(x), codes, lengths)
+                rows.append((key, n, marks.astype("<i8").tobytes(), bits))
+                total += n
         if rows:
             yield block()
 
-    dealt = arrow_map(ids, coded, ddl(_CODED)).repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions(F.asc_nulls_first("id"), "n", "crc")
+    parts = max(1, int(counts.sum()) // range_tokens)
+    order = [F.asc_nulls_first("id"), F.asc("n"), F.asc("crc"), F.asc("_row")]  # rows that only _row tells apart are the same in the files
+    ids = found.where("counts IS NULL").withColumn("_row", F.monotonically_increasing_id())
+    dealt = ids.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("id", "n", "ids")
     arrow_map(dealt, blocks, ddl(_BLOCK)).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     shared.unpersist()
 
@@ -257,8 +259,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return arrow_map(rows, run, ddl(_READ))
 
 
-def token_file_digests(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
+def token_file_digests(docs: DataFrame, tokenizer: str, end_id: int = 0, range_tokens: int = RANGE_TOKENS) -> DataFrame:
     """Write the token files of docs to the shared folder and read them back."""
     path = scratch_path(docs.sparkSession, "tokens")
-    write_token_files(docs, path, tokenizer, end_id)
+    write_token_files(docs, path, tokenizer, end_id, range_tokens=range_tokens)
     return read_token_files(docs.sparkSession, path)
