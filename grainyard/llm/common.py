@@ -10,6 +10,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +52,14 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until df has no such column."""
+    lead = "_"
+    while any(f"{lead}{n}".lower() in map(str.lower, df.columns) for n in names):
+        lead += "_"
+    return [lead + n for n in names]
+
+
 def crc_mod(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(n))
@@ -69,12 +78,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, text: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """The batch cut into runs of rows with about `most` bytes of text; a longer text is alone."""
+def slices(batch: pa.RecordBatch, text: int, most: int = 1 << 21, most_rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The batch cut into runs of most_rows rows at most with about `most` bytes of text; a longer text is alone."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64)
     first, total = 0, 0
     for i, n in enumerate(sizes.tolist()):
-        if i > first and total + n > most:
+        if i > first and (total + n > most or i - first >= most_rows):
             yield batch.slice(first, i - first)
             first, total = i, 0
         total += n
@@ -106,24 +115,6 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray) -> tuple[
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-MULTIPLIER = 0x9E3779B97F4A7C15 | 1
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> list[np.ndarray]:
-    """MULTIPLIER and its inverse modulo 2**64, to the powers 0 to n - 1."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((MULTIPLIER, pow(MULTIPLIER, -1, 1 << 64))):
-            table, have = np.empty(n, np.uint64), 1
-            table[0] = 1
-            while have < n:
-                more = min(have, n - have)
-                table[have : have + more] = table[:more] * np.uint64(pow(base, have, 1 << 64))
-                have += more
-            _powers[k] = table
-    return _powers
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection that spreads 64-bit values over all bits."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -131,18 +122,28 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def span_hashes(lowered: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes: a polynomial modulo 2**64, mixed with the length."""
-    power, inverse = _power_tables(len(lowered) + 1)
-    sums = np.zeros(len(lowered) + 1, np.uint64)
-    np.cumsum((lowered.astype(np.uint64) + np.uint64(1)) * power[: len(lowered)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+#: Spans of more bytes are hashed one by one.
+LONG = 64
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
-def hash_of_bytes(word: bytes) -> int:
-    """span_hashes for one word."""
-    data = np.frombuffer(word, np.uint8)
-    return int(span_hashes(data, np.zeros(1, np.int64), np.full(1, len(data)))[0])
+def span_hashes(lowered: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes: its length, then eight bytes at a time mixed in, all spans side by side; XXH64 for spans
+    of over LONG bytes. Spans of one length of at most eight bytes never share a hash."""
+    padded = np.r_[lowered, np.zeros(8, np.uint8)]
+    eight = np.ndarray(len(lowered) + 1, "<u8", padded, strides=(1,))  # those that begin at each byte
+    size = ends - starts
+    out = size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    live = np.flatnonzero((size > 0) & (size <= LONG))
+    for k in range(0, LONG, 8):
+        w = eight[starts[live] + k] & _KEEP[np.minimum(size[live] - k, 8)]
+        out[live] = mixed(out[live] + w * np.uint64(0x9E3779B97F4A7C15))
+        live = live[size[live] > k + 8]
+        if not len(live):
+            break
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = xxhash.xxh64_intdigest(padded[starts[i] : ends[i]])
+    return out
 
 
 def ngram_hashes(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

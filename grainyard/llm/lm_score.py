@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, WORD_SPLIT, arrow_map, ascii_lower, crc_mod, record_batch, slices, span_hashes, text_bytes, word_spans, written
+from .common import SPACES, WORD_SPLIT, arrow_map, ascii_lower, crc_mod, mixed, record_batch, slices, span_hashes, text_bytes, word_spans, written
 
 #: Stands for the hash of a text's end.
 END = 0x1D8E4E27C47D124F
@@ -84,12 +84,14 @@ def bucket_of(count: np.ndarray) -> np.ndarray:
 
 def learn_weights(bucket: np.ndarray, n: np.ndarray, f: np.ndarray, rounds: int = 60) -> np.ndarray:
     """Mixture weights (uniform, unigram, bigram) of the 64 buckets, by EM on n tokens with estimates f (a row each). One token is
-    added to each weight of a bucket, so that none is zero."""
-    weight = np.full((64, 3), 1 / 3)
-    for _ in range(rounds):
+    added to each weight of a bucket, so that none is zero, but for the bigrams of bucket 0: a context that never occurs has none."""
+    some = np.ones((64, 3))
+    some[0, 2] = 0
+    weight = some / some.sum(1, keepdims=True)
+    for _ in range(rounds if len(n) else 0):
         part = weight[bucket] * f
         part *= (n / part.sum(1))[:, None]
-        new = np.stack([np.bincount(bucket, part[:, k], 64) for k in range(3)], 1) + 1
+        new = np.stack([np.bincount(bucket, part[:, k], 64) for k in range(3)], 1) * some + some
         new /= new.sum(1, keepdims=True)
         if np.abs(new - weight).max() < 1e-6:
             break
@@ -117,8 +119,8 @@ def weights_of(rows: DataFrame, size: int) -> np.ndarray:
     """Mixture weights from rows of cells; at most 64 x (8 x 64)^2 cells reach the driver, whatever the input."""
     got = rows.groupBy("bucket", "i1", "i2").agg(F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2")).orderBy("bucket", "i1", "i2").toArrow()
     bucket, i1, i2, n, s1, s2 = (got[c].to_numpy() for c in ("bucket", "i1", "i2", "n", "s1", "s2"))
-    if not len(n):
-        return np.full((64, 3), 1 / 3)
+    if not size:  # nothing was learnt: all words are the unknown one
+        return np.tile([1.0, 0.0, 0.0], (64, 1))
     f = np.stack([np.full(len(n), 1 / (size + 1)), np.where(i1 > -10_000, 2 ** (s1 / n), 0), np.where(i2 > -10_000, 2 ** (s2 / n), 0)], 1)
     return learn_weights(bucket, n, f)
 
@@ -210,6 +212,7 @@ def _entries(rows: DataFrame, shared, head: int, parts: int) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary: Vocabulary = shared.value
         v, block = vocabulary.n, TaskContext.get().partitionId() << 24
+        home = lambda b: int(mixed(np.array([b], np.uint64))[0]) % parts  # noqa: E731  the task that puts a block's scores together
         for batch in batches:
             for part in slices(batch, 1):
                 h, row, first = sequences(part.column(1))
@@ -235,7 +238,7 @@ def _entries(rows: DataFrame, shared, head: int, parts: int) -> DataFrame:
                 never = (vocabulary.counts[word] == 0) | (vocabulary.counts[context] == 0)
                 near &= ~never
                 here = [pack(*(x[m] for x in (key, doc, times)), flag) for m in (near, never)]
-                out = [(HEAD, block % parts, block, pack(*here)), (DOCS, block % parts, block, info)]
+                out = [(HEAD, home(block), block, pack(*here)), (DOCS, home(block), block, info)]
                 far = ~(near | never)
                 key, doc, times = key[far], doc[far], times[far]
                 dest = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts
@@ -347,7 +350,7 @@ def _partial_scores(shared, pairs, weights: np.ndarray, head: int, parts: int):
                 seen, back = np.unique(text, return_inverse=True)
                 value = np.bincount(back, value, len(seen))
                 block, doc = blocks[seen >> 16], (seen & 0xFFFF).astype(np.uint16)
-                to = block % parts
+                to = (mixed(block.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
                 edge = np.searchsorted(to[order], np.arange(parts + 1))
                 some = np.flatnonzero(np.diff(edge)).tolist()

@@ -93,7 +93,7 @@ class PieceTable:
             return starts
         offsets = np.r_[starts, len(data)].astype(np.int32)  # a slice, or one string, which Spark keeps under 2 GB
         found = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
-        pieces = found.dictionary.to_pylist()
+        pieces = byte_strings(found.dictionary)
         new = [p for p in pieces if p not in self.place]
         more = sum(map(len, new))
         if self.place and (len(self.place) + len(new) > self.most or self.bytes + more > self.most_bytes):
@@ -121,6 +121,14 @@ class PieceTable:
         return self.flat[np.repeat(self.at[rows] - np.cumsum(size) + size, size) + np.arange(size.sum())]
 
 
+def byte_strings(column: pa.Array) -> list[bytes]:
+    """The values of a binary column without nulls."""
+    _, offsets, data = column.buffers()
+    edge = np.frombuffer(offsets, np.int32, len(column) + 1, column.offset * 4).tolist()
+    data = data.to_pybytes() if data is not None else b""
+    return [data[a:b] for a, b in zip(edge, edge[1:])]
+
+
 def grown(x: np.ndarray, n: int) -> np.ndarray:
     """x with room for n entries: doubled until it has."""
     while len(x) < n:

@@ -1,7 +1,7 @@
 """Token-id output: canonical length-limited Huffman codes from global counts, in independent blocks.
 
 A block holds the code bits of a run of documents in ascending id order, each from a whole byte on, and checkpoints: the bit
-offset of every CHECKPOINT-th symbol of each document. All stretches between checkpoints are decoded side by side, a table
+offset of every CHECKPOINT-th symbol of each document. A block knows its range of documents and its place (`at`, in ids) there. All stretches between checkpoints are decoded side by side, a table
 look-up a symbol. The files are Parquet: `codebook` (one row: the code length of each id) and `blocks`.
 """
 
@@ -24,6 +24,8 @@ from .pieces import PieceTable, check_special, cuts
 MAX_BITS, CHECKPOINT = 16, 512
 #: A block ends before it would hold more ids; a range of document ids is to have about RANGE_TOKENS.
 BLOCK_TOKENS, RANGE_TOKENS = 1 << 20, 1 << 22
+#: Places of so many ranges, 16 bytes each, are broadcast to readers; those of more are joined.
+MOST_BROADCAST_RANGES = 1 << 20
 
 
 def code_lengths(counts: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
@@ -103,25 +105,46 @@ def decode(bits: np.ndarray, starts: np.ndarray, counts: np.ndarray, table: tupl
 
 
 class Encoder:
-    """Ids of strings by the tokenizers library, for the pieces that a table asks for."""
+    """Ids of pieces by the tokenizers library, for those that a table asks for.
+
+    The library takes pieces one after the other as one text, where their borders are certain: where a piece that begins with one
+    space and another character follows one that doesn't end in white space. The ids' own bytes then tell which piece they are of.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        check_special([t.content for t in self.tokenizer.get_added_tokens_decoder().values()])
+        special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        check_special(list(special.values()))
+        vocabulary = self.tokenizer.get_vocab()
+        self.length = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)  # in bytes: a character is a byte
+        for token, i in vocabulary.items():
+            self.length[i] = len(special[i].encode()) if i in special else len(token)
 
     def make(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        runs = range(0, len(texts), 20_000)
-        ids = [e.ids for i in runs for e in self.tokenizer.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        return size, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
+        runs, now, many = [], [], 0
+        for t in texts:
+            joins = now and many < 1 << 16 and t[0] == " " and len(t) > 1 and not t[1].isspace() and not now[-1][-1].isspace()
+            if not joins:
+                now, many = [], 0
+                runs.append(now)
+            now.append(t)
+            many += len(t)
+        found = [e.ids for i in range(0, len(runs), 4096) for e in self.tokenizer.encode_batch_fast(["".join(r) for r in runs[i : i + 4096]], add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, sum(map(len, found)))
+        ends = np.cumsum(np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts)))
+        reached = np.cumsum(self.length[ids])
+        last = np.searchsorted(reached, ends)
+        if len(texts) and (reached[last] != ends).any():
+            raise ValueError("a token crosses the border of two pieces")
+        return np.diff(last + 1, prepend=0), ids
 
 
 _encoders: dict[str, PieceTable] = {}
 _IDS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("crc", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
-_BLOCK = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("places", pa.list_(pa.int64())), ("marks", pa.binary()), ("bits", pa.binary())])
+_BLOCK = pa.schema([("bucket", pa.int32()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("places", pa.list_(pa.int64())), ("marks", pa.binary()), ("bits", pa.binary())])
 _READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 _DDL = {pa.int64(): "bigint", pa.int32(): "int", pa.binary(): "binary", pa.list_(pa.int64()): "array<bigint>"}
 
@@ -139,7 +162,7 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_co
             _encoders[tokenizer] = PieceTable(Encoder(tokenizer).make)
         table, counts = _encoders[tokenizer], np.zeros(0, np.int64)
         for batch in batches:
-            for part in slices(batch, 1, 1 << 22):
+            for part in slices(batch, 1, 1 << 23):
                 data, offsets = text_bytes(part.column(1))
                 starts, first = cuts(data, offsets)
                 rows = table.of(data, starts)
@@ -203,17 +226,17 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, lengths = shared.value
-        bucket, number, rows, total = TaskContext.get().partitionId(), 0, [], 0
+        bucket, at, rows, total = TaskContext.get().partitionId(), 0, [], 0
 
         def block() -> pa.RecordBatch:
             size = np.array([len(bits) for *_, bits in rows], np.int64)
-            return record_batch(_BLOCK, [bucket], [number], [total], [[r[0] for r in rows]], [[r[1] for r in rows]], [(np.cumsum(size) - size).tolist()], [b"".join(r[2] for r in rows)], [b"".join(r[3] for r in rows)])
+            return record_batch(_BLOCK, [bucket], [at], [total], [[r[0] for r in rows]], [[r[1] for r in rows]], [(np.cumsum(size) - size).tolist()], [b"".join(r[2] for r in rows)], [b"".join(r[3] for r in rows)])
 
         for batch in batches:
             for key, n, x in zip(*(c.to_pylist() for c in batch.columns)):
                 if rows and total + n > BLOCK_TOKENS:
                     yield block()
-                    number, rows, total = number + 1, [], 0
+                    at, rows, total = at + total, [], 0
                 bits, marks = encode(unpacked(x), codes, lengths)
                 rows.append((key, n, marks.astype("<i8").tobytes(), bits))
                 total += n
@@ -235,12 +258,10 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError("the files have other code lengths or checkpoints")
     lengths = np.frombuffer(bytes(head.lengths), np.uint8)
     kept = spark.read.schema(ddl(_BLOCK)).parquet(f"{path}/blocks")
-    sums = kept.groupBy("bucket").agg(F.sum("n_tokens").alias("sum"))  # a row a range of ids
+    sums = written(kept.groupBy("bucket").agg(F.sum("n_tokens").alias("sum")), "ranges")  # a row a range of ids
     before = sums.select("bucket", (F.sum("sum").over(Window.orderBy("bucket")) - F.col("sum")).alias("before"))
-    small = kept.select("bucket", "block", "n_tokens").join(before, "bucket")
-    order = Window.partitionBy("bucket").orderBy("block")
-    starts = small.select("bucket", "block", (F.col("before") + F.sum("n_tokens").over(order) - F.col("n_tokens")).alias("start"))
-    rows = kept.join(starts, ["bucket", "block"]).select("start", "ids", "counts", "places", "marks", "bits")
+    small = sums.count() <= MOST_BROADCAST_RANGES
+    rows = kept.join(F.broadcast(before) if small else before, "bucket").select((F.col("before") + F.col("at")).alias("start"), "ids", "counts", "places", "marks", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = decode_table(lengths)

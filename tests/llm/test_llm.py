@@ -142,6 +142,64 @@ def test_decontamination(spark, docs, rows):
     assert kept.columns == docs.columns and kept.count() == sum(i not in {x[0] for x in want} for i, _ in rows)
 
 
+def brute_scores(tokens, want):
+    """Deleted interpolation token by token in plain Python, scores in the order of `want`."""
+
+    def counts(parts):
+        one, two, before = Counter(), Counter(), Counter()
+        for _, p, x in tokens:
+            if p in parts:
+                for a, b in zip([None, *x], x):
+                    one[b] += 1
+                    two[a, b] += 1
+                    before[a] += 1
+        return one, two, before
+
+    whole, left = counts({0, 1, 3, 4, 5, 6}), counts({0, 1, 4, 5, 6})
+    left_total, whole_total, size = sum(left[0].values()), sum(whole[0].values()), len(whole[0])
+    held = Counter((a, b) for _, p, x in tokens if p == 3 for a, b in zip([None, *x], x))
+    weight = {}
+    seen = {}
+    for (a, b), n in held.items():
+        bucket = left[2][a].bit_length()
+        f = (1 / (size + 1), left[0][b] / left_total, left[1][a, b] / left[2][a] if left[2][a] else 0)
+        seen.setdefault(bucket, []).append((n, f))
+    for bucket in range(64):
+        some = [1, 1, 1 if bucket else 0]
+        w = [x / sum(some) for x in some]
+        for _ in range(60):
+            new = [float(x) for x in some]
+            for n, f in seen.get(bucket, []):
+                part = [x * y for x, y in zip(w, f)]
+                for k in range(3):
+                    new[k] += n * part[k] / sum(part)
+            w = [x / sum(new) for x in new]
+        weight[bucket] = w
+    found = {}
+    for i, _, x in tokens:
+        s = 0.0
+        for a, b in zip([None, *x], x):
+            w = weight[whole[2][a].bit_length()]
+            s += math.log10(w[0] / (size + 1) + w[1] * whole[0][b] / whole_total + w[2] * (whole[1][a, b] / whole[2][a] if whole[2][a] else 0))
+        found.setdefault((i, len(x)), []).append(s)
+    return [found[r[0], r[2]][0] for r in want]
+
+
+def test_lm_scores_of_large_arrow_batches(spark):
+    docs = spark.createDataFrame([(i, "a b" if i % 3 else "a c d") for i in range(1000)], "doc_id bigint, text string")
+    many = docs.crossJoin(spark.range(80)).select((F.col("doc_id") * 80 + F.col("id")).alias("doc_id"), "text").coalesce(1)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old, found = spark.conf.get(name), []
+    try:
+        for n in ("100000", "1000"):
+            spark.conf.set(name, n)
+            found.append(sorted(tuple(r) for r in lm_score.lm_scores(many).select("doc_id", "score").collect()))
+    finally:
+        spark.conf.set(name, old)
+    assert [i for i, _ in found[0]] == [i for i, _ in found[1]] and np.allclose(found[0], found[1])
+    assert len({round(s, 6) for _, s in found[0]}) == 2
+
+
 def test_lm_scores(docs, rows):
     first = sorted(map(tuple, lm_score.lm_scores(docs, head=32).collect()), key=key)
     second = sorted(map(tuple, lm_score.lm_scores(docs, max_words=0).collect()), key=key)
@@ -154,6 +212,7 @@ def test_lm_scores(docs, rows):
         assert [r[:5] for r in got] == [r[:5] for r in want]
         assert np.allclose([r[5] for r in got], [r[5] for r in want])
     assert np.allclose([r[6] for r in first], [r[6] for r in second])
+    assert np.allclose([r[6] for r in first], brute_scores([(i, p, x) for i, p, x in tokens], want), rtol=2e-3)
     held = [r for r in first if r[1]]
     assert sum(r[6] for r in held) > sum(r[5] for r in held)
     assert lm_score.lm_scores(docs.limit(0)).count() == 0
