@@ -30,8 +30,8 @@ aggregate(
 MOST_BUCKET_BITS, MOST_RESOLUTION = 20, 100_000
 
 
-def mixed_sources(docs: DataFrame, weights: dict[str, float] | None = None, block: int = 32, resolution: int = 1000, max_sources: int = 4096, bucket_rows: int = 256, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """docs with mix_slot, mix_rank (place in its block) and mix_position (0, 1, ... in the mixed order) as last columns.
+def mixed_sources(docs: DataFrame, weights: dict[str, float] | None = None, block: int = 32, resolution: int = 1000, max_sources: int = 4096, bucket_rows: int = 256, id_col: str = "doc_id", source_col: str = "source", names: tuple[str, str, str] = ("mix_slot", "mix_rank", "mix_position")) -> DataFrame:
+    """docs with mix_slot, mix_rank (place in its block) and mix_position (0, 1, ... in the mixed order) as last columns, or as `names`.
 
     weights: target weights by source; a source that it doesn't name gets the smallest one named. Without it, weights are the square
     roots of the sources' row counts. Shares are rounded to 1 / resolution, one unit at least; the resolution is raised until the
@@ -44,7 +44,7 @@ def mixed_sources(docs: DataFrame, weights: dict[str, float] | None = None, bloc
     A hot source is numbered in ranges of its hashes, about bucket_rows rows each. More than max_sources sources are an error: the
     period's schedule, a row a slot, is broadcast.
     """
-    docs = docs.drop("mix_slot", "mix_rank", "mix_position")
+    docs = docs.drop(*names)
     key, h, bucket, n = free_names(docs, "mk", "mh", "mb", "mn")
     bits = min(max(0, docs.count() // bucket_rows).bit_length(), MOST_BUCKET_BITS)
     digest = F.md5(F.concat(F.lit("mix|"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
@@ -62,7 +62,7 @@ def mixed_sources(docs: DataFrame, weights: dict[str, float] | None = None, bloc
     bk, nth, slot, start = free_names(placed, "bk", "bn", "bs", "bp")
     wide = placed.join(blocks.toDF(bk, nth, slot, start), (F.col(key) == F.col(bk)) & (F.floor(F.col(n) / block) == F.col(nth)))
     rank = F.pmod(F.col(n), F.lit(block))
-    return wide.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(slot).alias("mix_slot"), rank.cast("int").alias("mix_rank"), (F.col(start) + rank).alias("mix_position"))
+    return wide.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(slot).alias(names[0]), rank.cast("int").alias(names[1]), (F.col(start) + rank).alias(names[2]))
 
 
 def _units(counts: DataFrame, weights: dict[str, float] | None, resolution: int, max_sources: int) -> DataFrame:

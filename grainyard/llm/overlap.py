@@ -1,29 +1,39 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles.
+"""SimHash near-duplicates at a Jaccard similarity of word shingles, through forests of BK-trees.
 
-Candidates share one of the bands of a MinHash signature. Of two sets of similarity s, they share none with chance
-(1 - s ** ROWS) ** BANDS: 3 in a million at 0.8, less above. Each candidate pair is verified on the whole shingle sets.
-Candidates come in two rounds, so that a large group of copies of one text doesn't make all of its pairs: first every set with
-the smallest of its band, then, of the sets that verified links left apart, all pairs that share a band.
+Two sets of similarity 0.8 differ in about 15 % of their SimHash bits, so no block of bits is sure to agree. Fingerprints of 256 bits
+are therefore dealt into shards by many fixed choices of their bits: a pair misses all of them with a chance of MISS at 0.8, and less
+above. Each shard is a BK-tree over the first 128 bits, children keyed by their integer Hamming distance to the parent; only edges
+within the radius are followed. Candidates are verified on the whole shingle sets.
+
+Candidates come in two rounds, so that a large group of copies of one text doesn't make all of its pairs: first every set with the
+node of the tree within the radius that it meets on its way down (it then isn't put into the tree), and such nodes with each other;
+then, of the sets that verified links left apart, those that share a shard, within the radius of all 256 bits.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, arrow_map, mixed, ngram_hashes, record_batch, slices, span_hashes, text_bytes, word_spans, written
-from .simhash import components
+from .common import SPACES, arrow_map, free_names, mixed, ngram_hashes, record_batch, slices, span_hashes, text_bytes, word_spans, written
+from .simhash import bk_forest, bk_search, components
 
-BANDS, ROWS = 32, 5
-#: The least share of equal bytes of two signatures for a pair of the second round: 0.8 less about 5 standard deviations.
-ALIKE = 0.64
-_FACTORS = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_SETS = pa.schema([("id", pa.int64()), ("text", pa.string()), ("own", pa.int64()), ("keys", pa.list_(pa.int64())), ("signature", pa.binary())])
+WORDS = 4  # of 64 bits in a fingerprint
+#: Radii on the first 128 and on all 256 bits, about four standard deviations over the mean distance of sets of similarity 0.8.
+RADIUS, WIDE_RADIUS = 36, 60
+#: The chance that a bit differs at 0.8 (the angle between the sets over pi), with a standard deviation of 256 bits added.
+DIFFERS, MISS = 0.174, 0.001
+SHARD = 64
+_SEEDS = np.random.default_rng(6).integers(0, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
+_SETS = pa.schema([("id", pa.int64()), ("text", pa.string()), ("own", pa.int64()), ("fp", pa.binary())])
+_KEYED = pa.schema([("key", pa.int64()), ("own", pa.int64()), ("fp", pa.binary())])
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_SHARED = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
 def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,13 +59,25 @@ def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(row, np.arange(len(column) + 1))
 
 
-def signatures(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """One row a set, none of them empty: the least of each permutation of its hashes."""
-    return np.stack([np.minimum.reduceat(h * a, first[:-1]) for a in _FACTORS], 1)
+def wide_fingerprints(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A row of 8 * WORDS bytes a set, none of them empty: a bit is 1 if it is set in over half of the set's hashes, each
+    mixed anew for every 64 bits. Bits are counted eight side by side in the bytes of one number, for 255 hashes at a time."""
+    size = np.diff(first)
+    runs = -(-size // 255)
+    run = np.cumsum(runs) - runs
+    begin = np.repeat(first[:-1], runs) + 255 * (np.arange(runs.sum()) - np.repeat(run, runs))
+    out = np.zeros((len(size), 64 * WORDS), bool)
+    for j, seed in enumerate(_SEEDS):
+        v = mixed(h * seed)
+        for b in range(8):
+            lanes = np.add.reduceat((v >> np.uint64(b)) & np.uint64(0x0101010101010101), begin)
+            counts = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8).astype(np.int64), run, axis=0)
+            out[:, 64 * j + b : 64 * j + 64 : 8] = counts * 2 > size[:, None]
+    return np.packbits(out, axis=1, bitorder="little")
 
 
 def marked_sets(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, own, keys, signature) for each row: `own` names its shingle set (64 bits), keys its bands."""
+    """(id, text, own, fp) for each row: `own` names its shingle set (64 bits), fp is the set's fingerprint, empty for the empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,47 +87,106 @@ def marked_sets(docs: DataFrame, width: int, id_col: str, text_col: str) -> Data
                 sums = np.r_[np.uint64(0), np.cumsum(mixed(h))]
                 own = (sums[first[1:]] - sums[first[:-1]]).view(np.int64)
                 some = np.flatnonzero(size)
-                keys, marks = [[]] * len(size), [b""] * len(size)
+                marks = [b""] * len(size)
                 if len(some):
-                    low = signatures(h, np.r_[first[:-1][some], len(h)])
-                    for i, sig in zip(some.tolist(), (mixed(low) & np.uint64(255)).astype(np.uint8)):
-                        marks[i] = sig.tobytes()
-                    band = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[None], len(some), 0)
-                    for k in range(ROWS):
-                        band = mixed(band * np.uint64(0x9E3779B97F4A7C15) + low[:, k::ROWS])
-                    for i, x in zip(some.tolist(), band.view(np.int64)):
-                        keys[i] = x
-                yield record_batch(_SETS, part.column(0), part.column(1).cast(pa.string()), own, keys, marks)
+                    raw, n = wide_fingerprints(h, np.r_[first[:-1][some], len(h)]).tobytes(), 8 * WORDS
+                    for k, i in enumerate(some.tolist()):
+                        marks[i] = raw[n * k : n * k + n]
+                yield record_batch(_SETS, part.column(0), part.column(1).cast(pa.string()), own, marks)
+
+    return arrow_map(docs.select(F.col(id_col).cast("bigint").alias("id"), text_col), run, "id bigint, text string, own bigint, fp binary")
+
+
+def bit_choices(n: int) -> np.ndarray:
+    """Fixed choices of fingerprint bits, a row each: as many bits as leave about SHARD of n fingerprints in a shard by chance, and as
+    many choices as keep the chance that similar sets agree on none below MISS."""
+    bits = min(max(8, math.ceil(math.log2(max(n, 1) / SHARD))), 40)
+    count = math.ceil(math.log(MISS) / math.log(1 - (1 - DIFFERS) ** bits))
+    rng = np.random.default_rng(bits)
+    return np.stack([rng.choice(64 * WORDS, bits, replace=False) for _ in range(count)])
+
+
+def as_numbers(column: pa.Array, words: int) -> np.ndarray:
+    """Binary values of 8 * words bytes, a row each."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.int64).reshape(-1, words)
+
+
+def shard_rows(each: DataFrame, choices: np.ndarray) -> DataFrame:
+    """(key, own, fp): one row a set and choice; fp is cut to its first 128 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.uint64(1) << np.arange(choices.shape[1], dtype=np.uint64)
+        for batch in batches:
+            for i in range(0, len(batch), 2048):
+                part = batch.slice(i, 2048)
+                fp = as_numbers(part.column(1), WORDS)
+                bits = np.unpackbits(fp.view(np.uint8), axis=1, bitorder="little")
+                near = pa.array([x.tobytes() for x in fp[:, :2]], pa.binary())
+                for t in range(0, len(choices), 64):
+                    some = choices[t : t + 64]
+                    key = mixed((bits[:, some] * place).sum(2, dtype=np.uint64) * np.uint64(1 << 12) + np.arange(t, t + len(some), dtype=np.uint64)).view(np.int64)
+                    row = np.repeat(np.arange(len(part)), len(some))
+                    yield record_batch(_KEYED, key.ravel(), part.column(0).take(pa.array(row)), near.take(pa.array(row)))
 
-    return arrow_map(docs.select(F.col(id_col).cast("bigint").alias("id"), text_col), run, "id bigint, text string, own bigint, keys array<bigint>, signature binary")
+    return arrow_map(each.select("own", "fp"), run, "key bigint, own bigint, fp binary")
 
 
-def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one band, of different labels and like signatures. Columns: key, own, label, signature."""
+def _shards(batches: Iterator[pa.RecordBatch], words: int) -> tuple[np.ndarray, ...] | None:
+    """Columns of all batches (key, own, fingerprints, and any more), ordered by key and then own, without shards of one."""
     parts = [b for b in batches if len(b)]
     if not parts:
-        return
-    rows = pa.Table.from_batches(parts)
-    key, own, label = (rows.column(i).to_numpy() for i in range(3))
-    sig = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint8).reshape(len(key), -1)
+        return None
+    key, own = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in parts]) for i in range(2))
+    fp = np.concatenate([as_numbers(b.column(2), words) for b in parts])
+    more = [np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in parts]) for i in range(3, parts[0].num_columns)]
     order = np.lexsort((own, key))
-    key, own, label, sig = key[order], own[order], label[order], sig[order]
-    edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-    found, held = [], 0
-    for i, end in zip(edge[:-1].tolist(), edge[1:].tolist()):
-        for x in range(i, end - 1):
-            other = np.flatnonzero(label[x + 1 : end] != label[x]) + x + 1
-            for at in range(0, len(other), 1 << 16):
-                some = other[at : at + (1 << 16)]
-                some = some[(sig[some] == sig[x]).mean(1) >= ALIKE]
-                if len(some):
-                    found.append(np.stack([own[some], np.full(len(some), own[x])]))
-                    held += len(some)
-                if held >= 1 << 16:
-                    yield record_batch(_LINK, *np.concatenate(found, 1))
-                    found, held = [], 0
-    if held:
-        yield record_batch(_LINK, *np.concatenate(found, 1))
+    shard = np.cumsum(np.r_[False, key[order][1:] != key[order][:-1]])
+    order = order[np.bincount(shard)[shard] > 1]
+    return tuple(x[order] for x in (key, own, fp, *more))
+
+
+def _first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, a, b): sets of one shard within the radius, a of them linked to a node of the tree."""
+    got = _shards(batches, 2)
+    if not got or not len(got[0]):
+        return
+    key, own, fp = got
+    root, edges, children, taken, by = bk_forest(fp, key, RADIUS)
+    yield from _pairs(key, own, taken, by)
+    nodes = np.setdiff1d(np.arange(len(fp)), taken, assume_unique=True)
+    for a, b in bk_search(fp, (root, edges, children), RADIUS, items=nodes):
+        some = own[a] > own[b]
+        yield from _pairs(key, own, a[some], b[some])
+
+
+def _pairs(key: np.ndarray, own: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(a), 1 << 16):
+        x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
+        yield record_batch(_SHARED, key[x], own[x], own[y])
+
+
+def _second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): sets of one shard and of different labels within the wide radius. Columns: key, own, fp, label."""
+    got = _shards(batches, WORDS)
+    if not got or not len(got[0]):
+        return
+    key, own, fp, label = got
+    shard = np.cumsum(np.r_[False, key[1:] != key[:-1]])
+    # of each shard all labels but the most frequent one search: one of any two labels does
+    order = np.lexsort((label, shard))
+    edge = np.flatnonzero(np.r_[True, (shard[order][1:] != shard[order][:-1]) | (label[order][1:] != label[order][:-1])])
+    size = np.diff(np.r_[edge, len(order)])
+    of = shard[order][edge]
+    best = np.lexsort((size, of))[np.flatnonzero(np.r_[np.sort(of)[1:] != np.sort(of)[:-1], True])]
+    main = np.zeros(len(of), bool)
+    main[best] = True
+    items = np.sort(order[~np.repeat(main, size)])
+    for a, b in bk_search(fp, bk_forest(fp, key)[:3], WIDE_RADIUS, items=items):
+        some = label[a] != label[b]
+        x, y = own[a[some]], own[b[some]]
+        if len(x):
+            pair = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)]), axis=1)
+            yield record_batch(_LINK, *pair)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, width: int, threshold: float) -> DataFrame:
@@ -128,27 +209,55 @@ def verified(pairs: DataFrame, sets: DataFrame, width: int, threshold: float) ->
     return arrow_map(both, run, "a bigint, b bigint")
 
 
-def similar(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a row of docs: id (bigint), component_id.
-
-    Rows are linked if their sets of width-word shingles have a Jaccard similarity of at least threshold (0.8 or more: the bands
-    are made for that), or are equal, as those of texts without words are. component_id is the smallest id that links reach; a
-    null id never names one, and a component of null ids alone has null.
-    """
+def _groups(docs: DataFrame, width: int, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Two tables: (id, text, own), a row a row of docs, and (own, label, lead), a row a set: sets that links join have one label;
+    lead is the set's first row, as (no id, id, hash of the text)."""
     if threshold < 0.8:
-        raise ValueError("the bands cover similarities from 0.8 on")
+        raise ValueError("the choices of bits cover similarities from 0.8 on")
     sets = written(marked_sets(docs, width, id_col, text_col), "sets")
-    each = written(sets.groupBy("own").agg(F.min("id").alias("first"), F.min_by(F.struct("keys", "signature"), F.length("signature")).alias("m")).select("own", "first", "m.*"), "each")
-    keyed = each.select(F.explode("keys").alias("key"), "own")
-    lead = keyed.groupBy("key").agg(F.min("own").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = written(keyed.join(lead, "key"), "shared")
-    near = written(verified(written(shared.where("own <> b").select(F.col("own").alias("a"), "b").distinct(), "pairs"), sets, width, threshold), "near")
+    lead = F.struct(F.col("id").isNull().alias("none"), "id", text_mark(F.col("text")).alias("mark"))
+    each = written(sets.groupBy("own").agg(F.min(lead).alias("lead"), F.max("fp").alias("fp")), "each")
+    some = each.where(F.length("fp") > 0)
+    keyed = shard_rows(some, bit_choices(some.count()))
+    shared = written(arrow_map(keyed.repartition("key"), _first_round, "key bigint, a bigint, b bigint"), "shared")
+    near = written(verified(written(shared.select("a", "b").distinct(), "pairs"), sets, width, threshold), "near")
     star = components(near).toDF("own", "label")
-    label = written(shared.select("key", "own").join(star, "own", "left").withColumn("label", F.coalesce("label", "own")), "labels")
+    members = shared.select("key", F.explode(F.array("a", "b")).alias("own")).distinct()
+    label = written(members.join(star, "own", "left").withColumn("label", F.coalesce("label", "own")), "labels")
     split = label.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
-    rest = label.join(split, "key").join(each.select("own", "signature"), "own").select("key", "own", "label", "signature")
-    more = written(arrow_map(rest.repartition("key"), _apart, "a bigint, b bigint").distinct(), "pairs")
+    rest = label.join(split, "key").join(each.select("own", "fp"), "own").select("key", "own", "fp", "label")
+    more = written(arrow_map(rest.repartition("key"), _second_round, "a bigint, b bigint").distinct(), "pairs")
     links = near.union(verified(more.join(near, ["a", "b"], "left_anti"), sets, width, threshold))
-    named = each.select("own", "first").join(components(links).toDF("own", "label"), "own", "left").withColumn("label", F.coalesce("label", "own"))
-    least = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    return sets.select("id", "own").join(named.join(least, "label").select("own", "component_id"), "own").select(F.col("id").alias(id_col), "component_id")
+    named = each.select("own", "lead").join(components(links).toDF("own", "label"), "own", "left").withColumn("label", F.coalesce("label", "own"))
+    return sets, written(named, "groups")
+
+
+def text_mark(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def similar(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a row of docs: id (bigint), component_id.
+
+    Rows are linked if their sets of width-word shingles have a Jaccard similarity of at least threshold (0.8 or more: the choices
+    of bits and the radii are made for that), or are equal, as those of texts without words are. component_id is the smallest id
+    that links reach; a null id never names one, and a component of null ids alone has null. Nulls: a null text counts as empty.
+    Repeated rows give repeated rows; texts of any length count whole; other columns are not carried, whatever their names. An
+    empty table gives an empty one.
+    """
+    sets, groups = _groups(docs, width, threshold, id_col, text_col)
+    least = groups.groupBy("label").agg(F.min("lead.id").alias("component_id"))
+    named = groups.join(least, "label").select("own", "component_id")
+    return sets.select("id", "own").join(named, "own").select(F.col("id").alias(id_col), "component_id")
+
+
+def representatives(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group that `similar` links: the one of smallest id, null last; of several with that id the one whose
+    text has the smallest hash; of rows equal in id and text any one. All columns are kept, whatever their names."""
+    _, groups = _groups(docs, width, threshold, id_col, text_col)
+    ident, mark, own = free_names(docs, "kept_id", "kept_mark", "own_mark")
+    kept = groups.groupBy("label").agg(F.min("lead").alias("lead")).select(F.col("lead.id").alias(ident), F.col("lead.mark").alias(mark))
+    marked = docs.withColumn(own, text_mark(F.col(f"`{text_col}`")))
+    same = F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col(ident)) & (F.col(own) == F.col(mark))
+    once = marked.join(kept, same, "left_semi").dropDuplicates([id_col, own])
+    return once.select(*[F.col(f"`{c}`") for c in docs.columns])

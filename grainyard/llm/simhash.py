@@ -78,20 +78,34 @@ def shard_keys(fp: Column, m: int, radius: int) -> Column:
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count((a ^ b).view(np.uint64)).astype(np.int64)
+    """Differing bits of fingerprints: 64-bit numbers, or rows of several."""
+    bits = np.bitwise_count((a ^ b).view(np.uint64)).astype(np.int64)
+    return bits if bits.ndim == 1 else bits.sum(1)
 
 
-def bk_forest(fp: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One BK-tree a shard (ids ascending, members side by side). Returns each item's root, and sorted edge keys
-    parent * 65 + distance with the child of each. Items descend side by side: of those that reach the same place, the first
-    becomes the child there and the others go on below it."""
+def edge_span(fp: np.ndarray) -> int:
+    """One more than the largest distance: an edge's key is its parent times this, and the distance."""
+    return 64 * (1 if fp.ndim == 1 else fp.shape[1]) + 1
+
+
+def bk_forest(fp: np.ndarray, shard: np.ndarray, absorb: int = -1) -> tuple[np.ndarray, ...]:
+    """One BK-tree a shard (members side by side). Returns each item's root, sorted edge keys with the child of each, and the items
+    that a node took with that node. Items descend side by side: of those that reach the same place, the first becomes the child there
+    and the others go on below it; an item that meets a node within `absorb` is taken by it and doesn't enter the tree."""
     root = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
     root = np.repeat(root, np.diff(np.r_[root, len(shard)]))
     item = np.flatnonzero(root != np.arange(len(fp)))
-    at = root[item]
-    keys, children = [], []
+    at, span = root[item], edge_span(fp)
+    none = np.zeros(0, np.int64)
+    keys, children, taken, by = [none], [none], [none], [none]
     while len(item):
-        edge = at * 65 + distance(fp[item], fp[at])
+        d = distance(fp[item], fp[at])
+        near = d <= absorb
+        taken.append(item[near])
+        by.append(at[near])
+        item, edge = item[~near], (at * span + d)[~near]
+        if not len(item):
+            break
         order = np.argsort(edge, kind="stable")
         edge, item = edge[order], item[order]
         new = np.r_[True, edge[1:] != edge[:-1]]
@@ -99,25 +113,30 @@ def bk_forest(fp: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray
         children.append(item[new])
         at = np.repeat(item[new], np.diff(np.r_[np.flatnonzero(new), len(item)]))[~new]
         item = item[~new]
-    key, child = np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros(0, np.int64), *children])
+    key, child = np.concatenate(keys), np.concatenate(children)
     order = np.argsort(key, kind="stable")
-    return root, key[order], child[order]
+    return root, key[order], child[order], np.concatenate(taken), np.concatenate(by)
 
 
-def bk_search(fp: np.ndarray, forest: tuple[np.ndarray, np.ndarray, np.ndarray], radius: int, batch: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (item, other item of its tree within the radius), a batch of items and a level of the trees at a time."""
+def bk_search(fp: np.ndarray, forest: tuple[np.ndarray, np.ndarray, np.ndarray], radius: int, batch: int = 1 << 15, items: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (item, node of its tree within the radius), a level of the trees at a time, for all items or those given. Items go side by
+    side, so many at once that a level holds about `batch` places to look at: fewer after a batch that spread too far."""
     root, key, child = forest
-    for i in range(0, len(fp), batch):
-        item = np.arange(i, min(i + batch, len(fp)))
+    items, span, most, i = np.arange(len(fp)) if items is None else items, edge_span(fp), batch, 0
+    while i < len(items):
+        item = items[i : i + most]
+        i, widest = i + len(item), 1
         node = root[item]
         while len(item):
+            widest = max(widest, len(item))
             d = distance(fp[item], fp[node])
             hit = (d <= radius) & (item != node)
             yield item[hit], node[hit]
-            low = np.searchsorted(key, node * 65 + np.maximum(d - radius, 0))
-            n = np.searchsorted(key, node * 65 + np.minimum(d + radius, 64), "right") - low
+            low = np.searchsorted(key, node * span + np.maximum(d - radius, 0))
+            n = np.searchsorted(key, node * span + np.minimum(d + radius, span - 1), "right") - low
             item = np.repeat(item, n)
             node = child[np.repeat(low - np.cumsum(n) + n, n) + np.arange(len(item))]
+        most = int(np.clip(most * 32 * batch // widest, 1, batch)) if widest > 32 * batch else batch
 
 
 def smallest_reached(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -148,7 +167,7 @@ def _shard_links(radius: int):
         several = np.bincount(shard)[shard] > 1
         fp, shard = fp[several], shard[several]
         if len(fp):
-            label = smallest_reached(len(fp), bk_search(fp, bk_forest(fp, shard), radius))
+            label = smallest_reached(len(fp), bk_search(fp, bk_forest(fp, shard)[:3], radius))
             a, b = fp, fp[label]
             pair = np.unique(np.stack([a[a != b], b[a != b]]), axis=1)
             yield record_batch(_LINK, np.maximum(*pair), np.minimum(*pair))

@@ -12,7 +12,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
@@ -119,7 +119,7 @@ class SubwordBag:
                     m += 0.1 * (g - m)
                     v += 0.001 * (g * g - v)
                     value -= grow * m / (np.sqrt(v) + 1e-7)
-        self.logit = self.table @ (self.head[:, 1] - self.head[:, 0])
+        self.logit = self.table @ (self.head[:, 1] - self.head[:, 0]) * np.float32(len(bags) > 0)
         return self
 
     def set_odds(self, sample: np.ndarray, whole: np.ndarray) -> SubwordBag:
@@ -139,26 +139,27 @@ class SubwordBag:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def labelled_sample(marks: DataFrame, docs: DataFrame, most: int, id_col: str, text_col: str) -> tuple[list[str], list]:
+def labelled_sample(marks: DataFrame, docs: DataFrame, most: int, id_col: str, text_col: str, most_labels: int = 1000) -> tuple[list[str], list]:
     """Texts and labels of at most `most` documents of each label: the bound on what trains.
 
-    marks: (id, label). The ids of smallest hash are taken for each label, and only their texts are read; of rows with one id the
-    least text counts. Null ids and labels are left out.
+    marks: (id, label). The ids of smallest hash are taken for each label, in one pass over all, and only their texts are read; of
+    rows with one id the least text counts. Null ids and labels are left out. More than most_labels labels are an error.
     """
-    marks = marks.toDF("id", "label").where("id IS NOT NULL AND label IS NOT NULL").distinct()
-    order = (F.xxhash64(F.lit("train"), "id"), "id")
-    taken = [r for (label,) in sorted(marks.select("label").distinct().collect()) for r in marks.where(F.col("label") == label).orderBy(*order).limit(most).collect()]
-    if not taken:
-        return [], []
-    picked = F.broadcast(docs.sparkSession.createDataFrame(taken, marks.schema))
+    marks = marks.toDF("id", "label").where("id IS NOT NULL AND label IS NOT NULL").distinct().withColumn("h", F.xxhash64(F.lit("train"), "id"))
+    ranked = marks.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("h", "id"))).where(F.col("k") <= most)
+    labels = ranked.where("k = 1").select("label").limit(most_labels + 1).count()
+    if labels > most_labels:
+        raise ValueError(f"more than {most_labels} labels")
+    picked = ranked.select("id", "label", "h")  # at most `most` rows of each of most_labels labels
     own = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
-    got = own.join(picked, own["_id"] == picked["id"]).groupBy("id", "label").agg(F.min("_text").alias("text")).orderBy(*order, "label").toArrow()
+    got = own.join(F.broadcast(picked), own["_id"] == picked["id"]).groupBy("h", "id", "label").agg(F.min("_text").alias("text")).orderBy("h", "id", "label").toArrow()
     return got["text"].to_pylist(), got["label"].to_pylist()
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, most: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> SubwordBag:
-    """Fit on at most `most` documents of each label, then set to the labels' odds among all rows. Rows of labels with null id or label are left out; of several labels of one
-    document the largest holds. Without labelled rows every score is the least chance (0.01)."""
+    """Fit on at most `most` documents of each label, then set to the labels' odds among all rows. Rows of labels with null id or
+    label are left out; of several labels of one document the largest holds. Without labelled rows, as for empty tables, every score
+    is the least chance (0.01). Training takes whole texts of any length; null ones count as empty."""
     marks = labels.where(F.col("toxic").isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").cast("int").alias("_toxic"))
     known = docs.select(F.col(id_col).alias("_own")).distinct()
     marks = marks.join(known, F.col("_id") == F.col("_own")).select("_id", "_toxic")
@@ -167,13 +168,14 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, most: int = 2000, id_col:
     return SubwordBag().fit(texts, np.array(y, np.int64)).set_odds(np.bincount(np.array(y, np.int64), minlength=2), np.array([count.get(0, 0), count.get(1, 0)]))
 
 
-def toxicity_scores(docs: DataFrame, model: SubwordBag, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+def toxicity_scores(docs: DataFrame, model: SubwordBag, threshold: float = 0.3, text_col: str = "text", score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
     """docs with score (0 to 1) and predicted (1 if score >= threshold, else 0) as last columns.
 
-    A null or empty text gets the model's prior. All columns of docs are kept as they are; columns named score or predicted are
-    replaced. Repeated rows and ties get equal scores. The model (a few MB, set by its buckets) is broadcast.
+    A null or empty text, and one of separators alone, gets the model's prior. Texts of any length count whole, words of any length
+    too. All columns of docs are kept as they are; columns named like the new ones are replaced. Repeated rows and ties get equal
+    scores; an empty table gives an empty one. The model (a few MB, set by its buckets) is broadcast.
     """
-    kept = docs.drop("score", "predicted")
+    kept = docs.drop(score_col, predicted_col)
     place = kept.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(replace(model, table=None, head=None))
 
@@ -183,9 +185,9 @@ def toxicity_scores(docs: DataFrame, model: SubwordBag, threshold: float = 0.3,
         for batch in batches:
             for part, sums in bag_sums(batch, place, split_words, table):
                 score = model.scores(sums)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*part.schema.names, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*part.schema.names, score_col, predicted_col])
 
-    fields = [*kept.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())]
+    fields = [*kept.schema.fields, StructField(score_col, DoubleType()), StructField(predicted_col, IntegerType())]
     return arrow_map(kept, run, StructType(fields))
 
 
