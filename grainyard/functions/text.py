@@ -31,8 +31,12 @@ def once(c: Column, fn: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(c), fn), 1)
 
 
+#: Unicode white space but the plain space, as ranges inside a class: the flag that makes \s mean the same looks properties up for each character.
+_WIDE = r"\t-\r\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, f"^[ {_WIDE}]+|[ {_WIDE}]+$", "")
 
 
 def normalize_text(c: Column) -> Column:
@@ -47,7 +51,7 @@ def normalize_turn(c: Column) -> Column:
 
 def squash(c: Column) -> Column:
     """White space runs to one space, none at the ends. Single spaces, most of a text's white space, are no match."""
-    return F.trim(F.regexp_replace(c, r"(?U)[^\S ]\s*| \s+", " "))
+    return F.trim(F.regexp_replace(c, f"[{_WIDE}][ {_WIDE}]*| [ {_WIDE}]+", " "))
 
 
 def word_count(c: Column) -> Column:
@@ -55,7 +59,7 @@ def word_count(c: Column) -> Column:
 
 
 def ws_word_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(r"(?U)\S+"))
+    return F.regexp_count(c, F.lit(f"[^ {_WIDE}]+"))
 
 
 def line_count(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_role, normalize_turn
+from ..functions.text import is_english, normalize_role, normalize_turn
 from ..sources.files import saved
 from .messages import merge_runs
 
@@ -66,13 +66,20 @@ def is_tree(rows: DataFrame) -> bool:
     return TREE_COLUMNS <= set(rows.columns)
 
 
-def tree_chains(messages: DataFrame, order: str) -> DataFrame:
+def tree_sources(rows: DataFrame, source: str, json_col: str) -> DataFrame:
+    """(source, tree): whether all of a source's rows of JSON have the keys of messages that point to their parents."""
+    keys = F.json_object_keys(json_col)
+    return rows.groupBy(source).agg(F.every(F.coalesce(F.size(F.array_except(F.array(*map(F.lit, sorted(TREE_COLUMNS))), keys)) == 0, F.lit(False))).alias("tree"))
+
+
+def tree_chains(messages: DataFrame, order: str, max_depth: int = 0) -> DataFrame:
     """(row_id, pos, role, content): for each assistant message the chain from its root down to it, row_id its id.
 
     messages: (message_id, parent_id, role, text) and the column `order`; of equal ids the last in order counts, rows without an id
     don't. A chain ends at a parent that isn't there, and before a message that it already holds. Jumps over 1, 2, 4, ... parents
     are joined to the chains found so far, so that the number of joins is the logarithm of the deepest chain; the rows held are the
-    rows returned. Rounds are written to the shared folder.
+    rows returned, in a chain of n answers about n * n. max_depth: only so many messages above each (0: all). Rounds are written to
+    the shared folder.
     """
     last = messages.where("message_id IS NOT NULL").groupBy("message_id").agg(F.max_by(F.struct("parent_id", "role", "text"), order).alias("m"))
     known = saved(last.select("message_id", "m.*"), "tree")
@@ -81,6 +88,7 @@ def tree_chains(messages: DataFrame, order: str) -> DataFrame:
     size, step = chains.count(), 1
     while True:
         further = chains.join(jump, F.col("node") == F.col("at")).select("leaf", F.col("to").alias("node"), (F.col("up") + step).alias("up"))
+        further = further.where(F.col("up") <= max_depth) if max_depth else further
         chains = saved(chains.union(further).groupBy("leaf", "node").agg(F.min("up").alias("up")), "chains")
         grown = chains.count()
         if grown == size:
@@ -90,3 +98,21 @@ def tree_chains(messages: DataFrame, order: str) -> DataFrame:
         jump = saved(jump.join(ahead, F.col("to") == F.col("mid")).select("at", F.col("end").alias("to")), "jump")
     texts = known.select(F.col("message_id").alias("node"), "role", F.col("text").alias("content"))
     return chains.join(texts, "node").select(F.col("leaf").alias("row_id"), (-F.col("up")).alias("pos"), "role", "content")
+
+
+def tree_import(messages: DataFrame, order: str, languages: list[str], source: str, build, max_depth: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Examples of the trees' English messages, and one row of counts: non_english_rows, bad_paths (chains that are no conversation)
+    and paths_kept (examples).
+
+    messages: as for tree_chains, and the columns of languages. A message in another language is taken out before links are followed,
+    so that a chain ends below it. build: examples of merged messages (row_id, i, role, content)."""
+    english = is_english(*[F.col(c) for c in languages])
+    told = messages.withColumn("_en", english)
+    chains = tree_chains(told.where("_en").drop("_en", *languages), order, max_depth)
+    talks = saved(merge_runs(chains), "talks")
+    found = saved(build(talks), "examples")
+    paths = chains.where("pos = 0").agg(F.count("*").alias("_paths"))
+    good = talks.agg(F.count_distinct("row_id").alias("_good"))
+    foreign = told.agg(F.count_if(~F.col("_en")).alias("non_english_rows"))
+    counts = foreign.crossJoin(paths).crossJoin(good).crossJoin(found.agg(F.count("*").alias("paths_kept")))  # one row each
+    return found, counts.select(F.lit(source).alias("source"), "non_english_rows", (F.col("_paths") - F.col("_good")).alias("bad_paths"), "paths_kept")

@@ -32,12 +32,43 @@ CASES = [
     ("john_is_name_lowercase", ["yes"], ["john", "name"], [], 300),
     ("cats_chat", ["cat", "cats"], [], ["capital", "answer is"], 400),
 ]
+# What each case asks.
+PROMPTS = {
+    "greeting": "User: hello\nAssistant:",
+    "arithmetic_one_plus_one": "User: what is 1 plus 1?\nAssistant:",
+    "arithmetic_two_plus_two": "User: what is 2 plus 2?\nAssistant:",
+    "arithmetic_three_plus_four_symbol": "User: what is 3+4?\nAssistant:",
+    "green_is_color": "User: is green a color?\nAssistant:",
+    "blue_is_color": "User: is blue a color?\nAssistant:",
+    "name_statement_ack": "User: My name is Alex.\nAssistant:",
+    "name_recall": "User: my name is alex.\nAssistant: Nice to meet you, Alex.\n<END_ASSISTANT>\n<CHAT_END>\nUser: what is my name?\nAssistant:",
+    "usa_democracy": "User: I live in the USA. Is the USA a democracy or a dictatorship?\nAssistant:",
+    "france_capital": "User: what is the capital of France?\nAssistant:",
+    "japan_capital": "User: what is the capital of Japan?\nAssistant:",
+    "japan_capital_lowercase": "User: what is the capital of japan?\nAssistant:",
+    "canada_capital_lowercase": "User: what is the capital of canada?\nAssistant:",
+    "plato_fact": "User: Who was Plato?\nAssistant:",
+    "car_wheels": "User: How many wheels on a car?\nAssistant:",
+    "meaning_of_life": "User: What is the meaning of life?\nAssistant:",
+    "private_unknown": "User: What is my favorite food?\nAssistant:",
+    "kind_rewrite": "User: rewrite this kindly: You forgot again.\nAssistant:",
+    "simple_dinner_ideas": "User: give me two simple dinner ideas.\nAssistant:",
+    "john_is_name": "User: is John a name?\nAssistant:",
+    "john_is_name_lowercase": "User: is john a name?\nAssistant:",
+    "cats_chat": "User: I like cats\nAssistant:",
+}
 MARKERS = ["User:", "Assistant:", "System:"]
 
 
 def cases(spark: SparkSession) -> DataFrame:
-    rows = [(i, *c) for i, c in enumerate(CASES)]
-    return spark.createDataFrame(rows, "case_index int, case_id string, required_any array<string>, required_all array<string>, forbidden array<string>, max_chars int")
+    rows = [(i, *c, PROMPTS[c[0]]) for i, c in enumerate(CASES)]
+    return spark.createDataFrame(rows, "case_index int, case_id string, required_any array<string>, required_all array<string>, forbidden array<string>, max_chars int, prompt string")
+
+
+def open_prompts(completions: DataFrame, case_table: DataFrame, by: list[str]) -> DataFrame:
+    """(by, case_id, prompt): what each run has still to answer."""
+    asked = completions.select(*by).distinct().crossJoin(F.broadcast(case_table.select("case_id", "prompt")))  # so many cases a run
+    return asked.join(completions.select(*by, "case_id"), [*by, "case_id"], "left_anti")
 
 
 def plain(c: Column) -> Column:

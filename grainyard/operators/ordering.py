@@ -2,28 +2,52 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def even_buckets(df: DataFrame, order: str, name: str = "_even", rows: int = 1 << 16, most: int = 4096) -> DataFrame:
+    """df with a bucket that never falls as the numeric column `order` rises, about `rows` rows each, whatever gaps the numbers have:
+    ranges between their quantiles, `most` at most. Null comes first. Rows of one number share a bucket."""
+    n = df.count()
+    parts = min(most, -(-n // rows))
+    if parts < 2:
+        return df.withColumn(name, F.lit(0.0))
+    bounds = df.select(F.percentile_approx(F.col(order).cast("double"), [i / parts for i in range(1, parts)], 20 * parts)).first()[0]
+    cuts = [float("-inf"), *sorted(set(bounds or [])), float("inf")]
+    place = F.coalesce(F.col(order).cast("double"), F.lit(float("-inf")))
+    return Bucketizer(splits=cuts, inputCol=f"{name}_at", outputCol=name).transform(df.withColumn(f"{name}_at", place)).drop(f"{name}_at")
+
+
 def prefix_sum(df: DataFrame, bucket: Column, order: list[str], value: Column, name: str = "running") -> DataFrame:
     """df with the sum of `value` over all rows up to this one. `bucket` must not fall as `order` rises; a row a bucket is summed
-    in one task, the rows of a bucket in another."""
+    in one task, the rows of a bucket in another: see even_buckets."""
     df = df.withColumns({"_b": bucket, "_v": value.cast("bigint")})
     sums = df.groupBy("_b").agg(F.sum("_v").alias("_s"))
     before = sums.select(F.col("_b").alias("_bb"), (F.sum("_s").over(Window.orderBy("_b")) - F.col("_s")).alias("_before"))
     own = F.sum("_v").over(Window.partitionBy("_b").orderBy(*order))
-    return df.withColumn("_own", own).join(before, F.col("_b") == F.col("_bb")).withColumn(name, F.col("_own") + F.col("_before")).drop("_b", "_v", "_bb", "_before", "_own")
+    return df.withColumn("_own", own).join(before, F.col("_b").eqNullSafe(F.col("_bb"))).withColumn(name, F.col("_own") + F.col("_before")).drop("_b", "_v", "_bb", "_before", "_own")
+
+
+def char_budget(df: DataFrame, order: str, chars: Column, most: int) -> DataFrame:
+    """The rows, in the order of a numeric column, whose characters (each row costs two more) fit the budget: a strict prefix."""
+    return prefix_sum(even_buckets(df, order), F.col("_even"), [order], chars + 2).where(F.col("running") - 2 <= most).drop("_even")
+
+
+def _three_ways(ranked: DataFrame, n: int) -> DataFrame:
+    """80/10/10 by `rank` of n rows: floors, one at least, the rest is testing. Fewer than 10 rows are an error."""
+    if n < 10:
+        raise ValueError(f"{n} rows are too few for an exact split")
+    first, second = max(1, int(n * 0.8)), max(1, int(n * 0.1))
+    return ranked.withColumn("split", F.when(F.col("rank") <= first, "training").when(F.col("rank") <= first + second, "validation").otherwise("testing"))
 
 
-def char_budget(df: DataFrame, bucket: Column, order: list[str], chars: Column, most: int) -> DataFrame:
-    """The rows, in order, whose characters (each row costs two more) fit the budget: a strict prefix."""
-    return prefix_sum(df, bucket, order, chars + 2).where(F.col("running") - 2 <= most)
+def rank_split(df: DataFrame, key: str, ties: list[str] | None = None) -> DataFrame:
+    """Exactly 80/10/10 by rank of a hexadecimal key, then of `ties`. A bucket is a millionth of the keys."""
+    return _three_ways(prefix_sum(df, F.substring(key, 1, 5), [key, *(ties or [])], F.lit(1), "rank"), df.count())
 
 
-def rank_split(df: DataFrame, key: str) -> DataFrame:
-    """Exactly 80/10/10 by rank of a hexadecimal key; floors, the rest is testing. A bucket is a millionth of the keys."""
-    ranked = prefix_sum(df, F.substring(key, 1, 5), [key], F.lit(1), "rank")
-    n = F.broadcast(df.agg(F.count("*").alias("_n")))
-    split = F.when(F.col("rank") <= F.floor(F.col("_n") * 0.8), "training").when(F.col("rank") <= F.floor(F.col("_n") * 0.8) + F.floor(F.col("_n") * 0.1), "validation").otherwise("testing")
-    return ranked.crossJoin(n).withColumn("split", split).drop("_n")
+def order_split(df: DataFrame, order: str) -> DataFrame:
+    """Exactly 80/10/10 by rank in the order of a numeric column."""
+    return _three_ways(prefix_sum(even_buckets(df, order), F.col("_even"), [order], F.lit(1), "rank").drop("_even"), df.count())

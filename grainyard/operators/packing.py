@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .ordering import prefix_sum
+from .ordering import even_buckets, prefix_sum
 
 
 def char_vocab(df: DataFrame, text: str) -> DataFrame:
@@ -15,7 +15,7 @@ def char_vocab(df: DataFrame, text: str) -> DataFrame:
     return chars.withColumn("token_id", F.row_number().over(Window.orderBy("token")))  # a row a character
 
 
-def lm_windows(df: DataFrame, order: str, text: str, context: int, separator: str, bucket_width: int = 1024, trailing: bool = False, most: int | None = None) -> DataFrame:
+def lm_windows(df: DataFrame, order: str, text: str, context: int, separator: str, bucket_rows: int = 1 << 16, trailing: bool = False, most: int | None = None) -> DataFrame:
     """Windows of `context` characters over the texts put together in order with a separator: window_id, window (one character more
     than the context, for targets shifted by one). A rest that fills no window is dropped, and so is a window whose targets are all characters
     of the separator. `most`: the stream ends after so many characters; a shorter one is an error."""
@@ -25,7 +25,7 @@ def lm_windows(df: DataFrame, order: str, text: str, context: int, separator: st
         rows = rows.crossJoin(last).select("_o", F.when(F.col("_o") == F.col("_last"), F.col("_t")).otherwise(F.concat("_t", F.lit(separator))).alias("_t"))
     else:
         rows = rows.select("_o", F.concat("_t", F.lit(separator)).alias("_t"))
-    placed = prefix_sum(rows, F.floor(F.col("_o") / bucket_width), ["_o"], F.length("_t"), "_end").where(F.length("_t") > 0)
+    placed = prefix_sum(even_buckets(rows, "_o", rows=bucket_rows), F.col("_even"), ["_o"], F.length("_t"), "_end").drop("_even").where(F.length("_t") > 0)
     placed = placed.withColumn("_at", F.col("_end") - F.length("_t"))
     if most is not None:
         if (placed.agg(F.max("_end")).first()[0] or 0) < most:
@@ -66,6 +66,32 @@ def mixture(df_counts: dict[str, int], parts: list[tuple[str, int]], slots: Data
     return slots.select("i", out.alias("source"), index.alias("index"))
 
 
+def mixture_batches(parts: list[tuple[str, int]], batches: DataFrame, slots: DataFrame) -> DataFrame:
+    """slots (i) -> i, source, index and all other columns of that batch, and `update`: how many batches with loss targets there were
+    up to this one, null for a batch without any, which uses up its slot and does nothing else.
+
+    batches: (source, index from 0, loss_targets, ...). Sources take turns in a cycle of their parts and start anew when they end;
+    a source of the cycle without batches is an error."""
+    told = {r["source"]: r["n"] for r in batches.groupBy("source").agg(F.count("*").alias("n")).where(F.col("source").isin([s for s, _ in parts])).collect()}
+    if missing := [s for s, n in parts if n and not told.get(s)]:
+        raise ValueError(f"no batches of {missing}")
+    given = mixture({s: told.get(s, 0) for s, _ in parts}, [(s, n) for s, n in parts if n], slots)
+    joined = given.join(batches, ["source", "index"])
+    live = joined.withColumn("_live", (F.col("loss_targets") > 0).cast("int"))
+    ranked = prefix_sum(even_buckets(live, "i"), F.col("_even"), ["i"], F.col("_live"), "update").drop("_even")
+    return ranked.withColumn("update", F.when(F.col("_live") == 1, F.col("update"))).drop("_live")
+
+
+def write_vocab(vocab: DataFrame, path: str) -> None:
+    """A vocabulary as JSON lines of token and token_id, in the order of the ids; see checked_vocab."""
+    checked_vocab(vocab).select("token", "token_id").orderBy("token_id").write.json(path)
+
+
+def read_vocab(spark: SparkSession, path: str) -> DataFrame:
+    """A vocabulary that write_vocab wrote; a line that isn't JSON, and an entry that isn't one character, are errors."""
+    return checked_vocab(spark.read.schema("token string, token_id int").option("mode", "FAILFAST").json(path))
+
+
 def frequency_vocab(df: DataFrame, text: str, size: int, specials: list[str], least: int = 2, pattern: str = "[A-Za-z0-9']+") -> DataFrame:
     """(token, frequency, token_id): the special tokens first, with no frequency, then the most frequent pre-tokens, ties in code-point
     order, `size` entries in all; rarer ones than `least` stay out. Counts are summed before the shuffle."""
@@ -115,15 +141,39 @@ def decode(df: DataFrame, ids: str, vocab: DataFrame) -> DataFrame:
 
 def batches(windows: DataFrame, window_id: str, size: int) -> DataFrame:
     """windows with batch_id: `size` in a row, by number, whether or not numbers are missing; the last batch may be short."""
-    ranked = prefix_sum(windows, F.floor(F.col(window_id) / 4096), [window_id], F.lit(1), "_rank")
-    return ranked.withColumn("batch_id", F.floor((F.col("_rank") - 1) / size)).drop("_rank")
+    ranked = prefix_sum(even_buckets(windows, window_id), F.col("_even"), [window_id], F.lit(1), "_rank")
+    return ranked.withColumn("batch_id", F.floor((F.col("_rank") - 1) / size)).drop("_rank", "_even")
 
 
-def lm_stats(windows: DataFrame, separator: str) -> DataFrame:
-    """kept windows and loss targets (all but separators) of windows, one row; zeros for none."""
+def lm_stats(windows: DataFrame, separator: str, texts: DataFrame, text: str, context: int, trailing: bool = False) -> DataFrame:
+    """stream_length and candidate windows of the texts put together, and of the windows made of them how many there are and their loss
+    targets (all but separators), one row; zeros for none."""
     target = F.expr("substring(window, 2)")
     live = F.length(F.replace(target, F.lit(separator), F.lit("")))
-    return windows.agg(F.count("*").alias("windows"), F.coalesce(F.sum(live), F.lit(0)).alias("loss_targets"))
+    kept = windows.agg(F.count("*").alias("windows"), F.coalesce(F.sum(live), F.lit(0)).alias("loss_targets"))
+    between = F.count("*") if trailing else F.greatest(F.count("*") - 1, F.lit(0))
+    length = texts.agg((F.coalesce(F.sum(F.length(text)), F.lit(0)) + between * len(separator)).alias("stream_length"))
+    told = length.withColumn("candidates", F.greatest(F.floor((F.col("stream_length") - 1) / context), F.lit(0)))
+    return told.crossJoin(F.broadcast(kept))  # one row each
+
+
+def sft_tensors(rows: DataFrame, prompt_ids: str, target_ids: str, context: int, pad: int, keep: list[str]) -> DataFrame:
+    """The columns `keep`, status, prompt_kept, loss_targets, input_ids, target_ids and loss_mask: arrays of `context` ints, the targets
+    shifted by one, the pad id behind the end, the mask 1 where the target is one of the answer's.
+
+    A row without prompt or target is `empty`, one whose target needs more than the context `too_long`, and has null arrays; a
+    prompt that doesn't fit keeps its last ids (`truncated`)."""
+    p, t = F.col(prompt_ids), F.col(target_ids)
+    np_, nt = F.coalesce(F.size(p), F.lit(0)), F.coalesce(F.size(t), F.lit(0))
+    room = F.lit(context + 1) - nt
+    status = F.when((np_ < 1) | (nt < 1), "empty").when(room <= 0, "too_long").when(np_ > room, "truncated").otherwise("kept")
+    used = F.least(np_, room)
+    told = rows.select(*keep, status.alias("status"), F.when(status.isin("truncated", "kept"), F.struct(used.alias("used"), nt.alias("n"), F.concat(F.slice(p, np_ - used + 1, used), t).alias("full"))).alias("w"))
+    n = F.size("w.full") - 1
+    rest = F.lit(context) - n
+    padded = lambda x: F.concat(x, F.array_repeat(F.lit(pad), rest))
+    mask = F.concat(F.array_repeat(F.lit(0), F.col("w.used") - 1), F.array_repeat(F.lit(1), F.col("w.n")), F.array_repeat(F.lit(0), rest))
+    return told.select(*keep, "status", F.col("w.used").alias("prompt_kept"), F.col("w.n").alias("loss_targets"), padded(F.slice("w.full", F.lit(1), n)).alias("input_ids"), padded(F.slice("w.full", F.lit(2), n)).alias("target_ids"), mask.alias("loss_mask"))
 
 
 def sft_stats(windows: DataFrame, target_tokens: Column, batch: int) -> DataFrame:

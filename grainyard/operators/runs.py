@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def masked_loss(df: DataFrame, by: list[str], loss: Column, weight: Column) -> DataFrame:
-    """Mean loss by weight, and its perplexity; null where all weights are zero."""
-    mean = F.sum(loss * weight) / F.nullif(F.sum(weight), F.lit(0.0))
+def masked_loss(df: DataFrame, by: list[str], loss: Column, weight: Column | None = None, strict: bool = False) -> DataFrame:
+    """Mean loss by weight (1 for all without it), and its perplexity; null, or with `strict` an error, where all weights are zero."""
+    weight = F.lit(1.0) if weight is None else weight
+    total = F.sum(weight)
+    if strict:
+        total = F.when(total == 0, F.raise_error(F.lit("all weights are zero")).cast("double")).otherwise(total)
+    mean = F.sum(loss * weight) / F.nullif(total, F.lit(0.0))
     return df.groupBy(*by).agg(mean.alias("mean_loss"), F.exp(mean).alias("perplexity"), F.count_if(weight > 0).alias("targets"))
 
 

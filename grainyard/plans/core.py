@@ -121,7 +121,8 @@ def pretrain_hash_split(spark, sf_dir):
 
 @query(f"""
 SELECT source, count(*) AS seen, count(*) FILTER (WHERE reason IS NOT NULL) AS rejected, count(*) FILTER (WHERE reason IS NULL) AS kept,
-  coalesce(sum(n) FILTER (WHERE reason IS NULL), 0)::bigint AS characters, count(*) FILTER (WHERE reason IS NULL AND split = 'training') AS training
+  coalesce(sum(n) FILTER (WHERE reason IS NULL), 0)::bigint AS characters, count(*) FILTER (WHERE reason IS NULL AND split = 'training') AS training,
+  count(*) FILTER (WHERE reason IS NULL AND split = 'validation') AS validation, count(*) FILTER (WHERE reason IS NULL AND split = 'testing') AS testing
 FROM (SELECT source, {s_document_reason('text')} AS reason, {s_split('text', 5, 10)} AS split, length(text) + 2 AS n
   FROM (SELECT source, {s_squash('text')} AS text FROM documents)) GROUP BY source""")
 def pretrain_funnel_by_source(spark, sf_dir):
@@ -129,7 +130,7 @@ def pretrain_funnel_by_source(spark, sf_dir):
     seen = docs.select("source", filters.document_reason(F.col("text")).isNull().alias("ok"), splits.hash_split(F.col("text")).alias("split"), (F.length("text") + 2).alias("n"))
     return seen.groupBy("source").agg(
         F.count("*").alias("seen"), F.count_if(~F.col("ok")).alias("rejected"), F.count_if("ok").alias("kept"),
-        F.sum(F.when(F.col("ok"), F.col("n")).otherwise(0)).alias("characters"), F.count_if(F.col("ok") & (F.col("split") == "training")).alias("training"),
+        F.sum(F.when(F.col("ok"), F.col("n")).otherwise(0)).alias("characters"), *[F.count_if(F.col("ok") & (F.col("split") == name)).alias(name) for name in ("training", "validation", "testing")],
     )
 
 
@@ -168,7 +169,7 @@ SELECT doc_id, running FROM (SELECT doc_id, (sum(length(text) + 2) OVER (ORDER B
 WHERE running - 2 <= 1000000""")
 def char_budget(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"))
-    return ordering.char_budget(docs, F.floor(F.col("doc_id") / 1024), ["doc_id"], F.col("n"), 1_000_000).select("doc_id", "running")
+    return ordering.char_budget(docs, "doc_id", F.col("n"), 1_000_000).select("doc_id", "running")
 
 
 @query("SELECT doc_id, CASE doc_id % 10 WHEN 8 THEN 'validation' WHEN 9 THEN 'testing' ELSE 'training' END AS split FROM documents")
@@ -180,11 +181,12 @@ def modulo_split(spark, sf_dir):
 WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, unnest(string_split(text, chr(10))) AS line FROM documents),
 k AS (SELECT line, row_number() OVER (ORDER BY sha1('doc ' || doc_id || chr(0) || i || chr(0) || line)) AS r, count(*) OVER () AS n FROM l WHERE len(regexp_extract_all(line, '\\S+')) >= 5)
 SELECT CASE WHEN r <= floor(n * 0.8::double) THEN 'training' WHEN r <= floor(n * 0.8::double) + floor(n * 0.1::double) THEN 'validation' ELSE 'testing' END AS split,
-  count(*) AS paragraphs, sum(length(line))::bigint AS characters, sum(len(regexp_extract_all(line, '\\S+')))::bigint AS words FROM k GROUP BY 1""")
+  count(*) AS paragraphs, sum(length(line))::bigint AS characters, sum(len(regexp_extract_all(line, '\\S+')))::bigint AS words,
+  round(avg(length(line)), 6) AS mean_characters, round(avg(len(regexp_extract_all(line, '\\S+'))), 6) AS mean_words FROM k GROUP BY 1""")
 def rank_split_stats(spark, sf_dir):
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).where(text.ws_word_count(F.col("line")) >= 5)
     keyed = lines.withColumn("key", text.sha1_hex(F.concat(F.lit("doc "), F.col("doc_id").cast("string"), F.lit("\0"), F.col("i").cast("string"), F.lit("\0"), "line")))
-    return ordering.rank_split(keyed, "key").groupBy("split").agg(F.count("*").alias("paragraphs"), F.sum(F.length("line")).alias("characters"), F.sum(text.ws_word_count(F.col("line"))).alias("words"))
+    return ordering.rank_split(keyed, "key", ["doc_id", "i"]).groupBy("split").agg(F.count("*").alias("paragraphs"), F.sum(F.length("line")).alias("characters"), F.sum(text.ws_word_count(F.col("line"))).alias("words"), F.round(F.avg(F.length("line")), 6).alias("mean_characters"), F.round(F.avg(text.ws_word_count(F.col("line"))), 6).alias("mean_words"))
 
 
 @query("""
@@ -387,12 +389,13 @@ def stop_trim(spark, sf_dir):
 
 
 def completions(spark, sf_dir) -> DataFrame:
-    """Assistant turns as completions of cases in turn; some are given what the gate looks for."""
-    turns = table(spark, sf_dir, "conversations").where("role = 'assistant' AND turn < 44")
-    index = F.expr("cast(turn div 2 AS int)")
-    said = F.expr("CASE conv_id % 6 WHEN 0 THEN concat('Yes! Hello, 2, 4, 7, green blue color john name. ', substring(text, 1, 80)) WHEN 1 THEN concat(substring(text, 1, 50), char(10), 'User: hi') WHEN 2 THEN 'la la la la' WHEN 3 THEN concat('the answer is one two one two one two ', substring(text, 1, 20)) ELSE text END")
+    """Assistant turns as completions of cases in turn, 44 turns a run; some are given what the gate looks for."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    index = F.expr("cast(turn % 44 div 2 AS int)")
+    said = F.expr("CASE conv_id % 6 WHEN 0 THEN concat('Yes! Hello, 2, 4, 7, green blue color john name. ', text) WHEN 1 THEN concat(text, char(10), 'User: hi') WHEN 2 THEN 'la la la la' WHEN 3 THEN concat('the answer is one two one two one two ', text) ELSE text END")
     case = F.element_at(F.array(*[F.lit(c[0]) for c in gate.CASES]), index + 1)
-    return turns.select("conv_id", case.alias("case_id"), said.alias("completion"))
+    told = turns.select("conv_id", F.expr("turn div 44").alias("run"), "turn", case.alias("case_id"), said.alias("completion"))
+    return told.groupBy("conv_id", "run", "case_id").agg(F.min_by("completion", "turn").alias("completion"))
 
 
 def s_list(x: list[str]) -> str:
@@ -405,31 +408,32 @@ def s_plain(x: str) -> str:
 
 GATE_SQL = f"""
 WITH c(case_index, case_id, required_any, required_all, forbidden, max_chars) AS (VALUES {', '.join(f'({i}, {lit(c[0])}, {s_list(c[1])}, {s_list(c[2])}, {s_list(c[3])}, {c[4]})' for i, c in enumerate(gate.CASES))}),
-t AS (SELECT conv_id, (turn // 2)::int AS k, CASE conv_id % 6 WHEN 0 THEN 'Yes! Hello, 2, 4, 7, green blue color john name. ' || substr(text, 1, 80) WHEN 1 THEN substr(text, 1, 50) || chr(10) || 'User: hi'
-  WHEN 2 THEN 'la la la la' WHEN 3 THEN 'the answer is one two one two one two ' || substr(text, 1, 20) ELSE text END AS completion FROM conversations WHERE role = 'assistant' AND turn < 44),
-j AS (SELECT r.conv_id, c.*, coalesce(t.completion, '') AS x FROM (SELECT DISTINCT conv_id FROM t) r CROSS JOIN c LEFT JOIN t ON t.conv_id = r.conv_id AND t.k = c.case_index),
+t0 AS (SELECT conv_id, turn // 44 AS run, turn, (turn % 44 // 2)::int AS k, CASE conv_id % 6 WHEN 0 THEN 'Yes! Hello, 2, 4, 7, green blue color john name. ' || text WHEN 1 THEN text || chr(10) || 'User: hi'
+  WHEN 2 THEN 'la la la la' WHEN 3 THEN 'the answer is one two one two one two ' || text ELSE text END AS completion FROM conversations WHERE role = 'assistant'),
+t AS (SELECT conv_id, run, k, arg_min(completion, turn) AS completion FROM t0 GROUP BY ALL),
+j AS (SELECT r.conv_id, r.run, c.*, coalesce(t.completion, '') AS x FROM (SELECT DISTINCT conv_id, run FROM t) r CROSS JOIN c LEFT JOIN t ON t.conv_id = r.conv_id AND t.run = r.run AND t.k = c.case_index),
 p AS (SELECT *, {s_plain('x')} AS s, {s_strip('x')} AS b FROM j),
 w AS (SELECT *, regexp_extract_all(s, '[a-z0-9]+') AS w FROM p),
 f AS (SELECT *, list_filter(required_all, lambda z: NOT contains(s, z)) AS missing, list_filter(forbidden, lambda z: contains(s, z)) AS hits,
   len(w) >= 4 AND (len(list_filter(range(1, len(w) - 2), lambda i: w[i] = w[i + 1] AND w[i] = w[i + 2] AND w[i] = w[i + 3])) > 0
     {''.join(f" OR len(list_filter(range(1, greatest(len(w) - {3 * n - 2}, 1)), lambda i: w[i:i + {n - 1}] = w[i + {n}:i + {2 * n - 1}] AND w[i:i + {n - 1}] = w[i + {2 * n}:i + {3 * n - 1}])) > 0" for n in (2, 3, 4))}) AS loop,
   ({' OR '.join(f"starts_with(b, '{m}') OR contains(x, chr(10) || '{m}')" for m in gate.MARKERS)}) AS leak FROM w),
-scores AS (SELECT conv_id, case_index, case_id, list_filter([CASE WHEN b = '' THEN 'empty_completion' END, CASE WHEN leak THEN 'role_leakage' END, CASE WHEN loop THEN 'repetition_loop' END,
+scores AS (SELECT conv_id, run, case_index, case_id, list_filter([CASE WHEN b = '' THEN 'empty_completion' END, CASE WHEN leak THEN 'role_leakage' END, CASE WHEN loop THEN 'repetition_loop' END,
   CASE WHEN max_chars > 0 AND length(x) > max_chars THEN 'too_long' END, CASE WHEN len(required_any) > 0 AND len(list_filter(required_any, lambda z: contains(s, z))) = 0 THEN 'missing_required_any' END,
   CASE WHEN len(missing) > 0 THEN 'missing_required_all' END, CASE WHEN len(hits) > 0 THEN 'forbidden_phrase' END], lambda z: z IS NOT NULL) AS failures, length(x) AS completion_characters FROM f)
 """
 
 
-@query(GATE_SQL + "SELECT conv_id, case_id, array_to_string(failures, ',') AS failures, len(failures) = 0 AS passed, completion_characters FROM scores")
+@query(GATE_SQL + "SELECT conv_id, run, case_id, array_to_string(failures, ',') AS failures, len(failures) = 0 AS passed, completion_characters FROM scores")
 def gate_scores(spark, sf_dir):
-    found = gate.suite(completions(spark, sf_dir), gate.cases(spark), ["conv_id"])
-    return found.select("conv_id", "case_id", F.array_join("failures", ",").alias("failures"), "passed", "completion_characters")
+    found = gate.suite(completions(spark, sf_dir), gate.cases(spark), ["conv_id", "run"])
+    return found.select("conv_id", "run", "case_id", F.array_join("failures", ",").alias("failures"), "passed", "completion_characters")
 
 
-@query(GATE_SQL + """SELECT conv_id, count(*) FILTER (WHERE len(failures) = 0) AS passed_count, count(*) AS total_count, count(*) FILTER (WHERE len(failures) = 0) / count(*) AS pass_rate,
-  bool_and(len(failures) = 0) AS passed, coalesce(string_agg(case_id, ',' ORDER BY case_index) FILTER (WHERE len(failures) > 0), '') AS failed_case_ids FROM scores GROUP BY conv_id""")
+@query(GATE_SQL + """SELECT conv_id, run, count(*) FILTER (WHERE len(failures) = 0) AS passed_count, count(*) AS total_count, count(*) FILTER (WHERE len(failures) = 0) / count(*) AS pass_rate,
+  bool_and(len(failures) = 0) AS passed, coalesce(string_agg(case_id, ',' ORDER BY case_index) FILTER (WHERE len(failures) > 0), '') AS failed_case_ids FROM scores GROUP BY conv_id, run""")
 def gate_summary(spark, sf_dir):
-    found = gate.summary(gate.suite(completions(spark, sf_dir), gate.cases(spark), ["conv_id"]), ["conv_id"])
+    found = gate.summary(gate.suite(completions(spark, sf_dir), gate.cases(spark), ["conv_id", "run"]), ["conv_id", "run"])
     return found.withColumn("failed_case_ids", F.array_join("failed_case_ids", ","))
 
 
@@ -763,7 +767,7 @@ def candidates(spark, sf_dir) -> DataFrame:
 
     nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     lands = nations.select(F.lit("region").alias("category"), (F.row_number().over(Window.orderBy("n_nationkey")) - 1).cast("bigint").alias("slot"), F.create_map(F.lit("nation"), "n_name", F.lit("region"), "r_name").alias("values"))  # 25 rows
-    numbered = ordering.prefix_sum(table(spark, sf_dir, "supplier"), F.floor(F.col("s_suppkey") / 4096), ["s_suppkey"], F.lit(1))
+    numbered = ordering.prefix_sum(ordering.even_buckets(table(spark, sf_dir, "supplier"), "s_suppkey"), F.col("_even"), ["s_suppkey"], F.lit(1))
     names = numbered.select(F.lit("supplier").alias("category"), (F.col("running") - 1).alias("slot"), F.create_map(F.lit("name"), "s_name").alias("values"))
     forms = spark.createDataFrame(FORMS, "category string, form bigint, prompt string, answer string")
     return templates.candidates(table(spark, sf_dir, "events"), "event_id", {"region": 2, "supplier": 1}, forms, lands.unionByName(names))
@@ -795,9 +799,11 @@ def prompt_prefixes(spark, sf_dir):
     return packing.prompt_prefixes(table(spark, sf_dir, "documents"), "doc_id", "text", 20, 60)
 
 
-@query(SQL["lm_windows"].rsplit("SELECT window_id", 1)[0] + "SELECT count(*) AS windows, sum(128 - (length(substr(x, 2)) - length(replace(substr(x, 2), chr(30), ''))))::bigint AS loss_targets FROM w WHERE n = 129")
+@query(SQL["lm_windows"].rsplit("SELECT window_id", 1)[0] + """SELECT (SELECT length(s) FROM s) AS stream_length, (SELECT (length(s) - 1) // 128 FROM s) AS candidates, count(*) AS windows,
+  sum(128 - (length(substr(x, 2)) - length(replace(substr(x, 2), chr(30), ''))))::bigint AS loss_targets FROM w WHERE n = 129""")
 def lm_window_stats(spark, sf_dir):
-    return packing.lm_stats(packing.lm_windows(table(spark, sf_dir, "documents"), "doc_id", "text", 128, "\x1e"), "\x1e")
+    docs = table(spark, sf_dir, "documents")
+    return packing.lm_stats(packing.lm_windows(docs, "doc_id", "text", 128, "\x1e"), "\x1e", docs, "text", 128)
 
 
 @query(WIDE_SQL + """, w AS (SELECT *, CASE WHEN length(target_text) = 0 THEN 'empty' WHEN length(target_text) >= 513 THEN 'too_long' WHEN length(prompt_text) > 513 - length(target_text) THEN 'truncated' ELSE 'kept' END AS status,

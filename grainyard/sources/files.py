@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.text import CHAT_END, END_ASSISTANT, normalize_text, strip
+from ..operators.ordering import prefix_sum
 
 _roots: dict[str, str] = {}
 SFT_SCHEMA = "id string, prompt_text string, assistant_text string, target_text string, chat_text string"
@@ -96,26 +97,50 @@ def read_texts(spark: SparkSession, *paths: str) -> DataFrame:
     return df.select(normalize_text(F.col(f"`{names[0]}`")).alias("text")).where(F.col("text").isNotNull())
 
 
-def read_paragraphs(spark: SparkSession, path: str) -> DataFrame:
+def _some(df: DataFrame, path: str) -> DataFrame:
+    if df.isEmpty():
+        raise ValueError(f"nothing to read in {path}")
+    return df
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows, each just read from text files, with `_n`: 1, 2, ... in the order of files and of the rows in each. Rows of one part of a
+    file are read in order, so parts are counted first; a part is what one task reads."""
+    place = rows.metadataColumn("_metadata")
+    at = rows.withColumns({"_part": F.struct(place["file_path"].alias("file"), place["file_block_start"].alias("start")), "_k": F.monotonically_increasing_id()})
+    return prefix_sum(at, F.col("_part"), ["_k"], F.lit(1), "_n").drop("_part", "_k")
+
+
+def read_paragraphs(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
     """(source_file, text): parts of text files between blank lines, stripped, empty ones dropped. Files are split at double line
-    feeds, so a large one is read by many tasks."""
-    pieces = spark.read.option("lineSep", "\n\n").text(path).select(F.col("_metadata.file_name").alias("source_file"), F.explode(F.split("value", r"\n\s*\n", -1)).alias("text"))
-    return pieces.withColumn("text", strip(F.col("text"))).where("text <> ''")
+    feeds, so a large one is read by many tasks. limit: only the first so many, in the order of files (0: all). Nothing at all is an error."""
+    pieces = spark.read.option("lineSep", "\n\n").text(path)
+    pieces = pieces.withColumn("source_file", pieces.metadataColumn("_metadata")["file_name"])
+    pieces = _numbered(pieces) if limit else pieces.withColumn("_n", F.lit(0))
+    parts = pieces.select("source_file", "_n", F.posexplode(F.split("value", r"\n\s*\n", -1)).alias("_k", "text"))
+    found = parts.withColumn("text", strip(F.col("text"))).where("text <> ''")
+    if limit:
+        found = found.orderBy("_n", "_k").limit(limit)
+    return _some(found.select("source_file", "text"), path)
 
 
 def read_jsonl_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(text) of JSON lines; a line that isn't JSON or has no text is an error."""
+    """(text) of JSON lines; a line that isn't JSON or has no text is an error, and so is no line at all."""
     lines = spark.read.schema("text string").option("mode", "FAILFAST").json(path)
-    return lines.select(F.coalesce("text", F.raise_error(F.lit("a line has no text")).cast("string")).alias("text"))
-
-
-def read_sft(spark: SparkSession, path: str) -> DataFrame:
-    """Supervised examples from JSON lines; a missing target is made from the answer, a missing chat text from prompt and target."""
-    rows = spark.read.schema(SFT_SCHEMA).json(path)
-    # numbers follow the order of files, then of rows, with gaps between the parts that are read
-    rows = rows.withColumn("id", F.coalesce("id", F.concat(F.lit("example_"), (F.monotonically_increasing_id() + 1).cast("string"))))
+    return _some(lines.select(F.coalesce("text", F.raise_error(F.lit("a line has no text")).cast("string")).alias("text")), path)
+
+
+def read_sft(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
+    """Supervised examples from JSON lines; a missing target is made from the answer, a missing chat text from prompt and target, a
+    missing id from the example's number in the order of files and lines. limit: only the first so many (0: all). A line that isn't
+    JSON, or has no prompt or no answer, is an error, and so is no line at all."""
+    rows = _numbered(spark.read.schema(SFT_SCHEMA).option("mode", "FAILFAST").json(path))
+    if limit:
+        rows = rows.where(F.col("_n") <= limit)
+    told = [F.coalesce(c, F.raise_error(F.lit(f"an example has no {c}")).cast("string")).alias(c) for c in ("prompt_text", "assistant_text")]
+    rows = rows.select(F.coalesce("id", F.concat(F.lit("example_"), F.col("_n").cast("string"))).alias("id"), *told, "target_text", "chat_text")
     rows = rows.withColumn("target_text", F.coalesce("target_text", F.concat(F.lit(" "), "assistant_text", F.lit(f"\n{END_ASSISTANT}\n{CHAT_END}"))))
-    return rows.withColumn("chat_text", F.coalesce("chat_text", F.concat("prompt_text", "target_text")))
+    return _some(rows.withColumn("chat_text", F.coalesce("chat_text", F.concat("prompt_text", "target_text"))), path)
 
 
 def source_label(path: Column, prefix: str = "") -> Column:
@@ -136,7 +161,10 @@ def write_sft(examples: DataFrame, path: str, split: str = "split") -> None:
     write_pretrain(examples, f"{path}/chats", "chat_text", split)
 
 
-def split_sizes(spark: SparkSession, path: str) -> DataFrame:
-    """(split, documents, bytes, characters) of a folder that write_pretrain wrote."""
+def split_sizes(spark: SparkSession, path: str, required: tuple[str, ...] = ()) -> DataFrame:
+    """(split, documents, bytes, characters) of a folder that write_pretrain wrote; a required split that isn't there is an error."""
     docs = spark.read.option("lineSep", "\n\n").text(path).where("value <> ''")
-    return docs.groupBy("split").agg(F.count("*").alias("documents"), F.sum(F.octet_length("value")).alias("bytes"), F.sum(F.length("value")).alias("characters"))
+    found = saved(docs.groupBy("split").agg(F.count("*").alias("documents"), F.sum(F.octet_length("value")).alias("bytes"), F.sum(F.length("value")).alias("characters")), "sizes")
+    if missing := set(required) - {r.split for r in found.where(F.col("split").isin(*required)).collect()}:
+        raise ValueError(f"no documents of {sorted(missing)} in {path}")
+    return found

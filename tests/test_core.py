@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from grainyard.functions import filters, text
 from grainyard.operators import extract, gate, messages, ordering, packing, runs, splits
-from grainyard.plans import core
+from grainyard.plans import core, training  # noqa: F401
 from grainyard.sources import files
 
 SF = "/root/testdata/sf0.001"
@@ -197,6 +197,73 @@ def test_files(spark, tmp_path):
     assert [r.text for r in files.read_texts(spark, str(tmp_path / "d")).collect()] == ["x"]
 
 
+def test_strict_readers(spark, tmp_path):
+    parts = [f'{{"prompt_text": "p{i}", "assistant_text": "a"}}\n' for i in range(300)]
+    for k in range(3):
+        (tmp_path / f"part-{k}.jsonl").write_text("".join(parts[100 * k : 100 * k + 100]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        ids = {r.prompt_text: r.id for r in files.read_sft(spark, str(tmp_path)).collect()}
+        first = {r.prompt_text for r in files.read_sft(spark, str(tmp_path), 150).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert ids == {f"p{i}": f"example_{i + 1}" for i in range(300)} and first == {f"p{i}" for i in range(150)}
+    for name, body, match in (("bad", "broken line\n", "MALFORMED|FAILFAST"), ("half", '{"prompt_text": "p"}\n', "no assistant_text"), ("none", "", "nothing")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.jsonl").write_text(body)
+        with pytest.raises(Exception, match=match):
+            files.read_sft(spark, str(tmp_path / name)).collect()
+    with pytest.raises(Exception, match="nothing"):
+        files.read_paragraphs(spark, str(tmp_path / "none"))
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "a.txt").write_text("a\n\nb\n \nc\n\n\nd")
+    (tmp_path / "p" / "b.txt").write_text("e\n\nf")
+    assert [r.text for r in files.read_paragraphs(spark, str(tmp_path / "p"), 5).collect()] == list("abcde")
+    files.write_pretrain(spark.createDataFrame([("x", "training")], "text string, split string"), str(tmp_path / "w"))
+    with pytest.raises(ValueError, match="validation"):
+        files.split_sizes(spark, str(tmp_path / "w"), ("training", "validation"))
+
+
+def test_order_of_sparse_and_repeated_numbers(spark):
+    rows = [(i * 10**12 if i % 3 else 7, 1) for i in range(500)] + [(None, 1)]
+    df = spark.createDataFrame(rows, "i bigint, v int")
+    got = ordering.prefix_sum(ordering.even_buckets(df, "i", rows=20), F.col("_even"), ["i"], F.col("v"))
+    assert got.select("_even").distinct().count() > 10
+    want = sorted((r[0] is not None, r[0]) for r in rows)
+    told = sorted((r.i is not None, r.i, r.running) for r in got.collect())
+    assert [(a, b) for a, b, _ in told] == want and max(r for *_, r in told) == len(rows)
+    assert all(r == sum((x <= (a, b)) for x in want) for a, b, r in told if b != 7)
+    with pytest.raises(ValueError, match="few"):
+        ordering.order_split(spark.range(9), "id")
+    counts = {r.split: r["count"] for r in ordering.order_split(spark.range(11), "id").groupBy("split").count().collect()}
+    assert counts == {"training": 8, "validation": 1, "testing": 2}
+
+
+def test_tensors_and_mixture(spark):
+    rows = spark.createDataFrame([(1, [5, 6, 7], [8, 9]), (2, [], [1]), (3, [1], [1] * 6), (4, list(range(9)), [8, 9]), (5, None, [1])], "id int, p array<int>, t array<int>")
+    got = {r.id: r for r in packing.sft_tensors(rows, "p", "t", 5, 0, ["id"]).collect()}
+    assert {i: r.status for i, r in got.items()} == {1: "kept", 2: "empty", 3: "too_long", 4: "truncated", 5: "empty"}
+    assert (got[1].input_ids, got[1].target_ids, got[1].loss_mask, got[1].loss_targets) == ([5, 6, 7, 8, 0], [6, 7, 8, 9, 0], [0, 0, 1, 1, 0], 2)
+    assert (got[4].input_ids, got[4].target_ids, got[4].loss_mask) == ([5, 6, 7, 8, 8], [6, 7, 8, 8, 9], [0, 0, 0, 1, 1]) and got[2].input_ids is None
+    batches = spark.createDataFrame([("a", 0, 2), ("a", 1, 0), ("b", 0, 1)], "source string, index bigint, loss_targets int")
+    slots = spark.range(9).withColumnRenamed("id", "i")
+    mixed = packing.mixture_batches([("a", 2), ("b", 1)], batches, slots).orderBy("i").collect()
+    assert [(r.source, r["index"], r.update) for r in mixed] == [("a", 0, 1), ("a", 1, None), ("b", 0, 2), ("a", 0, 3), ("a", 1, None), ("b", 0, 4), ("a", 0, 5), ("a", 1, None), ("b", 0, 6)]
+    with pytest.raises(ValueError, match="no batches"):
+        packing.mixture_batches([("a", 2), ("c", 1)], batches, slots)
+    with pytest.raises(Exception, match="zero"):
+        runs.masked_loss(spark.createDataFrame([("a", 1.0, 0.0)], "g string, l double, w double"), ["g"], F.col("l"), F.col("w"), strict=True).collect()
+
+
+def test_tree_depth_and_open_prompts(spark):
+    df = spark.createDataFrame([(str(i), str(i - 1) if i else None, "bot" if i % 2 else "user", str(i), i) for i in range(20)], "message_id string, parent_id string, role string, text string, n int")
+    got = extract.tree_chains(df, "n", max_depth=3).groupBy("row_id").agg(F.min("pos").alias("p")).collect()
+    assert {r.row_id: r.p for r in got} == {str(i): -min(i, 3) for i in range(1, 20, 2)}
+    said = spark.createDataFrame([(1, "greeting", "x"), (2, "greeting", None)], "run int, case_id string, completion string")
+    left = gate.open_prompts(said, gate.cases(spark), ["run"])
+    assert left.count() == 2 * 21 and left.where("prompt IS NULL").count() == 0
+
+
 def test_frequency_vocab_of_nothing(spark):
     got = packing.frequency_vocab(spark.createDataFrame([(None,), ("once",)], "t string"), "t", 10, ["<PAD>"]).collect()
     assert [(r.token, r.token_id) for r in got] == [("<PAD>", 1)]
