@@ -67,8 +67,8 @@ def tree_paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
     paths = written(chosen.select(F.col("node").alias("leaf"), "node", F.lit(0).cast("bigint").alias("up")), "paths")
     for k in reversed(range(len(steps) - 1)):
         jump = steps[k].select(F.col("node").alias("at"), F.col("up").alias("to"))
-        more = paths.join(jump, paths.node == jump["at"]).select("leaf", F.col("to").alias("node"), (F.col("up") + (1 << k)).alias("up"))
-        paths = written(paths.union(more), "paths")
+        more = paths.join(jump, F.col("node") == F.col("at")).select("leaf", F.col("to").alias("node"), (F.col("up") + (1 << k)).alias("up"))
+        paths = paths.union(written(more, "paths"))  # only the messages that this round finds
     return paths
 
 

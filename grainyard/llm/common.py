@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -41,7 +42,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """df, written to the shared folder and read again: its lineage is cut and lost executors don't matter."""
     path = scratch_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    _places[back] = path
+    return back
+
+
+_places: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def forget(df: DataFrame) -> None:
+    """Delete what `written` wrote for df. Nothing that is still to be read may depend on it."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(_places.pop(df))
+    path.getFileSystem(conf).delete(path, True)
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads a word's bytes (letters and all non-ASCII bytes) in both directions and labels every position; a document's
-probabilities are the means over all its positions. Its state starts anew at each word (and every PIECE bytes of a longer one), so equal words have equal
-labels and a worker keeps their sums. It is trained in numpy by backpropagation through time.
+The network reads a text's bytes (letters and all non-ASCII bytes, one space for all between them) in both directions and labels
+every position; a document's probabilities are the means over all its positions. The state is carried on from word to word. So that
+the stretches of a long text can be read side by side, it is read in windows of CORE positions, and each direction starts MARGIN
+positions before the first that it labels. It is trained in numpy by backpropagation through time.
 """
 
 from __future__ import annotations
@@ -17,23 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import arrow_map
+from .common import arrow_map, slices
 from .toxicity import labelled_sample
-from .wordbags import bag_sums, worker_table
 
-PIECE = 32
+CORE, MARGIN = 224, 24
 _LETTER = regex.compile(r"\p{L}")
-
-
 #: A-Z to lower case, and all other ASCII characters but letters to a space.
 _LETTERS = bytes(b + 32 if 65 <= b < 91 else b if 97 <= b < 123 or b > 127 else 32 for b in range(256))
 
 
-def split_pieces(text: bytes) -> list[bytes]:
-    words = text.translate(_LETTERS).split()
-    if max(map(len, words), default=0) <= PIECE:
-        return words
-    return [w[i : i + PIECE] for w in words for i in range(0, len(w), PIECE)]
+def letters(text: str | None) -> bytes:
+    return b" ".join((text or "").encode().translate(_LETTERS).split())
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -125,27 +120,20 @@ class ByteGRU:
         second = self.back(y, self.weights[3], turned(d_both[..., n:], size), kept_b)
         return float(loss), [*first, *second, np.einsum("btk,btl->kl", both, d), d.sum((0, 1))]
 
-    def fit(self, texts: list[str], langs: np.ndarray, steps: int = 500, batch: int = 512, rate: float = 0.02) -> ByteGRU:
-        """Adam steps on words of all texts' whole words, drawn by how often they occur, as many of each language."""
+    def fit(self, texts: list[str], langs: np.ndarray, steps: int = 400, batch: int = 128, length: int = 64, rate: float = 0.02) -> ByteGRU:
+        """Adam steps on windows from all texts, as many of each language, drawn from all places of its texts alike."""
         rng = np.random.default_rng(self.seed)
-        words, labels, times = [], [], []
-        for k, lang in enumerate(self.langs):
-            count: dict[bytes, int] = {}
-            for t, given in zip(texts, langs):
-                if given == lang:
-                    for w in split_pieces(t.encode()):
-                        count[w] = count.get(w, 0) + 1
-            words += count
-            labels += [k] * len(count)
-            times += (np.array(list(count.values()), float) / max(1, sum(count.values()))).tolist()
-        if not words:
+        whole = [b" ".join(x for t, given in zip(texts, langs) if given == lang and (x := letters(t))) for lang in self.langs]
+        known = [k for k, x in enumerate(whole) if x]
+        if not known:
             return self
-        label, edge = np.array(labels), np.cumsum(times)
         moments = [(np.zeros_like(w), np.zeros_like(w)) for w in self.weights]
         for step in range(1, steps + 1):
-            take = np.sort(np.minimum(np.searchsorted(edge, rng.random(batch) * edge[-1], "right"), len(words) - 1))
-            x, size = padded([words[i] for i in take])
-            _, grads = self.gradients(x, size, label[take], np.ones(len(take), np.float32))
+            label = rng.choice(known, batch)
+            size = np.array([len(whole[k]) for k in label])
+            start = (rng.random(batch) * np.maximum(size - length + 1, 1)).astype(np.int64)
+            x, size = padded([whole[k][i : i + length] for k, i in zip(label.tolist(), start.tolist())])
+            _, grads = self.gradients(x, size, label, np.ones(batch, np.float32))
             pace = rate * min(1.0, 2 * (1 - step / (steps + 1))) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for w, g, (m, v) in zip(self.weights, grads, moments):
                 m += 0.1 * (g - m)
@@ -153,22 +141,57 @@ class ByteGRU:
                 w -= (pace * m / (np.sqrt(v) + 1e-7)).astype(np.float32)
         return self
 
-    def word_values(self, words: list[bytes]) -> np.ndarray:
-        """For each word, the sums over its positions of the languages' probabilities, and the number of positions."""
-        out = np.zeros((len(words), len(self.langs) + 1), np.float32)
-        order = np.argsort([len(w) for w in words], kind="stable")
-        for i in range(0, len(order), 2048):
-            at = order[i : i + 2048]
-            x, size = padded([words[k] for k in at])
-            p = self.probabilities(x, size)[0]
-            out[at, :-1] = (p * (np.arange(x.shape[1]) < size[:, None])[..., None]).sum(1)
-            out[at, -1] = size
+    def reading(self, x: np.ndarray, table: np.ndarray, turn: np.ndarray, head: np.ndarray) -> np.ndarray:
+        """What one direction adds to the languages' logits at each position. x: bytes, a row a position, a column a window."""
+        n = self.width
+        h = np.zeros((x.shape[1], n), np.float32)
+        out = np.empty((*x.shape, head.shape[1]), np.float32)
+        for t, row in enumerate(x):
+            gates, fed = table[row], h @ turn
+            both = gates[:, : 2 * n] + fed[:, : 2 * n]
+            both *= 0.5
+            np.tanh(both, out=both)
+            both *= 0.5
+            both += 0.5
+            new = fed[:, 2 * n :] * both[:, n:]
+            new += gates[:, 2 * n :]
+            np.tanh(new, out=new)
+            h -= new
+            h *= both[:, :n]
+            h += new
+            np.matmul(h, head, out=out[t])
         return out
 
+    def pooled(self, data: np.ndarray, offsets: np.ndarray, batch: int = 1024) -> np.ndarray:
+        """For each text of letters (data from one offset to the next) the sums of the languages' probabilities over its positions."""
+        table, turn, table_b, turn_b, head, bias = self.weights
+        size = np.diff(offsets)
+        windows = -(-size // CORE)
+        doc = np.repeat(np.arange(len(size)), windows)
+        core = offsets[doc] + CORE * (np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows))
+        past = np.minimum(core + CORE, offsets[doc + 1])
+        first, last = np.maximum(core - MARGIN, offsets[doc]), np.minimum(past + MARGIN, offsets[doc + 1])
+        total = np.zeros((len(size), len(self.langs)))
+        order = np.argsort(last - first, kind="stable")
+        for i in range(0, len(order), batch):
+            w = order[i : i + batch]
+            n = last[w] - first[w]
+            at = np.arange(n.max())[:, None]
+            ahead = self.reading(data[np.minimum(first[w] + at, last[w] - 1)], table, turn, head[: self.width])
+            behind = self.reading(data[np.maximum(last[w] - 1 - at, first[w])], table_b, turn_b, head[self.width :])
+            z = ahead + np.take_along_axis(behind, np.maximum(n - 1 - at, 0)[:, :, None], 0) + bias
+            z -= z.max(2, keepdims=True)
+            p = np.exp(z, out=z)
+            p /= p.sum(2, keepdims=True)
+            on = (at >= core[w] - first[w]) & (at < past[w] - first[w])
+            np.add.at(total, doc[w], np.einsum("tbk,tb->bk", p, on.astype(np.float32)))
+        return total
+
 
 def train_language(docs: DataFrame, most: int = 150, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteGRU:
-    """Fit on at most `most` documents of each language (those with the smallest hashes of their ids), on their whole texts. Rows
-    with null id, text or lang teach nothing; without any row the model has no language."""
+    """Fit on at most `most` documents of each language (those with the smallest hashes of their ids), on their whole texts of any
+    length. Rows with null id, text or lang teach nothing, and of repeated ids the least text; without any row, as for an empty table,
+    the model has no language."""
     docs = docs.where(F.col(text_col).isNotNull())
     texts, langs = labelled_sample(docs.select(id_col, lang_col), docs, most, id_col, text_col)
     return ByteGRU(sorted(set(langs))).fit(texts, np.array(langs))
@@ -179,7 +202,8 @@ def languages(docs: DataFrame, model: ByteGRU, text_col: str = "text") -> DataFr
 
     A text that is null, or without any letter, gets `und` and 0, as does every text if the model knows no language. Of equal
     chances the alphabetically first language wins. Other columns stay; columns named lang_pred or score are replaced.
-    Equal texts get equal results. The model is a few KB and broadcast.
+    Equal texts, in repeated rows too, get equal results up to rounding; texts of any length are read whole; an empty table gives an
+    empty one. The model is a few KB and broadcast.
     """
     kept = docs.drop("lang_pred", "score")
     place = kept.columns.index(text_col)
@@ -187,14 +211,16 @@ def languages(docs: DataFrame, model: ByteGRU, text_col: str = "text") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        table = worker_table(model.weights, model.word_values, len(model.langs) + 1)
         for batch in batches:
-            for part, sums in bag_sums(batch, place, split_pieces if model.langs else lambda t: [], table):
-                none = np.array([not model.langs or t is None or not _LETTER.search(t) for t in part.column(place).to_pylist()], bool)
-                chance = sums[:, :-1] / np.maximum(sums[:, -1:], 1)
-                best = chance.argmax(1) if model.langs else np.zeros(len(sums), int)
+            for part in slices(batch, place):
+                texts = part.column(place).to_pylist()
+                none = [not model.langs or t is None or not _LETTER.search(t) for t in texts]
+                read = [b"" if no else letters(t) for no, t in zip(none, texts)]
+                offsets = np.r_[0, np.cumsum([len(x) for x in read])].astype(np.int64)
+                chance = model.pooled(np.frombuffer(b"".join(read), np.uint8), offsets) / np.maximum(np.diff(offsets), 1)[:, None]
+                best = chance.argmax(1) if model.langs else np.zeros(len(texts), int)
                 pred = ["und" if no else model.langs[k] for no, k in zip(none, best)]
-                score = [0.0 if no else min(1.0, float(c[k])) for no, c, k in zip(none, chance, best)]
+                score = [0.0 if no else min(1.0, round(float(c[k]), 6)) for no, c, k in zip(none, chance, best)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*part.schema.names, "lang_pred", "score"])
 
     fields = [*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_names
+from .common import free_names, written
 
 #: One period: for each slot the place in src of the source that runs.
 _PERIOD = """
@@ -51,8 +51,9 @@ def mixed_sources(docs: DataFrame, weights: dict[str, float] | None = None, bloc
     keyed = docs.withColumns({key: F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")), h: F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")}).withColumn(bucket, F.shiftright(h, 60 - bits) if bits else F.lit(0).cast("bigint"))
 
     counts = keyed.groupBy(F.col(key).alias("key"), F.col(bucket).alias("bucket")).agg(F.count("*").alias("n"))
-    before = counts.select("key", "bucket", "n", (F.sum("n").over(Window.partitionBy("key").orderBy("bucket")) - F.col("n")).alias("before"))
-    blocks = _blocks(before, _units(counts, weights, resolution, max_sources), block)
+    # written, so that Spark knows their sizes and, while they are small, doesn't deal the rows out once more to join them
+    before = written(counts.select("key", "bucket", "n", (F.sum("n").over(Window.partitionBy("key").orderBy("bucket")) - F.col("n")).alias("before")), "ranges")
+    blocks = written(_blocks(before, _units(before, weights, resolution, max_sources), block), "blocks")
 
     order = Window.partitionBy(key, bucket).orderBy(h, F.asc_nulls_first(id_col))
     numbered = keyed.withColumn(n, F.row_number().over(order) - 1)

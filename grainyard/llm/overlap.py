@@ -5,9 +5,11 @@ are therefore dealt into shards by many fixed choices of their bits: a pair miss
 above. Each shard is a BK-tree over the first 128 bits, children keyed by their integer Hamming distance to the parent; only edges
 within the radius are followed. Candidates are verified on the whole shingle sets.
 
-Candidates come in two rounds, so that a large group of copies of one text doesn't make all of its pairs: first every set with the
-node of the tree within the radius that it meets on its way down (it then isn't put into the tree), and such nodes with each other;
-then, of the sets that verified links left apart, those that share a shard, within the radius of all 256 bits.
+Candidates come in three rounds, so that a large group of copies of one text doesn't make all of its pairs. First every set gets one
+partner a shard: the node of the tree within the radius that it meets on its way down (it then isn't put into the tree), or the
+nearest other node. Then, of the sets that verified links left apart, each gets its nearest partner of another component a
+shard, within the radius of all 256 bits. Last, the sets that are still apart bring their shingle hashes with them into their
+shards, where all pairs within the radius are compared; only those that are similar come out.
 """
 
 from __future__ import annotations
@@ -21,14 +23,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACES, arrow_map, free_names, mixed, ngram_hashes, record_batch, slices, span_hashes, text_bytes, word_spans, written
-from .simhash import bk_forest, bk_search, components
+from .simhash import bk_forest, bk_search, component_minima, components, distance
 
 WORDS = 4  # of 64 bits in a fingerprint
 #: Radii on the first 128 and on all 256 bits, about four standard deviations over the mean distance of sets of similarity 0.8.
 RADIUS, WIDE_RADIUS = 36, 60
 #: The chance that a bit differs at 0.8 (the angle between the sets over pi), with a standard deviation of 256 bits added.
 DIFFERS, MISS = 0.174, 0.001
-SHARD = 64
+#: Fingerprints that are to share a shard by chance, and the fewest bits to deal them by.
+SHARD, LEAST_BITS = 256, 11
 _SEEDS = np.random.default_rng(6).integers(0, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 _SETS = pa.schema([("id", pa.int64()), ("text", pa.string()), ("own", pa.int64()), ("fp", pa.binary())])
 _KEYED = pa.schema([("key", pa.int64()), ("own", pa.int64()), ("fp", pa.binary())])
@@ -100,7 +103,7 @@ def marked_sets(docs: DataFrame, width: int, id_col: str, text_col: str) -> Data
 def bit_choices(n: int) -> np.ndarray:
     """Fixed choices of fingerprint bits, a row each: as many bits as leave about SHARD of n fingerprints in a shard by chance, and as
     many choices as keep the chance that similar sets agree on none below MISS."""
-    bits = min(max(8, math.ceil(math.log2(max(n, 1) / SHARD))), 40)
+    bits = min(max(LEAST_BITS, math.ceil(math.log2(max(n, 1) / SHARD))), 40)
     count = math.ceil(math.log(MISS) / math.log(1 - (1 - DIFFERS) ** bits))
     rng = np.random.default_rng(bits)
     return np.stack([rng.choice(64 * WORDS, bits, replace=False) for _ in range(count)])
@@ -145,54 +148,93 @@ def _shards(batches: Iterator[pa.RecordBatch], words: int) -> tuple[np.ndarray,
     return tuple(x[order] for x in (key, own, fp, *more))
 
 
+def nearest(fp: np.ndarray, hits: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each item with hits (item, other) the nearest other one, the first of equally near ones."""
+    best = np.full(len(fp), np.iinfo(np.int64).max)
+    for a, b in hits:
+        np.minimum.at(best, a, distance(fp[a], fp[b]) * len(fp) + b)
+    some = np.flatnonzero(best < np.iinfo(np.int64).max)
+    return some, best[some] % max(len(fp), 1)
+
+
 def _first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, a, b): sets of one shard within the radius, a of them linked to a node of the tree."""
+    """(key, a, b): each set with its partner in a shard."""
     got = _shards(batches, 2)
     if not got or not len(got[0]):
         return
     key, own, fp = got
     root, edges, children, taken, by = bk_forest(fp, key, RADIUS)
-    yield from _pairs(key, own, taken, by)
     nodes = np.setdiff1d(np.arange(len(fp)), taken, assume_unique=True)
-    for a, b in bk_search(fp, (root, edges, children), RADIUS, items=nodes):
-        some = own[a] > own[b]
-        yield from _pairs(key, own, a[some], b[some])
+    a, b = nearest(fp, bk_search(fp, (root, edges, children), RADIUS, items=nodes))
+    for x, y in ((taken, by), (a, b)):
+        for i in range(0, len(x), 1 << 16):
+            one, two = own[x[i : i + (1 << 16)]], own[y[i : i + (1 << 16)]]
+            yield record_batch(_SHARED, key[x[i : i + (1 << 16)]], np.maximum(one, two), np.minimum(one, two))
 
 
-def _pairs(key: np.ndarray, own: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(a), 1 << 16):
-        x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
-        yield record_batch(_SHARED, key[x], own[x], own[y])
+def _apart(threshold: float | None):
+    """(a, b): sets of one shard and of different labels within the wide radius: the nearest of each, or with a threshold all whose
+    shingle hashes (32 bits each, a column more) have that similarity."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = _shards(batches, WORDS)
+        if not got or not len(got[0]):
+            return
+        key, own, fp, label, *sets = got
+        shard = np.cumsum(np.r_[False, key[1:] != key[:-1]])
+        # of each shard all labels but the most frequent one search: one of any two labels does
+        order = np.lexsort((label, shard))
+        edge = np.flatnonzero(np.r_[True, (shard[order][1:] != shard[order][:-1]) | (label[order][1:] != label[order][:-1])])
+        size, of = np.diff(np.r_[edge, len(order)]), shard[order][edge]
+        ranked = np.lexsort((size, of))
+        main = np.zeros(len(of), bool)
+        main[ranked[np.r_[of[1:] != of[:-1], True]]] = True  # of is ascending, so ranked has the largest of each shard last
+        items = np.sort(order[~np.repeat(main, size)])
+        found = bk_search(fp, bk_forest(fp, key)[:3], WIDE_RADIUS, items=items)
+        hits = ((a[apart], b[apart]) for a, b in found for apart in [label[a] != label[b]])
+        for a, b in [nearest(fp, hits)] if threshold is None else hits:
+            if len(a) and threshold is not None:
+                a, b = _alike(a, b, sets[0], threshold)
+            if len(a):
+                pair = np.unique(np.stack([np.maximum(own[a], own[b]), np.minimum(own[a], own[b])]), axis=1)
+                yield record_batch(_LINK, *pair)
+
+    return run
+
+
+def _alike(a: np.ndarray, b: np.ndarray, sets: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose sets, as bytes of sorted 32-bit numbers, have a Jaccard similarity of threshold; all partners of one set at once."""
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    edge = np.flatnonzero(np.r_[True, a[1:] != a[:-1], True])
+    keep = np.zeros(len(a), bool)
+    for i, end in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        own = np.frombuffer(sets[a[i]], np.uint32)
+        for k in range(i, end, 4096):
+            some = sets[b[k : min(k + 4096, end)]]
+            size = np.fromiter(map(len, some), np.int64, len(some)) // 4
+            other = np.frombuffer(b"".join(some.tolist()), np.uint32)
+            at = np.minimum(np.searchsorted(own, other), len(own) - 1)
+            shared = np.add.reduceat((own[at] == other).astype(np.int64), np.cumsum(size) - size)
+            keep[k : k + len(some)] = shared >= threshold * (len(own) + size - shared) - 1e-9
+    return a[keep], b[keep]
+
+
+def hashed_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(own, hashes) of (own, text): the set's shingle hashes cut to 32 bits, in order."""
 
-def _second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): sets of one shard and of different labels within the wide radius. Columns: key, own, fp, label."""
-    got = _shards(batches, WORDS)
-    if not got or not len(got[0]):
-        return
-    key, own, fp, label = got
-    shard = np.cumsum(np.r_[False, key[1:] != key[:-1]])
-    # of each shard all labels but the most frequent one search: one of any two labels does
-    order = np.lexsort((label, shard))
-    edge = np.flatnonzero(np.r_[True, (shard[order][1:] != shard[order][:-1]) | (label[order][1:] != label[order][:-1])])
-    size = np.diff(np.r_[edge, len(order)])
-    of = shard[order][edge]
-    best = np.lexsort((size, of))[np.flatnonzero(np.r_[np.sort(of)[1:] != np.sort(of)[:-1], True])]
-    main = np.zeros(len(of), bool)
-    main[best] = True
-    items = np.sort(order[~np.repeat(main, size)])
-    for a, b in bk_search(fp, bk_forest(fp, key)[:3], WIDE_RADIUS, items=items):
-        some = label[a] != label[b]
-        x, y = own[a[some]], own[b[some]]
-        if len(x):
-            pair = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)]), axis=1)
-            yield record_batch(_LINK, *pair)
-
-
-def verified(pairs: DataFrame, sets: DataFrame, width: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard similarity of at least threshold."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("own")).distinct()
-    texts = written(sets.join(named, "own", "left_semi").groupBy("own").agg(F.min("text").alias("text")), "texts")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                h, first = shingle_sets(part.column(1), width)
+                raw = [np.unique((h[a:b] >> np.uint64(32)).astype(np.uint32)).tobytes() for a, b in zip(first.tolist(), first[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw, pa.binary())], ["own", "hashes"])
+
+    return arrow_map(texts, run, "own bigint, hashes binary")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of at least threshold. texts: (own, text), a row a set."""
     both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "ta", "b", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,26 +252,34 @@ def verified(pairs: DataFrame, sets: DataFrame, width: int, threshold: float) ->
 
 
 def _groups(docs: DataFrame, width: int, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Two tables: (id, text, own), a row a row of docs, and (own, label, lead), a row a set: sets that links join have one label;
-    lead is the set's first row, as (no id, id, hash of the text)."""
+    """Two tables: (id, text, own), a row a row of docs, and (own, least), a row a set: the first row of all sets that links join with
+    it, as (no id, id, hash of the text)."""
     if threshold < 0.8:
         raise ValueError("the choices of bits cover similarities from 0.8 on")
     sets = written(marked_sets(docs, width, id_col, text_col), "sets")
     lead = F.struct(F.col("id").isNull().alias("none"), "id", text_mark(F.col("text")).alias("mark"))
-    each = written(sets.groupBy("own").agg(F.min(lead).alias("lead"), F.max("fp").alias("fp")), "each")
+    each = written(sets.groupBy("own").agg(F.min(lead).alias("first"), F.max("fp").alias("fp")), "each")
     some = each.where(F.length("fp") > 0)
     keyed = shard_rows(some, bit_choices(some.count()))
     shared = written(arrow_map(keyed.repartition("key"), _first_round, "key bigint, a bigint, b bigint"), "shared")
-    near = written(verified(written(shared.select("a", "b").distinct(), "pairs"), sets, width, threshold), "near")
-    star = components(near).toDF("own", "label")
-    members = shared.select("key", F.explode(F.array("a", "b")).alias("own")).distinct()
-    label = written(members.join(star, "own", "left").withColumn("label", F.coalesce("label", "own")), "labels")
-    split = label.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
-    rest = label.join(split, "key").join(each.select("own", "fp"), "own").select("key", "own", "fp", "label")
-    more = written(arrow_map(rest.repartition("key"), _second_round, "a bigint, b bigint").distinct(), "pairs")
-    links = near.union(verified(more.join(near, ["a", "b"], "left_anti"), sets, width, threshold))
-    named = each.select("own", "lead").join(components(links).toDF("own", "label"), "own", "left").withColumn("label", F.coalesce("label", "own"))
-    return sets, written(named, "groups")
+    members = written(shared.select("key", F.explode(F.array("a", "b")).alias("own")).distinct(), "members")
+    named = written(members.select("own").distinct(), "named")  # small files: Spark knows to broadcast what is small
+    texts = written(sets.join(named, "own", "left_semi").groupBy("own").agg(F.min("text").alias("text")), "texts")
+    tried = written(shared.select("a", "b").distinct(), "pairs")
+    links = written(verified(tried, texts, width, threshold), "links")
+    prints = written(each.join(named, "own", "left_semi").select("own", "fp"), "prints")
+    for last in (False, True):
+        star = written(components(links).toDF("own", "label"), "star")
+        label = written(members.join(star, "own", "left").withColumn("label", F.coalesce("label", "own")), "labels")
+        split = label.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
+        rest = label.join(split, "key").join(prints, "own").select("key", "own", "fp", "label")
+        if last:
+            rest = rest.join(hashed_sets(texts.join(written(rest.select("own").distinct(), "apart"), "own", "left_semi"), width), "own").select("key", "own", "fp", "label", "hashes")
+        found = arrow_map(rest.repartition("key"), _apart(threshold if last else None), "a bigint, b bigint").distinct()
+        more = written(found.join(tried, ["a", "b"], "left_anti"), "pairs")
+        links = written(links.union(verified(more, texts, width, threshold)), "links")
+        tried = tried.union(more)
+    return sets, written(component_minima(each.select("own", "first"), links), "groups")
 
 
 def text_mark(text: Column) -> Column:
@@ -246,18 +296,21 @@ def similar(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str
     empty table gives an empty one.
     """
     sets, groups = _groups(docs, width, threshold, id_col, text_col)
-    least = groups.groupBy("label").agg(F.min("lead.id").alias("component_id"))
-    named = groups.join(least, "label").select("own", "component_id")
+    named = groups.select("own", F.col("least.id").alias("component_id"))
     return sets.select("id", "own").join(named, "own").select(F.col("id").alias(id_col), "component_id")
 
 
 def representatives(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group that `similar` links: the one of smallest id, null last; of several with that id the one whose
     text has the smallest hash; of rows equal in id and text any one. All columns are kept, whatever their names."""
-    _, groups = _groups(docs, width, threshold, id_col, text_col)
-    ident, mark, own = free_names(docs, "kept_id", "kept_mark", "own_mark")
-    kept = groups.groupBy("label").agg(F.min("lead").alias("lead")).select(F.col("lead.id").alias(ident), F.col("lead.mark").alias(mark))
+    sets, groups = _groups(docs, width, threshold, id_col, text_col)
+    ident, mark, own = free_names(docs, "gone_id", "gone_mark", "own_mark")
+    rows = sets.select("own", F.col("id").alias(ident), text_mark(F.col("text")).alias(mark))
+    told = written(rows.join(groups, "own").select(ident, mark, (~F.col(ident).eqNullSafe(F.col("least.id")) | (F.col(mark) != F.col("least.mark"))).alias("gone")), "told")
+    gone = written(told.where("gone").select(ident, mark).distinct(), "gone")
     marked = docs.withColumn(own, text_mark(F.col(f"`{text_col}`")))
     same = F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col(ident)) & (F.col(own) == F.col(mark))
-    once = marked.join(kept, same, "left_semi").dropDuplicates([id_col, own])
-    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
+    left = marked.join(gone, same, "left_anti")
+    if not told.where("NOT gone").groupBy(ident, mark).count().where("count > 1").isEmpty():  # only then texts are dealt once more
+        left = left.dropDuplicates([id_col, own])
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])

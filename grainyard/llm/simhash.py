@@ -2,9 +2,8 @@
 
 Distinct fingerprints are cut into m bit blocks; fingerprints within the radius r agree on some m - r of them, so every
 choice of m - r blocks deals the fingerprints into shards, and each link lies inside some shard. A shard is a BK-tree, its
-children keyed by their integer Hamming distance to the parent; a search follows only edges within the radius. Shards are
-bounded by the number of distinct fingerprints that agree on the key, so each is built and searched in the task that
-receives it rather than broadcast. All trees of a task grow and are searched level by level, as arrays. A task yields
+children keyed by their integer Hamming distance to the parent; a search follows only edges within the radius. There are as
+many shards as fingerprints or more, so each is built and searched in the task that receives it rather than broadcast. All trees of a task grow and are searched level by level, as arrays. A task yields
 one link from each fingerprint to the smallest that it reaches; components then shrink to stars by joins.
 """
 
@@ -19,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, record_batch, slices, written
+from .common import arrow_map, forget, record_batch, slices, written
 
 _FP = pa.schema([("id", pa.int64()), ("fp", pa.int64())])
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -160,10 +159,10 @@ def _shard_links(radius: int):
         parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
         if not parts:
             return
-        fp, choice, bits = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((fp, bits, choice))
-        fp, choice, bits = fp[order], choice[order], bits[order]
-        shard = np.cumsum(np.r_[0, (choice[1:] != choice[:-1]) | (bits[1:] != bits[:-1])])
+        fp, *key = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((fp, *key))
+        fp, key = fp[order], [k[order] for k in key]
+        shard = np.cumsum(np.r_[0, np.any([k[1:] != k[:-1] for k in key], axis=0)])
         several = np.bincount(shard)[shard] > 1
         fp, shard = fp[several], shard[several]
         if len(fp):
@@ -179,7 +178,8 @@ def components(links: DataFrame) -> DataFrame:
     """(a, b): each linked value and the smallest that it reaches, but for those that are the smallest themselves.
 
     links: (a, b) with a > b. Large-star and small-star steps alternate until nothing changes; each is a grouped minimum and a
-    join, so that a value with very many links is pre-aggregated and its join can be split. Rows are written between rounds.
+    join, so that a value with very many links is pre-aggregated and its join can be split. Rows are written between rounds, and
+    those of the round before deleted.
     """
     now = written(links.distinct(), "links")
     last = None
@@ -193,25 +193,54 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("low").alias("b")).distinct()
         down = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(down, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
-        now = written(small, "links")
+        further = written(small, "links")
+        forget(now)
+        now = further
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, seed: int = 42, blocks: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def component_minima(each: DataFrame, links: DataFrame) -> DataFrame:
+    """(own, least) for each row of each (own, first): the smallest `first` of all rows that links (a, b), of values of own, join. Only
+    rows with a link are dealt by component."""
+    star = components(links)
+    members = star.select(F.col("a").alias("own"), F.col("b").alias("top")).union(star.select("b", "b").distinct())
+    members = written(members.join(each, "own"), "members")
+    least = members.groupBy("top").agg(F.min("first").alias("least"))
+    told = members.select("own", "top").join(least, "top").select("own", F.struct("least").alias("told"))
+    joined = each.join(told, "own", "left")
+    return joined.select("own", F.when(F.col("told").isNotNull(), F.col("told.least")).otherwise(F.col("first")).alias("least"))
+
+
+def dealt_shards(distinct: DataFrame, m: int, radius: int, hot: int) -> DataFrame:
+    """(fp, choice, bits, choice2, bits2): fingerprints by all choices of m - radius of m blocks. Shards of over `hot` are dealt once more,
+    by two of radius + 2 blocks of their other bits: linked fingerprints, which agree on all but radius bits, agree on two of these."""
+    keyed = distinct.select("fp", F.explode(shard_keys(F.col("fp"), m, radius)).alias("k")).select("fp", "k.choice", "k.bits")
+    many = keyed.groupBy("choice", "bits").count().where(F.col("count") > hot).select("choice", "bits", F.lit(True).alias("hot"))
+    marked = written(keyed.join(many, ["choice", "bits"], "left"), "shards")
+    edge = [64 * i // m for i in range(m + 1)]
+    rows = []
+    for i, choice in enumerate(combinations(range(m), m - radius)):
+        free = [b for k in range(m) if k not in choice for b in range(edge[k], edge[k + 1])]
+        cut = [free[len(free) * k // (radius + 2) : len(free) * (k + 1) // (radius + 2)] for k in range(radius + 2)]
+        for j, pair in enumerate(combinations(cut, 2)):
+            mask = sum(1 << b for part in pair for b in part)
+            rows.append((i, j, mask - (1 << 64) if mask >> 63 else mask))
+    masks = distinct.sparkSession.createDataFrame(rows, "choice int, choice2 int, mask bigint")  # (radius + 2) * (radius + 1) / 2 a choice
+    again = marked.where("hot").join(F.broadcast(masks), "choice").select("fp", "choice", "bits", "choice2", F.col("fp").bitwiseAND(F.col("mask")).alias("bits2"))
+    return marked.where("hot IS NULL").select("fp", "choice", "bits", F.lit(-1).alias("choice2"), F.lit(0).cast("bigint").alias("bits2")).union(again)
+
+
+def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, seed: int = 42, blocks: int | None = None, hot: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a row of docs: id (bigint), fingerprint (16 lowercase hex digits), component_id.
 
     Two rows are linked if their fingerprints differ in at most `radius` bits; component_id is the smallest id that links reach.
     Nulls: a null text counts as empty; empty texts have fingerprint zero, linked like any other; a null id stays null, takes its
     component's id and never names one (a component of null ids alone has null). Equal texts share a fingerprint and so a
-    component; repeated rows give repeated rows. Other columns are not carried. Empty tables give empty ones.
+    component; repeated rows give repeated rows. Other columns are not carried, whatever their names. Empty tables give empty ones.
+    Texts of any length count whole. blocks: into how many the bits are cut; hot: shards of more fingerprints are dealt once more.
     """
     prints = written(fingerprints(docs, width, seed, id_col, text_col), "prints")
     distinct = written(prints.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
-    n = distinct.count()
-    m = blocks or blocks_for(n, radius)
-    keyed = distinct.select("fp", F.explode(shard_keys(F.col("fp"), m, radius)).alias("k")).select("fp", "k.choice", "k.bits")
-    links = arrow_map(keyed.repartition(F.col("choice"), F.col("bits")), _shard_links(radius), "a bigint, b bigint")
-    star = components(links)
-    named = distinct.join(star.withColumnRenamed("a", "fp"), "fp", "left").withColumn("top", F.coalesce("b", "fp"))
-    names = named.groupBy("top").agg(F.min("first").alias("component_id"))
-    named = written(named.join(names, "top").select("fp", "component_id"), "components")
-    return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    shards = dealt_shards(distinct, blocks or blocks_for(distinct.count(), radius), radius, hot)
+    links = arrow_map(shards.repartition("choice", "bits", "choice2", "bits2"), _shard_links(radius), "a bigint, b bigint")
+    named = written(component_minima(distinct.withColumnRenamed("fp", "own"), links), "components")
+    return prints.join(named.toDF("fp", "component_id"), "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

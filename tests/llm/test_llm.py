@@ -1,7 +1,12 @@
 """Operators against brute force, SQL, exact round trips and held-out accuracy, with nulls, empties, ties, repeats and clashing names."""
 
+import gzip
+import hashlib
+import io
 import itertools
 import math
+import time
+import wave
 import zlib
 from collections import Counter
 
@@ -112,7 +117,7 @@ def test_simhash(docs, rows):
         least[find(k)] = min((x for x in (i, least.get(find(k))) if x is not None), default=None)
     want = sorted([(i, f"{fp:016x}", least[find(k)]) for k, (i, fp) in enumerate(prints)], key=key)
     assert sorted(map(tuple, simhash.near_duplicates(docs).collect()), key=key) == want
-    assert sorted(map(tuple, simhash.near_duplicates(docs, blocks=6).collect()), key=key) == want
+    assert sorted(map(tuple, simhash.near_duplicates(docs.withColumns({"fp": F.lit("clash"), "id": F.lit(0)}), blocks=6, hot=2).collect()), key=key) == want
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
@@ -269,6 +274,49 @@ def test_language(docs):
     assert language.train_language(docs.limit(0)).langs == []
 
 
+def brute_language(model, text):
+    """The pooled probabilities position by position, each window in plain loops."""
+    raw = b" ".join("".join(c if ord(c) > 127 or c.isalpha() else " " for c in text).translate({k: k + 32 for k in range(65, 91)}).encode().split(b" "))
+    raw = b" ".join(x for x in raw.split(b" ") if x)
+    table, turn, table_b, turn_b, head, bias = (w.astype(float) for w in model.weights)
+    n, total = model.width, np.zeros(len(model.langs))
+
+    def states(seq, table, turn):
+        h, out = np.zeros(n), []
+        for b in seq:
+            g, u = table[b], h @ turn
+            z, r = (1 / (1 + np.exp(-(g[k : k + n] + u[k : k + n]))) for k in (0, n))
+            h = z * h + (1 - z) * np.tanh(g[2 * n :] + r * u[2 * n :])
+            out.append(h)
+        return out
+
+    for core in range(0, len(raw), language.CORE):
+        past = min(core + language.CORE, len(raw))
+        a, b = max(0, core - language.MARGIN), min(past + language.MARGIN, len(raw))
+        ahead, behind = states(raw[a:b], table, turn), states(raw[a:b][::-1], table_b, turn_b)[::-1]
+        for k in range(core - a, past - a):
+            z = np.r_[ahead[k], behind[k]] @ head + bias
+            total += np.exp(z) / np.exp(z).sum()
+    return total / max(len(raw), 1)
+
+
+def test_language_against_brute_force(spark, docs, rows):
+    model = language.train_language(toxicity.held_in(docs))
+    some = [r for r in rows if r[0] is None or r[0] < 12 or r[0] > 900] + [(960, "日本語 и \x85 ß" * 90), (961, "a"), (962, "1 2, 3")]
+    given = spark.createDataFrame(some, "doc_id bigint, text string").withColumns({"lang_pred": F.lit("clash"), "n": F.lit("stays")})
+    got = language.languages(given.union(given), model).collect()
+    assert len(got) == 2 * len(some) and {r.n for r in got} == {"stays"}
+    for r in got:
+        if any(c.isalpha() for c in r.text or ""):
+            want = brute_language(model, r.text)
+            assert abs(r.score - want.max()) < 1e-4
+            assert r.lang_pred == model.langs[want.argmax()] or np.sort(want)[-2] > want.max() - 1e-4
+        else:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+    assert language.languages(docs.limit(0), model).count() == 0
+    assert {r.lang_pred for r in language.languages(docs, language.train_language(docs.limit(0))).collect()} == {"und"}
+
+
 def test_language_gradients():
     m = language.ByteGRU(["a", "b"], width=3)
     m.weights = [w.astype(float) for w in m.weights]
@@ -287,15 +335,49 @@ def test_language_gradients():
 
 
 def test_media(docs, rows):
-    got = media.text_media_digests(docs).collect()
-    assert sorted((r.doc_id is not None, r.doc_id, r.n_bytes) for r in got) == sorted((i is not None, i, len(t.encode())) for i, t in rows)
-    assert all(r.payload_bytes % 64 == 0 and r.payload_bytes >= 64 and r.corrected for r in got)
+    got = media.text_media_digests(docs.withColumns({"media": F.lit("clash"), "n_bytes": F.lit(0)})).collect()
+    want = []
+    for i, t in rows:
+        raw = t.encode()
+        body = raw + b"\0" * (64 - len(raw) % 64 if len(raw) % 64 or not raw else 0)
+        with io.BytesIO() as f:
+            with wave.open(f, "wb") as w:
+                w.setnchannels(1)
+                w.setsampwidth(1)
+                w.setframerate(8000)
+                w.writeframes(body)
+            stored = f.getvalue()
+        told = ["audio/wav", "image/png", "application/octet-stream", None][len(raw) % 4]
+        mean, energy = sum(body) / len(body), sum(b * b for b in body) / len(body)
+        feature = f"{told or '-'}>audio/wav rate=8000 mean={mean:.3f} energy={energy:.3f} embedded=-"
+        want.append((i, len(raw), len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, told != "audio/wav"))
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
     assert media.text_media_digests(docs.limit(0)).count() == 0
 
 
-def test_sniffing(spark):
-    import gzip
+def test_carving(spark):
+    inner, packed = media.wave(b"\1" * 64), gzip.compress(b"y" * 99)
+    rows = [(1, b"junk" + inner + b"tail" + packed), (2, None), (3, b""), (4, inner)]
+    blobs = spark.createDataFrame(rows * 2, "id int, blob binary").withColumn("media", F.lit("clash"))
+    got = [(r.id, r.media_type, r.offset, bytes(r.media)) for r in media.carved(blobs, "id", "blob").collect()]
+    assert sorted(got) == sorted([(1, "audio/wav", 4, inner), (1, "application/gzip", 8 + len(inner), packed)] * 2)
+    told = media.sniffed(blobs.withColumn("told", F.lit("x")), "id", "blob", "told").where("id = 1").first().embedded
+    assert [e.sha256 for e in told] == [hashlib.sha256(x).hexdigest() for x in (inner, packed)]
+    assert media.carved(blobs.limit(0), "id", "blob").count() == 0
+
+
+def test_sniffing_takes_linear_time():
+    machine = media.automaton()
+    for mark in (b"%PDF-1", b"%PDF-1 startxref 3 %%EOF ", b"\x1f\x8b\x08", b"GIF89a", b"\x89PNG\r\n\x1a\n", b"RIFF0000WAVE", b"BM"):
+        took = []
+        for n in (20_000, 160_000):
+            began = time.process_time()
+            media.sniff(b"x" + mark * n, machine)
+            took.append(time.process_time() - began)
+        assert took[1] < 20 * took[0] + 0.5, mark
 
+
+def test_sniffing(spark):
     inner = media.wave(b"\0" * 64)
     blobs = [(1, b"GIF89a\x01\0\x01\0\0\0\0;", "image/png"), (2, b"junk" + inner + b"tail" + gzip.compress(b"x" * 99), None), (3, None, "audio/wav"), (4, inner[:-1], "audio/wav")]
     got = {r.id: r for r in media.sniffed(spark.createDataFrame(blobs, "id int, blob binary, told string"), "id", "blob", "told").collect()}
