@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_english, normalize_role, normalize_turn
-from ..sources.files import saved
+from ..sources.files import forget, saved
 from .messages import merge_runs
 
 # Keys that hold lists of messages, pairs of prompt and response, and what names roles and contents.
@@ -79,7 +79,7 @@ def tree_chains(messages: DataFrame, order: str, max_depth: int = 0) -> DataFram
     don't. A chain ends at a parent that isn't there, and before a message that it already holds. Jumps over 1, 2, 4, ... parents
     are joined to the chains found so far, so that the number of joins is the logarithm of the deepest chain; the rows held are the
     rows returned, in a chain of n answers about n * n. max_depth: only so many messages above each (0: all). Rounds are written to
-    the shared folder.
+    the shared folder, and those of the round before deleted.
     """
     last = messages.where("message_id IS NOT NULL").groupBy("message_id").agg(F.max_by(F.struct("parent_id", "role", "text"), order).alias("m"))
     known = saved(last.select("message_id", "m.*"), "tree")
@@ -89,13 +89,17 @@ def tree_chains(messages: DataFrame, order: str, max_depth: int = 0) -> DataFram
     while True:
         further = chains.join(jump, F.col("node") == F.col("at")).select("leaf", F.col("to").alias("node"), (F.col("up") + step).alias("up"))
         further = further.where(F.col("up") <= max_depth) if max_depth else further
-        chains = saved(chains.union(further).groupBy("leaf", "node").agg(F.min("up").alias("up")), "chains")
+        longer = saved(chains.union(further).groupBy("leaf", "node").agg(F.min("up").alias("up")), "chains")
+        forget(chains)
+        chains = longer
         grown = chains.count()
         if grown == size:
             break
         size, step = grown, step * 2
         ahead = jump.select(F.col("at").alias("mid"), F.col("to").alias("end"))
-        jump = saved(jump.join(ahead, F.col("to") == F.col("mid")).select("at", F.col("end").alias("to")), "jump")
+        further = saved(jump.join(ahead, F.col("to") == F.col("mid")).select("at", F.col("end").alias("to")), "jump")
+        forget(jump)
+        jump = further
     texts = known.select(F.col("message_id").alias("node"), "role", F.col("text").alias("content"))
     return chains.join(texts, "node").select(F.col("leaf").alias("row_id"), (-F.col("up")).alias("pos"), "role", "content")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +33,19 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     """df written to the shared folder and read from there: a cut in its lineage."""
     path = work_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    _places[back] = path
+    return back
+
+
+_places: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def forget(df: DataFrame) -> None:
+    """Delete what `saved` wrote for df. Nothing that is still to be read may depend on it."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(_places.pop(df))
+    path.getFileSystem(conf).delete(path, True)
 
 
 def read_rows(spark: SparkSession, *paths: str) -> DataFrame:

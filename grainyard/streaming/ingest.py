@@ -17,9 +17,11 @@ def pretrain_documents(stream: DataFrame) -> DataFrame:
     return docs.where(document_reason(F.col("text")).isNull()).withColumn("split", hash_split(F.col("text")))
 
 
-def first_seen(stream: DataFrame, text: str = "text") -> DataFrame:
-    """Rows whose squashed lower-case text hasn't come before. The state is a hash a distinct text."""
-    return stream.withColumn("key", sha1_hex(F.lower(squash(F.col(text))))).dropDuplicates(["key"])
+def first_seen(stream: DataFrame, text: str = "text", time: str | None = None, delay: str = "1 day") -> DataFrame:
+    """Rows whose squashed lower-case text hasn't come before. The state is a hash a distinct text, without bound; with a time column,
+    only the hashes of rows that are no later than `delay` behind the latest: an older copy may come through again."""
+    keyed = stream.withColumn("key", sha1_hex(F.lower(squash(F.col(text)))))
+    return keyed.withWatermark(time, delay).dropDuplicatesWithinWatermark(["key"]) if time else keyed.dropDuplicates(["key"])
 
 
 def supervised_windows(examples: DataFrame, context: int) -> DataFrame:

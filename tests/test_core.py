@@ -8,6 +8,7 @@ from grainyard.functions import filters, text
 from grainyard.operators import extract, gate, messages, ordering, packing, runs, splits
 from grainyard.plans import core, training  # noqa: F401
 from grainyard.sources import files
+from grainyard.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -264,6 +265,16 @@ def test_tree_depth_and_open_prompts(spark):
     assert left.count() == 2 * 21 and left.where("prompt IS NULL").count() == 0
 
 
+def test_first_seen_with_bounded_state(spark, tmp_path):
+    rows = [(f"2024-01-{d:02d} 00:00:00", t) for d, t in ((1, "a"), (1, " A "), (2, "b"), (9, "c"), (9, "a"), (9, "b"))]
+    for k, part in enumerate((rows[:3], rows[3:4], rows[4:])):
+        given = spark.createDataFrame(part, "at string, text string").select(F.col("at").cast("timestamp").alias("at"), "text")
+        given.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        ingest.append_all(ingest.first_seen(spark.readStream.schema(given.schema).parquet(str(tmp_path / "in")), time="at"), str(tmp_path / "out"))
+    got = sorted((r.text, r.at.day) for r in spark.read.parquet(str(tmp_path / "out" / "rows")).collect())
+    assert got == [("a", 1), ("a", 9), ("b", 2), ("b", 9), ("c", 9)]  # after a week the first ones are forgotten
+
+
 def test_frequency_vocab_of_nothing(spark):
     got = packing.frequency_vocab(spark.createDataFrame([(None,), ("once",)], "t string"), "t", 10, ["<PAD>"]).collect()
     assert [(r.token, r.token_id) for r in got] == [("<PAD>", 1)]
