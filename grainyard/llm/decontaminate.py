@@ -160,7 +160,8 @@ def decontaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, wi
     and text, so that of rows with one id only those with a match go. Empty tables: without items all rows stay."""
     found = _found(docs, items, threshold, width, most_bytes, id_col, text_col, item_id, item_text)
     hit_id, hit_mark, own = free_names(docs, "hit_id", "hit_mark", "own_mark")
-    hit = found.select(F.col("doc_id").alias(hit_id), F.col("mark").alias(hit_mark)).distinct()
+    # written, so that Spark knows its size and, while it is small, doesn't deal the documents out to join it
+    hit = written(found.select(F.col("doc_id").alias(hit_id), F.col("mark").alias(hit_mark)).distinct(), "found")
     marked = docs.withColumn(own, F.xxhash64(text_col))
     same = F.col(id_col).cast("bigint").eqNullSafe(F.col(hit_id)) & (F.col(own) == F.col(hit_mark))
     return marked.join(hit, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

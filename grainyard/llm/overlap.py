@@ -5,11 +5,11 @@ are therefore dealt into shards by many fixed choices of their bits: a pair miss
 above. Each shard is a BK-tree over the first 128 bits, children keyed by their integer Hamming distance to the parent; only edges
 within the radius are followed. Candidates are verified on the whole shingle sets.
 
-Candidates come in three rounds, so that a large group of copies of one text doesn't make all of its pairs. First every set gets one
-partner a shard: the node of the tree within the radius that it meets on its way down (it then isn't put into the tree), or the
-nearest other node. Then, of the sets that verified links left apart, each gets its nearest partner of another component a
-shard, within the radius of all 256 bits. Last, the sets that are still apart bring their shingle hashes with them into their
-shards, where all pairs within the radius are compared; only those that are similar come out.
+Candidates come in rounds, so that a large group of copies of one text doesn't make all of its pairs. First every set finds a partner
+in each of its shards: the node of the tree within the radius that it meets on its way down (it then isn't put into the tree), or
+the nearest other node; the nearest of all is verified. Then, twice, of the sets that verified links left apart, each gets its nearest
+partner of another component, within the radius of all 256 bits. Last, the sets that are still apart bring their shingle hashes
+with them into their shards, where all pairs within the radius are compared; only those that are similar come out.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ _SEEDS = np.random.default_rng(6).integers(0, 1 << 63, WORDS, np.uint64) * np.ui
 _SETS = pa.schema([("id", pa.int64()), ("text", pa.string()), ("own", pa.int64()), ("fp", pa.binary())])
 _KEYED = pa.schema([("key", pa.int64()), ("own", pa.int64()), ("fp", pa.binary())])
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-_SHARED = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+_SHARED = pa.schema([("key", pa.int64()), ("item", pa.int64()), ("partner", pa.int64()), ("far", pa.int64())])
 
 
 def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +158,7 @@ def nearest(fp: np.ndarray, hits: Iterator[tuple[np.ndarray, np.ndarray]]) -> tu
 
 
 def _first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, a, b): each set with its partner in a shard."""
+    """(key, item, partner, far): each set with its partner in a shard and the distance."""
     got = _shards(batches, 2)
     if not got or not len(got[0]):
         return
@@ -167,14 +167,24 @@ def _first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     nodes = np.setdiff1d(np.arange(len(fp)), taken, assume_unique=True)
     a, b = nearest(fp, bk_search(fp, (root, edges, children), RADIUS, items=nodes))
     for x, y in ((taken, by), (a, b)):
-        for i in range(0, len(x), 1 << 16):
-            one, two = own[x[i : i + (1 << 16)]], own[y[i : i + (1 << 16)]]
-            yield record_batch(_SHARED, key[x[i : i + (1 << 16)]], np.maximum(one, two), np.minimum(one, two))
+        yield from _partners(key, own, fp, x, y)
+
+
+def _partners(key: np.ndarray, own: np.ndarray, fp: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(a), 1 << 16):
+        x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
+        yield record_batch(_SHARED, key[x], own[x], own[y], distance(fp[x], fp[y]))
+
+
+def best_pairs(found: DataFrame) -> DataFrame:
+    """(a, b), a > b: each item with the nearest of its partners."""
+    best = found.groupBy("item").agg(F.min(F.struct("far", "partner")).alias("m")).select("item", "m.partner")
+    return best.select(F.greatest("item", "partner").alias("a"), F.least("item", "partner").alias("b")).distinct()
 
 
 def _apart(threshold: float | None):
-    """(a, b): sets of one shard and of different labels within the wide radius: the nearest of each, or with a threshold all whose
-    shingle hashes (32 bits each, a column more) have that similarity."""
+    """Sets of one shard and of different labels within the wide radius: (key, item, partner, far) with the nearest of each, or with a
+    threshold (a, b) for all whose shingle hashes (32 bits each, a column more) have that similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = _shards(batches, WORDS)
@@ -192,9 +202,11 @@ def _apart(threshold: float | None):
         items = np.sort(order[~np.repeat(main, size)])
         found = bk_search(fp, bk_forest(fp, key)[:3], WIDE_RADIUS, items=items)
         hits = ((a[apart], b[apart]) for a, b in found for apart in [label[a] != label[b]])
-        for a, b in [nearest(fp, hits)] if threshold is None else hits:
-            if len(a) and threshold is not None:
-                a, b = _alike(a, b, sets[0], threshold)
+        if threshold is None:
+            yield from _partners(key, own, fp, *nearest(fp, hits))
+            return
+        for a, b in hits:
+            a, b = _alike(a, b, sets[0], threshold)
             if len(a):
                 pair = np.unique(np.stack([np.maximum(own[a], own[b]), np.minimum(own[a], own[b])]), axis=1)
                 yield record_batch(_LINK, *pair)
@@ -261,21 +273,24 @@ def _groups(docs: DataFrame, width: int, threshold: float, id_col: str, text_col
     each = written(sets.groupBy("own").agg(F.min(lead).alias("first"), F.max("fp").alias("fp")), "each")
     some = each.where(F.length("fp") > 0)
     keyed = shard_rows(some, bit_choices(some.count()))
-    shared = written(arrow_map(keyed.repartition("key"), _first_round, "key bigint, a bigint, b bigint"), "shared")
-    members = written(shared.select("key", F.explode(F.array("a", "b")).alias("own")).distinct(), "members")
+    ddl = "key bigint, item bigint, partner bigint, far bigint"
+    shared = written(arrow_map(keyed.repartition("key"), _first_round, ddl), "shared")
+    members = written(shared.select("key", F.explode(F.array("item", "partner")).alias("own")).distinct(), "members")
     named = written(members.select("own").distinct(), "named")  # small files: Spark knows to broadcast what is small
     texts = written(sets.join(named, "own", "left_semi").groupBy("own").agg(F.min("text").alias("text")), "texts")
-    tried = written(shared.select("a", "b").distinct(), "pairs")
-    links = written(verified(tried, texts, width, threshold), "links")
     prints = written(each.join(named, "own", "left_semi").select("own", "fp"), "prints")
-    for last in (False, True):
+    tried = written(best_pairs(shared), "pairs")
+    links = written(verified(tried, texts, width, threshold), "links")
+    for last in (False, False, True):
         star = written(components(links).toDF("own", "label"), "star")
         label = written(members.join(star, "own", "left").withColumn("label", F.coalesce("label", "own")), "labels")
         split = label.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
         rest = label.join(split, "key").join(prints, "own").select("key", "own", "fp", "label")
         if last:
             rest = rest.join(hashed_sets(texts.join(written(rest.select("own").distinct(), "apart"), "own", "left_semi"), width), "own").select("key", "own", "fp", "label", "hashes")
-        found = arrow_map(rest.repartition("key"), _apart(threshold if last else None), "a bigint, b bigint").distinct()
+            found = arrow_map(rest.repartition("key"), _apart(threshold), "a bigint, b bigint").distinct()
+        else:
+            found = best_pairs(arrow_map(rest.repartition("key"), _apart(None), ddl))
         more = written(found.join(tried, ["a", "b"], "left_anti"), "pairs")
         links = written(links.union(verified(more, texts, width, threshold)), "links")
         tried = tried.union(more)

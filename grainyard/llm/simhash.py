@@ -117,13 +117,13 @@ def bk_forest(fp: np.ndarray, shard: np.ndarray, absorb: int = -1) -> tuple[np.n
     return root, key[order], child[order], np.concatenate(taken), np.concatenate(by)
 
 
-def bk_search(fp: np.ndarray, forest: tuple[np.ndarray, np.ndarray, np.ndarray], radius: int, batch: int = 1 << 15, items: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def bk_search(fp: np.ndarray, forest: tuple[np.ndarray, np.ndarray, np.ndarray], radius: int, batch: int = 1 << 10, items: np.ndarray | None = None, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (item, node of its tree within the radius), a level of the trees at a time, for all items or those given. Items go side by
-    side, so many at once that a level holds about `batch` places to look at: fewer after a batch that spread too far."""
+    side, first `batch` of them, then more or fewer, so that a level has about `most` places to look at."""
     root, key, child = forest
-    items, span, most, i = np.arange(len(fp)) if items is None else items, edge_span(fp), batch, 0
+    items, span, i = np.arange(len(fp)) if items is None else items, edge_span(fp), 0
     while i < len(items):
-        item = items[i : i + most]
+        item = items[i : i + batch]
         i, widest = i + len(item), 1
         node = root[item]
         while len(item):
@@ -135,7 +135,7 @@ def bk_search(fp: np.ndarray, forest: tuple[np.ndarray, np.ndarray, np.ndarray],
             n = np.searchsorted(key, node * span + np.minimum(d + radius, span - 1), "right") - low
             item = np.repeat(item, n)
             node = child[np.repeat(low - np.cumsum(n) + n, n) + np.arange(len(item))]
-        most = int(np.clip(most * 32 * batch // widest, 1, batch)) if widest > 32 * batch else batch
+        batch = int(np.clip(batch * most // widest, 1, 4 * batch))
 
 
 def smallest_reached(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
