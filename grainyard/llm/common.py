@@ -47,6 +47,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return back
 
 
+def broadcast_if_small(df: DataFrame, row_bytes: int = 64, most: int = 64 << 20) -> DataFrame:
+    """df, a written table, marked to be broadcast if its counted rows have at most `most` bytes; else Spark joins by shuffles."""
+    return F.broadcast(df) if df.count() * row_bytes <= most else df
+
+
 _places: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 

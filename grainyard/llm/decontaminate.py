@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLAIN, arrow_map, free_names, ngram_hashes, record_batch, slices, span_hashes, text_bytes, word_spans, written
+from .common import PLAIN, arrow_map, broadcast_if_small, free_names, ngram_hashes, record_batch, slices, span_hashes, text_bytes, word_spans, written
 
 _ITEM = pa.schema([("no", pa.int64()), ("item_id", pa.int64()), ("text", pa.string()), ("width", pa.int32()), ("n", pa.int32()), ("need", pa.int32()), ("least", pa.int32()), ("sketch", pa.list_(pa.int64()))])
 _HIT = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string()), ("hits", pa.list_(pa.int64()))])
@@ -160,8 +160,8 @@ def decontaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, wi
     and text, so that of rows with one id only those with a match go. Empty tables: without items all rows stay."""
     found = _found(docs, items, threshold, width, most_bytes, id_col, text_col, item_id, item_text)
     hit_id, hit_mark, own = free_names(docs, "hit_id", "hit_mark", "own_mark")
-    # written, so that Spark knows its size and, while it is small, doesn't deal the documents out to join it
+    # written, so that its size is known and, while it is small, the documents aren't dealt out to join it
     hit = written(found.select(F.col("doc_id").alias(hit_id), F.col("mark").alias(hit_mark)).distinct(), "found")
     marked = docs.withColumn(own, F.xxhash64(text_col))
     same = F.col(id_col).cast("bigint").eqNullSafe(F.col(hit_id)) & (F.col(own) == F.col(hit_mark))
-    return marked.join(hit, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return marked.join(broadcast_if_small(hit), same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

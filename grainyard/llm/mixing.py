@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_names, written
+from .common import broadcast_if_small, free_names, written
 
 #: One period: for each slot the place in src of the source that runs.
 _PERIOD = """
@@ -51,17 +51,17 @@ def mixed_sources(docs: DataFrame, weights: dict[str, float] | None = None, bloc
     keyed = docs.withColumns({key: F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")), h: F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")}).withColumn(bucket, F.shiftright(h, 60 - bits) if bits else F.lit(0).cast("bigint"))
 
     counts = keyed.groupBy(F.col(key).alias("key"), F.col(bucket).alias("bucket")).agg(F.count("*").alias("n"))
-    # written, so that Spark knows their sizes and, while they are small, doesn't deal the rows out once more to join them
+    # written, so that their sizes are known and, while they are small, the rows aren't dealt out once more to join them
     before = written(counts.select("key", "bucket", "n", (F.sum("n").over(Window.partitionBy("key").orderBy("bucket")) - F.col("n")).alias("before")), "ranges")
     blocks = written(_blocks(before, _units(before, weights, resolution, max_sources), block), "blocks")
 
     order = Window.partitionBy(key, bucket).orderBy(h, F.asc_nulls_first(id_col))
     numbered = keyed.withColumn(n, F.row_number().over(order) - 1)
     k, b, more = free_names(numbered, "jk", "jb", "jn")
-    placed = numbered.join(before.select("key", "bucket", "before").toDF(k, b, more), (F.col(key) == F.col(k)) & (F.col(bucket) == F.col(b)))
+    placed = numbered.join(broadcast_if_small(before.select("key", "bucket", "before").toDF(k, b, more)), (F.col(key) == F.col(k)) & (F.col(bucket) == F.col(b)))
     placed = placed.withColumn(n, F.col(n) + F.col(more)).drop(k, b, more)
     bk, nth, slot, start = free_names(placed, "bk", "bn", "bs", "bp")
-    wide = placed.join(blocks.toDF(bk, nth, slot, start), (F.col(key) == F.col(bk)) & (F.floor(F.col(n) / block) == F.col(nth)))
+    wide = placed.join(broadcast_if_small(blocks.toDF(bk, nth, slot, start)), (F.col(key) == F.col(bk)) & (F.floor(F.col(n) / block) == F.col(nth)))
     rank = F.pmod(F.col(n), F.lit(block))
     return wide.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(slot).alias(names[0]), rank.cast("int").alias(names[1]), (F.col(start) + rank).alias(names[2]))
 

@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, arrow_map, free_names, mixed, ngram_hashes, record_batch, slices, span_hashes, text_bytes, word_spans, written
+from .common import SPACES, arrow_map, broadcast_if_small, free_names, mixed, ngram_hashes, record_batch, slices, span_hashes, text_bytes, word_spans, written
 from .simhash import bk_forest, bk_search, component_minima, components, distance
 
 WORDS = 4  # of 64 bits in a fingerprint
-#: Radii on the first 128 and on all 256 bits, about four standard deviations over the mean distance of sets of similarity 0.8.
-RADIUS, WIDE_RADIUS = 36, 60
+#: Radii on the first 128 and on all 256 bits, over three standard deviations above the mean distance of sets of similarity 0.8 (for
+#: sets of 4 and of 5 shingles, whose bits differ more often, about two).
+RADIUS, WIDE_RADIUS = 32, 60
 #: The chance that a bit differs at 0.8 (the angle between the sets over pi), with a standard deviation of 256 bits added.
 DIFFERS, MISS = 0.174, 0.001
 #: Fingerprints that are to share a shard by chance, and the fewest bits to deal them by.
@@ -276,9 +277,11 @@ def _groups(docs: DataFrame, width: int, threshold: float, id_col: str, text_col
     ddl = "key bigint, item bigint, partner bigint, far bigint"
     shared = written(arrow_map(keyed.repartition("key"), _first_round, ddl), "shared")
     members = written(shared.select("key", F.explode(F.array("item", "partner")).alias("own")).distinct(), "members")
-    named = written(members.select("own").distinct(), "named")  # small files: Spark knows to broadcast what is small
-    texts = written(sets.join(named, "own", "left_semi").groupBy("own").agg(F.min("text").alias("text")), "texts")
-    prints = written(each.join(named, "own", "left_semi").select("own", "fp"), "prints")
+    # of each set the text of its first row
+    named = written(each.join(members.select("own").distinct(), "own").select(F.col("own").alias("of"), "first", "fp"), "named")
+    prints = named.select(F.col("of").alias("own"), "fp")
+    one = (F.col("own") == F.col("of")) & F.col("id").eqNullSafe(F.col("first.id")) & (text_mark(F.col("text")) == F.col("first.mark"))
+    texts = written(sets.join(broadcast_if_small(named.select("of", "first")), one).groupBy("own").agg(F.min("text").alias("text")), "texts")
     tried = written(best_pairs(shared), "pairs")
     links = written(verified(tried, texts, width, threshold), "links")
     for last in (False, False, True):
@@ -287,10 +290,12 @@ def _groups(docs: DataFrame, width: int, threshold: float, id_col: str, text_col
         split = label.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
         rest = label.join(split, "key").join(prints, "own").select("key", "own", "fp", "label")
         if last:
+            rest = rest.join(alive, "key")
             rest = rest.join(hashed_sets(texts.join(written(rest.select("own").distinct(), "apart"), "own", "left_semi"), width), "own").select("key", "own", "fp", "label", "hashes")
             found = arrow_map(rest.repartition("key"), _apart(threshold), "a bigint, b bigint").distinct()
         else:
-            found = best_pairs(arrow_map(rest.repartition("key"), _apart(None), ddl))
+            near = written(arrow_map(rest.repartition("key"), _apart(None), ddl), "apart")
+            found, alive = best_pairs(near), near.select("key").distinct()  # links only join labels: no other shard has pairs later
         more = written(found.join(tried, ["a", "b"], "left_anti"), "pairs")
         links = written(links.union(verified(more, texts, width, threshold)), "links")
         tried = tried.union(more)
@@ -325,7 +330,7 @@ def representatives(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
     gone = written(told.where("gone").select(ident, mark).distinct(), "gone")
     marked = docs.withColumn(own, text_mark(F.col(f"`{text_col}`")))
     same = F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col(ident)) & (F.col(own) == F.col(mark))
-    left = marked.join(gone, same, "left_anti")
+    left = marked.join(broadcast_if_small(gone), same, "left_anti")
     if not told.where("NOT gone").groupBy(ident, mark).count().where("count > 1").isEmpty():  # only then texts are dealt once more
         left = left.dropDuplicates([id_col, own])
     return left.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from .common import SPACES, arrow_map, crc_mod, ngram_hashes, span_hashes
 from .wordbags import bag_sums, worker_table
@@ -146,10 +146,14 @@ def labelled_sample(marks: DataFrame, docs: DataFrame, most: int, id_col: str, t
     rows with one id the least text counts. Null ids and labels are left out. More than most_labels labels are an error.
     """
     marks = marks.toDF("id", "label").where("id IS NOT NULL AND label IS NOT NULL").distinct().withColumn("h", F.xxhash64(F.lit("train"), "id"))
-    ranked = marks.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("h", "id"))).where(F.col("k") <= most)
-    labels = ranked.where("k = 1").select("label").limit(most_labels + 1).count()
-    if labels > most_labels:
+    counts = marks.groupBy("label").agg(F.count("*").alias("n")).limit(most_labels + 1).collect()
+    if len(counts) > most_labels:
         raise ValueError(f"more than {most_labels} labels")
+    sizes = docs.sparkSession.createDataFrame(counts, StructType([StructField("_label", marks.schema["label"].dataType), StructField("_n", LongType())]))
+    # hashes spread evenly, so the smallest lie among those under a share of four times as many: few rows of a label meet in a task
+    near = (F.col("h") / 2.0**64 + 0.5) * F.col("_n") < 4.0 * most + 100
+    few = marks.join(F.broadcast(sizes), F.col("label") == F.col("_label")).where(near).select("id", "label", "h")
+    ranked = few.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("h", "id"))).where(F.col("k") <= most)
     picked = ranked.select("id", "label", "h")  # at most `most` rows of each of most_labels labels
     own = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
     got = own.join(F.broadcast(picked), own["_id"] == picked["id"]).groupBy("h", "id", "label").agg(F.min("_text").alias("text")).orderBy("h", "id", "label").toArrow()
