@@ -207,7 +207,7 @@ def _apart(threshold: float | None):
             yield from _partners(key, own, fp, *nearest(fp, hits))
             return
         for a, b in hits:
-            a, b = _alike(a, b, sets[0], threshold)
+            a, b = _alike(a, b, sets[0], threshold) if len(a) else (a, b)
             if len(a):
                 pair = np.unique(np.stack([np.maximum(own[a], own[b]), np.minimum(own[a], own[b])]), axis=1)
                 yield record_batch(_LINK, *pair)
