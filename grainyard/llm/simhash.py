@@ -117,25 +117,26 @@ def bk_forest(fp: np.ndarray, shard: np.ndarray, absorb: int = -1) -> tuple[np.n
     return root, key[order], child[order], np.concatenate(taken), np.concatenate(by)
 
 
-def bk_search(fp: np.ndarray, forest: tuple[np.ndarray, np.ndarray, np.ndarray], radius: int, batch: int = 1 << 10, items: np.ndarray | None = None, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (item, node of its tree within the radius), a level of the trees at a time, for all items or those given. Items go side by
-    side, first `batch` of them, then more or fewer, so that a level has about `most` places to look at."""
+def bk_search(fp: np.ndarray, forest: tuple[np.ndarray, np.ndarray, np.ndarray], radius: int, batch: int = 1 << 15, items: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (item, node of its tree within the radius), for all items or those given. `batch` places are looked at side by side, the
+    children of the last ones first, so that what waits is bounded by the trees' depth."""
     root, key, child = forest
-    items, span, i = np.arange(len(fp)) if items is None else items, edge_span(fp), 0
-    while i < len(items):
-        item = items[i : i + batch]
-        i, widest = i + len(item), 1
-        node = root[item]
-        while len(item):
-            widest = max(widest, len(item))
-            d = distance(fp[item], fp[node])
-            hit = (d <= radius) & (item != node)
+    items, span = np.arange(len(fp)) if items is None else items, edge_span(fp)
+    waiting = [(items, root[items])]
+    while waiting:
+        item, node = waiting.pop()
+        if len(item) > batch:
+            waiting.append((item[batch:], node[batch:]))
+            item, node = item[:batch], node[:batch]
+        d = distance(fp[item], fp[node])
+        hit = (d <= radius) & (item != node)
+        if hit.any():
             yield item[hit], node[hit]
-            low = np.searchsorted(key, node * span + np.maximum(d - radius, 0))
-            n = np.searchsorted(key, node * span + np.minimum(d + radius, span - 1), "right") - low
+        low = np.searchsorted(key, node * span + np.maximum(d - radius, 0))
+        n = np.searchsorted(key, node * span + np.minimum(d + radius, span - 1), "right") - low
+        if n.any():
             item = np.repeat(item, n)
-            node = child[np.repeat(low - np.cumsum(n) + n, n) + np.arange(len(item))]
-        batch = int(np.clip(batch * most // widest, 1, 4 * batch))
+            waiting.append((item, child[np.repeat(low - np.cumsum(n) + n, n) + np.arange(len(item))]))
 
 
 def smallest_reached(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
