@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, lm_score, media, mixing, simhash, token_counts, token_files, toxicity
+from . import byte_bpe, chat, decontaminate, language, lm_score, media, mixing, phrases, simhash, token_counts, token_files, toxicity, word_runs
 from .common import crc_mod
 
 
@@ -65,11 +65,23 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digests(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_runs.run_digests(word_runs.repeated_tails(table(spark, sf_dir, "documents")))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.byte_bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op3_chat_format, op4_lm_score, op5_simhash, op6_decontaminate, op7_language, op8_media, op9_toxicity, op10_token_files, pipeline)}
-ORACLES = {"op1_mix_sources": mixing.MIX_SQL, "op3_chat_format": chat.CHAT_SQL}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op3_chat_format, op4_lm_score, op5_simhash, op6_decontaminate, op7_language, op8_media, op9_toxicity, op10_token_files, op11_word_runs, op12_phrases, op13_byte_bpe, pipeline)}
+ORACLES = {"op1_mix_sources": mixing.MIX_SQL, "op3_chat_format": chat.CHAT_SQL, "op12_phrases": phrases.PHRASE_SQL}
