@@ -4,8 +4,9 @@ A phrase that comes `support` times in a language comes, in at least one of its
 language's words asks for. Shards are mined for one width of phrases after another, from hashes of phrases alone: tasks count the
 hashes of what they read, and these are summed by shard and range of hashes. Two phrases of one hash are counted as one,
 so no candidate is lost, and a phrase whose first or last words aren't candidates of the width before is left out. The shards' candidates
-are united in a bit array of bounded size that knows all of them and few others; then the phrases that it knows are
-counted by their own words over the whole input.
+are united, but for those that miss the support even if every shard where they fell short had just one place too few of them. A bit
+array of bounded size knows all candidates and few others; the phrases that it knows are counted by their own words over
+the whole input.
 """
 
 from __future__ import annotations
@@ -23,13 +24,14 @@ from .common import arrow_map, broadcast_if_small, byte_table, mixed, slices, te
 
 #: Shards that a language is cut into, by the hash of the texts. More of them lower the support in each.
 SHARDS = 4
-#: Bytes of hashes that a range of a shard has in one task, about.
+#: Bytes of hashes that a range of a language has in one task, about.
 RANGE_BYTES = 8 << 20
 #: Bytes that the bit array of candidates has at most; beyond, it lets more phrases through to the exact count.
 MOST_BYTES = 64 << 20
 #: Bytes of text that a task counts at a time.
-SLICE = 1 << 23
+SLICE = 1 << 22
 SEGMENTS = 256
+_ODD = np.random.default_rng(12).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 LOWER, WORD_GAP = byte_table(b" \t.,;:!?\n\x0b\x0c\r")
 _PIECE_GAP = byte_table(b".,;:!?\n\x0b\x0c\r")[1]
 
@@ -65,10 +67,10 @@ def lang_hash(lang: str) -> int:
 
 def phrase_hashes(start: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
     """Hashes of phrases: start is their languages' hashes, words the hashes of their first words, second words, ..."""
-    h = start
-    for w in words:
-        h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + w)
-    return h
+    h = start.copy()
+    for k, w in enumerate(words):
+        h += w * _ODD[k]
+    return mixed(h)
 
 
 class Known:
@@ -78,20 +80,21 @@ class Known:
         self.bits, self.segment, self.probes = bits, segment, probes
 
     @staticmethod
-    def places(h: np.ndarray, segment: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Each hash's part, and its k-th bit in it."""
+    def places(h: np.ndarray, segment: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each hash's part, its first bit in it, and the step to the next one."""
         v = mixed(h)
-        return (v >> np.uint64(56)).astype(np.int64), (mixed(v + np.uint64(k)) & np.uint64(segment - 1)).astype(np.int64)
+        return (v >> np.uint64(56)).astype(np.int64), (v & np.uint64(segment - 1)).astype(np.int64), (v >> np.uint64(32) & np.uint64(segment - 1) | np.uint64(1)).astype(np.int64)
 
     def has(self, h: np.ndarray) -> np.ndarray:
+        """The places of the hashes that are in it."""
         found = np.arange(len(h))
-        for k in range(self.probes):
-            part, bit = self.places(h[found], self.segment, k)
+        part, bit, step = self.places(h, self.segment)
+        for _ in range(self.probes):
             at = part * self.segment + bit
-            found = found[(self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
-        out = np.zeros(len(h), bool)
-        out[found] = True
-        return out
+            hit = (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            found, part, bit, step = found[hit], part[hit], bit[hit], step[hit]
+            bit = bit + step & self.segment - 1
+        return found
 
 
 def known_of(hashes: DataFrame, most: int) -> Known:
@@ -99,22 +102,21 @@ def known_of(hashes: DataFrame, most: int) -> Known:
     n = max(1, hashes.count())
     segment = 1 << max(6, min(int(np.log2(max(64, 16 * n / SEGMENTS))) + 1, int(np.log2(most * 8 // SEGMENTS))))
     probes = int(max(1, min(6, round(0.69 * segment * SEGMENTS / n))))
-    part = (F.col("part") % SEGMENTS).alias("part")
-
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h = b.column(0).to_numpy().view(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(Known.places(h, segment, 0)[0]), b.column(0)], ["part", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(Known.places(h, segment)[0]), b.column(0)], ["part", "h"])
 
     def build(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(segment, np.uint8)
         for b in batches:
             h = b.column("h").to_numpy().view(np.uint64)
+            _, bit, step = Known.places(h, segment)
             for k in range(probes):
-                bits[Known.places(h, segment, k)[1]] = 1
+                bits[bit + k * step & segment - 1] = 1
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
 
-    made = arrow_map(hashes, parts, "part bigint, h bigint").select(part, "h").groupBy("part").applyInArrow(build, "part bigint, bits binary")
+    made = arrow_map(hashes, parts, "part bigint, h bigint").groupBy("part").applyInArrow(build, "part bigint, bits binary")
     bits = np.zeros(segment * SEGMENTS // 8, np.uint8)
     for r in made.collect():  # SEGMENTS rows, `most` bytes at most
         bits[r.part * segment // 8 : (r.part + 1) * segment // 8] = np.frombuffer(r.bits, np.uint8)
@@ -152,13 +154,19 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 def _candidates(words: Words, lang: np.ndarray, langs: list[str], width: int, known: Known, ranges: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of the phrases of this width whose first and last words, without one, are known; and the phrases' hashes."""
+    inner, hashes = known_phrases(words, lang, langs, width - 1, known, ranges)
+    flag = np.zeros(len(words.code) + 1, bool)
+    flag[inner] = True
     at = words.phrases(width)
-    if not len(at):
-        return at, np.empty(0, np.uint64)
+    at = at[flag[at] & flag[at + 1]]
+    return at, phrase_hashes(hashes[0][at], [hashes[1][at + k] for k in range(width)])
+
+
+def known_phrases(words: Words, lang: np.ndarray, langs: list[str], width: int, known: Known, ranges: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Places of the phrases of this width that are known; and of each word its language's hash and its own."""
     h, start = words.word_hashes()[words.code], np.array([lang_hash(x) for x in langs], np.uint64)[lang]
-    for off in (1, 0):  # the last words, then the first
-        at = at[known.has(cut(phrase_hashes(start[at], [h[at + off + k] for k in range(width - 1)]), ranges))]
-    return at, phrase_hashes(start[at], [h[at + k] for k in range(width)])
+    at = words.phrases(width)
+    return at[known.has(cut(phrase_hashes(start[at], [h[at + k] for k in range(width)]), ranges))], (start, h)
 
 
 def cut(h: np.ndarray, ranges: int) -> np.ndarray:
@@ -166,8 +174,9 @@ def cut(h: np.ndarray, ranges: int) -> np.ndarray:
     return h >> np.uint64(32 - ranges)
 
 
-def mined(texts: DataFrame, width: int, known: Known, least: DataFrame, ranges: int) -> DataFrame:
-    """(h): hashes of all phrases of this width that reach their support in one of their language's shards. least: (lang, shard, least)."""
+def mined(texts: DataFrame, width: int, known: Known, least: DataFrame, support: int, ranges: int) -> DataFrame:
+    """(h): hashes of all phrases of this width that reach a shard's support in a shard of their language, but for those that can't reach
+    `support` in all. least: (lang, least), an array of each shard's support."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words, lang, langs, shard in _slices(batches):
@@ -186,18 +195,46 @@ def mined(texts: DataFrame, width: int, known: Known, least: DataFrame, ranges:
                 yield pa.RecordBatch.from_arrays([pa.array([langs[g // SHARDS]] * len(rows), pa.string()), pa.array([g % SHARDS] * len(rows), pa.int32()), pa.array([r for r, _, _ in rows], pa.int64()), pa.array(once, pa.binary()), pa.array(more, pa.binary())], ["lang", "shard", "range", "once", "more"])
 
     def merge(table: pa.Table) -> pa.Table:
-        once = np.frombuffer(b"".join(table["once"].to_pylist()), np.uint32)
-        pairs = [np.frombuffer(x, np.uint32).reshape(2, -1) for x in table["more"].to_pylist()]
-        h = np.concatenate([once, *(p[0] for p in pairs)])
-        n = np.concatenate([np.ones(len(once), np.int64), *(p[1].astype(np.int64) for p in pairs)])
-        order = np.argsort(h)
-        h, n = h[order], n[order]
-        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        often = h[first][np.add.reduceat(n, first) >= table["least"][0].as_py()]
-        return pa.table({"h": ((np.uint64(table["range"][0].as_py()) << np.uint64(32)) | often.astype(np.uint64)).view(np.int64)})
+        least = np.array(table["least"][0].as_py(), np.int64)
+        shard, h, n = [], [], []
+        for s, once, more in zip(table["shard"].to_pylist(), table["once"].to_pylist(), table["more"].to_pylist()):
+            pairs = np.frombuffer(more, np.uint32).reshape(2, -1)
+            h += [np.frombuffer(once, np.uint32), pairs[0]]
+            n += [np.ones(len(once) // 4, np.uint32), pairs[1]]
+            shard.append(np.full(len(once) // 4 + pairs.shape[1], s, np.uint64))
+        key = np.concatenate(h).astype(np.uint64) << np.uint64(32) | np.concatenate(shard)
+        order = np.argsort(key)
+        key, n = key[order], np.concatenate(n).astype(np.int64)[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        n, own, h = np.add.reduceat(n, first), least[(key[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)], key[first] >> np.uint64(32)
+        h, n, own = (x[n >= own] for x in (h, n, own))  # what the shards find
+        if not len(h):
+            return pa.table({"h": pa.array([], pa.int64())})
+        edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        most = np.add.reduceat(n - own + 1, edge) + (least - 1)[least > 0].sum()
+        return pa.table({"h": (np.uint64(table["range"][0].as_py()) << np.uint64(32) | h[edge[most >= support]]).view(np.int64)})
 
     parts = arrow_map(texts, count, "lang string, shard int, range bigint, once binary, more binary")
-    return parts.join(broadcast_if_small(least), ["lang", "shard"]).groupBy("lang", "shard", "range").applyInArrow(merge, "h bigint")
+    return parts.join(broadcast_if_small(least), "lang").groupBy("lang", "range").applyInArrow(merge, "h bigint")
+
+
+def counted(codes: list[np.ndarray], lang: np.ndarray, names: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The distinct phrases of words' numbers, below `names`, in a language: their words, language and how often each comes."""
+    if (int(lang.max()) + 1) * names ** len(codes) < 1 << 63:  # a phrase is one number
+        key = lang
+        for c in codes:
+            key = key * names + c
+        key, n = np.unique(key, return_counts=True)
+        spelled = []
+        for _ in codes:
+            key, last = np.divmod(key, names)
+            spelled.insert(0, last)
+        return spelled, key, n
+    key = lang
+    for c in codes:
+        key = np.unique(key * names + c, return_inverse=True)[1]
+    _, one, n = np.unique(key, return_index=True, return_counts=True)
+    return [c[one] for c in codes], lang[one], n
 
 
 def phrase_counts(texts: DataFrame, known: list[Known], ranges: int) -> DataFrame:
@@ -206,17 +243,12 @@ def phrase_counts(texts: DataFrame, known: list[Known], ranges: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words, lang, langs, _ in _slices(batches):
             for width in range(2, len(known) + 1):
-                at, h = _candidates(words, lang, langs, width, known[width - 2], ranges)
-                at = at[known[width - 1].has(cut(h, ranges))]
-                key = lang[at] * (len(words.names) + 1) + words.code[at]
-                for k in range(1, width):
-                    found, key = np.unique(key, return_inverse=True)
-                    key = key * (len(words.names) + 1) + words.code[at + k]
-                _, one, n = np.unique(key, return_index=True, return_counts=True)
-                if not len(one):
+                at, _ = known_phrases(words, lang, langs, width, known[width - 1], ranges)
+                if not len(at):
                     continue
-                spelled = pc.binary_join_element_wise(*(words.names.take(pa.array(words.code[at[one] + k])) for k in range(width)), pa.scalar(b" ", pa.large_binary()))
-                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()).take(pa.array(lang[at[one]])), spelled.cast(pa.large_string()).cast(pa.string()), pa.array(n)], ["lang", "phrase", "f"])
+                spelled, own, n = counted([words.code[at + k] for k in range(width)], lang[at], len(words.names))
+                text = pc.binary_join_element_wise(*(words.names.take(pa.array(c)) for c in spelled), pa.scalar(b" ", pa.large_binary()))
+                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()).take(pa.array(own)), text.cast(pa.large_string()).cast(pa.string()), pa.array(n)], ["lang", "phrase", "f"])
 
     return arrow_map(texts, run, "lang string, phrase string, f bigint").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
@@ -240,13 +272,15 @@ def frequent_phrases(docs: DataFrame, most_words: int = 3, support: int = 10, la
     counts = written(word_counts(texts), "words")
     shards = counts.where("word IS NULL").select("lang", "shard", F.col("n").alias("own"))
     totals = written(shards.groupBy("lang").agg(F.sum("own").alias("n")), "totals")
-    least = written(shards.join(broadcast_if_small(totals), "lang").select("lang", "shard", F.expr(f"cast((cast({support} AS decimal(10, 0)) * own + n - 1) div n AS bigint)").alias("least")), "least")
+    own = F.expr(f"cast((cast({support} AS decimal(10, 0)) * own + n - 1) div n AS bigint)")
+    each = shards.join(broadcast_if_small(totals), "lang").groupBy("lang").agg(*[F.coalesce(F.max(F.when(F.col("shard") == i, own)), F.lit(0)).alias(f"s{i}") for i in range(SHARDS)])
+    least = written(each.select("lang", F.array(*[f"s{i}" for i in range(SHARDS)]).alias("least")), "least")
     words = counts.where((F.col("n") >= support) & F.col("word").isNotNull())
     largest = shards.agg(F.max("own")).first()[0] or 0
-    ranges = int(min(24, max(0, np.ceil(np.log2(max(1, 4 * largest / RANGE_BYTES))))))
+    ranges = int(min(24, max(0, np.ceil(np.log2(max(1, 4 * SHARDS * largest / RANGE_BYTES))))))
     known = [known_of(written(hashed_words(words, ranges), "known"), most_bytes)]
     for width in range(2, most_words + 1):
-        known.append(known_of(written(mined(texts, width, known[-1], least, ranges), "mined"), most_bytes))
+        known.append(known_of(written(mined(texts, width, known[-1], least, support, ranges), "mined"), most_bytes))
     longer = phrase_counts(texts, known, ranges).where(F.col("f") >= support)
     both = words.select("lang", F.col("word").alias("phrase"), F.col("n").alias("f")).unionByName(longer)
     return written(both, "phrases"), totals
