@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .ordering import even_buckets, prefix_sum
+from ..functions.names import free_names
+from .ordering import in_order
 
 
 def char_vocab(df: DataFrame, text: str) -> DataFrame:
@@ -15,18 +18,31 @@ def char_vocab(df: DataFrame, text: str) -> DataFrame:
     return chars.withColumn("token_id", F.row_number().over(Window.orderBy("token")))  # a row a character
 
 
-def lm_windows(df: DataFrame, order: str, text: str, context: int, separator: str, bucket_rows: int = 1 << 16, trailing: bool = False, most: int | None = None) -> DataFrame:
-    """Windows of `context` characters over the texts put together in order with a separator: window_id, window (one character more
-    than the context, for targets shifted by one). A rest that fills no window is dropped, and so is a window whose targets are all characters
-    of the separator. `most`: the stream ends after so many characters; a shorter one is an error."""
-    rows = df.select(F.col(order).alias("_o"), F.coalesce(text, F.lit("")).alias("_t"))
-    if not trailing:
-        last = F.broadcast(rows.agg(F.max("_o").alias("_last")))
-        rows = rows.crossJoin(last).select("_o", F.when(F.col("_o") == F.col("_last"), F.col("_t")).otherwise(F.concat("_t", F.lit(separator))).alias("_t"))
+def lm_windows(df: DataFrame, order: str, text: str, context: int, separator: str, bucket_rows: int = 0, trailing: bool = False, most: int | None = None, ties: Sequence[str] = ()) -> DataFrame:
+    """Windows of `context` characters over the texts put together in an order (see in_order) with a separator: window_id, window (one
+    character more than the context, for targets shifted by one). Texts of one number in `order` follow each other by `ties`. A null
+    text counts as empty. A rest that fills no window is dropped, and so is a window whose targets are all characters of the
+    separator. `most`: the stream ends after so many characters; a shorter one is an error. bucket_rows: rows of in_order."""
+    rows = df.select(*[F.col(f"`{c}`").alias(f"_o{i}") for i, c in enumerate((order, *ties))], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_t"))
+    placed = in_order(rows, ["_o0"], [f"_o{i + 1}" for i in range(len(ties))], "_o", F.length("_t") + len(separator), "_end", bucket_rows).select("_o", "_t", "_end")
+    if trailing:
+        placed = placed.withColumn("_t", F.concat("_t", F.lit(separator)))
     else:
-        rows = rows.select("_o", F.concat("_t", F.lit(separator)).alias("_t"))
-    placed = prefix_sum(even_buckets(rows, "_o", rows=bucket_rows), F.col("_even"), ["_o"], F.length("_t"), "_end").drop("_even").where(F.length("_t") > 0)
-    placed = placed.withColumn("_at", F.col("_end") - F.length("_t"))
+        last = placed.agg(F.max("_o")).first()[0] or 0
+        placed = placed.withColumn("_t", F.when(F.col("_o") == last, F.col("_t")).otherwise(F.concat("_t", F.lit(separator))))
+        placed = placed.withColumn("_end", F.when(F.col("_o") == last, F.col("_end") - len(separator)).otherwise(F.col("_end")))
+    return full_windows(pieces(placed, context, most), context, separator)
+
+
+def full_windows(windows: DataFrame, context: int, separator: str) -> DataFrame:
+    """The windows of context + 1 characters whose targets aren't all characters of the separator."""
+    full = windows.where(F.length("window") == context + 1)
+    return full.where(F.ltrim(F.substring("window", 2, context), F.lit(separator)) != "") if separator else full
+
+
+def pieces(placed: DataFrame, context: int, most: int | None = None) -> DataFrame:
+    """(window_id, window), the last one shorter, of texts _t in the order of _o, which end at the character _end of a stream."""
+    placed = placed.where(F.length("_t") > 0).withColumn("_at", F.col("_end") - F.length("_t"))
     if most is not None:
         if (placed.agg(F.max("_end")).first()[0] or 0) < most:
             raise ValueError(f"the stream is shorter than {most}")
@@ -36,20 +52,19 @@ def lm_windows(df: DataFrame, order: str, text: str, context: int, separator: st
     parts = placed.select("_o", "_t", "_at", F.explode(F.sequence(first, final)).alias("window_id"))
     start = F.col("window_id") * context
     piece = F.substring("_t", (F.greatest(start - F.col("_at"), F.lit(0)) + 1).cast("int"), (F.least(F.col("_at") + F.length("_t"), start + context + 1) - F.greatest(F.col("_at"), start)).cast("int"))
-    whole = parts.select("window_id", "_o", piece.alias("_p")).groupBy("window_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_o", "_p"))), lambda x: x["_p"]), "").alias("window"))
-    full = whole.where(F.length("window") == context + 1)
-    return full.where(F.ltrim(F.substring("window", 2, context), F.lit(separator)) != "") if separator else full
+    return parts.select("window_id", "_o", piece.alias("_p")).groupBy("window_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_o", "_p"))), lambda x: x["_p"]), "").alias("window"))
 
 
 def sft_windows(examples: DataFrame, context: int) -> DataFrame:
-    """Windows over characters of prompt and target: a target too long is skipped, a prompt keeps its last characters. Columns: id,
-    status, prompt_kept, loss_targets, window (context + 1 characters at most, to be shifted and padded)."""
+    """Windows over characters of prompt and target. Columns: id, status, prompt_kept, loss_targets, window (context + 1 characters at most, to
+    be shifted and padded). An example without prompt or target (empty or null) is `empty`, one whose target needs more than the
+    context `too_long`; a prompt that doesn't fit keeps its last characters (`truncated`)."""
     room = F.lit(context + 1) - F.length("target_text")
-    status = F.when(F.length("target_text") == 0, "empty").when(room <= 0, "too_long").when(F.length("prompt_text") > room, "truncated").otherwise("kept")
+    status = F.when((F.coalesce(F.length("prompt_text"), F.lit(0)) == 0) | (F.coalesce(F.length("target_text"), F.lit(0)) == 0), "empty").when(room <= 0, "too_long").when(F.length("prompt_text") > room, "truncated").otherwise("kept")
     used = F.when(room > 0, F.least(F.length("prompt_text"), room))
     window = F.concat(F.substring("prompt_text", F.length("prompt_text") - used + 1, used), "target_text")
     on = status.isin("truncated", "kept")
-    return examples.select("id", status.alias("status"), F.when(on, used).alias("prompt_kept"), F.when(on, F.length("target_text") - (used == 0).cast("int")).alias("loss_targets"), F.when(on, window).alias("window"))
+    return examples.select("id", status.alias("status"), F.when(on, used).alias("prompt_kept"), F.when(on, F.length("target_text")).alias("loss_targets"), F.when(on, window).alias("window"))
 
 
 def mixture(df_counts: dict[str, int], parts: list[tuple[str, int]], slots: DataFrame) -> DataFrame:
@@ -77,9 +92,9 @@ def mixture_batches(parts: list[tuple[str, int]], batches: DataFrame, slots: Dat
         raise ValueError(f"no batches of {missing}")
     given = mixture({s: told.get(s, 0) for s, _ in parts}, [(s, n) for s, n in parts if n], slots)
     joined = given.join(batches, ["source", "index"])
-    live = joined.withColumn("_live", (F.col("loss_targets") > 0).cast("int"))
-    ranked = prefix_sum(even_buckets(live, "i"), F.col("_even"), ["i"], F.col("_live"), "update").drop("_even")
-    return ranked.withColumn("update", F.when(F.col("_live") == 1, F.col("update"))).drop("_live")
+    dead = free_names(joined, "dead")[0]
+    ranked = in_order(joined.withColumn(dead, ~F.coalesce(F.col("loss_targets") > 0, F.lit(False))), [dead, "i"], (), "update")  # those with targets come first
+    return ranked.withColumn("update", F.when(~F.col(dead), F.col("update"))).drop(dead)
 
 
 def write_vocab(vocab: DataFrame, path: str) -> None:
@@ -139,10 +154,13 @@ def decode(df: DataFrame, ids: str, vocab: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(table)).withColumn("decoded", F.array_join(F.transform(ids, lambda i: F.coalesce(F.get("_vocab", i - 1), F.lit("?"))), "")).drop("_vocab")
 
 
-def batches(windows: DataFrame, window_id: str, size: int) -> DataFrame:
-    """windows with batch_id: `size` in a row, by number, whether or not numbers are missing; the last batch may be short."""
-    ranked = prefix_sum(even_buckets(windows, window_id), F.col("_even"), [window_id], F.lit(1), "_rank")
-    return ranked.withColumn("batch_id", F.floor((F.col("_rank") - 1) / size)).drop("_rank", "_even")
+def batches(windows: DataFrame, window_id: str, size: int, ties: Sequence[str] = (), first: int = 0) -> DataFrame:
+    """windows with batch_id: `size` in a row, in the order of a column (see in_order), whether or not numbers are missing or repeated; the
+    last batch may be short. first: only so many batches, 0 or more than there are: all."""
+    rank = free_names(windows, "rank")[0]
+    ranked = in_order(windows, [window_id], ties, rank)
+    ranked = ranked.where(F.col(rank) <= first * size) if first > 0 else ranked
+    return ranked.withColumn("batch_id", F.floor((F.col(rank) - 1) / size)).drop(rank)
 
 
 def lm_stats(windows: DataFrame, separator: str, texts: DataFrame, text: str, context: int, trailing: bool = False) -> DataFrame:

@@ -186,6 +186,7 @@ SELECT CASE WHEN r <= floor(n * 0.8::double) THEN 'training' WHEN r <= floor(n *
 def rank_split_stats(spark, sf_dir):
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).where(text.ws_word_count(F.col("line")) >= 5)
     keyed = lines.withColumn("key", text.sha1_hex(F.concat(F.lit("doc "), F.col("doc_id").cast("string"), F.lit("\0"), F.col("i").cast("string"), F.lit("\0"), "line")))
+    keyed = files.saved(keyed, "keyed")  # else it is made for the ranges' bounds as well
     return ordering.rank_split(keyed, "key", ["doc_id", "i"]).groupBy("split").agg(F.count("*").alias("paragraphs"), F.sum(F.length("line")).alias("characters"), F.sum(text.ws_word_count(F.col("line"))).alias("words"), F.round(F.avg(F.length("line")), 6).alias("mean_characters"), F.round(F.avg(text.ws_word_count(F.col("line"))), 6).alias("mean_words"))
 
 
@@ -767,8 +768,8 @@ def candidates(spark, sf_dir) -> DataFrame:
 
     nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     lands = nations.select(F.lit("region").alias("category"), (F.row_number().over(Window.orderBy("n_nationkey")) - 1).cast("bigint").alias("slot"), F.create_map(F.lit("nation"), "n_name", F.lit("region"), "r_name").alias("values"))  # 25 rows
-    numbered = ordering.prefix_sum(ordering.even_buckets(table(spark, sf_dir, "supplier"), "s_suppkey"), F.col("_even"), ["s_suppkey"], F.lit(1))
-    names = numbered.select(F.lit("supplier").alias("category"), (F.col("running") - 1).alias("slot"), F.create_map(F.lit("name"), "s_name").alias("values"))
+    numbered = ordering.in_order(table(spark, sf_dir, "supplier"), ["s_suppkey"])
+    names = numbered.select(F.lit("supplier").alias("category"), (F.col("rank") - 1).alias("slot"), F.create_map(F.lit("name"), "s_name").alias("values"))
     forms = spark.createDataFrame(FORMS, "category string, form bigint, prompt string, answer string")
     return templates.candidates(table(spark, sf_dir, "events"), "event_id", {"region": 2, "supplier": 1}, forms, lands.unionByName(names))
 

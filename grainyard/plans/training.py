@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import filters, text
 from ..operators import extract, gate, messages, ordering, packing, runs, splits, templates
 from ..sources import files
+from ..streaming import ingest
 from .core import (
     DEFAULT_SQL, SQL, TEMPLATE_SQL, WIDE, WIDE_SQL, candidates, completions, docstring_paragraphs, lit, markdown_paragraphs, query, s_examples, s_norm, s_role, s_split, s_squash, s_strip, s_turn, table, tree_messages,
     turns_of, wide_examples,
@@ -211,6 +212,85 @@ def lm_windows_target(spark, sf_dir):
     return found.select("window_id", text.sha1_hex(F.col("window")).alias("text"))
 
 
+# --- orders in which numbers repeat or are missing ------------------------------------------------------------------------
+
+
+NR = "(SELECT doc_id, text, source, CASE WHEN doc_id % 11 > 0 THEN doc_id * 7919 % 13 END AS nr FROM documents)"
+
+
+def repeated_numbers(spark, sf_dir) -> DataFrame:
+    nr = F.when(F.col("doc_id") % 11 > 0, F.col("doc_id") * 7919 % 13)
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "source", nr.alias("nr"))
+
+
+def s_stream(stream: str) -> str:
+    return s_windows(stream.replace("ORDER BY doc_id", "ORDER BY nr NULLS FIRST, doc_id")).replace("FROM documents", f"FROM {NR}")
+
+
+@query(f"SELECT doc_id, running FROM (SELECT doc_id, (sum(length(text) + 2) OVER (ORDER BY nr NULLS FIRST, doc_id))::bigint AS running FROM {NR}) WHERE running - 2 <= 300000")
+def char_budget_ties(spark, sf_dir):
+    return ordering.char_budget(repeated_numbers(spark, sf_dir), "nr", F.length("text"), 300_000, ["doc_id"]).select("doc_id", "running")
+
+
+@query(f"""SELECT doc_id, CASE WHEN r <= greatest(1, floor(n * 0.8::double)) THEN 'training' WHEN r <= greatest(1, floor(n * 0.8::double)) + greatest(1, floor(n * 0.1::double)) THEN 'validation' ELSE 'testing' END AS split
+FROM (SELECT doc_id, row_number() OVER (ORDER BY nr NULLS FIRST, doc_id) AS r, count(*) OVER () AS n FROM {NR})""")
+def order_split_ties(spark, sf_dir):
+    return ordering.order_split(repeated_numbers(spark, sf_dir), "nr", ["doc_id"]).select("doc_id", "split")
+
+
+@query(f"""SELECT split, count(*) AS n FROM (SELECT CASE WHEN r <= greatest(1, floor(n * 0.8::double)) THEN 'training' WHEN r <= greatest(1, floor(n * 0.8::double)) + greatest(1, floor(n * 0.1::double)) THEN 'validation' ELSE 'testing' END AS split
+FROM (SELECT row_number() OVER () AS r, count(*) OVER () AS n FROM {NR})) GROUP BY split""")
+def rank_split_ties(spark, sf_dir):
+    docs = repeated_numbers(spark, sf_dir).withColumn("key", text.sha1_hex(F.col("source")))  # few keys, and nothing to tell their rows apart
+    return ordering.rank_split(docs, "key").groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query(s_stream("string_agg(text, chr(30) ORDER BY doc_id)"))
+def lm_windows_ties(spark, sf_dir):
+    found = packing.lm_windows(repeated_numbers(spark, sf_dir), "nr", "text", 128, "\x1e", ties=["doc_id"])
+    return found.select("window_id", text.sha1_hex(F.col("window")).alias("text"))
+
+
+@query(s_stream("string_agg(text || chr(30), '' ORDER BY doc_id)"))
+def lm_windows_trailing_ties(spark, sf_dir):
+    found = packing.lm_windows(repeated_numbers(spark, sf_dir), "nr", "text", 128, "\x1e", trailing=True, ties=["doc_id"])
+    return found.select("window_id", text.sha1_hex(F.col("window")).alias("text"))
+
+
+@query(s_stream("substr(string_agg(text, chr(30) ORDER BY doc_id), 1, 100000)"))
+def lm_windows_target_ties(spark, sf_dir):
+    found = packing.lm_windows(repeated_numbers(spark, sf_dir), "nr", "text", 128, "\x1e", most=100_000, ties=["doc_id"])
+    return found.select("window_id", text.sha1_hex(F.col("window")).alias("text"))
+
+
+@query(f"SELECT doc_id, ((row_number() OVER (ORDER BY nr NULLS FIRST, doc_id) - 1) // 8)::bigint AS batch_id FROM {NR} QUALIFY row_number() OVER (ORDER BY nr NULLS FIRST, doc_id) <= 160")
+def first_batches_ties(spark, sf_dir):
+    return packing.batches(repeated_numbers(spark, sf_dir), "nr", 8, ["doc_id"], first=20).select("doc_id", "batch_id")
+
+
+@query(f"""WITH RECURSIVE f AS (SELECT source, row_number() OVER (ORDER BY source) AS k FROM (SELECT DISTINCT source FROM documents)),
+r AS (SELECT doc_id, k, (sum(length(text) + 2) OVER (PARTITION BY k ORDER BY nr NULLS FIRST, doc_id))::bigint AS p FROM {NR} JOIN f USING (source)),
+t AS (SELECT 0::bigint AS k, 0::bigint AS total UNION ALL SELECT t.k + 1, t.total + coalesce((SELECT max(p) FROM r WHERE r.k = t.k + 1 AND r.p - 2 <= b - t.total), 0)::bigint
+  FROM t, (SELECT sum(length(text)) // 3 AS b FROM documents) WHERE t.k < (SELECT max(k) FROM f))
+SELECT doc_id FROM r JOIN t ON t.k = r.k - 1, (SELECT sum(length(text)) // 3 AS b FROM documents) WHERE p - 2 <= b - total""")
+def file_budget(spark, sf_dir):
+    docs = repeated_numbers(spark, sf_dir)
+    third = (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // 3
+    return ordering.file_budget(docs, "source", "nr", F.length("text"), third, ["doc_id"]).select("doc_id")
+
+
+@query(SQL["lm_windows_trailing"])
+def stream_lm_windows(spark, sf_dir):
+    """The documents arrive in three parts, each of which is a batch."""
+    path = files.work_path(spark, "packed")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    last = docs.agg(F.max("doc_id")).first()[0] or 0
+    for k in range(3):
+        docs.where(F.least(F.floor(F.col("doc_id") * 3 / (last + 1)), F.lit(2)) == k).write.mode("append").parquet(f"{path}/in")
+        ingest.packed_windows(spark.readStream.schema(docs.schema).parquet(f"{path}/in"), "doc_id", "text", 128, "\x1e", path)
+    return ingest.read_packed(spark, path).select("window_id", text.sha1_hex(F.col("window")).alias("text"))
+
+
 CONTEXT = 512
 
 
@@ -232,6 +312,30 @@ def sft_tensors(spark, sf_dir):
     return told.select("id", "status", "prompt_kept", "loss_targets", *map(digest, ("input_ids", "target_ids", "loss_mask")))
 
 
+BARE = """, bare AS (SELECT id, CASE WHEN length(target_text) % 3 = 0 THEN '' WHEN length(target_text) % 7 > 0 THEN prompt_text END AS prompt_text, CASE WHEN length(prompt_text) % 8 > 0 THEN target_text END AS target_text FROM examples)"""
+
+
+@query(WIDE_SQL + BARE + """ SELECT id, status, CASE WHEN ok THEN used END AS prompt_kept, CASE WHEN ok THEN length(target_text) END AS loss_targets,
+  CASE WHEN ok THEN sha1(substr(prompt_text, length(prompt_text) - used + 1) || target_text) END AS window_sha1 FROM (
+SELECT *, status IN ('kept', 'truncated') AS ok, least(length(prompt_text), 513 - length(target_text)) AS used FROM (
+SELECT *, CASE WHEN coalesce(length(prompt_text), 0) = 0 OR coalesce(length(target_text), 0) = 0 THEN 'empty' WHEN length(target_text) >= 513 THEN 'too_long' WHEN length(prompt_text) > 513 - length(target_text) THEN 'truncated' ELSE 'kept' END AS status FROM bare))""")
+def sft_windows_bare(spark, sf_dir):
+    """Examples of which some have no prompt or no target."""
+    made, n, m = wide_examples(spark, sf_dir), F.length("target_text"), F.length("prompt_text")
+    bare = made.select("id", F.when(n % 3 == 0, "").when(n % 7 > 0, F.col("prompt_text")).alias("prompt_text"), F.when(m % 8 > 0, F.col("target_text")).alias("target_text"))
+    return packing.sft_windows(bare, CONTEXT).withColumn("window_sha1", text.sha1_hex(F.col("window"))).drop("window")
+
+
+@query("SELECT id, status, prompt_kept, loss_targets, input_ids, target_ids, loss_mask FROM (" + SQL["sft_tensors"] + ") WHERE status IN ('kept', 'truncated')")
+def stream_sft_tensors(spark, sf_dir):
+    path = files.work_path(spark, "stream")
+    wide_examples(spark, sf_dir).write.json(f"{path}/in")
+    vocab = files.saved(packing.char_vocab(table(spark, sf_dir, "conversations"), "text"), "vocab")
+    ingest.append_all(ingest.supervised_tensors(spark.readStream.schema(files.SFT_SCHEMA).json(f"{path}/in"), vocab, CONTEXT, 0), path)
+    digest = lambda c: text.sha1_hex(F.array_join(F.transform(c, lambda x: x.cast("string")), " ")).alias(c)
+    return spark.read.parquet(f"{path}/rows").select("id", "status", "prompt_kept", "loss_targets", *map(digest, ("input_ids", "target_ids", "loss_mask")))
+
+
 @query("SELECT * FROM (" + WIDE_SQL + f""",
 f AS (SELECT (row_number() OVER (ORDER BY sha1(id)) - 1) // 8 AS index, length(target_text) AS n FROM examples WHERE length(target_text) <= {CONTEXT}),
 g AS (SELECT (unnest(range((greatest(sum(length(text)) + count(*) - 2, 0) // 128)::bigint)) // 8) AS index FROM documents),
@@ -243,8 +347,7 @@ e AS (SELECT event_id AS i, CASE WHEN event_id % 5 < 3 THEN 'sft' ELSE 'pretrain
 SELECT i, source, index, windows, loss_targets, CASE WHEN loss_targets > 0 THEN (sum((loss_targets > 0)::int) OVER (ORDER BY i))::bigint END AS update FROM e JOIN b USING (source, index))""")
 def mixture_batches(spark, sf_dir):
     made = packing.sft_windows(wide_examples(spark, sf_dir), CONTEXT).where(F.col("status").isin("kept", "truncated")).withColumn("h", text.sha1_hex(F.col("id")))
-    ranked = ordering.prefix_sum(made, F.substring("h", 1, 3), ["h"], F.lit(1), "r")
-    sft = ranked.groupBy(F.floor((F.col("r") - 1) / 8).alias("index")).agg(F.count("*").alias("windows"), F.sum("loss_targets").alias("loss_targets")).select(F.lit("sft").alias("source"), "*")
+    sft = packing.batches(files.saved(made.select("h", "loss_targets"), "sft"), "h", 8).groupBy(F.col("batch_id").alias("index")).agg(F.count("*").alias("windows"), F.sum("loss_targets").alias("loss_targets")).select(F.lit("sft").alias("source"), "*")
     lm = packing.batches(packing.lm_windows(table(spark, sf_dir, "documents"), "doc_id", "text", 128, "\x1e"), "window_id", 8).groupBy(F.col("batch_id").alias("index")).agg(F.count("*").alias("windows"))
     lm = lm.select(F.lit("pretrain").alias("source"), "index", "windows", F.when(F.col("index") % 5 == 0, 0).otherwise(F.col("windows") * 128).alias("loss_targets"))  # every fifth is without targets
     batches = files.saved(sft.unionByName(lm), "batches")

@@ -2,52 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import weakref
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.text import CHAT_END, END_ASSISTANT, normalize_text, strip
 from ..operators.ordering import prefix_sum
+from .work import forget, saved, work_path  # noqa: F401
 
-_roots: dict[str, str] = {}
 SFT_SCHEMA = "id string, prompt_text string, assistant_text string, target_text string, chat_text string"
 
 
-def work_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder that spark.checkpoint.dir names; a temporary one where it is unset and Spark is one local JVM."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        sc = spark.sparkContext
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = _roots.setdefault(sc.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="spark-grainyard-")
-        _roots[sc.applicationId] = root
-    return f"{root.rstrip('/')}/grainyard-{label}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read from there: a cut in its lineage."""
-    path = work_path(df.sparkSession, label)
-    df.write.parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
-    _places[back] = path
-    return back
-
-
-_places: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
-
-
-def forget(df: DataFrame) -> None:
-    """Delete what `saved` wrote for df. Nothing that is still to be read may depend on it."""
-    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(_places.pop(df))
-    path.getFileSystem(conf).delete(path, True)
-
-
 def read_rows(spark: SparkSession, *paths: str) -> DataFrame:
     """(source_file, row): rows of .parquet, .jsonl, .jsonl.gz and .json files as JSON objects. Values that are no objects and blank lines
     are left out, a line that isn't JSON is an error. A .json file is one document: a list, an object with a list under one of

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.filters import document_reason
 from ..functions.text import sha1_hex, squash
-from ..operators.packing import sft_windows
+from ..functions.names import free_names
+from ..operators.ordering import in_order
+from ..operators.packing import encode, full_windows, pieces, sft_tensors, sft_windows
 from ..operators.splits import hash_split
 
 
@@ -29,6 +31,46 @@ def supervised_windows(examples: DataFrame, context: int) -> DataFrame:
     return sft_windows(examples, context).where("status IN ('kept', 'truncated')")
 
 
+def supervised_tensors(examples: DataFrame, vocab: DataFrame, context: int, pad: int) -> DataFrame:
+    """id and the padded arrays of arriving examples that fit (see sft_tensors), by a vocabulary that doesn't change meanwhile: a row an
+    example, no state."""
+    p, t = free_names(examples, "p", "t")
+    coded = encode(examples, "prompt_text", vocab).withColumnRenamed("ids", p)
+    coded = encode(coded, "target_text", vocab).withColumnRenamed("ids", t)
+    return sft_tensors(coded, p, t, context, pad, ["id"]).where("status IN ('kept', 'truncated')")
+
+
+def packed_windows(stream: DataFrame, order: str, text: str, context: int, separator: str, path: str, ties: tuple[str, ...] = ()) -> None:
+    """Packs all that has arrived into windows as lm_windows does with trailing separators, and returns: what a batch leaves of its last
+    window, `context` characters at most, begins the next one's first. Batches follow each other as they arrive; inside one, rows
+    follow `order`, then `ties`, and are packed by many tasks. See read_packed.
+
+    Windows and what is left go to a folder a batch, so that a batch that is run again begins with what the one before left and
+    replaces its own. A batch whose predecessor left nothing behind (other folder, other checkpoint) is an error.
+    """
+    state = "next bigint, rest string"
+
+    def pack(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        begin, rest = tuple(spark.read.schema(state).parquet(f"{path}/left/batch={n - 1}").first()) if n else (0, "")
+        rows = batch.select(*[F.col(f"`{c}`").alias(f"_o{i}") for i, c in enumerate((order, *ties))], F.concat(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(separator)).alias("_t"))
+        placed = in_order(rows, ["_o0"], [f"_o{i + 1}" for i in range(len(ties))], "_o", F.length("_t"), "_end").select("_o", "_t", (F.col("_end") + len(rest)).alias("_end"))
+        placed = placed.union(spark.createDataFrame([(0, rest, len(rest))], "_o bigint, _t string, _end bigint"))
+        pieces(placed, context).write.mode("overwrite").parquet(f"{path}/pieces/batch={n}")
+        made = spark.read.schema("window_id bigint, window string").parquet(f"{path}/pieces/batch={n}")
+        full_windows(made, context, separator).select((F.col("window_id") + begin).alias("window_id"), "window").write.mode("overwrite").parquet(f"{path}/windows/batch={n}")
+        left = made.where(F.length("window") <= context).orderBy("window_id").limit(1).collect()  # the last, unless the batch is empty
+        told = (begin + left[0].window_id, left[0].window) if left else (begin, rest)
+        spark.createDataFrame([told], state).coalesce(1).write.mode("overwrite").parquet(f"{path}/left/batch={n}")
+
+    stream.writeStream.foreachBatch(pack).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
+def read_packed(spark: SparkSession, path: str) -> DataFrame:
+    """(window_id, window) of all batches that packed_windows has packed below path."""
+    return spark.read.schema("window_id bigint, window string, batch bigint").parquet(f"{path}/windows").drop("batch")
+
+
 def append_all(stream: DataFrame, path: str, by: list[str] | None = None) -> None:
     """Appends all that has arrived to Parquet files below path, exactly once a row, and returns."""
     writer = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
