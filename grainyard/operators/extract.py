@@ -81,10 +81,20 @@ def tree_chains(messages: DataFrame, order: str, max_depth: int = 0) -> DataFram
     rows returned, in a chain of n answers about n * n. max_depth: only so many messages above each (0: all). Rounds are written to
     the shared folder, and those of the round before deleted.
     """
+    known = _last_messages(messages, order)
+    starts = known.where(normalize_role(F.col("role")) == "assistant").select(F.col("message_id").alias("leaf"))
+    return _chains(known, starts, max_depth)
+
+
+def _last_messages(messages: DataFrame, order: str) -> DataFrame:
     last = messages.where("message_id IS NOT NULL").groupBy("message_id").agg(F.max_by(F.struct("parent_id", "role", "text"), order).alias("m"))
-    known = saved(last.select("message_id", "m.*"), "tree")
+    return saved(last.select("message_id", "m.*"), "tree")
+
+
+def _chains(known: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
+    """(row_id, pos, role, content) for each of the messages `starts` (leaf), which are different ones of `known`."""
     jump = saved(known.select("message_id", "parent_id").join(known.select(F.col("message_id").alias("parent_id")), "parent_id", "left_semi").select(F.col("message_id").alias("at"), F.col("parent_id").alias("to")), "jump")
-    chains = saved(known.where(normalize_role(F.col("role")) == "assistant").select(F.col("message_id").alias("leaf"), F.col("message_id").alias("node"), F.lit(0).cast("bigint").alias("up")), "chains")
+    chains = saved(starts.select("leaf", F.col("leaf").alias("node"), F.lit(0).cast("bigint").alias("up")), "chains")
     size, step = chains.count(), 1
     while True:
         further = chains.join(jump, F.col("node") == F.col("at")).select("leaf", F.col("to").alias("node"), (F.col("up") + step).alias("up"))
@@ -104,19 +114,82 @@ def tree_chains(messages: DataFrame, order: str, max_depth: int = 0) -> DataFram
     return chains.join(texts, "node").select(F.col("leaf").alias("row_id"), (-F.col("up")).alias("pos"), "role", "content")
 
 
-def tree_import(messages: DataFrame, order: str, languages: list[str], source: str, build, max_depth: int = 0) -> tuple[DataFrame, DataFrame]:
+def tree_paths(known: DataFrame) -> DataFrame:
+    """A row a message of known (message_id, parent_id, role, text; ids are unique): node, parent, answer (an assistant's), n (messages
+    from its root down to it), first (the role of the first of them that a conversation keeps), answered (whether it keeps an
+    assistant's), above (characters that it keeps before this one), looped (no root: its parents lead into a circle; the rest is null).
+
+    What lies between a message and one further up is put together from two halves, so that rows stay one a message and rounds are
+    the logarithm of the deepest chain.
+    """
+    role, content = normalize_role(F.col("role")), normalize_turn(F.col("text"))
+    own = F.when(role.isin("user", "assistant") & (content != ""), F.length(content)).otherwise(0).cast("bigint")
+    there = known.select(F.col("message_id").alias("parent"))
+    told = known.select(F.col("message_id").alias("node"), "parent_id", role.alias("r"), own.alias("own")).join(there, F.col("parent_id") == F.col("parent"), "left")
+    kept = F.coalesce(F.col("own") > 0, F.lit(False))
+    state = saved(told.select("node", "parent", (F.col("r") == "assistant").alias("answer"), "own", F.col("parent").alias("up"), F.lit(1).cast("bigint").alias("n"), F.when(kept, F.col("r")).alias("first"), (kept & (F.col("r") == "assistant")).alias("answered"), F.col("own").alias("chars")), "paths")
+    rounds = max(state.count(), 1).bit_length()
+    for _ in range(rounds):
+        if state.where("up IS NOT NULL").isEmpty():
+            break
+        top = state.select(F.col("node").alias("t"), F.col("up").alias("t_up"), F.col("n").alias("t_n"), F.col("first").alias("t_first"), F.col("answered").alias("t_answered"), F.col("chars").alias("t_chars"))
+        joined = state.join(top, F.col("up") == F.col("t"), "left")
+        none = lambda c: F.coalesce(c, F.lit(0))
+        further = joined.select(
+            "node", "parent", "answer", "own", F.col("t_up").alias("up"), (F.col("n") + none("t_n")).alias("n"), F.coalesce("t_first", "first").alias("first"),
+            (F.col("answered") | F.coalesce("t_answered", F.lit(False))).alias("answered"), (F.col("chars") + none("t_chars")).alias("chars"),
+        )
+        further = saved(further, "paths")
+        forget(state)
+        state = further
+    looped = F.col("up").isNotNull()
+    return state.select("node", "parent", "answer", *[F.when(~looped, F.col(c)).alias(c) for c in ("n", "first", "answered")], F.when(~looped, F.col("chars") - F.col("own")).alias("above"), looped.alias("looped"))
+
+
+def _tops(paths: DataFrame, leaves: DataFrame, reach: int) -> DataFrame:
+    """(leaf, top): for each leaf the last message down to it with at most `reach` characters above."""
+    out = paths.where(F.col("above") > reach)
+    jump = saved(out.select(F.col("node").alias("at"), F.col("parent").alias("to")), "tops")
+    while True:
+        ahead = jump.select(F.col("at").alias("mid"), F.col("to").alias("end"))
+        if jump.join(ahead, F.col("to") == F.col("mid"), "left_semi").isEmpty():
+            break
+        further = saved(jump.join(ahead, F.col("to") == F.col("mid"), "left").select("at", F.coalesce("end", "to").alias("to")), "tops")
+        forget(jump)
+        jump = further
+    return leaves.join(jump, F.col("leaf") == F.col("at"), "left").select("leaf", F.coalesce("to", "leaf").alias("top"))
+
+
+def tree_import(messages: DataFrame, order: str, languages: list[str], source: str, build, max_depth: int = 0, reach: int = 0) -> tuple[DataFrame, DataFrame]:
     """Examples of the trees' English messages, and one row of counts: non_english_rows, bad_paths (chains that are no conversation)
     and paths_kept (examples).
 
     messages: as for tree_chains, and the columns of languages. A message in another language is taken out before links are followed,
-    so that a chain ends below it. build: examples of merged messages (row_id, i, role, content)."""
+    so that a chain ends below it. build: examples of merged messages (row_id, i, role, content). reach: build takes no message behind so
+    many kept characters of its chain into an example (as with the longest prompt and the longest message that it takes, together).
+    Then whole chains are only summed up (see tree_paths), and their messages put together as far as that reaches, so that rows grow
+    with the messages and not with the depth of trees; 0: whole chains, as with max_depth.
+    """
     english = is_english(*[F.col(c) for c in languages])
     told = messages.withColumn("_en", english)
-    chains = tree_chains(told.where("_en").drop("_en", *languages), order, max_depth)
-    talks = saved(merge_runs(chains), "talks")
-    found = saved(build(talks), "examples")
-    paths = chains.where("pos = 0").agg(F.count("*").alias("_paths"))
-    good = talks.agg(F.count_distinct("row_id").alias("_good"))
     foreign = told.agg(F.count_if(~F.col("_en")).alias("non_english_rows"))
-    counts = foreign.crossJoin(paths).crossJoin(good).crossJoin(found.agg(F.count("*").alias("paths_kept")))  # one row each
-    return found, counts.select(F.lit(source).alias("source"), "non_english_rows", (F.col("_paths") - F.col("_good")).alias("bad_paths"), "paths_kept")
+    known = _last_messages(told.where("_en").drop("_en", *languages), order)
+    if reach and not max_depth:
+        paths = saved(tree_paths(known), "paths")
+        leaves = paths.where("answer AND NOT looped")
+        good = F.coalesce((F.col("n") >= 2) & (F.col("first") == "user") & F.col("answered"), F.lit(False))
+        bad = leaves.agg(F.count_if(~good).alias("_bad"))
+        tops = saved(_tops(paths.where("NOT looped"), leaves.where(good).select(F.col("node").alias("leaf")), reach), "tops")
+        upper = _chains(known, tops.select(F.col("top").alias("leaf")).distinct(), 0)
+        chains = tops.join(upper, F.col("top") == F.col("row_id")).select(F.col("leaf").alias("row_id"), "pos", "role", "content")
+        rest = _chains(known, paths.where("answer AND looped").select(F.col("node").alias("leaf")), 0)  # chains that begin where they would repeat
+    else:
+        rest = _chains(known, known.where(normalize_role(F.col("role")) == "assistant").select(F.col("message_id").alias("leaf")), max_depth)
+        bad = None
+    looped = saved(merge_runs(rest), "talks")
+    talks = looped if bad is None else looped.union(merge_runs(chains))
+    found = saved(build(talks), "examples")
+    ends = rest.where("pos = 0").agg(F.count("*").alias("_paths")).crossJoin(looped.agg(F.count_distinct("row_id").alias("_good")))  # one row each
+    counts = foreign.crossJoin(ends if bad is None else ends.crossJoin(bad)).crossJoin(found.agg(F.count("*").alias("paths_kept")))
+    lost = F.col("_paths") - F.col("_good") + (F.lit(0) if bad is None else F.col("_bad"))
+    return found, counts.select(F.lit(source).alias("source"), "non_english_rows", lost.alias("bad_paths"), "paths_kept")

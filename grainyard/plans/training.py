@@ -128,12 +128,17 @@ ENGLISH_TREE = f"""(WITH RECURSIVE m AS (SELECT conv_id || '_' || turn AS messag
   SELECT conv_id, turn, role, text FROM c)"""
 
 
+def english_tree(spark, sf_dir) -> DataFrame:
+    lang = F.when((F.split("message_id", "_")[0].cast("bigint") + F.col("n")) % 11 == 0, "fr").when(F.col("n") % 3 == 0, "EN_us")
+    return tree_messages(spark, sf_dir).withColumn("lang", lang)
+
+
 def tree_imported(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     def build(talks: DataFrame) -> DataFrame:
         return messages.build_examples(talks, "conversations", "conversations.parquet", 1, WIDE, WIDE, 20_000)
 
-    lang = F.when((F.split("message_id", "_")[0].cast("bigint") + F.col("n")) % 11 == 0, "fr").when(F.col("n") % 3 == 0, "EN_us")
-    return extract.tree_import(tree_messages(spark, sf_dir).withColumn("lang", lang), "n", ["lang"], "conversations", build)
+    reach = 20_000 + WIDE.max_chars
+    return extract.tree_import(english_tree(spark, sf_dir), "n", ["lang"], "conversations", build, reach=reach)
 
 
 @query(s_examples(1, WIDE, WIDE, 20_000, ENGLISH_TREE) + " SELECT id, dialogue_group, category, prompt_words FROM examples")
@@ -141,6 +146,18 @@ def tree_import_examples(spark, sf_dir):
     return tree_imported(spark, sf_dir)[0].select("id", "dialogue_group", "category", "prompt_words")
 
 
+SHORT = filters.TextLimits(1, 1000, 400, 50)
+
+
+@query(s_examples(0, SHORT, SHORT, 600, ENGLISH_TREE) + " SELECT id, dialogue_group, category, prompt_words FROM examples")
+def tree_import_short(spark, sf_dir):
+    """Limits beyond which most of a long chain isn't put together."""
+    def build(talks: DataFrame) -> DataFrame:
+        return messages.build_examples(talks, "conversations", "conversations.parquet", 0, SHORT, SHORT, 600)
+
+    return extract.tree_import(english_tree(spark, sf_dir), "n", ["lang"], "conversations", build, reach=600 + SHORT.max_chars)[0].select("id", "dialogue_group", "category", "prompt_words")
+
+
 @query(s_examples(1, WIDE, WIDE, 20_000, ENGLISH_TREE) + f""" SELECT 'conversations' AS source, (SELECT count(*) FROM conversations WHERE {LANGUAGE} = 'fr') AS non_english_rows,
   (SELECT count(*) FROM conversations WHERE role = 'assistant' AND coalesce({LANGUAGE}, 'en') <> 'fr') - (SELECT count(DISTINCT row_id) FROM merged) AS bad_paths, (SELECT count(*) FROM examples) AS paths_kept""")
 def tree_import_counts(spark, sf_dir):
