@@ -9,7 +9,9 @@ Candidates come in rounds, so that a large group of copies of one text doesn't m
 in each of its shards: the node of the tree within the radius that it meets on its way down (it then isn't put into the tree), or
 the nearest other node; the nearest of all is verified. Then, twice, of the sets that verified links left apart, each gets its nearest
 partner of another component, within the radius of all 256 bits. Last, the sets that are still apart bring their shingle hashes
-with them into their shards, where all pairs within the radius are compared; only those that are similar come out.
+with them into their shards, where they are joined by their rarest shingles: two similar sets have one of these in common, and so
+early that what follows can hold enough shared ones. Sets of a large family of unlike texts begin with shingles of their own, so
+few pairs are compared; only those that are similar come out.
 """
 
 from __future__ import annotations
@@ -184,7 +186,7 @@ def best_pairs(found: DataFrame) -> DataFrame:
 
 
 def _apart(threshold: float | None):
-    """Sets of one shard and of different labels within the wide radius: (key, item, partner, far) with the nearest of each, or with a
+    """Of sets of one shard and of different labels: (key, item, partner, far) with the nearest of each within the wide radius, or with a
     threshold (a, b) for all whose shingle hashes (32 bits each, a column more) have that similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,36 +203,64 @@ def _apart(threshold: float | None):
         main = np.zeros(len(of), bool)
         main[ranked[np.r_[of[1:] != of[:-1], True]]] = True  # of is ascending, so ranked has the largest of each shard last
         items = np.sort(order[~np.repeat(main, size)])
+        if threshold is not None:
+            edge = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True])
+            for i, end in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                own_items = items[np.searchsorted(items, i) : np.searchsorted(items, end)] - i
+                a, b = alike_pairs(sets[0][i:end], label[i:end], own_items, threshold)
+                if len(a):
+                    a, b = own[i:end][a], own[i:end][b]
+                    yield record_batch(_LINK, *np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1))
+            return
         found = bk_search(fp, bk_forest(fp, key)[:3], WIDE_RADIUS, items=items)
         hits = ((a[apart], b[apart]) for a, b in found for apart in [label[a] != label[b]])
-        if threshold is None:
-            yield from _partners(key, own, fp, *nearest(fp, hits))
-            return
-        for a, b in hits:
-            a, b = _alike(a, b, sets[0], threshold) if len(a) else (a, b)
-            if len(a):
-                pair = np.unique(np.stack([np.maximum(own[a], own[b]), np.minimum(own[a], own[b])]), axis=1)
-                yield record_batch(_LINK, *pair)
+        yield from _partners(key, own, fp, *nearest(fp, hits))
 
     return run
 
 
-def _alike(a: np.ndarray, b: np.ndarray, sets: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs whose sets, as bytes of sorted 32-bit numbers, have a Jaccard similarity of threshold; all partners of one set at once."""
-    order = np.argsort(a, kind="stable")
-    a, b = a[order], b[order]
-    edge = np.flatnonzero(np.r_[True, a[1:] != a[:-1], True])
-    keep = np.zeros(len(a), bool)
-    for i, end in zip(edge[:-1].tolist(), edge[1:].tolist()):
-        own = np.frombuffer(sets[a[i]], np.uint32)
-        for k in range(i, end, 4096):
-            some = sets[b[k : min(k + 4096, end)]]
-            size = np.fromiter(map(len, some), np.int64, len(some)) // 4
-            other = np.frombuffer(b"".join(some.tolist()), np.uint32)
-            at = np.minimum(np.searchsorted(own, other), len(own) - 1)
-            shared = np.add.reduceat((own[at] == other).astype(np.int64), np.cumsum(size) - size)
-            keep[k : k + len(some)] = shared >= threshold * (len(own) + size - shared) - 1e-9
-    return a[keep], b[keep]
+def alike_pairs(sets: np.ndarray, label: np.ndarray, items: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places of sets (bytes of distinct 32-bit numbers, none empty) with a Jaccard similarity of threshold and different labels.
+    items: the places that search, ascending: all but those of one label.
+
+    Numbers are put in one order, the rarest first. Of two similar sets of n and m numbers the first shared one stands among the first
+    n - ceil(threshold * n) + 1 of each, and from it on both hold as many as they have to share, threshold / (1 + threshold) * (n + m)."""
+    arrays = [np.frombuffer(x, np.uint32) for x in sets.tolist()]
+    size = np.fromiter(map(len, arrays), np.int64, len(arrays))
+    names, token, df = np.unique(np.concatenate(arrays), return_inverse=True, return_counts=True)
+    rank = np.empty(len(names), np.int64)
+    rarest = np.lexsort((names, df))
+    rank[rarest] = np.arange(len(names))
+    owner = np.repeat(np.arange(len(arrays)), size)
+    token = np.sort(owner * len(names) + rank[token]) % len(names)
+    start = np.cumsum(size) - size
+    place = np.arange(len(token)) - start[owner]
+    some = (place < (size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1)[owner]) & (df[rarest][token] > 1)
+    who, what, where = owner[some], token[some], place[some]
+    mine = np.searchsorted(who, np.arange(len(arrays) + 1))
+    by = np.argsort(what, kind="stable")
+    first = np.searchsorted(what[by], np.arange(len(names) + 1))
+    searches = np.zeros(len(arrays), bool)
+    searches[items] = True
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for i in items.tolist():
+        own = slice(mine[i], mine[i + 1])
+        low, n = first[what[own]], first[what[own] + 1] - first[what[own]]
+        entry = by[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        other, at = np.unique(who[entry], return_index=True)  # at the first number that they share
+        left = np.minimum(size[i] - np.repeat(where[own], n)[at], size[other] - where[entry][at])
+        other = other[(label[other] != label[i]) & ~(searches[other] & (other > i)) & (left >= threshold / (1 + threshold) * (size[i] + size[other]) - 1e-9)]
+        ranks = token[start[i] : start[i] + size[i]]
+        for k in range(0, len(other), 4096):
+            part = other[k : k + 4096]
+            m = size[part]
+            theirs = token[np.repeat(start[part] - np.cumsum(m) + m, m) + np.arange(m.sum())]
+            spot = np.minimum(np.searchsorted(ranks, theirs), len(ranks) - 1)
+            shared = np.add.reduceat((ranks[spot] == theirs).astype(np.int64), np.cumsum(m) - m)
+            similar = part[shared >= threshold * (size[i] + m - shared) - 1e-9]
+            found.append((np.full(len(similar), i), similar))
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *(a for a, _ in found)]), np.concatenate([none, *(b for _, b in found)])
 
 
 def hashed_sets(texts: DataFrame, width: int) -> DataFrame:
