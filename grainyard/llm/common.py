@@ -140,28 +140,12 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-#: Spans of more bytes are hashed one by one.
-LONG = 64
-_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
-
-
 def span_hashes(lowered: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes: its length, then eight bytes at a time mixed in, all spans side by side; XXH64 for spans
-    of over LONG bytes. Spans of one length of at most eight bytes never share a hash."""
-    padded = np.r_[lowered, np.zeros(8, np.uint8)]
-    eight = np.ndarray(len(lowered) + 1, "<u8", padded, strides=(1,))  # those that begin at each byte
-    size = ends - starts
-    out = size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    live = np.flatnonzero((size > 0) & (size <= LONG))
-    for k in range(0, LONG, 8):
-        w = eight[starts[live] + k] & _KEEP[np.minimum(size[live] - k, 8)]
-        out[live] = mixed(out[live] + w * np.uint64(0x9E3779B97F4A7C15))
-        live = live[size[live] > k + 8]
-        if not len(live):
-            break
-    for i in np.flatnonzero(size > LONG).tolist():
-        out[i] = xxhash.xxh64_intdigest(padded[starts[i] : ends[i]])
-    return out
+    """XXH64 of each span of bytes; spans ascend and don't overlap. Equal spans are hashed once."""
+    edges = np.zeros(2 * len(starts) + 2, np.int64)
+    edges[1:-1:2], edges[2:-1:2], edges[-1] = starts, ends, len(lowered)
+    turns = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(lowered))]).dictionary_encode()  # spans, and what is between them
+    return np.array([xxhash.xxh64_intdigest(x) for x in turns.dictionary.to_pylist()], np.uint64)[turns.indices.to_numpy()[1::2]]
 
 
 def ngram_hashes(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

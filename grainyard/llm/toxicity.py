@@ -12,11 +12,12 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
-from .common import SPACES, arrow_map, crc_mod, ngram_hashes, span_hashes
+from .common import SPACES, arrow_map, crc_mod, mixed, ngram_hashes
 from .wordbags import bag_sums, worker_table
 
 
@@ -26,6 +27,29 @@ _STOPS = bytes(b + 32 if 65 <= b < 91 else 32 if chr(b) in ",.;:\"()|" else b fo
 #: A longer word is cut into pieces of PIECE bytes that overlap by OVERLAP, so that each n-gram of OVERLAP + 1 lies in one.
 PIECE, OVERLAP = 64, 3
 
+#: Spans of more bytes are hashed one by one.
+LONG = 64
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def feature_hashes(lowered: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes: its length, then eight bytes at a time mixed in, all spans side by side; XXH64 for spans
+    of over LONG bytes. A choice of buckets for features; to tell spans apart see span_hashes."""
+    padded = np.r_[lowered, np.zeros(8, np.uint8)]
+    eight = np.ndarray(len(lowered) + 1, "<u8", padded, strides=(1,))  # those that begin at each byte
+    size = ends - starts
+    out = size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    live = np.flatnonzero((size > 0) & (size <= LONG))
+    for k in range(0, LONG, 8):
+        w = eight[starts[live] + k] & _KEEP[np.minimum(size[live] - k, 8)]
+        out[live] = mixed(out[live] + w * np.uint64(0x9E3779B97F4A7C15))
+        live = live[size[live] > k + 8]
+        if not len(live):
+            break
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = xxhash.xxh64_intdigest(padded[starts[i] : ends[i]])
+    return out
+
 
 def split_words(text: bytes) -> list[bytes]:
     """Lower-case words (A-Z only), apart at white space and at common punctuation; long ones in overlapping pieces."""
@@ -41,7 +65,7 @@ def word_features(words: list[bytes], buckets: int, shortest: int, longest: int)
     data = np.frombuffer(b"".join(marked), np.uint8)
     first = np.r_[0, np.cumsum([len(w) for w in marked])].astype(np.int64)
     letters = SPACES[0][data].astype(np.uint64) + np.uint64(1)
-    found, owner = [span_hashes(data, first[:-1], first[1:])], [np.arange(len(words))]
+    found, owner = [feature_hashes(data, first[:-1], first[1:])], [np.arange(len(words))]
     for n in range(shortest, longest + 1):
         h, row = ngram_hashes(letters, first, n)
         found.append(h + np.uint64(n))
