@@ -14,17 +14,28 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, free_names, written
 
-#: One period: for each slot the place in src of the source that runs.
+#: Sources with the same share have the same release times and deadlines, so of these the one with the fewest blocks so far, and of
+#: several the first, is due: they take turns. Only one block a share is looked at in a slot.
+_SHARES = """
+transform(array_sort(array_distinct(transform(src, x -> x.q))), q -> named_struct('q', q, 'who', filter(transform(src, (x, i) -> if(x.q = q, i, null)), i -> i IS NOT NULL)))
+"""
+#: One period: for each slot the place in src of the source that runs. shares: see _SHARES; c: blocks so far of each. Slots are put
+#: together in chunks, so that none of them copies all before it.
 _PERIOD = """
 aggregate(
-  sequence(0, cast(h AS int) - 1),
-  named_struct('c', transform(src, x -> 0L), 'run', cast(array() AS array<int>)),
-  (a, t) -> element_at(transform(
-    array(array_min(filter(
-      transform(src, (x, i) -> if(a.c[i] < x.q AND a.c[i] * h div x.q <= t, named_struct('d', ((a.c[i] + 1) * h + x.q - 1) div x.q, 'i', i), null)),
-      x -> x IS NOT NULL)).i),
-    p -> named_struct('c', transform(a.c, (n, j) -> n + if(j = p, 1L, 0L)), 'run', concat(a.run, array(p)))), 1),
-  a -> a.run)
+  sequence(0L, (h - 1) div 256),
+  named_struct('c', transform(shares, x -> 0L), 'run', cast(array() AS array<array<int>>)),
+  (a, u) -> element_at(transform(array(aggregate(
+      sequence(u * 256, least(h, (u + 1) * 256) - 1),
+      named_struct('c', a.c, 'run', cast(array() AS array<int>)),
+      (b, t) -> element_at(transform(
+        array(array_min(filter(
+          transform(shares, (x, j) -> if(b.c[j] div size(x.who) < x.q AND (b.c[j] div size(x.who)) * h div x.q <= t,
+            named_struct('d', ((b.c[j] div size(x.who) + 1) * h + x.q - 1) div x.q, 'i', x.who[cast(b.c[j] % size(x.who) AS int)], 'j', j), null)),
+          x -> x IS NOT NULL))),
+        p -> named_struct('c', transform(b.c, (n, j) -> n + if(j = p.j, 1L, 0L)), 'run', concat(b.run, array(p.i)))), 1))),
+    z -> named_struct('c', z.c, 'run', concat(a.run, array(z.run)))), 1),
+  a -> flatten(a.run))
 """
 #: So many hash ranges of a source at most, in powers of two, and slots of a period at most (one more a source).
 MOST_BUCKET_BITS, MOST_RESOLUTION = 20, 100_000
@@ -85,7 +96,7 @@ def _units(counts: DataFrame, weights: dict[str, float] | None, resolution: int,
 
 def _blocks(before: DataFrame, units: DataFrame, block: int) -> DataFrame:
     """(key, nth, slot, start) of each block: its slot, and how many rows the blocks of earlier slots have."""
-    slots = units.select("src", "h", F.posexplode(F.expr(_PERIOD)).alias("t", "i")).select(F.col("src")[F.col("i")].alias("s"), "h", "t").select("s.*", "h", "t")
+    slots = units.withColumn("shares", F.expr(_SHARES)).select("src", "h", F.posexplode(F.expr(_PERIOD)).alias("t", "i")).select(F.col("src")[F.col("i")].alias("s"), "h", "t").select("s.*", "h", "t")
     slots = slots.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("t")) - 1).withColumnRenamed("n", "total")
     shares = slots.where("k = 0").select("key", "total", "q")
     # a block belongs to the range of hashes that holds its first row
