@@ -12,7 +12,9 @@ import hashlib
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -57,44 +59,107 @@ def wave_chunks(data: bytes, at: int, end: int) -> tuple[tuple[int, int, int], i
     return None
 
 
+def _times(a: int, b: int) -> int:
+    """The product of two polynomials modulo CRC-32's, highest powers last."""
+    out = 0
+    for k in range(31, -1, -1):
+        if a >> k & 1:
+            out ^= b
+        b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+    return out
+
+
+@lru_cache(4096)
+def _power(n: int) -> int:
+    """x to the power of 8 * n, modulo CRC-32's polynomial."""
+    out, base = 1 << 31, 1 << 23
+    while n:
+        if n & 1:
+            out = _times(out, base)
+        base, n = _times(base, base), n >> 1
+    return out
+
+
+def crc_between(data: bytes, a: int, b: int, memo: dict) -> int:
+    """The CRC-32 of data[a:b]; of a long part from checksums of what is before a and b, which are kept every STEP bytes."""
+    view = memoryview(data)
+    if b - a <= 2 * STEP:
+        return zlib.crc32(view[a:b])
+    if "crc" not in memo:
+        memo["crc"] = [0]
+        for k in range(0, len(data) - STEP, STEP):
+            memo["crc"].append(zlib.crc32(view[k : k + STEP], memo["crc"][-1]))
+    upto = lambda x: zlib.crc32(view[x // STEP * STEP : x], memo["crc"][x // STEP]) if x // STEP < len(memo["crc"]) else zlib.crc32(view[(len(memo["crc"]) - 1) * STEP : x], memo["crc"][-1])
+    return upto(b) ^ _times(_power(b - a), upto(a))
+
+
+STEP = 1 << 12
+
+
 def png(data: bytes, at: int, memo: dict) -> int:
-    """Chunks in order, IHDR first, each with its checksum, up to IEND."""
-    place, first, view = at + 8, True, memoryview(data)
+    """Chunks in order, IHDR first, each with its checksum, up to IEND. Where chunks from a place on lead is found out once."""
+    place, end = at + 8, -1
+    if data[place + 4 : place + 8] != b"IHDR":
+        return 0
+    ends, seen = memo.setdefault("png", {}), []
     while place + 12 <= len(data):
+        if place in ends:
+            end = ends[place]
+            break
+        seen.append(place)
         size, kind = struct.unpack_from(">I4s", data, place)
-        end = place + 12 + size
-        if end > len(data) or first and kind != b"IHDR" or zlib.crc32(view[place + 4 : end - 4]) != struct.unpack_from(">I", data, end - 4)[0]:
-            return 0
+        behind = place + 12 + size
+        if behind > len(data) or crc_between(data, place + 4, behind - 4, memo) != struct.unpack_from(">I", data, behind - 4)[0]:
+            break
         if kind == b"IEND":
-            return end - at
-        place, first = end, False
-    return 0
+            end = behind
+            break
+        place = behind
+    ends.update(dict.fromkeys(seen, end))
+    return end - at if end > 0 else 0
 
 
 def gif(data: bytes, at: int, memo: dict) -> int:
-    """Screen descriptor, then extension and image blocks, up to the trailer."""
+    """Screen descriptor, then extension and image blocks, up to the trailer. Where blocks from a place on lead is found out once: a file's
+    end or -1, and for the parts of a block the block's end."""
     if len(data) < at + 13:
         return 0
     flags = data[at + 10]
     place = at + 13 + (3 << (flags & 7) + 1 if flags & 128 else 0)
+    if "gif" not in memo:
+        memo["gif"] = array("i", bytes(4 * len(data))), array("i", bytes(4 * len(data)))
+    ends, after = memo["gif"]
 
     def blocks(p: int) -> int:
-        while p < len(data) and data[p]:
+        seen = []
+        while p < len(data) and data[p] and not after[p]:
+            seen.append(p)
             p += 1 + data[p]
-        return p + 1
+        end = after[p] if p < len(data) and data[p] else p + 1
+        for q in seen:
+            after[q] = end
+        return end
 
+    seen, end = [], -1
     while place < len(data):
+        if ends[place]:
+            end = ends[place]
+            break
+        seen.append(place)
         kind = data[place]
         if kind == 0x3B:
-            return place + 1 - at
+            end = place + 1
+            break
         if kind == 0x21:
             place = blocks(place + 2)
         elif kind == 0x2C and place + 10 < len(data):
             own = data[place + 9]
             place = blocks(place + 11 + (3 << (own & 7) + 1 if own & 128 else 0))
         else:
-            return 0
-    return 0
+            break
+    for p in seen:
+        ends[p] = end
+    return end - at if end > 0 else 0
 
 
 def bmp(data: bytes, at: int, memo: dict) -> int:
