@@ -54,7 +54,7 @@ class ByteGRU:
     """width: units a direction; weights holds, for each direction, byte -> gates (update, reset, new), state -> gates; then the softmax."""
 
     langs: list[str]
-    width: int = 5
+    width: int = 8
     seed: int = 11
     weights: list[np.ndarray] = field(default_factory=list)
 
