@@ -384,3 +384,28 @@ SELECT r.conv_id, r.run, c.case_id, sha1(c.prompt) AS prompt FROM (SELECT DISTIN
 def gate_open_prompts(spark, sf_dir):
     found = gate.open_prompts(completions(spark, sf_dir), gate.cases(spark), ["conv_id", "run"])
     return found.select("conv_id", "run", "case_id", text.sha1_hex(F.col("prompt")).alias("prompt"))
+
+
+# --- documents of JSON, and streams without copies ------------------------------------------------------------------------
+
+
+@query("""SELECT conv_id AS row_id, turn AS pos, role, sha1('}{"],[' || chr(92) || '"' || coalesce(text, '')) AS content FROM conversations""")
+def rows_of_lists(spark, sf_dir):
+    path, file = files.work_path(spark, "lists") + ".json", F.pmod("conv_id", F.lit(8)).alias("file")
+    said = F.concat(F.lit('}{"],[\\"'), F.coalesce("text", F.lit("")))
+    row = F.to_json(F.struct("conv_id", F.struct("turn", F.array(F.struct("role", said.alias("text"))).alias("said")).alias("at")))
+    turns = table(spark, sf_dir, "conversations").select(file, F.lit(1).alias("k"), F.concat(F.lit(","), row).alias("value"))
+    edges = turns.select("file").distinct().select("file", F.explode(F.expr("map(0, '[[7, {\"a\": {}}]', 2, ',null ]')")).alias("k", "value"))
+    turns.union(edges).repartition("file").sortWithinPartitions("file", "k").drop("k").write.partitionBy("file").text(path)
+    r = F.from_json("row", "conv_id bigint, at struct<turn int, said array<struct<role string, text string>>>")
+    found = files.read_rows(spark, path).select(r.alias("r")).select("r.conv_id", "r.at.turn", F.explode("r.at.said").alias("s"))
+    return found.select(F.col("conv_id").alias("row_id"), F.col("turn").alias("pos"), "s.role", text.sha1_hex(F.col("s.text")).alias("content"))
+
+
+@query(f"SELECT sha1(lower({s_squash('text')})) AS key, count(*) AS n FROM (SELECT DISTINCT ON (lower({s_squash('text')})) text FROM documents WHERE text IS NOT NULL) GROUP BY 1")
+def stream_first(spark, sf_dir):
+    path, docs = files.work_path(spark, "stream"), table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    docs.repartition(5, "doc_id").write.option("maxRecordsPerFile", 0).parquet(f"{path}/in")
+    arriving = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    ingest.append_first(arriving, f"{path}/out", buckets=8)
+    return ingest.read_first(spark, f"{path}/out", docs.schema).groupBy(text.sha1_hex(F.lower(text.squash(F.col("text")))).alias("key")).agg(F.count("*").alias("n"))

@@ -8,6 +8,7 @@ from pyspark.sql.types import StringType
 
 from ..functions.text import CHAT_END, END_ASSISTANT, normalize_text, strip
 from ..operators.ordering import prefix_sum
+from .documents import read_documents
 from .work import forget, saved, work_path  # noqa: F401
 
 SFT_SCHEMA = "id string, prompt_text string, assistant_text string, target_text string, chat_text string"
@@ -16,7 +17,8 @@ SFT_SCHEMA = "id string, prompt_text string, assistant_text string, target_text
 def read_rows(spark: SparkSession, *paths: str) -> DataFrame:
     """(source_file, row): rows of .parquet, .jsonl, .jsonl.gz and .json files as JSON objects. Values that are no objects and blank lines
     are left out, a line that isn't JSON is an error. A .json file is one document: a list, an object with a list under one of
-    DOCUMENT_KEYS, or a row. Lines are read by many tasks a file; a document, and a file under gzip, by one."""
+    documents.DOCUMENT_KEYS, or a row. Lines, and the elements of a document that is a list, are read by many tasks a file; another document,
+    and a file under gzip, by one."""
     file, out = F.col("_metadata.file_name").alias("source_file"), None
     for path in paths:
         name = path.lower().rstrip("/")
@@ -26,26 +28,13 @@ def read_rows(spark: SparkSession, *paths: str) -> DataFrame:
         elif name.endswith((".jsonl", ".jsonl.gz")):
             rows = spark.read.text(path).where(F.trim("value") != "").select(file, F.col("value").alias("row"))
         elif name.endswith(".json"):
-            rows = spark.read.text(path, wholetext=True).select(file, F.explode(document_rows(F.col("value"))).alias("row"))
+            rows = read_documents(spark, path)
         else:
             raise ValueError(f"no known format of rows: {path}")
         out = rows if out is None else out.union(rows)
     return out.where(F.schema_of_variant(F.parse_json("row")).startswith("OBJECT"))
 
 
-# Keys under which a JSON document may hold its rows.
-DOCUMENT_KEYS = ["data", "rows", "examples"]
-
-
-def document_rows(c: Column) -> Column:
-    """array<string> of the rows of a JSON document; an error if it isn't JSON."""
-    told = F.when(F.try_parse_json(c).isNull(), F.raise_error(F.lit("a document isn't JSON")).cast("string")).otherwise(c)
-    as_list = lambda x: F.when(x.rlike(r"^\s*\["), F.from_json(x, "array<string>"))
-    kind = lambda key: F.schema_of_variant(F.try_variant_get(F.try_parse_json(c), f"$.{key}", "variant"))
-    under = [F.when(kind(key).startswith("ARRAY"), as_list(F.get_json_object(told, f"$.{key}"))) for key in DOCUMENT_KEYS]
-    return F.coalesce(as_list(told), *under, F.array(told))
-
-
 def read_metrics(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
     """Run records, one JSON object a file (or a line), with the given nested schema; a record that isn't JSON is an error."""
     return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", multi_line).json(path)

@@ -37,6 +37,11 @@ _places: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 def forget(df: DataFrame) -> None:
     """Delete what `saved` wrote for df. Nothing that is still to be read may depend on it."""
-    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(_places.pop(df))
+    deleted(df.sparkSession, _places.pop(df))
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Delete a folder if it is there."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(path)
     path.getFileSystem(conf).delete(path, True)

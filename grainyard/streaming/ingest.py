@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.filters import document_reason
 from ..functions.text import sha1_hex, squash
@@ -11,6 +14,7 @@ from ..functions.names import free_names
 from ..operators.ordering import in_order
 from ..operators.packing import encode, full_windows, pieces, sft_tensors, sft_windows
 from ..operators.splits import hash_split
+from ..sources.work import deleted, forget, saved
 
 
 def pretrain_documents(stream: DataFrame) -> DataFrame:
@@ -26,6 +30,58 @@ def first_seen(stream: DataFrame, text: str = "text", time: str | None = None, d
     return keyed.withWatermark(time, delay).dropDuplicatesWithinWatermark(["key"]) if time else keyed.dropDuplicates(["key"])
 
 
+def append_first(stream: DataFrame, path: str, text: str = "text", buckets: int = 256) -> None:
+    """Appends, of all that has arrived, the rows whose squashed lower-case text (null: a text of its own) hasn't come before, and returns. Of
+    copies in one batch any one is kept. No state store and no watermark: an old copy is dropped however late it comes, and no row is lost.
+    See read_first.
+
+    Keys are hashes in written tables. The table of batch i, counted from 1, holds the keys of the last so many batches as i's lowest set
+    bit says, so that a batch reads as many tables as the number of batches has bits, and writes a key again as often at most. Of them it
+    reads the buckets that its own keys fall into. A batch that is run again replaces its own folders; tables that a later one holds are
+    deleted when the batch after that begins.
+    """
+
+    def table(i: int) -> str:
+        return f"{path}/keys/table={i}"
+
+    def before(i: int, down: int = 0) -> list[int]:
+        out = []
+        while i > down:
+            out.append(i)
+            i -= i & -i
+        return out
+
+    def keep(batch: DataFrame, n: int) -> None:
+        spark, i = batch.sparkSession, n + 1
+        for old in before(n - 1, n - (n & -n)) if n else []:
+            deleted(spark, table(old))
+        key, bucket, known = free_names(batch, "key", "bucket", "known")
+        hashed = F.coalesce(sha1_hex(F.lower(squash(F.col(f"`{text}`")))), F.lit(""))
+        new = saved(batch.withColumn(key, hashed).dropDuplicates([key]).withColumn(bucket, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), "arrived")
+        schema = "key string, bucket int"
+        seen = {j: spark.read.schema(schema).parquet(table(j)) for j in before(n)}
+        fresh = new
+        if seen:
+            touched = [r[0] for r in new.select(bucket).distinct().collect()]  # `buckets` numbers at most
+            old = reduce(DataFrame.union, seen.values()).where(F.col("bucket").isin(touched))
+            found = old.join(new.select(F.col(key).alias("k"), F.col(bucket).alias("b")), (F.col("b") == F.col("bucket")) & (F.col("k") == F.col("key")), "left_semi")
+            fresh = new.join(found.select(F.col("key").alias(known)), F.col(key) == F.col(known), "left_anti")
+        fresh = saved(fresh, "fresh")
+        fresh.drop(key, bucket).write.mode("overwrite").parquet(f"{path}/rows/batch={n}")
+        inner = [seen[j] for j in before(n, i - (i & -i))]
+        keys = reduce(DataFrame.union, inner, fresh.select(F.col(key).alias("key"), F.col(bucket).alias("bucket")))
+        keys.repartition("bucket", F.substring("key", 1, 1)).sortWithinPartitions("bucket", "key").write.mode("overwrite").partitionBy("bucket").parquet(table(i))
+        forget(new)
+        forget(fresh)
+
+    stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
+def read_first(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """All rows, of the given schema, that append_first has kept below path."""
+    return spark.read.schema(schema).parquet(*[f"{path}/rows/batch=*"])
+
+
 def supervised_windows(examples: DataFrame, context: int) -> DataFrame:
     """Windows of arriving examples that fit: a row an example, no state."""
     return sft_windows(examples, context).where("status IN ('kept', 'truncated')")
