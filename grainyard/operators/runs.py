@@ -82,3 +82,45 @@ def run_summary(metrics: DataFrame, split_stats: DataFrame, run: str = "experime
     )
     sizes = split_stats.groupBy(run).agg(*[F.sum(F.when(F.col("split") == s, F.col(c))).alias(f"{s}_{c}") for s in ("training", "validation", "testing") for c in ("lines", "stream_length")])
     return rows.join(sizes, run, "left")
+
+
+def _kind(v: Column, kind: str) -> Column:
+    return F.coalesce(F.schema_of_variant(v).startswith(kind), F.lit(False))
+
+
+def metric_values(records: DataFrame, record: str, run: str = "$.experiment", depth: int = 8) -> DataFrame:
+    """(run, path, number, text, truth) of every value in run records of any shape: a row a number, string, boolean or null, and a row for an
+    empty list or object (no value). One pass, without a shuffle.
+
+    record: a VARIANT column (see files.read_records); run: where it has its run's name. path: keys behind dots and list places, from 0,
+    in brackets; a key with other characters than letters, digits and underscores stands quoted in brackets. A record that isn't nested at all is one row with
+    an empty path. Values nested deeper than `depth` are an error. A null record has no rows, a run without a name a null one.
+    """
+    at, v = F.col("at"), F.col("v")
+    rows = records.select(F.try_variant_get(F.col(f"`{record}`"), run, "string").alias("run"), F.lit("").alias("at"), F.col(f"`{record}`").alias("v")).where("v IS NOT NULL")
+    member = lambda key: F.when(key.rlike(r"\A[A-Za-z0-9_]+\z"), F.concat(F.lit("."), key)).otherwise(F.concat(F.lit('["'), key, F.lit('"]')))
+    under = F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: F.struct(F.concat(at, member(e["key"])).alias("at"), e["value"].alias("v")))
+    listed = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, i: F.struct(F.concat(at, F.lit("["), i.cast("string"), F.lit("]")).alias("at"), x.alias("v")))
+    inner = F.when(_kind(v, "OBJECT"), under).when(_kind(v, "ARRAY"), listed)
+    for _ in range(depth):
+        rows = rows.select("run", F.explode(F.when(F.size(inner) > 0, inner).otherwise(F.array(F.struct("at", "v")))).alias("c")).select("run", "c.at", "c.v")
+    number = F.schema_of_variant(v).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    told = F.when(F.size(inner) > 0, F.raise_error(F.concat(F.lit(f"nested deeper than {depth}: "), at)).cast("string")).otherwise(F.regexp_replace("at", r"^\.", ""))
+    return rows.select(
+        "run", told.alias("path"), F.when(number, F.try_variant_get(v, "$", "double")).alias("number"), F.when(_kind(v, "STRING"), F.try_variant_get(v, "$", "string")).alias("text"),
+        F.when(_kind(v, "BOOLEAN"), F.try_variant_get(v, "$", "boolean")).alias("truth"),
+    )
+
+
+def metric_history(records: DataFrame, record: str, paths: list[str], fields: dict[str, str], run: str = "$.experiment") -> DataFrame:
+    """(run, place, and a column a field) of the entries of a list in run records: the list at the first of `paths` where there is one; a
+    record without one has no rows. fields: name -> type; an entry without a field, or with one of another kind, has null there."""
+    found = F.coalesce(*[F.try_variant_get(F.col(f"`{record}`"), p, "array<variant>") for p in paths])
+    rows = records.select(F.try_variant_get(F.col(f"`{record}`"), run, "string").alias("run"), F.posexplode(found).alias("place", "_e"))
+    return rows.select("run", "place", *[F.try_variant_get("_e", f"$.{name}", kind).alias(name) for name, kind in fields.items()])
+
+
+def metric_columns(records: DataFrame, record: str, fields: dict[str, tuple[str, list[str]]]) -> DataFrame:
+    """A row a record with the given columns: name -> type and the paths that may have it; the first that has a value of that type counts."""
+    one = lambda kind, paths: F.coalesce(*[F.try_variant_get(F.col(f"`{record}`"), p, kind) for p in paths])
+    return records.select(*[one(kind, paths).alias(name) for name, (kind, paths) in fields.items()])

@@ -409,3 +409,51 @@ def stream_first(spark, sf_dir):
     arriving = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
     ingest.append_first(arriving, f"{path}/out", buckets=8)
     return ingest.read_first(spark, f"{path}/out", docs.schema).groupBy(text.sha1_hex(F.lower(text.squash(F.col("text")))).alias("key")).agg(F.count("*").alias("n"))
+
+
+# --- run records of any shape ----------------------------------------------------------------------------------------------
+
+
+def shaped_records(spark, sf_dir) -> DataFrame:
+    """Records of users as runs in two shapes: epochs with their mean values, or a curriculum with a history of validations and losses by name."""
+    events = table(spark, sf_dir, "events").withColumn("epoch", F.floor(F.col("event_id") / 500))
+    each = events.groupBy("user_id", "epoch").agg(F.sum("event_id").alias("a"), F.count("*").alias("n"))
+    listed = each.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("epoch", "a", "n"))).alias("e"), F.sum("n").alias("n"), F.max("epoch").alias("last"))
+    name, entry = F.concat(F.lit("run_"), F.col("user_id").cast("string")), F.transform("e", lambda x: F.struct(x["epoch"].alias("epoch"), x["a"].alias("loss")))
+    flat = F.to_json(F.struct(name.alias("experiment"), F.struct((F.col("user_id") % 4).alias("width")).alias("settings"), F.struct(F.col("n").alias("test_loss")).alias("training"), entry.alias("epoch_metrics")))
+    steps = F.transform("e", lambda x: F.struct(x["epoch"].alias("step"), F.struct(x["a"].alias("pretrain loss"), F.array(x["n"], x["n"] + 1).alias("sizes")).alias("losses"), F.lit(True).alias("kept")))
+    training = F.struct(F.array(F.lit("streamed"), F.lit("direct")).alias("curriculum"), F.struct(F.col("n").alias("pretrain")).alias("test_losses"), steps.alias("behavior_validation_history"))
+    nested = F.to_json(F.struct(name.alias("experiment"), F.struct((F.col("user_id") % 4).alias("embedding_size")).alias("model"), training.alias("training"), F.array().alias("samples")))
+    path = files.work_path(spark, "records")
+    listed.select(F.when(F.col("user_id") % 2 == 0, flat).otherwise(nested).alias("value")).write.text(path)
+    return files.read_records(spark, path, multi_line=False)
+
+
+RECORDS_SQL = """WITH e AS (SELECT user_id, event_id // 500 AS epoch, sum(event_id)::double AS a, count(*)::double AS n FROM events GROUP BY ALL),
+k AS (SELECT *, 'run_' || user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY epoch) - 1 AS i FROM e), u AS (SELECT user_id, run, sum(n) AS n FROM k GROUP BY ALL),
+h AS (SELECT *, 'training.behavior_validation_history[' || i || ']' AS p FROM k WHERE user_id % 2 = 1)
+"""
+
+
+@query(RECORDS_SQL + """SELECT run, 'experiment' AS path, NULL::double AS number, run AS text, NULL::boolean AS truth FROM u
+UNION ALL SELECT run, CASE WHEN user_id % 2 = 0 THEN 'settings.width' ELSE 'model.embedding_size' END, (user_id % 4)::double, NULL, NULL FROM u
+UNION ALL SELECT run, CASE WHEN user_id % 2 = 0 THEN 'training.test_loss' ELSE 'training.test_losses.pretrain' END, n, NULL, NULL FROM u
+UNION ALL SELECT run, 'epoch_metrics[' || i || '].epoch', epoch::double, NULL, NULL FROM k WHERE user_id % 2 = 0
+UNION ALL SELECT run, 'epoch_metrics[' || i || '].loss', a, NULL, NULL FROM k WHERE user_id % 2 = 0
+UNION ALL SELECT run, 'training.curriculum[0]', NULL, 'streamed', NULL FROM u WHERE user_id % 2 = 1 UNION ALL SELECT run, 'training.curriculum[1]', NULL, 'direct', NULL FROM u WHERE user_id % 2 = 1
+UNION ALL SELECT run, 'samples', NULL, NULL, NULL FROM u WHERE user_id % 2 = 1 UNION ALL SELECT run, p || '.step', epoch::double, NULL, NULL FROM h
+UNION ALL SELECT run, p || '.losses["pretrain loss"]', a, NULL, NULL FROM h UNION ALL SELECT run, p || '.losses.sizes[0]', n, NULL, NULL FROM h
+UNION ALL SELECT run, p || '.losses.sizes[1]', n + 1, NULL, NULL FROM h UNION ALL SELECT run, p || '.kept', NULL, NULL, true FROM h""")
+def run_values(spark, sf_dir):
+    return runs.metric_values(shaped_records(spark, sf_dir), "record")
+
+
+@query(RECORDS_SQL + """SELECT u.run, (u.user_id % 4)::int AS width, u.n AS test_loss, max(k.epoch)::bigint AS last_step, count(*) AS entries,
+  arg_max(CASE WHEN u.user_id % 2 = 0 THEN k.a END, k.epoch) AS last_loss FROM u JOIN k USING (user_id) GROUP BY ALL""")
+def run_shapes(spark, sf_dir):
+    records = shaped_records(spark, sf_dir)
+    columns = {"run": ("string", ["$.experiment"]), "width": ("int", ["$.settings.width", "$.model.embedding_size"]), "test_loss": ("double", ["$.training.test_loss", "$.training.test_losses.pretrain"])}
+    history = runs.metric_history(records, "record", ["$.epoch_metrics", "$.training.behavior_validation_history"], {"epoch": "bigint", "step": "bigint", "loss": "double"})
+    at = F.coalesce("epoch", "step")
+    last = history.groupBy("run").agg(F.max(at).alias("last_step"), F.count("*").alias("entries"), F.max_by("loss", at).alias("last_loss"))
+    return runs.metric_columns(records, "record", columns).join(last, "run")

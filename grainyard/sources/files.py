@@ -40,6 +40,11 @@ def read_metrics(spark: SparkSession, path: str, schema: str, multi_line: bool =
     return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", multi_line).json(path)
 
 
+def read_records(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """(record) of run records of any shape as VARIANT, one JSON object a file (or a line); one that isn't JSON is an error."""
+    return spark.read.option("singleVariantColumn", "record").option("mode", "FAILFAST").option("multiLine", multi_line).json(path)
+
+
 def write_manifest(counts: DataFrame, path: str, arguments: dict[str, str]) -> None:
     """One JSON row: `counts`, a map of maps from rows (kind, key, n; a null key is empty), and the arguments. Counts are aggregates, a row a key."""
     key = F.coalesce(F.col("key").cast("string"), F.lit(""))
