@@ -194,13 +194,13 @@ class ByteGRU:
         return total
 
 
-def train_language(docs: DataFrame, most: int = 150, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteGRU:
+def train_language(docs: DataFrame, most: int = 150, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: int = 8) -> ByteGRU:
     """Fit on at most `most` documents of each language (those with the smallest hashes of their ids), on their whole texts of any
     length. Rows with null id, text or lang teach nothing, and of repeated ids the least text; without any row, as for an empty table,
-    the model has no language."""
+    the model has no language. width: units a direction."""
     docs = docs.where(F.col(text_col).isNotNull())
     texts, langs = labelled_sample(docs.select(id_col, lang_col), docs, most, id_col, text_col)
-    return ByteGRU(sorted(set(langs))).fit(texts, np.array(langs))
+    return ByteGRU(sorted(set(langs)), width).fit(texts, np.array(langs))
 
 
 def languages(docs: DataFrame, model: ByteGRU, text_col: str = "text") -> DataFrame:
