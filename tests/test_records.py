@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from grainyard.operators import runs
+from grainyard.operators import gate, runs
 from grainyard.sources import files
 
 
@@ -31,3 +31,16 @@ def test_history_takes_the_first_list(spark):
     assert sorted(map(tuple, got), key=lambda t: t[:2]) == [("a", 0, 1, None), ("a", 1, None, 2), ("a", 2, None, None), ("b", 0, 7, None)]
     told = runs.metric_columns(df, "r", {"n": ("bigint", ["$.p", "$.q.p[0].s"])}).collect()
     assert [r.n for r in told] == [None, 3, None, None]  # a list is no number
+
+
+def test_first_cases_of_a_suite(spark):
+    """A missing completion counts as an empty one, and completions of later cases count for nothing."""
+    cases = gate.cases(spark)
+    ids = [r.case_id for r in cases.orderBy("case_index").select("case_id").collect()]
+    said = spark.createDataFrame([("r", ids[0], "Hello there"), ("r", ids[5], "x"), ("s", ids[1], "y")], "run string, case_id string, completion string")
+    got = gate.suite(said, cases, ["run"], 3)
+    assert sorted((r.run, r.case_id, r.completion or "") for r in got.select("run", "case_id", "completion").collect()) == sorted(
+        [("r", ids[0], "Hello there"), ("r", ids[1], ""), ("r", ids[2], ""), ("s", ids[0], ""), ("s", ids[1], "y"), ("s", ids[2], "")]
+    )
+    assert {(r.run, r.total_count) for r in gate.summary(got, ["run"]).collect()} == {("r", 3), ("s", 3)}
+    assert gate.suite(said, cases, ["run"]).count() == 2 * len(ids)
