@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
-from .common import SPACES, arrow_map, crc_mod, mixed, ngram_hashes
+from .common import SPACES, arrow_map, broadcast_if_small, crc_mod, mixed, ngram_hashes, written
 from .wordbags import bag_sums, worker_table
 
 
@@ -189,8 +189,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, most: int = 2000, id_col:
     label are left out; of several labels of one document the largest holds. Without labelled rows, as for empty tables, every score
     is the least chance (0.01). Training takes whole texts of any length; null ones count as empty."""
     marks = labels.where(F.col("toxic").isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").cast("int").alias("_toxic"))
-    known = docs.select(F.col(id_col).alias("_own")).distinct()
-    marks = marks.join(known, F.col("_id") == F.col("_own")).select("_id", "_toxic")
+    marks = broadcast_if_small(written(marks, "marks"))  # a row a labelled document; while they are few, the documents' ids aren't dealt
+    marks = written(docs.select(F.col(id_col).alias("_own")).join(marks, F.col("_id") == F.col("_own")).select("_id", "_toxic").distinct(), "labelled")
     texts, y = labelled_sample(marks, docs, most, id_col, text_col)
     count = dict(marks.groupBy("_toxic").count().collect())
     return SubwordBag().fit(texts, np.array(y, np.int64)).set_odds(np.bincount(np.array(y, np.int64), minlength=2), np.array([count.get(0, 0), count.get(1, 0)]))
