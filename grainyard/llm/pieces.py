@@ -47,12 +47,13 @@ def check_special(strings: list[str]) -> list[str]:
 
 def white(data: np.ndarray) -> np.ndarray:
     """Which bytes are part of white space."""
-    out = _SPACE[data]
+    out, more = _SPACE[data], np.r_[data, np.zeros(2, np.uint8)]
     for lead, rest in _WIDE.items():
-        for at in np.flatnonzero(data == lead).tolist():
-            for tail in rest:
-                if data[at + 1 : at + 1 + len(tail)].tobytes() == tail:
-                    out[at : at + 1 + len(tail)] = True
+        at = np.flatnonzero(data == lead)
+        for tail in rest:
+            found = at[np.all([more[at + 1 + k] == b for k, b in enumerate(tail)], axis=0)]
+            for k in range(len(tail) + 1):
+                out[found + k] = True
     return out
 
 

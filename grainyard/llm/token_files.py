@@ -22,8 +22,8 @@ from .common import arrow_map, record_batch, scratch_path, slices, text_bytes, w
 from .pieces import PieceTable, check_special, cuts
 
 MAX_BITS, CHECKPOINT = 16, 512
-#: A block ends before it would hold more ids; a range of document ids is to have about RANGE_TOKENS.
-BLOCK_TOKENS, RANGE_TOKENS = 1 << 20, 1 << 22
+#: A block ends before it would hold more ids; a range of document ids is to have about RANGE_TOKENS, or more where that would make over MOST_RANGES.
+BLOCK_TOKENS, RANGE_TOKENS, MOST_RANGES = 1 << 20, 1 << 22, 1 << 16
 #: Places of so many ranges, 16 bytes each, are broadcast to readers; those of more are joined.
 MOST_BROADCAST_RANGES = 1 << 20
 
@@ -243,7 +243,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         if rows:
             yield block()
 
-    parts = max(1, int(counts.sum()) // range_tokens)
+    parts = max(1, min(int(counts.sum()) // range_tokens, MOST_RANGES))
     order = [F.asc_nulls_first("id"), F.asc("n"), F.asc("crc"), F.asc("_row")]  # rows that only _row tells apart are the same in the files
     ids = found.where("counts IS NULL").withColumn("_row", F.monotonically_increasing_id())
     dealt = ids.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("id", "n", "ids")
