@@ -59,6 +59,9 @@ def non_english(c: Column) -> Column:
     return c.rlike(NON_ENGLISH)
 
 
+DOCUMENT_REASONS = ("short", "long", "phrase", "url", "non_english", "code", "few_words")
+
+
 def document_reason(c: Column) -> Column:
     """Why a paragraph is no pretraining document: short, long, phrase, url, non_english, code or few_words."""
     return once(c, lambda t: (

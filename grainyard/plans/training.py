@@ -10,7 +10,7 @@ from ..operators import extract, gate, messages, ordering, packing, runs, splits
 from ..sources import files
 from ..streaming import ingest
 from .core import (
-    DEFAULT_SQL, SQL, TEMPLATE_SQL, WIDE, WIDE_SQL, candidates, completions, docstring_paragraphs, lit, markdown_paragraphs, query, s_examples, s_norm, s_role, s_split, s_squash, s_strip, s_turn, table, tree_messages,
+    DEFAULT_SQL, END, SQL, TEMPLATE_SQL, WIDE, WIDE_SQL, candidates, completions, docstring_paragraphs, lit, markdown_paragraphs, query, s_direct, s_document_reason, s_examples, s_norm, s_role, s_split, s_squash, s_strip, s_turn, table, tree_messages,
     turns_of, wide_examples,
 )
 
@@ -457,3 +457,62 @@ def run_shapes(spark, sf_dir):
     at = F.coalesce("epoch", "step")
     last = history.groupBy("run").agg(F.max(at).alias("last_step"), F.count("*").alias("entries"), F.max_by("loss", at).alias("last_loss"))
     return runs.metric_columns(records, "record", columns).join(last, "run")
+
+
+COUNTED = ["seen", "kept", "characters", *[f"rejected_{r}" for r in filters.DOCUMENT_REASONS], "training_documents", "validation_documents", "testing_documents"]
+
+
+@query(f"""WITH r AS (SELECT t, {s_document_reason('t')} AS reason, {s_split('t', 5, 10)} AS split FROM (SELECT {s_squash('text')} AS t FROM documents)), k AS (SELECT * FROM r WHERE reason IS NULL AND t IS NOT NULL)
+SELECT 'seen' AS name, (SELECT count(*) FROM r) AS n UNION ALL SELECT 'kept', count(*) FROM k UNION ALL SELECT 'characters', coalesce(sum(length(t) + 2), 0)::bigint FROM k
+""" + "".join(f"UNION ALL SELECT 'rejected_{x}', count(*) FROM r WHERE reason = '{x}' " for x in filters.DOCUMENT_REASONS)
+    + "".join(f"UNION ALL SELECT '{x}_documents', count(*) FROM k WHERE split = '{x}' " for x in ("training", "validation", "testing")) + "UNION ALL SELECT 'documents_in_files', count(*) FROM k")
+def pretrain_write_counts(spark, sf_dir):
+    path = files.work_path(spark, "pretrain")
+    docs = table(spark, sf_dir, "documents").select(text.squash(F.col("text")).alias("text"))
+    docs = docs.withColumns({"reason": filters.document_reason(F.col("text")), "split": splits.hash_split(F.col("text"))})
+    counts = files.write_pretrain_counted(docs, path, filters.DOCUMENT_REASONS)
+    counts["documents_in_files"] = files.split_sizes(spark, path).agg(F.coalesce(F.sum("documents"), F.lit(0))).first()[0]
+    return spark.createDataFrame([(name, int(n)) for name, n in counts.items()], "name string, n bigint")
+
+
+# Weights and forms of a shuffled cycle; the last form's answers are rejected.
+CYCLE = {"region": 2, "customer": 3, "supplier": 1}
+CYCLE_FORMS = [("region", 0, "Where is {name}?", "{name} is a country."), ("region", 1, "What is {name}?", "According to the passage, {name}."), ("customer", 0, "Who is {name}?", "{name} is a customer."), ("supplier", 0, "Who is {name}?", "{name} is a supplier.")]
+CYCLE_TABLES = {"region": ("nation", "n_nationkey", "n_name"), "customer": ("customer", "c_custkey", "c_name"), "supplier": ("supplier", "s_suppkey", "s_name")}
+
+
+def cycle_candidates(spark, sf_dir) -> DataFrame:
+    """Candidates until there are half as many examples as customers."""
+    slots = None
+    for category, (name, key, value) in CYCLE_TABLES.items():
+        own = ordering.in_order(table(spark, sf_dir, name), [key]).select(F.lit(category).alias("category"), (F.col("rank") - 1).alias("slot"), F.create_map(F.lit("name"), value).alias("values"))
+        slots = own if slots is None else slots.unionByName(own)
+    forms = spark.createDataFrame(CYCLE_FORMS, "category string, form bigint, prompt string, answer string")
+    return templates.until_count(spark, table(spark, sf_dir, "customer").count() // 2, CYCLE, forms, slots)
+
+
+_PLACES = [(i, c) for i, c in enumerate(c for c, k in CYCLE.items() for _ in range(k))]
+CYCLE_SQL = f"""WITH places(s, category) AS (VALUES {", ".join(f"({i}::bigint, '{c}')" for i, c in _PLACES)}), want AS (SELECT count(*) // 2 AS n FROM customer),
+orders AS (SELECT b, category, row_number() OVER (PARTITION BY b ORDER BY sha1('0:' || b || ':' || s)) - 1 AS p FROM (SELECT unnest(range((SELECT greatest(20 * n, 10000) // 97 + 1 FROM want))) AS b) x, places),
+numbers AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY i) - 1 AS v FROM (SELECT i, category FROM (SELECT unnest(range((SELECT greatest(20 * n, 10000) FROM want))) AS i) x JOIN orders ON b = i // 97 AND p = i % {len(_PLACES)}) x),
+slots AS ({" UNION ALL ".join(f"SELECT '{c}' AS category, row_number() OVER (ORDER BY {k}) - 1 AS slot, {v} AS name, count(*) OVER () AS m FROM {t}" for c, (t, k, v) in CYCLE_TABLES.items())}),
+forms(category, form, prompt, answer) AS (VALUES {", ".join(f"('{c}', {f}::bigint, {lit(q)}, {lit(a)})" for c, f, q, a in CYCLE_FORMS)}),
+full_forms AS (SELECT *, count(*) OVER (PARTITION BY category) AS k FROM forms),
+told AS (SELECT i, category, 'User: ' || replace(prompt, '{{name}}', name) || chr(10) || 'Assistant:' AS prompt_text, replace(answer, '{{name}}', name) AS assistant_text
+  FROM numbers JOIN slots USING (category) JOIN full_forms USING (category) WHERE slot = v % m AND form = v // m % k),
+chats AS (SELECT *, prompt_text || ' ' || assistant_text || {END} AS chat_text, {s_direct('prompt_text', 'assistant_text')} AS reason FROM told),
+firsts AS (SELECT category, min(i) AS i, arg_min(chat_text, i) AS chat_text FROM chats WHERE reason IS NULL GROUP BY lower({s_squash('chat_text')}), category),
+kept AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY i) AS nth FROM firsts) WHERE nth <= (SELECT n FROM want))
+"""
+
+
+@query(CYCLE_SQL + "SELECT 'anchor_' || category || '_' || substr(sha1(chat_text), 1, 24) || '_' || i AS id, category, chat_text FROM kept")
+def template_until(spark, sf_dir):
+    return templates.template_examples(cycle_candidates(spark, sf_dir), "anchor", "customer.parquet").select("id", "category", "chat_text")
+
+
+@query(CYCLE_SQL + """, tried AS (SELECT * FROM chats WHERE i <= (SELECT max(i) FROM kept))
+SELECT category, count(*) FILTER (WHERE i IN (SELECT i FROM kept)) AS kept, count(*) FILTER (WHERE reason IS NOT NULL) AS rejected, count(*) FILTER (WHERE reason IS NULL AND i NOT IN (SELECT i FROM kept)) AS repeated
+FROM tried GROUP BY GROUPING SETS ((category), ())""")
+def template_until_counts(spark, sf_dir):
+    return templates.counts(cycle_candidates(spark, sf_dir))

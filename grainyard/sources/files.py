@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -127,6 +129,22 @@ def write_pretrain(docs: DataFrame, path: str, text: str = "text", split: str =
     docs.select(split, strip(F.col(text)).alias("value")).write.partitionBy(split).option("lineSep", "\n\n").text(path)
 
 
+def write_pretrain_counted(docs: DataFrame, path: str, reasons: Sequence[str], text: str = "text", split: str = "split", reason: str = "reason", splits: Sequence[str] = ("training", "validation", "testing")) -> dict[str, int]:
+    """write_pretrain of the rows whose reason is null, with counts of all rows from the same pass: seen, kept, characters (two more a
+    document, as between documents), each of `reasons` as rejected_<reason>, each of `splits` as <split>_documents.
+
+    Counts are observed by the tasks that write: nothing between counting and writing deals rows out, so that a task that runs again after
+    a loss counts once. A null text counts as a rejected row, without a reason of its own; a reason or split that isn't listed counts in seen
+    only (and, the latter, in kept). Empty: zeros. Other columns aren't carried.
+    """
+    ok = F.col(reason).isNull() & F.col(text).isNotNull()
+    asked = {"seen": F.count(F.lit(1)), "kept": F.count_if(ok), "characters": F.coalesce(F.sum(F.when(ok, F.length(text) + 2)), F.lit(0))}
+    asked |= {f"rejected_{r}": F.count_if(F.col(reason) == r) for r in reasons} | {f"{s}_documents": F.count_if(ok & (F.col(split) == s)) for s in splits}
+    seen = Observation()
+    write_pretrain(docs.observe(seen, *[c.alias(n) for n, c in asked.items()]).where(ok), path, text, split)
+    return {n: int(seen.get[n]) for n in asked}
+
+
 def write_sft(examples: DataFrame, path: str, split: str = "split") -> None:
     """JSON lines of all fields in path/examples and text files of the chat texts in path/chats, a folder a split."""
     examples.write.partitionBy(split).json(f"{path}/examples")
