@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from grainyard.llm import lm_score, media, mixing
+from grainyard.llm import lm_score, media, mixing, pieces
 from grainyard.llm.common import SPACES, span_hashes, word_spans
 from grainyard.llm.overlap import alike_pairs
 
@@ -111,3 +111,18 @@ def test_pairs_by_rarest_numbers():
         a, b = alike_pairs(raw, label, items, 0.8)
         want = {(i, j) for i in range(len(sets)) for j in range(i) if label[i] != label[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
         assert {(max(x, y), min(x, y)) for x, y in zip(a.tolist(), b.tolist())} == want and len(a) == len(want)
+
+
+def test_white_space_of_several_bytes():
+    """Each byte of a white space, and no other, also where a text ends inside one."""
+    rng = random.Random(4)
+    signs = ["a", " ", "\n", "\x85", "\xa0", "\u1680", "\u2000", "\u200a", "\u200b", "\u2028", "\u2029", "\u202f", "\u205f", "\u3000", "\u3001", "\u304b", "\xe9"]
+    for n in [*range(6)] * 20 + [2000]:
+        text = "".join(rng.choice(signs) for _ in range(n))
+        data = np.frombuffer(text.encode(), np.uint8)
+        want = [c.isspace() for c in text for _ in c.encode()]
+        assert pieces.white(data).tolist() == want
+        for cut in (1, 2):  # the bytes of a last sign that isn't whole are no white space of several bytes
+            part = data[: max(0, len(data) - cut)]
+            whole = part.tobytes().decode(errors="ignore")
+            assert pieces.white(part).tolist()[: len(whole.encode())] == want[: len(whole.encode())]
