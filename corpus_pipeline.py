@@ -16,6 +16,8 @@ from grainyard.llm.queries import table, tokenizer
 
 #: Bytes of text that a file of the mixed order is to have, and its rows at most.
 PART_BYTES, PART_ROWS = 64 << 20, 1 << 20
+#: Bytes of text that a task cuts into pieces at a time, less than op10: executors have run the other stages before.
+SLICE_BYTES = 1 << 21
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +62,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     order, at = free_names(docs, "order", "at")
     ordered = row_order(docs, order)
     path = scratch_path(spark, "tokens")
-    token_files.write_token_files(ordered, path, tokenizer(), id_col=order)
+    token_files.write_token_files(ordered, path, tokenizer(), id_col=order, slice_bytes=SLICE_BYTES)
     found = token_files.read_token_files(spark, path).withColumnRenamed("doc_id", at)
     return found.join(ordered.select(order, "doc_id"), F.col(at) == F.col(order)).select("doc_id", "start", "n_tokens", "ids_crc32")
 

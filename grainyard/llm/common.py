@@ -7,6 +7,7 @@ import uuid
 import weakref
 from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -62,12 +63,36 @@ def forget(df: DataFrame) -> None:
     path.getFileSystem(conf).delete(path, True)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow, with this repository on the workers' path."""
+_kept: dict[Any, Any] = {}
+
+
+def kept(key: Any, make: Callable[[], Any]) -> Any:
+    """The one thing that this worker keeps from task to task, made if it isn't there. It goes when another is asked for, and when a
+    task of an `arrow_map` comes that doesn't keep."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def drop_kept() -> None:
+    _kept.clear()
+
+
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, keeps: bool = False) -> DataFrame:
+    """mapInArrow, with this repository on the workers' path. keeps: fn calls `kept`. A worker outlives its task and serves other
+    stages, so what those left behind and what Arrow held for a task is given back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            drop_kept()
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+
     env, root = df.sparkSession.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH", "")]))
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(run, schema)
 
 
 def free_names(df: DataFrame, *names: str) -> list[str]:

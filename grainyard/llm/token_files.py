@@ -18,12 +18,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, record_batch, scratch_path, slices, text_bytes, written
+from .common import arrow_map, kept, record_batch, scratch_path, slices, text_bytes, written
 from .pieces import PieceTable, check_special, cuts
 
 MAX_BITS, CHECKPOINT = 16, 512
 #: A block ends before it would hold more ids; a range of document ids is to have about RANGE_TOKENS, or more where that would make over MOST_RANGES.
 BLOCK_TOKENS, RANGE_TOKENS, MOST_RANGES = 1 << 20, 1 << 22, 1 << 16
+#: Bytes of text that are cut into pieces at a time.
+SLICE_BYTES = 1 << 23
 #: Places of so many ranges, 16 bytes each, are broadcast to readers; those of more are joined.
 MOST_BROADCAST_RANGES = 1 << 20
 
@@ -142,7 +144,11 @@ class Encoder:
         return np.diff(last + 1, prepend=0), ids
 
 
-_encoders: dict[str, PieceTable] = {}
+def encoder(path: str) -> Encoder:
+    """This worker's."""
+    return kept(path, lambda: Encoder(path))
+
+
 _IDS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("crc", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
 _BLOCK = pa.schema([("bucket", pa.int32()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("places", pa.list_(pa.int64())), ("marks", pa.binary()), ("bits", pa.binary())])
 _READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
@@ -153,16 +159,14 @@ def ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {_DDL[f.type]}" for f in schema)
 
 
-def token_ids(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
+def token_ids(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str, slice_bytes: int) -> DataFrame:
     """(id, n, crc, ids, counts): each text's ids and the end id, as little-endian 16- or 32-bit integers by what they need, their
     number and checksum; and one row a task, with nothing but how often it met each id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _encoders:
-            _encoders[tokenizer] = PieceTable(Encoder(tokenizer).make)
-        table, counts = _encoders[tokenizer], np.zeros(0, np.int64)
+        table, counts = PieceTable(encoder(tokenizer).make), np.zeros(0, np.int64)  # the task's own: pieces are many, and a worker outlives it
         for batch in batches:
-            for part in slices(batch, 1, 1 << 23):
+            for part in slices(batch, 1, slice_bytes):
                 data, offsets = text_bytes(part.column(1))
                 starts, first = cuts(data, offsets)
                 rows = table.of(data, starts)
@@ -179,7 +183,7 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_co
         if len(counts):
             yield record_batch(_IDS, [None], [None], [None], [None], [counts.astype("<i8").tobytes()])
 
-    return arrow_map(docs.select(F.col(id_col).cast("bigint").alias("id"), text_col), run, ddl(_IDS))
+    return arrow_map(docs.select(F.col(id_col).cast("bigint").alias("id"), text_col), run, ddl(_IDS), keeps=True)
 
 
 def summed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -195,17 +199,17 @@ def unpacked(x: bytes) -> np.ndarray:
     return np.frombuffer(x, "<u4", offset=1) if len(x) % 2 else np.frombuffer(x, "<u2").astype(np.uint32)
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", range_tokens: int = RANGE_TOKENS) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", range_tokens: int = RANGE_TOKENS, slice_bytes: int = SLICE_BYTES) -> None:
     """Encode every text and write the ids under `path`, documents in ascending id order.
 
     A null text is empty (its only id is the end id); a null document id comes first; documents with equal ids stand side by
     side, shorter ones first, then by checksum, so that the files don't depend on the input's order. An empty table gives an
     empty codebook and no blocks. Other columns are not carried. Texts of any length are encoded whole: a long one makes a
-    block of its own. Ranges of document ids, about range_tokens ids each, are what tasks write; repeated ids may fill several. The
+    block of its own. Texts are cut into pieces for about slice_bytes of them at a time: more take more memory, less repeat work. Ranges of document ids, about range_tokens ids each, are what tasks write; repeated ids may fill several. The
     driver receives one count for each id of the vocabulary. More than 65,536 distinct ids don't fit codes of 16 bits: an error.
     """
     spark = docs.sparkSession
-    found = written(token_ids(docs, tokenizer, end_id, id_col, text_col), "ids")
+    found = written(token_ids(docs, tokenizer, end_id, id_col, text_col, slice_bytes), "ids")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)

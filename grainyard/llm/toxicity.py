@@ -216,7 +216,7 @@ def toxicity_scores(docs: DataFrame, model: SubwordBag, threshold: float = 0.3,
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*part.schema.names, score_col, predicted_col])
 
     fields = [*kept.schema.fields, StructField(score_col, DoubleType()), StructField(predicted_col, IntegerType())]
-    return arrow_map(kept, run, StructType(fields))
+    return arrow_map(kept, run, StructType(fields), keeps=True)
 
 
 def held_in(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-from .common import slices
+from .common import kept, slices
 
 
 class WordTable:
@@ -36,16 +36,9 @@ class WordTable:
         return np.fromiter(map(place.__getitem__, words), np.int64, len(words))
 
 
-_tables: dict[int, WordTable] = {}
-
-
 def worker_table(weights: list[np.ndarray], make: Callable[[list[bytes]], np.ndarray], width: int) -> WordTable:
-    """This worker's table for the model with these weights; it outlives the task, and goes when another model comes."""
-    key = hash(tuple(w.tobytes() for w in weights))
-    if key not in _tables:
-        _tables.clear()
-        _tables[key] = WordTable(make, width)
-    return _tables[key]
+    """This worker's table for the model with these weights; it outlives the task, and goes when another model or operator comes."""
+    return kept(hash(tuple(w.tobytes() for w in weights)), lambda: WordTable(make, width))
 
 
 def bag_sums(batch: pa.RecordBatch, text: int, split: Callable[[bytes], list[bytes]], table: WordTable) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:

@@ -4,9 +4,11 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 
 import corpus_pipeline
-from grainyard.llm import media, toxicity
+from grainyard.llm import common, media, overlap, queries, token_files, toxicity, wordbags
 
 SF = "/root/testdata/sf0.001"
 
@@ -93,3 +95,26 @@ def test_sniffing_of_other_waves_and_several_pdfs():
     nest = pdf_file(one + two)
     assert media.sniff(b"junk" + nest + png, machine)[2] == [("application/pdf", 4, len(nest)), ("image/png", 4 + len(nest), len(png))]
     assert media.sniff(two[:-5], machine)[0] == media.UNKNOWN
+
+
+def test_workers_give_back_what_other_stages_kept(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "one two")], "doc_id bigint, text string")
+    taken = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, fn, schema: taken.append(cloudpickle.dumps(fn)))
+    token_files.token_ids(docs, queries.tokenizer(), 0, "doc_id", "text", 1 << 21)
+    overlap.marked_sets(docs, 5, "doc_id", "text")
+    batch = pa.RecordBatch.from_pydict({"id": [1], "text": ["one two"]})
+
+    def task(k):  # as a worker gets it, anew for each
+        return [x.to_pylist() for x in cloudpickle.loads(taken[k])(iter([batch]))]
+
+    wordbags.worker_table([np.ones(2)], lambda words: np.ones((len(words), 2)), 2).of([b"one"])
+    common.drop_kept()
+    assert not common._kept
+    first = task(0)
+    own = token_files.encoder(queries.tokenizer())
+    assert list(common._kept.values()) == [own]
+    assert task(0) == first and token_files.encoder(queries.tokenizer()) is own  # loaded once a worker, not once a task
+    wordbags.worker_table([np.ones(2)], lambda words: np.ones((len(words), 2)), 2).of([b"one"])
+    assert own not in common._kept.values() and len(common._kept) == 1
+    assert task(1) and not common._kept  # near-duplicates, after the classifier's words
