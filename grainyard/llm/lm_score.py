@@ -4,30 +4,37 @@ Bigram, unigram and uniform estimates are mixed with weights that depend on how
 learnt by expectation-maximisation on the counts of one fold of the training documents, held out against counts from which
 that fold is deleted.
 
-Words are 64-bit hashes. Word counts, as sorted arrays, are broadcast if there are at most `max_words`; otherwise, and with the
-same results, everything goes through joins (_joined). Pairs of two of the `head` most frequent words, and pairs whose count is
-known to be zero, stay in the task that reads them, so no key that is dealt out can be hotter than the word of rank `head`. All
-other pairs go to buckets as packed arrays, once; a bucket counts its pairs and scores them.
+Words are 64-bit hashes. The counts of the most frequent words, at most `max_words` (or `head`, if that is more), are broadcast as
+sorted arrays. Pairs of two of the `head` most frequent words, and pairs whose count is known to be zero, stay in the task that reads them, so no key that is
+dealt out can be hotter than the word of rank `head`. All other pairs of broadcast words go to buckets as packed arrays, once; a
+bucket counts its pairs and scores them. Pairs with a word that isn't broadcast (rare words) meet the others of that word in its
+bucket, which counts the word as well: those whose second word is rare by that word, then those whose first word is rare by that.
 """
 
 from __future__ import annotations
 
-import pickle
+import struct
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, WORD_SPLIT, arrow_map, ascii_lower, crc_mod, mixed, record_batch, slices, span_hashes, text_bytes, word_spans, written
+from .common import SPACES, arrow_map, crc_mod, mixed, record_batch, slices, span_hashes, text_bytes, word_spans, written
 
 #: Stands for the hash of a text's end.
 END = 0x1D8E4E27C47D124F
-HEAD, PAIRS, DOCS, PARTIAL = 0, 1, 2, 3
+#: Kinds of blobs. RARE: pairs whose second word is rare, for its bucket; LINK: whose first word is, for that one's; KNOWN: rare pairs
+#: with all of their counts.
+HEAD, PAIRS, DOCS, PARTIAL, RARE, LINK, KNOWN = range(7)
 BUCKET_PAIRS = 1 << 21
+#: Entries that a task gathers before it deals them out, so that blobs stay large when there are many buckets; rare entries a bucket;
+#: rows that one task puts together at the end.
+HELD_PAIRS, RARE_PAIRS, HOME_ROWS = 1 << 19, 1 << 20, 250_000
 _OUT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 _OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 _BLOB = "kind int, dest int, block bigint, blob binary"
@@ -35,11 +42,26 @@ _BLOB_ARROW = pa.schema([("kind", pa.int32()), ("dest", pa.int32()), ("block", p
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(1).compress(pickle.dumps(arrays, 5))
+    """Arrays of numbers, byte by byte of their items (the high bytes of small numbers cost nothing), compressed."""
+    head = struct.pack(f"<B{len(arrays)}c{len(arrays)}q", len(arrays), *(a.dtype.char.encode() for a in arrays), *map(len, arrays))
+    return zstandard.ZstdCompressor(1).compress(b"".join([head, *(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"" for a in arrays)]))
 
 
-def unpack(blob: bytes) -> tuple:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+def unpack(blob: bytes) -> list[np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    n = data[0]
+    kinds, sizes, at = data[1 : n + 1].decode(), struct.unpack_from(f"<{n}q", data, n + 1), 9 * n + 1
+    out = []
+    for kind, size in zip(kinds, sizes):
+        kind = np.dtype(kind)
+        out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, size * kind.itemsize, at).reshape(kind.itemsize, size).T).view(kind).reshape(size))
+        at += size * kind.itemsize
+    return out
+
+
+def steps(sorted_keys: np.ndarray) -> np.ndarray:
+    """Sorted numbers as their differences; np.cumsum gives them back."""
+    return np.diff(sorted_keys, prepend=sorted_keys.dtype.type(0))
 
 
 def sequences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,17 +79,40 @@ def sequences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, row, np.r_[0, last + 1]
 
 
-class Vocabulary:
-    """Counts by word id, ids in the order of falling counts; id len is the unknown word, len + 1 the begin of a text."""
+class Counts:
+    """Counts by word id, a byte each but for those of the first words, which are above 255, and of texts' begins (the last id)."""
+
+    def __init__(self, counts: np.ndarray, first: int, begin: int):
+        self.high, self.low, self.begin = counts[:first].copy(), np.zeros(len(counts) + 2, np.uint8), begin
+        self.low[:-2] = counts
+
+    def __getitem__(self, ids: np.ndarray) -> np.ndarray:
+        out = self.low[ids].astype(np.int64)
+        first = ids < len(self.high)
+        out[first] = self.high[ids[first]]
+        out[ids == len(self.low) - 1] = self.begin
+        return out
+
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, fold: np.ndarray, docs: int, fold_docs: int):
-        order = np.lexsort((keys, -counts))
-        kind = np.int32 if counts.max(initial=0) < 1 << 31 else np.int64
-        self.counts, self.fold = np.r_[counts[order], 0, docs].astype(kind), np.r_[fold[order], 0, fold_docs].astype(kind)
+class Vocabulary:
+    """Counts by word id, ids in the order of falling counts; id n is any other word, n + 1 the begin of a text. size, total and
+    fold_total are of all training words; if they are all here (whole), any other word has the count 0, else it is rare."""
+
+    def __init__(self, columns: list[np.ndarray], size: int, total: int, fold_total: int):
+        """columns: hashes, counts and counts in the fold; taken from the list, so that they can go."""
+        fold, counts, keys = (columns.pop() for _ in range(3))
+        end = keys == np.uint64(END)
+        docs, fold_docs = int(counts[end].sum()), int(fold[end].sum())
+        self.n, self.size, self.total, self.fold_total, self.whole = len(keys), size, total, fold_total, len(keys) == size
+        self.covered = int(counts.sum(dtype=np.int64))
+        order = np.lexsort((keys, -counts)).astype(np.int32)
+        first = int((counts > 255).sum())
+        self.counts, self.fold = Counts(counts[order], first, docs), Counts(fold[order], first, fold_docs)
+        del counts, fold
         keys = keys[order]
+        del order
         self.at = np.argsort(keys, kind="stable").astype(np.int32)
         self.keys = keys[self.at]
-        self.n, self.total, self.fold_total = len(keys), int(counts.sum(dtype=np.int64)), int(fold.sum(dtype=np.int64))
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         seen, back = np.unique(hashes, return_inverse=True)
@@ -160,17 +205,34 @@ def _word_counts(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.where("part <> 2"), run, "h bigint, c bigint, d bigint").groupBy("h").agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
 
 
-def _vocabulary(counted: DataFrame) -> Vocabulary:
-    """The word counts on the driver, whose size was checked before."""
-    most = counted.agg(F.max("c")).first()[0] or 0
-    kind = "int" if most < 1 << 31 else "bigint"
-    got = counted.select("h", F.col("c").cast(kind), F.col("d").cast(kind)).toArrow()
-    keys, counts, fold = (got[c].to_numpy() for c in ("h", "c", "d"))
+def _vocabulary(counted: DataFrame, most: int) -> Vocabulary:
+    """All words if there are at most `most`; else those with at least as many occurrences as leave at most so many, and the end."""
+    size, total, fold_total, top = counted.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("d"), F.lit(0)), F.coalesce(F.max("c"), F.lit(0))).first()
+    some = counted
+    if size > most:
+        by_count = counted.groupBy("c").agg(F.count("*").alias("n")).toArrow()  # sqrt(2 * total) rows at most
+        c, n = (by_count[k].to_numpy() for k in ("c", "n"))
+        order = np.argsort(-c)
+        fit = int((np.cumsum(n[order]) <= most).sum())
+        some = counted.where((F.col("c") >= int(c[order][fit - 1] if fit else top + 1)) | (F.col("h") == END))
+    kind = "int" if top < 1 << 31 else "bigint"
+    got = some.select("h", F.col("c").cast(kind), F.col("d").cast(kind)).toArrow()
+    columns = [got["h"].to_numpy().view(np.uint64), got["c"].to_numpy(), got["d"].to_numpy()]
     del got
     pa.default_memory_pool().release_unused()
-    keys = keys.view(np.uint64)
-    end = keys == np.uint64(END)
-    return Vocabulary(keys, counts, fold, int(counts[end].sum()), int(fold[end].sum()))
+    return Vocabulary(columns, size, total, fold_total)
+
+
+@contextmanager
+def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile Spark deletes a query's shuffle files at the query's end, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
 
 
 def lm_scores(docs: DataFrame, max_words: int = 8_000_000, head: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,36 +245,96 @@ def lm_scores(docs: DataFrame, max_words: int = 8_000_000, head: int = 1024, id_
     repeated rows; other columns are not carried. An empty table gives an empty one; without training rows all words are unknown.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), crc_mod(id_col, 7).cast("int").alias("part"))
-    counted = written(_word_counts(rows), "words")
-    n_words, total = counted.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    if n_words > max_words:
-        return _joined(rows)
-    sc = docs.sparkSession.sparkContext
-    vocabulary = _vocabulary(counted)
-    size, total = vocabulary.n, vocabulary.total
+    with _shuffles_deleted(docs.sparkSession):
+        return _scores(rows, max_words, head)
+
+
+def _scores(rows: DataFrame, max_words: int, head: int) -> DataFrame:
+    sc = rows.sparkSession.sparkContext
+    vocabulary = _vocabulary(written(_word_counts(rows), "words"), max(max_words, head))
+    size, total, whole = vocabulary.size, vocabulary.total, vocabulary.whole
+    text, n_rows = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    parts = int(text // (5 * BUCKET_PAIRS)) + 1
+    homes = max(parts // 8, n_rows // HOME_ROWS) + 1
+    rares = (total - vocabulary.covered) * 8 // 3 // RARE_PAIRS + 1  # two pairs a token, and a third more for texts that are held out
     shared = sc.broadcast(vocabulary)
     del vocabulary
-    whole = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = int(whole // (5 * BUCKET_PAIRS)) + 1
 
-    entries = _entries(rows, shared, head, parts)
+    entries = _entries(rows, shared, head, parts, rares)
     heads = arrow_map(entries.where(F.col("kind") == HEAD), _head_counts(shared, head), "pair bigint, c bigint, d bigint").groupBy("pair").agg(F.sum("c").alias("c"), F.sum("d").alias("d")).toArrow()
     dense = np.zeros((2, (head + 1) * head), np.int64)
     dense[:, heads["pair"].to_numpy()] = heads["c"].to_numpy(), heads["d"].to_numpy()
     pairs = sc.broadcast(dense)
-    weights = weights_of(arrow_map(entries.where(F.col("kind") <= PAIRS), _held_out_cells(shared, pairs, head), _CELL), size)
-    partial = arrow_map(entries.where(F.col("kind") <= PAIRS), _partial_scores(shared, pairs, weights, head, parts), _BLOB)
-    together = partial.union(entries.where(F.col("kind") == DOCS)).repartitionById(parts, F.col("dest"))
-    return arrow_map(together, _totals(total), _OUT)
-
-
-def _entries(rows: DataFrame, shared, head: int, parts: int) -> DataFrame:
-    """Blobs of pairs: HEAD rows (pairs of head words, and pairs known not to occur in training), one PAIRS row a bucket, DOCS rows."""
+    mine = entries.where(F.col("kind").isin(HEAD, PAIRS, KNOWN))
+    if not whole:
+        links = entries.where(F.col("kind") == LINK).repartitionById(rares, F.col("dest"))
+        mine = mine.union(written(arrow_map(links, _by_context(shared), _BLOB), "links"))
+    weights = weights_of(arrow_map(mine, _held_out_cells(shared, pairs, head), _CELL), size)
+    partial = arrow_map(mine, _partial_scores(shared, pairs, weights, head, parts, homes), _BLOB)
+    infos = entries.where(F.col("kind") == DOCS).withColumn("dest", F.col("dest") % homes)
+    return arrow_map(partial.union(infos).repartitionById(homes, F.col("dest")), _totals(total), _OUT)
+
+
+def _spread(block: np.ndarray, parts: int) -> np.ndarray:
+    return (mixed(block.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
+def _dealt(kind: int, to: np.ndarray, n: int, blocks: np.ndarray, owner: np.ndarray, *arrays: np.ndarray, key: bool = False) -> list[tuple]:
+    """Rows of blobs, one a value of `to`: the blocks that occur in it, each entry's one (by its place among them), and the arrays.
+    key: the first array is of sorted keys."""
+    order = np.argsort(to.astype(np.uint16 if n <= 1 << 16 else np.int64), kind="stable")
+    edge = np.searchsorted(to[order], np.arange(n + 1))
+    out = []
+    for b in np.flatnonzero(np.diff(edge)).tolist():
+        at = order[edge[b] : edge[b + 1]]
+        used, own = np.unique(owner[at], return_inverse=True)
+        some = [a[at] for a in arrays]
+        if key:
+            some[0] = steps(some[0])
+        out.append((kind, b, 0, pack(blocks[used], own.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32), *some)))
+    return out
+
+
+def _together(blobs: list[bytes], key: bool = False) -> list[np.ndarray]:
+    """Blobs of `_dealt` as one, blocks and owners first."""
+    parts = [unpack(x) for x in blobs]
+    if key:
+        for p in parts:
+            p[2] = np.cumsum(p[2])
+    lead = np.cumsum([0, *(len(p[0]) for p in parts)])
+    owner = np.concatenate([p[1].astype(np.uint32) + np.uint32(k) for p, k in zip(parts, lead)])
+    return [np.concatenate([p[0] for p in parts]), owner, *(np.concatenate([p[k] for p in parts]) for k in range(2, len(parts[0])))]
+
+
+def _entries(rows: DataFrame, shared, head: int, parts: int, rares: int) -> DataFrame:
+    """Blobs of pairs: HEAD rows (pairs of head words, and pairs known not to occur in training), one PAIRS row a bucket, DOCS rows;
+    of rare words KNOWN and LINK rows."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary: Vocabulary = shared.value
         v, block = vocabulary.n, TaskContext.get().partitionId() << 24
-        home = lambda b: int(mixed(np.array([b], np.uint64))[0]) % parts  # noqa: E731  the task that puts a block's scores together
+        held: list[tuple] = []
+        rare: list[tuple] = []
+        size = 0
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            out = []
+            if held:
+                blocks, owner, key, doc, times, flag = _gathered(held)
+                order = np.argsort(key, kind="stable")
+                key = key[order]
+                dest = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts
+                out += _dealt(PAIRS, dest, parts, blocks, owner[order], key, doc[order], times[order], flag[order], key=True)
+            if rare:
+                blocks, owner, x, y, doc, times, mark = _gathered(rare)
+                zero = np.zeros(len(x), np.int64)
+                for kind, on, by in ((RARE, mark & 8 > 0, y), (LINK, mark & 8 == 0, x)):
+                    out += _dealt(kind, _spread(by[on], rares), rares, blocks, *(a[on] for a in (owner, x, y, doc, times, mark, zero, zero)))
+            held.clear()
+            rare.clear()
+            if out:
+                yield record_batch(_BLOB_ARROW, *zip(*out))
+
         for batch in batches:
             for part in slices(batch, 1):
                 h, row, first = sequences(part.column(1))
@@ -222,14 +344,26 @@ def _entries(rows: DataFrame, shared, head: int, parts: int) -> DataFrame:
                 remainder = part.column(2).to_numpy()
                 flag = np.where(remainder == 2, 0, np.where(remainder == 3, 2, 1)).astype(np.uint8)
                 c = vocabulary.counts[word]
-                base = np.bincount(row, np.log10(c + 1), len(flag)) - np.diff(first) * np.log10(vocabulary.total + v + 1)
+                base = np.bincount(row, np.log10(c + 1), len(flag)) - np.diff(first) * np.log10(vocabulary.total + vocabulary.size + 1)
                 ids = part.column(0)
                 info = pack(ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False), flag == 0, np.diff(first), np.bincount(row, c > 0, len(flag)).astype(np.int64), base)
+                if not vocabulary.whole:
+                    far = (word == v) | (context == v)
+                    at = np.flatnonzero(far)
+                    mark = (context[at] == v) * np.uint8(4) + (word[at] == v) * np.uint8(8)
+                    x, y = np.where(mark & 4, h[at - 1], context[at].view(np.uint64)), np.where(mark & 8, h[at], word[at].view(np.uint64))
+                    order = np.lexsort((mark, y, x, row[at]))
+                    x, y, mark, doc = x[order], y[order], mark[order], row[at][order]
+                    new = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (mark[1:] != mark[:-1]) | (doc[1:] != doc[:-1])]) if len(x) else order
+                    times = np.diff(np.r_[new, len(x)]).astype(np.uint32)
+                    rare.append((block, x[new], y[new], doc[new].astype(np.uint16), times, (mark[new] + flag[doc[new]]).astype(np.uint8)))
+                    size += len(new)
+                    context, word, row = context[~far], word[~far], row[~far]
                 # one entry for each text and pair
                 key = (context << 32) | word
                 order = np.lexsort((row, key))
                 key, row = key[order], row[order]
-                new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (row[1:] != row[:-1])])
+                new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (row[1:] != row[:-1])]) if len(key) else order
                 times = np.diff(np.r_[new, len(key)]).astype(np.uint32)
                 key, doc = key[new], row[new].astype(np.uint16)
                 context, word = key >> 32, key & 0xFFFFFFFF
@@ -237,47 +371,96 @@ def _entries(rows: DataFrame, shared, head: int, parts: int) -> DataFrame:
                 near = (place <= head) & ((place < head) | (context == v + 1)) & (word < min(head, v))
                 never = (vocabulary.counts[word] == 0) | (vocabulary.counts[context] == 0)
                 near &= ~never
-                here = [pack(*(x[m] for x in (key, doc, times)), flag) for m in (near, never)]
-                out = [(HEAD, home(block), block, pack(*here)), (DOCS, home(block), block, info)]
+                here = [a for m in (near, never) for a in (steps(key[m]), doc[m], times[m])]
+                home = int(_spread(np.array([block]), parts)[0])  # the task that puts a block's scores together follows from it
+                yield record_batch(_BLOB_ARROW, [HEAD, DOCS], [home, home], [block, block], [pack(*here, flag), info])
                 far = ~(near | never)
-                key, doc, times = key[far], doc[far], times[far]
-                dest = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts
-                order = np.argsort(dest, kind="stable")
-                edge = np.searchsorted(dest[order], np.arange(parts + 1))
-                for b in np.flatnonzero(np.diff(edge)).tolist():
-                    at = order[edge[b] : edge[b + 1]]
-                    out.append((PAIRS, b, block, pack(key[at], doc[at], times[at], flag[doc[at]])))
-                yield record_batch(_BLOB_ARROW, *zip(*out))
+                held.append((block, key[far], doc[far], times[far], flag[doc[far]]))
+                size += len(held[-1][1])
                 block += 1
+                if size > HELD_PAIRS:
+                    yield from flushed()
+                    size = 0
+        yield from flushed()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list[tuple]] = {}
+        found: dict[tuple[int, int], list[bytes]] = {}
         for batch in batches:
             for kind, dest, block, blob in zip(*(c.to_pylist() for c in batch.columns)):
-                if kind == PAIRS:
-                    found.setdefault(dest, []).append((block, blob))
+                if kind in (PAIRS, RARE):
+                    found.setdefault((kind, dest), []).append(blob)
                 else:
                     yield record_batch(_BLOB_ARROW, [kind], [dest], [block], [blob])
-        for dest, blobs in found.items():
-            blocks = np.array([b for b, _ in blobs], np.int64)
-            parts = [unpack(x) for _, x in blobs]
-            key, doc, times, flag = (np.concatenate([p[k] for p in parts]) for k in range(4))
-            owner = np.repeat(np.arange(len(parts), dtype=np.uint32), [len(p[0]) for p in parts])
-            del parts, blobs
-            order = np.argsort(key, kind="stable")
-            yield record_batch(_BLOB_ARROW, [PAIRS], [dest], [0], [pack(blocks, key[order], owner[order], doc[order], times[order], flag[order])])
-
-    dealt = arrow_map(rows, read, _BLOB).repartitionById(parts, F.col("dest"))
+        for (kind, dest), blobs in found.items():
+            if kind == PAIRS:
+                blocks, owner, key, doc, times, flag = _together(blobs, key=True)
+                order = np.argsort(key, kind="stable")
+                out = [(PAIRS, dest, 0, pack(blocks, owner[order], steps(key[order]), doc[order], times[order], flag[order]))]
+            else:
+                blocks, owner, x, y, doc, times, mark, _, _ = _together(blobs)
+                c, d = _sums(y, times, mark)
+                both = mark & 4 > 0
+                out = _dealt(LINK, _spread(x[both], rares), rares, blocks, *(a[both] for a in (owner, x, y, doc, times, mark, c, d)))
+                if not both.all():
+                    owner, x, y, doc, times, mark, c, d = (a[~both] for a in (owner, x, y, doc, times, mark, c, d))
+                    vocabulary: Vocabulary = shared.value
+                    before = [a[x.astype(np.int64)] for a in (vocabulary.counts, vocabulary.fold)]
+                    out.append((KNOWN, dest, 0, _known(blocks, owner, x, y, doc, times, mark, *before, c, d)))
+            blobs.clear()
+            yield record_batch(_BLOB_ARROW, *zip(*out))
+
+    dealt = arrow_map(rows, read, _BLOB).repartitionById(max(parts, rares), F.col("dest"))
     return written(arrow_map(dealt, gather, _BLOB), "pairs")
 
 
+def _gathered(held: list[tuple]) -> list[np.ndarray]:
+    """Blocks' entries in one: the blocks, each entry's one by its place, and the arrays."""
+    owner = np.repeat(np.arange(len(held), dtype=np.uint32), [len(x[1]) for x in held])
+    return [np.array([x[0] for x in held], np.int64), owner, *(np.concatenate([x[k] for x in held]) for k in range(1, len(held[0])))]
+
+
+def _sums(key: np.ndarray, times: np.ndarray, mark: np.ndarray) -> list[np.ndarray]:
+    """For each entry its key's training and fold counts."""
+    seen, back = np.unique(key, return_inverse=True)
+    return [np.bincount(back, times * on, len(seen)).astype(np.int64)[back] for on in (mark & 3 > 0, mark & 3 == 2)]
+
+
+def _known(blocks, owner, x, y, doc, times, mark, cx, dx, cy, dy) -> bytes:
+    """A blob of the distinct pairs (entries; counts of the first word, the second and the pair, in training and fold; whether the
+    second word is rare) and of their entries."""
+    order = np.lexsort((mark >> 2, y, x))
+    x, y, times, mark = x[order], y[order], times[order], mark[order]
+    first = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (mark[1:] >> 2 != mark[:-1] >> 2)])
+    c, d = (np.add.reduceat(times.astype(np.int64) * on, first) for on in (mark & 3 > 0, mark & 3 == 2))
+    return pack(blocks, np.diff(np.r_[first, len(x)]), *(a[order[first]] for a in (cx, dx, cy, dy)), c, d, mark[first] & 8 > 0, owner[order], doc[order], times)
+
+
+def _by_context(shared):
+    """KNOWN blobs from the LINK rows of all pairs that begin with a bucket's rare words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for dest, blob in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
+                found.setdefault(dest, []).append(blob)
+        for dest, blobs in found.items():
+            vocabulary: Vocabulary = shared.value
+            blocks, owner, x, y, doc, times, mark, cy, dy = _together(blobs)
+            blobs.clear()
+            at = np.where(mark & 8, 0, y).astype(np.int64)
+            cy, dy = (np.where(mark & 8, c, a[at]) for c, a in ((cy, vocabulary.counts), (dy, vocabulary.fold)))
+            yield record_batch(_BLOB_ARROW, [KNOWN], [dest], [0], [_known(blocks, owner, x, y, doc, times, mark, *_sums(x, times, mark), cy, dy)])
+
+    return run
+
+
 def _head_counts(shared, head: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, dense = shared.value.n, np.zeros((2, (head + 1) * head), np.int64)
         for batch in batches:
             for blob in batch.column(3).to_pylist():
-                key, doc, times, flag = unpack(unpack(blob)[0])
-                at = _head_place(key, v, head)
+                key, doc, times, _, _, _, flag = unpack(blob)
+                at = _head_place(np.cumsum(key), v, head)
                 for k, on in enumerate((flag[doc] > 0, flag[doc] == 2)):
                     dense[k] += np.bincount(at[on], times[on], dense.shape[1]).astype(np.int64)
         at = np.flatnonzero(dense[0])
@@ -306,55 +489,68 @@ def _held_out_cells(shared, pairs, head: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary: Vocabulary = shared.value
         v, total = vocabulary.n, vocabulary.total - vocabulary.fold_total
-        left = vocabulary.counts - vocabulary.fold
+        left = lambda ids: vocabulary.counts[ids] - vocabulary.fold[ids]
         for batch in batches:
             for kind, blob in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
+                if kind == KNOWN:
+                    _, _, cx, dx, cy, dy, c, d, *_ = unpack(blob)
+                    on = d > 0
+                    yield cells((cx - dx)[on], (c - d)[on], (cy - dy)[on], d[on].astype(float), total)
+                    continue
                 if kind == PAIRS:
-                    _, key, _, _, times, flag = unpack(blob)
-                    key, c, d, _ = _by_key(key, times, flag)
+                    _, _, key, _, times, flag = unpack(blob)
+                    key, c, d, _ = _by_key(np.cumsum(key), times, flag)
                     on = d > 0
-                    yield cells(left[key[on] >> 32], (c - d)[on], left[key[on] & 0xFFFFFFFF], d[on].astype(float), total)
+                    yield cells(left(key[on] >> 32), (c - d)[on], left(key[on] & 0xFFFFFFFF), d[on].astype(float), total)
                     continue
-                for near, part in zip((True, False), unpack(blob)):
-                    key, doc, times, flag = unpack(part)
+                *here, flag = unpack(blob)
+                for near, key, doc, times in ((True, *here[:3]), (False, *here[3:])):
                     on = flag[doc] == 2
-                    key, n = key[on], times[on].astype(float)
+                    key, n = np.cumsum(key)[on], times[on].astype(float)
                     count = (pairs.value[0] - pairs.value[1])[_head_place(key, v, head)] if near else np.zeros(len(key), np.int64)
-                    yield cells(left[key >> 32], count, left[key & 0xFFFFFFFF], n, total)
+                    yield cells(left(key >> 32), count, left(key & 0xFFFFFFFF), n, total)
 
     return run
 
 
-def _partial_scores(shared, pairs, weights: np.ndarray, head: int, parts: int):
+def _partial_scores(shared, pairs, weights: np.ndarray, head: int, parts: int, homes: int):
+    """PARTIAL rows: sums by text for the task that puts its block together; of rare words also of base_score and n_known."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary: Vocabulary = shared.value
-        v = vocabulary.n
+        v, total, size = vocabulary.n, vocabulary.total, vocabulary.size
 
         def score(key: np.ndarray, count: np.ndarray) -> np.ndarray:
-            return log_chance(weights, vocabulary.counts[key >> 32], count, vocabulary.counts[key & 0xFFFFFFFF], vocabulary.total, v)
+            return log_chance(weights, vocabulary.counts[key >> 32], count, vocabulary.counts[key & 0xFFFFFFFF], total, size)
+
+        def out(blocks: np.ndarray, owner: np.ndarray, doc: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
+            seen, back = np.unique((owner.astype(np.int64) << 16) | doc, return_inverse=True)
+            values = [np.bincount(back, x, len(seen)) for x in values]
+            block, doc = blocks[seen >> 16], (seen & 0xFFFF).astype(np.uint16)
+            to = _spread(block, parts) % homes
+            order = np.argsort(to, kind="stable")
+            edge = np.searchsorted(to[order], np.arange(homes + 1))
+            some = np.flatnonzero(np.diff(edge)).tolist()
+            return record_batch(_BLOB_ARROW, [PARTIAL] * len(some), some, [0] * len(some), [pack(*(x[at] for x in (block, doc, *values))) for at in (order[edge[b] : edge[b + 1]] for b in some)])
 
         for batch in batches:
-            for kind, dest, block, blob in zip(*(c.to_pylist() for c in batch.columns)):
+            for kind, block, blob in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
                 if kind == HEAD:
-                    total = 0
-                    for near, part in zip((True, False), unpack(blob)):
-                        key, doc, times, flag = unpack(part)
+                    *here, flag = unpack(blob)
+                    value = 0
+                    for near, key, doc, times in ((True, *here[:3]), (False, *here[3:])):
+                        key = np.cumsum(key)
                         count = pairs.value[0][_head_place(key, v, head)] if near else np.zeros(len(key), np.int64)
-                        total = total + np.bincount(doc, score(key, count) * times, len(flag))
-                    yield record_batch(_BLOB_ARROW, [PARTIAL], [dest], [block], [pack(np.full(len(total), block, np.int64), np.arange(len(total)).astype(np.uint16), total)])
-                    continue
-                blocks, key, owner, doc, times, flag = unpack(blob)
-                distinct, c, _, n = _by_key(key, times, flag)
-                value = np.repeat(score(distinct, c), n) * times
-                text = (owner.astype(np.int64) << 16) | doc
-                seen, back = np.unique(text, return_inverse=True)
-                value = np.bincount(back, value, len(seen))
-                block, doc = blocks[seen >> 16], (seen & 0xFFFF).astype(np.uint16)
-                to = (mixed(block.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                edge = np.searchsorted(to[order], np.arange(parts + 1))
-                some = np.flatnonzero(np.diff(edge)).tolist()
-                yield record_batch(_BLOB_ARROW, [PARTIAL] * len(some), some, [0] * len(some), [pack(block[at], doc[at], value[at]) for at in (order[edge[b] : edge[b + 1]] for b in some)])
+                        value = value + np.bincount(doc, score(key, count) * times, len(flag))
+                    yield out(np.array([block]), np.zeros(len(flag), np.int64), np.arange(len(flag)), value)
+                elif kind == PAIRS:
+                    blocks, owner, key, doc, times, flag = unpack(blob)
+                    distinct, c, _, n = _by_key(np.cumsum(key), times, flag)
+                    yield out(blocks, owner, doc, np.repeat(score(distinct, c), n) * times)
+                else:
+                    blocks, n, cx, _, cy, _, c, _, rare, owner, doc, times = unpack(blob)
+                    value = log_chance(weights, cx, c, cy, total, size), np.log10(cy + 1) * rare, (cy > 0) & rare
+                    yield out(blocks, owner, doc, *(np.repeat(x, n) * times for x in value))
 
     return run
 
@@ -376,13 +572,14 @@ def _totals(train_tokens: int):
             texts += len(rows[-1][0])
         if not texts:
             return
+        ids, null, held, n, known, base = (np.concatenate([r[k] for r in rows]) for k in range(6))
         score = np.zeros(texts)
         for _, blob in partial:
-            block, doc, value = unpack(blob)
+            block, doc, *values = unpack(blob)
             own, back = np.unique(block, return_inverse=True)
             place = np.array([at[b] for b in own.tolist()], np.int64)[back] + doc
-            score += np.bincount(place, value, texts)
-        ids, null, held, n, known, base = (np.concatenate([r[k] for r in rows]) for k in range(6))
+            for whole, value in zip((score, base, known), values):
+                whole += np.bincount(place, value, texts).astype(whole.dtype)
         for i in range(0, texts, 10_000):
             s = slice(i, i + 10_000)
             m = len(ids[s])
@@ -390,36 +587,3 @@ def _totals(train_tokens: int):
 
     return run
 
-
-def _joined(rows: DataFrame) -> DataFrame:
-    """The same by joins on words, for vocabularies beyond what may be broadcast. Rows of (row, context, word) are pre-aggregated;
-    joins on hot words can be split."""
-    own = written(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    words = F.filter(F.split(ascii_lower(F.coalesce("text", F.lit(""))), WORD_SPLIT, -1), lambda x: x != "")
-    tokens = own.select("row", "part", words.alias("w")).select("row", "part", F.explode(F.arrays_zip(F.concat(F.array(F.lit(" begin")), "w").alias("h"), F.concat("w", F.array(F.lit(" end"))).alias("w"))).alias("t"))
-    pairs = written(tokens.groupBy("row", "part", F.col("t.h").alias("h"), F.col("t.w").alias("w")).agg(F.count("*").alias("m")), "tokens")
-    train, fold = F.sum(F.when(F.col("part") != 2, F.col("m")).otherwise(0)), F.sum(F.when(F.col("part") == 3, F.col("m")).otherwise(0))
-    word = written(pairs.groupBy("w").agg(train.alias("c"), fold.alias("d")).where("c > 0"), "words")
-    begin = word.where("w = ' end'").select(F.lit(" begin").alias("h"), F.col("c").alias("ch"), F.col("d").alias("dh"))
-    context = word.where("w <> ' end'").toDF("h", "ch", "dh").union(begin)
-    both = pairs.groupBy("h", "w").agg(train.alias("chw"), fold.alias("dhw"))
-    size, total, deleted = word.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum(F.col("c") - F.col("d")), F.lit(0))).first()
-    wide = both.join(word, "w", "left").join(context, "h", "left").na.fill(0, ["c", "d", "ch", "dh"])
-    wide = written(wide, "bigrams")
-
-    def digits(c):
-        return F.when(c > 0, F.length(F.bin(c))).otherwise(0).cast("bigint")
-
-    a, b, u = F.col("chw") - F.col("dhw"), F.col("ch") - F.col("dh"), F.col("c") - F.col("d")
-    f1, f2 = F.log2(F.greatest(u, F.lit(1)) / F.lit(max(deleted, 1))), F.log2(F.greatest(a, F.lit(1)) / F.greatest(b, F.lit(1)))
-    n = F.col("dhw").cast("double")
-    cell = wide.where("dhw > 0").select(digits(b).alias("bucket"), F.when(u > 0, F.rint(f1 * STEP)).otherwise(-10_000).cast("bigint").alias("i1"), F.when(a > 0, F.rint(f2 * STEP)).otherwise(-10_000).cast("bigint").alias("i2"), n.alias("n"), (n * f1).alias("s1"), (n * f2).alias("s2"))
-    weights = weights_of(cell, size)
-    table = F.array(*[F.array(*map(F.lit, map(float, w))) for w in weights])
-    w = F.element_at(table, (digits(F.col("ch")) + 1).cast("int"))
-    chance = F.log10(w[0] / (size + 1) + w[1] * F.col("c") / max(total, 1) + w[2] * F.col("chw") / F.greatest("ch", F.lit(1)))
-    scored = wide.select("h", "w", "c", chance.alias("s"))
-    base = F.log10((F.col("c") + 1) / F.lit(float(total + size + 1)))
-    m = F.col("m")
-    sums = pairs.join(scored, ["h", "w"]).groupBy("row").agg(F.sum("m").alias("n_tokens"), F.sum(F.when(F.col("c") > 0, m).otherwise(0)).alias("n_known"), F.sum(m * base).alias("base_score"), F.sum(m * F.col("s")).alias("score"))
-    return own.join(sums, "row").select(F.col("id").alias("doc_id"), (F.col("part") == 2).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
